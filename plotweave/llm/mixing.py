@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import columns, staged, text_of, word_count
 
-#: Bits of the hash that one histogram level resolves, and the levels. Three levels tell 2**36 rows apart.
-LEVEL_BITS = 12
-LEVELS = 3
+#: Bits of the hash that one histogram level resolves, and the levels. Two levels tell 2**32 rows apart.
+LEVEL_BITS = 16
+LEVELS = 2
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
