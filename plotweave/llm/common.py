@@ -42,6 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _SCRATCH["plotweave.scratch"]
 
 
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Limit the bytes of an Arrow batch that goes to a Python worker, unless the session has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, size)
+
+
 _SCRATCH: dict[str, str] = {}
 
 

@@ -23,11 +23,14 @@ LEVEL_BITS = 16
 LEVELS = 2
 
 
+def slot_of(id_col: str, text_col: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)), F.lit(1 << (LEVEL_BITS * LEVELS)))
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """id, source, size, slot: what mixing needs of a row, without its text; staged."""
-    text = text_of(text_col)
-    slot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << (LEVEL_BITS * LEVELS)))
-    return staged(columns(docs, id_col, text_col, source_col).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), slot.alias("slot")), "mix-sizes")
+    own = columns(docs, id_col, text_col, source_col)
+    return staged(own.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"), slot_of(id_col, text_col, seed).alias("slot")), "mix-sizes")
 
 
 def cyclic_weights(totals: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -100,6 +103,17 @@ def _of_source(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> Da
     return rows.join(right, F.col("source").eqNullSafe(F.col("_pw_source")), how).drop("_pw_source")
 
 
+def _repeats(cap: float) -> Column:
+    small = (F.col("size") <= F.col("left")) & (F.col("slot") < F.col("small_under"))
+    once_more = F.when((F.col("slot") < F.col("under")) | small, 1).otherwise(0)
+    return (F.col("whole") + F.when(F.col("whole") < int(cap), once_more).otherwise(0)).cast("int")
+
+
+def _plan(rows: DataFrame, weights, cap: float) -> DataFrame:
+    totals = staged(weights(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-totals")
+    return thresholds(rows, fill(totals, cap)).select("source", "source_size", "target", "whole", "under", "left", "small_under")
+
+
 def mix(docs: DataFrame, weights=cyclic_weights, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, repeats, taken.
 
@@ -108,10 +122,17 @@ def mix(docs: DataFrame, weights=cyclic_weights, cap: float = 3.0, id_col: str =
     hash lies under its source's threshold; never more than int(cap) times.
     """
     rows = measured(docs, id_col, text_col, source_col, seed)
-    totals = staged(weights(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-totals")
-    plan = thresholds(rows, fill(totals, cap))
-    small = (F.col("size") <= F.col("left")) & (F.col("slot") < F.col("small_under"))
-    once_more = F.when((F.col("slot") < F.col("under")) | small, 1).otherwise(0)
-    repeats: Column = (F.col("whole") + F.when(F.col("whole") < int(cap), once_more).otherwise(0)).cast("long")
-    out = _of_source(rows, plan.select("source", "source_size", "target", "whole", "under", "left", "small_under")).withColumn("repeats", repeats)
+    out = _of_source(rows, _plan(rows, weights, cap)).withColumn("repeats", _repeats(cap))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def take(docs: DataFrame, weights=cyclic_weights, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """The rows of `docs`, all columns, that the mix takes, each as often as it takes it.
+
+    Whether a row is taken depends on its hash, size and source's thresholds
+    alone, so texts are filtered where they are read.
+    """
+    plan = _plan(measured(docs, id_col, text_col, source_col, seed), weights, cap)
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_pw_row"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"), slot_of(id_col, text_col, seed).alias("slot"))
+    rows = _of_source(own, plan).withColumn("_pw_copy", F.explode(F.array_repeat(F.lit(0), _repeats(cap))))
+    return rows.select(*[F.col("_pw_row")[c].alias(c) for c in docs.columns])

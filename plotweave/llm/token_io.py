@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, text_of
+from .common import bounded_batches, columns, text_of
+from .wordhash import slices
 
 FORMAT = {
     "parquet.writer.version": "v2",
@@ -41,9 +42,11 @@ FORMAT = {
 }
 TOKENS_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 #: Segments a task remembers with their ids; beyond it, the memory starts anew.
-REMEMBER = 200_000
-#: A segment starts where white space follows other text. The pre-tokeniser always cuts there too, so ids of segments join to the ids of the text.
-_SEGMENTS = re.compile(r"(?<=\S)(?=[ \n])")
+REMEMBER = 400_000
+#: A segment is a run of ASCII white space and what follows it. The pre-tokeniser always cuts where white space follows other text, so ids of segments join to the ids of the text.
+_SEGMENTS = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+").findall
+#: Other white space could be part of a run that a segment cuts; such texts are encoded whole.
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
 class SegmentEncoder:
@@ -53,37 +56,20 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        known, cut = self.known, [_SEGMENTS.split(t) for t in texts]
-        fresh = list({s for segments in cut for s in segments if s not in known})
+        """Ids of each text with `end_id` after them."""
+        known, end = self.known, np.int32(end_id).tobytes()
+        if len(known) > REMEMBER:
+            known.clear()
+        cut = [[t] if not t.isascii() and _OTHER_SPACE(t) else _SEGMENTS(t) for t in texts]
+        fresh = list(set().union(*cut).difference(known))
         for at in range(0, len(fresh), 4096):
             block = fresh[at : at + 4096]
-            known.update(zip(block, (e.ids for e in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)), strict=True))
-        out = []
-        for segments in cut:
-            ids: list[int] = []
-            for s in segments:
-                ids += known[s]
-            ids.append(end_id)
-            out.append(np.array(ids, dtype=np.int32))
-        return out
-
-
-def _slices(texts: list[str], chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with some `chars` characters each, so that a batch of very long texts is worked on in parts."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            for s, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
+                known[s] = np.array(e.ids, dtype=np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, segments)) + end, dtype=np.int32) for segments in cut]
 
 
 def _encoding_task(path: str, end_id: int):
@@ -91,7 +77,7 @@ def _encoding_task(path: str, end_id: int):
         encoder, part, at = SegmentEncoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in _slices(texts):
+            for a, b in slices(texts):
                 rows = encoder.encode(texts[a:b], end_id)
                 sizes = np.array([len(r) for r in rows], dtype=np.int64)
                 ends = np.cumsum(sizes)
@@ -110,6 +96,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     rows is spread unless the texts are equal too.
     """
     spark = docs.sparkSession
+    bounded_batches(spark, "8m")
     own = columns(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = own.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
