@@ -20,10 +20,12 @@ writes no row; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,43 +43,99 @@ FORMAT = {
     "compression": "zstd",
 }
 TOKENS_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
-#: Segments a task remembers with their ids; beyond it, the memory starts anew.
-REMEMBER = 400_000
+#: Segments a worker remembers with their ids, in each of two generations.
+REMEMBER = 500_000
 #: A segment is a run of ASCII white space and what follows it. The pre-tokeniser always cuts where white space follows other text, so ids of segments join to the ids of the text.
-_SEGMENTS = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+").findall
+_SEGMENTS = re.compile(r"\s*\S+|\s+", re.ASCII).findall
 #: Other white space could be part of a run that a segment cuts; such texts are encoded whole.
 _OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
+#: The byte-level pre-tokeniser's pattern, and the texts for which its classes are beyond doubt.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+_PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+
+
 class SegmentEncoder:
-    """Encodes texts with a byte-level tokenizers file, each distinct segment once."""
+    """Encodes texts with a byte-level tokenizers file, and remembers the ids of segments that keep occurring."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.by_piece = all(self._encoded(t) == self._joined(t) for t in ("It's a\n\n test,  isn't it?", "Été 2024: x\t y"))
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32).tobytes()
+
+    def _joined(self, text: str) -> bytes:
+        """Ids from the model, piece by piece, which spares what the encoding of a text adds to that."""
+        parts = []
+        # a blank and letters, perhaps with a sign after them, need no pattern
+        if text[0] == " " and text[1:].isalpha():
+            pieces = (text,)
+        elif text[0] == " " and text[-1] in ",.;:!?" and text[1:-1].isalpha():
+            pieces = (text[:-1], text[-1])
+        else:
+            pieces = _PIECES(text)
+        for piece in pieces:
+            ids = self.young.get(piece)
+            if ids is None:
+                letters = piece.encode().decode("latin-1").translate(_LETTERS)
+                ids = self.young[piece] = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            parts.append(ids)
+        return b"".join(parts)
+
+    def _learn(self, fresh: set[str]) -> None:
+        for s in fresh:
+            # a special token's text is not for the model
+            plain = self.by_piece and _PLAIN(s) and "<|" not in s
+            self.young[s] = self._joined(s) if plain else self._encoded(s)
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text with `end_id` after them."""
-        known, end = self.known, np.int32(end_id).tobytes()
-        if len(known) > REMEMBER:
-            known.clear()
+        end = np.int32(end_id).tobytes()
+        if len(self.young) > REMEMBER:
+            self.old, self.young = self.young, {}
         cut = [[t] if not t.isascii() and _OTHER_SPACE(t) else _SEGMENTS(t) for t in texts]
-        fresh = list(set().union(*cut).difference(known))
-        for at in range(0, len(fresh), 4096):
-            block = fresh[at : at + 4096]
-            for s, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                known[s] = np.array(e.ids, dtype=np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, segments)) + end, dtype=np.int32) for segments in cut]
+        wanted = set().union(*cut).difference(self.young)
+        again = wanted & self.old.keys()
+        for s in again:
+            self.young[s] = self.old[s]
+        self._learn(wanted - again)
+        known = self.young.__getitem__
+        return [np.frombuffer(b"".join(map(known, segments)) + end, dtype=np.int32) for segments in cut]
+
+
+#: Encoders of this worker by file: a worker runs many tasks, and what it remembers serves them all.
+_ENCODERS: dict[str, SegmentEncoder] = {}
+
+
+def _encoder(path: str) -> SegmentEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = SegmentEncoder(path)
+    return _ENCODERS[path]
 
 
 def _encoding_task(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = SegmentEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 19):
                 rows = encoder.encode(texts[a:b], end_id)
                 sizes = np.array([len(r) for r in rows], dtype=np.int64)
                 ends = np.cumsum(sizes)
