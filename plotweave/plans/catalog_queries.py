@@ -339,7 +339,7 @@ b AS (SELECT image_id, k AS plant_id, k * 4 AS x1, k * 4 + 4 AS x2, 1 AS y1, 7 A
 g AS (SELECT image_id, avg(red) AS base FROM p WHERE green <= red GROUP BY 1),
 t AS (SELECT b.image_id, plant_id, avg(red) AS top, avg(green) AS green FROM b JOIN p ON p.image_id = b.image_id AND col >= x1 AND col < x2 AND row >= y1 AND row < y2 AND green > red GROUP BY 1, 2)
 SELECT b.image_id AS raster_id, b.plant_id, CAST(trunc((x1 + x2) / CAST(2 AS DOUBLE)) AS INT) AS x, 4 AS y, 4 AS width, 6 AS height, round(CAST(trunc((x1 + x2) / CAST(2 AS DOUBLE)) AS INT) * CAST(0.5 AS DOUBLE) - 2, 6) AS offset_x,
-  round(top - base, 3) AS crop_height FROM b LEFT JOIN t USING (image_id, plant_id) LEFT JOIN g USING (image_id)""")
+  round_even(top - base, 3) AS crop_height FROM b LEFT JOIN t USING (image_id, plant_id) LEFT JOIN g USING (image_id)""")
 def _a10(pixels):
     band = lambda i: F.max(F.when(F.col("band") == i, F.col("v")))
     p = pixels.groupBy(F.col("image_id").alias("raster_id"), "row", "col").agg(band(0).alias("red"), band(1).alias("green"), band(2).alias("blue"))

@@ -93,4 +93,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(body: str, *names: str) -> str:
     """DuckDB SQL of `body` with the named views (and `pixels`) in front."""
     ctes = ", ".join(f"{n} AS ({DUCK_PIXELS if n == 'pixels' else VIEWS[n]})" for n in names)
-    return f"WITH {ctes} {body}" if not body.lstrip().upper().startswith("WITH") else f"WITH {ctes}, {body.lstrip()[4:]}"
+    body = body.strip()
+    if not body.upper().startswith("WITH "):
+        return f"WITH {ctes} {body}"
+    rest = body[5:].lstrip()
+    if rest.upper().startswith("RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {rest[10:]}"
+    return f"WITH {ctes}, {rest}"

@@ -1 +1,373 @@
-"""Queries."""
+"""Queries of the raster, scenario, source, sink and streaming operators."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plotweave.operators import raster as R
+from plotweave.operators import scenario as X
+from plotweave.sources import readers as S
+from plotweave.sources import writers as K
+from plotweave.streaming import arrivals as T
+
+from .registry import query
+from .staging import shared_dir, staged
+
+DUCK = "CAST({} AS DOUBLE)".format
+
+
+def _rgb(pixels: DataFrame) -> DataFrame:
+    return R.bands_to_columns(pixels.withColumnRenamed("image_id", "raster_id")).where("r is not null and g is not null and b is not null")
+
+
+RGB = "rgb AS (SELECT image_id AS raster_id, row, col, max(v) FILTER (band = 0) AS r, max(v) FILTER (band = 1) AS g, max(v) FILTER (band = 2) AS b FROM pixels GROUP BY 1, 2, 3 HAVING count(DISTINCT band) = 3)"
+
+
+def _one(pixels: DataFrame) -> DataFrame:
+    return pixels.where("band = 0").select(F.col("image_id").alias("raster_id"), "row", "col", "v")
+
+
+ONE = "px AS (SELECT image_id AS raster_id, row, col, v FROM pixels WHERE band = 0)"
+
+
+def _whole(raster: DataFrame) -> DataFrame:
+    return raster.select(F.lit(0).alias("raster_id"), "row", "col", "v")
+
+
+@query("r1_exg", "pixels", sql=f"""
+WITH {RGB} SELECT raster_id, row, col, round(greatest(-1, least(1, (2 * g - r - b) / (r + g + b + {DUCK(1e-6)}))), 6) AS v, round(greatest(-1, least(1, (2 * g - r - b) / ((r + g + b) % 256 + {DUCK(1e-6)}))), 6) AS wrapped FROM rgb""")
+def _r1(pixels):
+    rgb = _rgb(pixels)
+    wrapped = R.exg(R.exg(rgb).withColumnRenamed("v", "plain"), wrap_uint8=True)
+    return wrapped.select("raster_id", "row", "col", F.round("plain", 6).alias("v"), F.round("v", 6).alias("wrapped"))
+
+
+@query("r2_exg_raw", "pixels", sql=f"WITH {RGB} SELECT raster_id, row, col, 2 * g - b - r AS v FROM rgb")
+def _r2(pixels):
+    return R.exg_raw(_rgb(pixels)).select("raster_id", "row", "col", "v")
+
+
+@query("r3_minmax_scale", "pixels", sql=f"""
+WITH {ONE}, e AS (SELECT raster_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1) SELECT raster_id, row, col, round(CASE WHEN hi > lo THEN (v - lo) / CAST(hi - lo AS DOUBLE) ELSE 0 END * 255, 6) AS v FROM px JOIN e USING (raster_id)""")
+def _r3(pixels):
+    return R.minmax_scale(_one(pixels)).select("raster_id", "row", "col", F.round("v", 6).alias("v"))
+
+
+BLUR = f"""d AS (SELECT unnest([-1, 0, 1]) AS d, unnest([{DUCK(0.25)}, {DUCK(0.5)}, {DUCK(0.25)}]) AS w),
+h AS (SELECT p.raster_id, p.row, p.col, sum(w * q.v) AS v FROM px p, d JOIN px q ON q.raster_id = p.raster_id AND q.row = p.row AND q.col = 7 - abs(7 - abs(p.col + d.d)) GROUP BY 1, 2, 3),
+bl AS (SELECT p.raster_id, p.row, p.col, sum(w * q.v) AS v FROM h p, d JOIN h q ON q.raster_id = p.raster_id AND q.col = p.col AND q.row = 7 - abs(7 - abs(p.row + d.d)) GROUP BY 1, 2, 3)"""
+
+
+@query("r4_gaussian_blur", "pixels", sql=f"WITH {ONE}, {BLUR} SELECT raster_id, row, col, round(v, 6) AS v FROM bl")
+def _r4(pixels):
+    return R.gaussian_blur(_one(pixels), 3).withColumn("v", F.round("v", 6))
+
+
+@query("r5_otsu", "pixels", sql=f"""
+WITH {ONE}, h AS (SELECT raster_id, v AS t, count(*) AS n FROM px GROUP BY 1, 2),
+c AS (SELECT raster_id, t, sum(n) OVER w AS w0, sum(n * t) OVER w AS s0, sum(n) OVER (PARTITION BY raster_id) AS total, sum(n * t) OVER (PARTITION BY raster_id) AS s FROM h WINDOW w AS (PARTITION BY raster_id ORDER BY t)),
+b AS (SELECT raster_id, t, CASE WHEN total > w0 THEN round(CAST(w0 AS DOUBLE) * (total - w0) * power(CAST(s0 AS DOUBLE) / w0 - CAST(s - s0 AS DOUBLE) / (total - w0), 2), 3) ELSE 0 END AS between FROM c),
+r AS (SELECT raster_id, t, row_number() OVER (PARTITION BY raster_id ORDER BY between DESC, t) AS k FROM b)
+SELECT raster_id, t AS threshold, round(t / {DUCK(127.5)} - 1, 6) AS scaled FROM r WHERE k = 1""")
+def _r5(pixels):
+    return R.otsu(_one(pixels)).withColumn("scaled", F.round("scaled", 6))
+
+
+@query("r6_threshold", "raster", sql="SELECT row, col, CASE WHEN v > 100 THEN 255 ELSE 0 END AS v FROM raster")
+def _r6(raster):
+    return R.threshold(raster, F.lit(100))
+
+
+def _near(r: int) -> str:
+    pairs = R.ellipse(2 * r + 1)
+    return f"k AS (SELECT unnest([{', '.join(str(a) for a, _ in pairs)}]) AS dy, unnest([{', '.join(str(b) for _, b in pairs)}]) AS dx)"
+
+
+@query("r7_morphology", "raster", sql=f"""
+WITH m AS (SELECT row, col, CASE WHEN v > 20 THEN 255 ELSE 0 END AS v FROM raster), {_near(2)},
+e AS (SELECT a.row, a.col, min(b.v) AS v FROM m a, k JOIN m b ON b.row = a.row + dy AND b.col = a.col + dx GROUP BY 1, 2),
+o AS (SELECT a.row, a.col, max(b.v) AS v FROM e a, k JOIN e b ON b.row = a.row + dy AND b.col = a.col + dx GROUP BY 1, 2)
+SELECT row, col, v FROM o""")
+def _r7(raster):
+    return R.morphology(R.threshold(_whole(raster), F.lit(20)), "open", R.ellipse(5)).select("row", "col", "v")
+
+
+COMPONENTS = """p AS (SELECT raster_id, row, col, row * 8 + col AS id FROM px WHERE v > 140),
+r AS (SELECT raster_id, id, id AS label FROM p UNION SELECT q.raster_id, q.id, r.label FROM r JOIN p a ON a.raster_id = r.raster_id AND a.id = r.id JOIN p q ON q.raster_id = a.raster_id AND abs(q.row - a.row) <= 1 AND abs(q.col - a.col) <= 1),
+lab AS (SELECT p.raster_id, p.row, p.col, l.label FROM p JOIN (SELECT raster_id, id, min(label) AS label FROM r GROUP BY 1, 2) l USING (raster_id, id))"""
+
+
+def _mask(pixels: DataFrame) -> DataFrame:
+    return R.threshold(_one(pixels), F.lit(140))
+
+
+@query("r8_label_components", "pixels", sql=f"WITH RECURSIVE {ONE}, {COMPONENTS} SELECT raster_id, row, col, label FROM lab")
+def _r8(pixels):
+    return R.label_components(_mask(pixels))
+
+
+PROPS = "props AS (SELECT raster_id, label, min(row) AS y1, min(col) AS x1, max(row) + 1 AS y2, max(col) + 1 AS x2, count(*) AS area, avg(row) AS cy, avg(col) AS cx FROM lab GROUP BY 1, 2)"
+
+
+@query("r9_region_props", "pixels", sql=f"WITH RECURSIVE {ONE}, {COMPONENTS}, {PROPS} SELECT raster_id, label, y1, x1, y2, x2, area, round(cy, 6) AS cy, round(cx, 6) AS cx FROM props")
+def _r9(pixels):
+    return R.region_props(R.label_components(_mask(pixels))).withColumns({"cy": F.round("cy", 6), "cx": F.round("cx", 6)})
+
+
+@query("r10_drop_small", "pixels", sql=f"WITH RECURSIVE {ONE}, {COMPONENTS}, {PROPS} SELECT raster_id, row, col, label FROM lab JOIN (SELECT raster_id, label FROM props WHERE greatest(y2 - y1, x2 - x1) >= 3) USING (raster_id, label)")
+def _r10(pixels):
+    return R.drop_small(staged(R.label_components(_mask(pixels)), "q"), 3).select("raster_id", "row", "col", "label")
+
+
+SEGMENTS = """seg AS (SELECT raster_id, label, CAST(s AS INT) AS segment, CASE WHEN w >= h THEN x1 + s * step ELSE x1 END AS sx1, CASE WHEN w >= h THEN least(x1 + s * step + step, x2) ELSE x2 END AS sx2,
+  CASE WHEN w >= h THEN y1 ELSE y1 + s * step END AS sy1, CASE WHEN w >= h THEN y2 ELSE least(y1 + s * step + step, y2) END AS sy2
+  FROM (SELECT *, unnest(range(n)) AS s, CAST(floor(greatest(w, h) / CAST(n AS DOUBLE)) AS BIGINT) AS step FROM (SELECT *, x2 - x1 AS w, y2 - y1 AS h, CAST(ceil(greatest(x2 - x1, y2 - y1) / CAST(least(x2 - x1, y2 - y1) AS DOUBLE)) AS BIGINT) AS n FROM props)))"""
+
+
+@query("r11_split_blobs", "pixels", sql=f"WITH RECURSIVE {ONE}, {COMPONENTS}, {PROPS}, {SEGMENTS} SELECT raster_id, label, segment, sx1, sx2, sy1, sy2 FROM seg")
+def _r11(pixels):
+    return R.split_blobs(R.region_props(R.label_components(_mask(pixels))))
+
+
+@query("r12_segment_props", "pixels", sql=f"""
+WITH RECURSIVE {ONE}, {COMPONENTS}, {PROPS}, {SEGMENTS}
+SELECT s.raster_id, s.label, s.segment, round(coalesce(avg(l.col), (sx1 + sx2) / {DUCK(2)}), 6) AS cx, round(coalesce(avg(l.row), (sy1 + sy2) / {DUCK(2)}), 6) AS cy, coalesce(min(l.col), sx1) AS x1, coalesce(min(l.row), sy1) AS y1, coalesce(max(l.col), sx2) AS x2, coalesce(max(l.row), sy2) AS y2
+FROM seg s LEFT JOIN lab l ON l.raster_id = s.raster_id AND l.label = s.label AND l.col >= sx1 AND l.col < sx2 AND l.row >= sy1 AND l.row < sy2 GROUP BY s.raster_id, s.label, s.segment, sx1, sx2, sy1, sy2""")
+def _r12(pixels):
+    labels = staged(R.label_components(_mask(pixels)), "q")
+    out = R.segment_props(R.split_blobs(R.region_props(labels)), labels)
+    return out.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+
+
+@query("r13_detect_plants", "pixels")
+def _r13(pixels):
+    return R.detect_plants(_rgb(pixels), 0.0035, min_size=2, kernel_small=3, kernel_large=3)
+
+
+@query("r14_clahe", "raster")
+def _r14(raster):
+    return R.clahe(_whole(raster)).select("row", "col", "v")
+
+
+@query("r15_depth_stretch", "pixels", sql=f"""
+WITH {ONE}, e AS (SELECT raster_id, min(v) FILTER (v <= 140) AS lo, max(v) FILTER (v <= 140) AS hi FROM px GROUP BY 1)
+SELECT raster_id, row, col, CASE WHEN v > 140 THEN 255 WHEN hi > lo THEN CAST(trunc((v - lo) / CAST(hi - lo AS DOUBLE) * 220) AS INT) ELSE 100 END AS v FROM px JOIN e USING (raster_id)""")
+def _r15(pixels):
+    return R.depth_stretch(_one(pixels), 140).select("raster_id", "row", "col", "v")
+
+
+@query("r16_apply_lut", "raster", sql="SELECT row, col, v, 255 - v AS red, v % 16 AS green, 7 AS blue FROM raster")
+def _r16(raster):
+    lut = raster.sparkSession.range(256).select(F.col("id").cast("int").alias("v"), (255 - F.col("id")).cast("int").alias("red"), (F.col("id") % 16).cast("int").alias("green"), F.lit(7).alias("blue"))
+    return R.apply_lut(raster, lut).select("row", "col", "v", "red", "green", "blue")
+
+
+@query("r17_dem_valid", "raster", sql="SELECT row, col, v <> 3 AS valid FROM raster")
+def _r17(raster):
+    return R.dem_valid(raster, F.lit(3.0)).select("row", "col", "valid")
+
+
+@query("g11_resample_affine", "pixels", sql=f"""
+WITH {ONE}, c AS (SELECT DISTINCT raster_id, r.range AS row, k.range AS col FROM px, range(6) r, range(6) k),
+s AS (SELECT *, CAST(floor({DUCK(0.9)} * (col + 0.5) + {DUCK(0.3)} * (row + 0.5) + {DUCK(0.2)}) AS BIGINT) AS scol, CAST(floor({DUCK(-0.3)} * (col + 0.5) + {DUCK(0.9)} * (row + 0.5) + {DUCK(1.7)}) AS BIGINT) AS srow FROM c)
+SELECT s.raster_id, CAST(s.row AS INT) AS row, CAST(s.col AS INT) AS col, v FROM s JOIN px ON px.raster_id = s.raster_id AND px.row = srow AND px.col = scol""")
+def _g11(pixels):
+    return R.resample_affine(_one(pixels), 6, 6, (0.9, 0.3, 0.2, -0.3, 0.9, 1.7))
+
+
+@query("g12_resize_raster", "pixels", sql=f"""
+WITH {ONE}, c AS (SELECT DISTINCT raster_id, r.range AS row, k.range AS col FROM px, range(4) r, range(4) k)
+SELECT c.raster_id, CAST(c.row AS INT) AS row, CAST(c.col AS INT) AS col, round(avg(v), 6) AS v FROM c JOIN px ON px.raster_id = c.raster_id AND px.row IN (2 * c.row, 2 * c.row + 1) AND px.col IN (2 * c.col, 2 * c.col + 1) GROUP BY 1, 2, 3""")
+def _g12(pixels):
+    return R.resize_raster(_one(pixels), (8, 8), (4, 4), "bilinear").withColumn("v", F.round("v", 6))
+
+
+def _templates(scenes: DataFrame) -> DataFrame:
+    """A document per scene with literal, uniform, normal and categorical leaves and a nested array."""
+    dist = lambda kind, **p: F.struct(F.struct(F.lit(kind).alias("type"), F.struct(*[v.alias(k) for k, v in p.items()]).alias("params")).alias("distribution"))
+    spot = F.array(F.struct(F.lit(0.5).alias("x")), F.struct(F.lit(1.5).alias("x")))
+    doc = F.struct(dist("uniform", min=F.lit(10), max=F.lit(90)).alias("dap"), dist("normal", mean=F.col("sun_elevation"), std=F.lit(0.0)).alias("sun"), dist("categorical", categories=F.array(F.lit("a"), F.lit("b"))).alias("kind"), F.struct(F.col("camera_height").alias("height"), spot.alias("plants")).alias("field"))
+    return scenes.select("scene_id", F.parse_json(F.to_json(doc)).alias("doc"))
+
+
+@query("x1_flatten_params", "scenes", sql="""
+SELECT scene_id, unnest(['.dap', '.sun', '.kind', '.field.height', '.field.plants[0].x', '.field.plants[1].x']) AS path, unnest(['distribution', 'distribution', 'distribution', 'literal', 'literal', 'literal']) AS kind FROM scenes""")
+def _x1(scenes):
+    return X.flatten_params(_templates(scenes), "scene_id", depth=5).select("scene_id", "path", "kind")
+
+
+@query("x2_sample_params", "scenes", sql="""
+SELECT path, count(*) * 2 AS n, count(*) * 2 AS within FROM (SELECT unnest(['.dap', '.sun', '.kind', '.field.height', '.field.plants[0].x', '.field.plants[1].x']) AS path FROM scenes) GROUP BY path""")
+def _x2(scenes):
+    leaves = X.leaf_distributions(X.flatten_params(_templates(scenes), "scene_id", depth=5))
+    s = X.sample_params(leaves, "scene_id", 2, seed=5)
+    value = F.col("drawn").try_cast("double")
+    good = F.when(F.col("path") == ".dap", value.between(10, 90) & ~F.col("drawn").contains(".")).when(F.col("path") == ".kind", F.col("drawn").isin("a", "b")).when(F.col("path") == ".sun", value == F.col("mean")).otherwise(F.col("drawn") == F.col("value"))
+    return s.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("within"))
+
+
+@query("x3_assemble_params", "scenes", sql="SELECT scene_id, CAST(s.range AS INT) AS scene, 6 AS n_leaves FROM scenes, range(2) s")
+def _x3(scenes):
+    leaves = X.leaf_distributions(X.flatten_params(_templates(scenes), "scene_id", depth=5))
+    return X.assemble_params(X.sample_params(leaves, "scene_id", 2, seed=5), "scene_id").select("scene_id", "scene", F.col("n_leaves").cast("int").alias("n_leaves"))
+
+
+@query("x4_virtual_genotypes", "scenes", sql="SELECT scene_id AS genotype_id, TRUE AS ordered FROM scenes")
+def _x4(scenes):
+    made = X.virtual_genotypes(scenes.sparkSession, 200_000)
+    fine = [F.col(f"{t}_min") < F.col(f"{t}_max") for t in X.GENOTYPE_RANGES if t != "plant_count"] + [F.col("plant_count_min") < F.col("plant_count_max")]
+    ok = fine[0]
+    for f in fine[1:]:
+        ok = ok & f
+    return scenes.select(F.col("scene_id").alias("genotype_id")).join(made, "genotype_id").select("genotype_id", ok.alias("ordered"))
+
+
+def _matrix(scenes: DataFrame) -> DataFrame:
+    ids = scenes.where("scene_id < 300").select(F.col("scene_id").alias("genotype_id"))
+    made = ids.join(X.virtual_genotypes(scenes.sparkSession, 300), "genotype_id")
+    gone = scenes.where("scene_id < 300 and scene_id % 7 = 0").select(F.col("scene_id").alias("genotype_id"), F.lit(20).alias("dap"), F.lit(1).alias("scene"))
+    return X.scene_matrix(made, [10, 20, 30], 4, gone)
+
+
+@query("x5_scene_matrix", "scenes", sql="""
+SELECT scene_id AS genotype_id, d.dap, CAST(s.range AS INT) AS scene FROM scenes, (SELECT unnest([10, 20, 30]) AS dap) d, range(4) s WHERE scene_id < 300 AND NOT (scene_id % 7 = 0 AND d.dap = 20 AND s.range = 1)""")
+def _x5(scenes):
+    return _matrix(scenes).select("genotype_id", "dap", "scene")
+
+
+@query("x6_scene_plan", "scenes", sql="""
+SELECT scene_id AS genotype_id, d.dap, CAST(s.range AS INT) AS scene, TRUE AS covers, TRUE AS near_area FROM scenes, (SELECT unnest([10, 20, 30]) AS dap) d, range(4) s WHERE scene_id < 300 AND NOT (scene_id % 7 = 0 AND d.dap = 20 AND s.range = 1)""")
+def _x6(scenes):
+    plants, plan = X.scene_plan(_matrix(scenes))
+    key = ["genotype_id", "dap", "scene"]
+    wide = plants.groupBy(*key).agg((F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"))
+    out = plan.join(wide, key, "left")
+    area = F.col("resolution_x") * F.col("resolution_y")
+    return out.select(*key, F.coalesce((F.col("plot_size_x") > F.col("dx")) & (F.col("plot_size_y") > F.col("dy")), F.lit(True)).alias("covers"), area.between(880_000, 960_000).alias("near_area"))
+
+
+@query("x7_plots_to_scenes", "plants", "scenes", sql="""
+WITH p AS (SELECT bed * 100 + tier AS raster_id, count(*) AS n_plants, min(round_even(x, 4)) AS first_x FROM plants GROUP BY 1), s AS (SELECT bed * 100 + tier AS raster_id, max(plot_size_x) AS w, max(plot_size_y) AS h FROM scenes GROUP BY 1)
+SELECT raster_id, coalesce(n_plants, 0) AS n_plants, round(first_x, 4) AS first_x, CAST(0 AS DOUBLE) AS heading, 1080 AS image_height FROM s LEFT JOIN p USING (raster_id)""")
+def _x7(plants, scenes):
+    place = (F.col("bed") * 100 + F.col("tier")).alias("raster_id")
+    plots = scenes.groupBy(place).agg(F.max("plot_size_x").alias("width_m"), F.max("plot_size_y").alias("height_m"))
+    out = X.plots_to_scenes(plants.select(place, F.col("x").alias("x_m"), F.col("y").alias("y_m"), F.lit(0.0).alias("z")), plots)
+    d = F.from_json("document", "field struct<plants:array<struct<x:double>>>, soil struct<rotate_obj:double>, camera struct<resolution_y:int>")
+    out = out.select("raster_id", d.alias("d"))
+    return out.select("raster_id", F.size("d.field.plants").cast("long").alias("n_plants"), F.round(F.get("d.field.plants", F.lit(0))["x"], 4).alias("first_x"), F.col("d.soil.rotate_obj").alias("heading"), F.col("d.camera.resolution_y").alias("image_height"))
+
+
+def _folder(df: DataFrame, name: str) -> str:
+    return f"{shared_dir(df.sparkSession)}/plotweave/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_k1_scene_params", "scenes", sql="SELECT scene_id, bed, round(camera_height, 6) AS camera_height, concat('dap_30_plot_', bed, '_', tier) AS name FROM scenes")
+def _s1(scenes):
+    path = _folder(scenes, "scene-params")
+    K.write_scene_params(scenes.withColumn("dap", F.lit(30)).repartition("bed"), path, prefix=True)
+    back = scenes.sparkSession.read.text(path)
+    d = F.try_parse_json("value")
+    return back.select(F.try_variant_get(d, "$.scene_id", "long").alias("scene_id"), F.col("bed").cast("long").alias("bed"), F.round(F.try_variant_get(d, "$.camera_height", "double"), 6).alias("camera_height"), F.try_variant_get(d, "$.name", "string").alias("name"))
+
+
+@query("s2_read_plots", "plots", sql="SELECT bed, tier, round(min_lon, 7) AS min_x, round(max_lat, 7) AS max_y, 5 AS n_points FROM plots")
+def _s2(plots):
+    at = lambda x, y: F.array(x, y)
+    ring = F.array(at("min_lon", "min_lat"), at("max_lon", "min_lat"), at("max_lon", "max_lat"), at("min_lon", "max_lat"), at("min_lon", "min_lat"))
+    feature = F.struct(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(F.col("bed").alias("column"), F.col("tier").alias("row")).alias("properties"))
+    path = _folder(plots, "plots")
+    plots.groupBy("bed").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("value"), "bed").write.partitionBy("bed").text(path)
+    out = S.read_plots(plots.sparkSession, f"{path}/*")
+    return out.select(F.col("bed").cast("long").alias("bed"), F.col("tier").cast("long").alias("tier"), F.round("min_x", 7).alias("min_x"), F.round("max_y", 7).alias("max_y"), F.size("ring").alias("n_points"))
+
+
+@query("s3_read_coco", "boxes", sql="SELECT category_id, count(*) AS n, round(sum(round(x_c, 6)), 2) AS x FROM boxes GROUP BY category_id")
+def _s3(boxes):
+    path = _folder(boxes, "coco")
+    anns = boxes.select((F.col("image_id") % 16).alias("image_id"), F.xxhash64("image_id", "l_linenumber").alias("id"), "category_id", F.array(F.round("x_c", 6), "y_c", "w", "h").alias("bbox"))
+    images = anns.select("image_id").distinct().withColumns({"file_name": F.concat("image_id", F.lit(".jpeg")), "width": F.lit(640), "height": F.lit(480)})
+    cats = boxes.sparkSession.createDataFrame([(0, "internode")], "id long, name string")
+    K.coco_documents(images, anns, cats).write.partitionBy("image_id").text(path)
+    out = S.read_coco(boxes.sparkSession, f"{path}/*")["annotations"]
+    return out.groupBy(F.col("category_id").cast("int").alias("category_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("bbox")[0]), 2).alias("x"))
+
+
+@query("s5_read_classes", "plots", sql="SELECT CAST(bed AS INT) AS id, concat('bed  number ', bed) AS name FROM (SELECT DISTINCT bed FROM plots)")
+def _s5(plots):
+    path = _folder(plots, "classes")
+    plots.select("bed").distinct().select(F.concat(F.lit(" "), "bed", F.lit("\t bed  number "), "bed").alias("value")).write.text(path)
+    return S.read_classes(plots.sparkSession, path)
+
+
+@query("s7_read_labelme", "plots", sql="SELECT CAST(bed AS INT) AS height, CAST(tier - 1 AS INT) AS shape, round(min_lon, 7) AS first_x FROM plots")
+def _s7(plots):
+    path = _folder(plots, "labelme")
+    shape = F.struct("tier", F.array(F.array("min_lon", "min_lat"), F.array("max_lon", "max_lat")).alias("points"))
+    docs = plots.groupBy("bed").agg(F.array_sort(F.collect_list(shape)).alias("shapes"))
+    docs.select("bed", F.to_json(F.struct("shapes", F.col("bed").alias("imageHeight"), F.lit(10).alias("imageWidth"))).alias("value")).write.partitionBy("bed").text(path)
+    out = S.read_labelme(plots.sparkSession, f"{path}/*")
+    return out.select(F.col("imageHeight").alias("height"), "shape", F.round(F.col("points")[0]["x"], 7).alias("first_x"))
+
+
+@query("s8_read_artifacts", "plots", sql="SELECT CAST(bed AS INT) AS bed, TRUE AS filled, 1 AS n FROM (SELECT DISTINCT bed FROM plots)")
+def _s8(plots):
+    path = _folder(plots, "artifacts")
+    plots.select("bed", F.lit("x").alias("value")).distinct().repartition(4, "bed").write.partitionBy("bed").text(path)
+    out = S.read_artifacts(plots.sparkSession, path, "*.txt")
+    bed = F.regexp_extract("path", r"bed=(\d+)", 1).cast("int").alias("bed")
+    return out.groupBy(bed).agg((F.min("length") > 0).alias("filled"), F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("s9_read_raster_table", "raster", sql="SELECT row, col, v FROM raster WHERE row >= 10 AND row < 30 AND col >= 5 AND col < 50")
+def _s9(raster):
+    path = _folder(raster, "raster")
+    raster.repartitionByRange("row").sortWithinPartitions("row", "col").withColumn("unused", F.lit(1)).write.parquet(path)
+    return S.read_raster_table(raster.sparkSession, path, ["v"], (10, 30, 5, 50)).select("row", "col", "v")
+
+
+@query("s10_k5_primitive_data", "primitives", sql="SELECT bed, count(*) AS n, round(sum(area), 4) AS area, round(sum(latent_flux), 2) AS latent_flux FROM primitives GROUP BY bed")
+def _s10(primitives):
+    path = _folder(primitives, "primitives")
+    K.write_primitive_data(primitives, ["bed", "area", "latent_flux"], path)
+    back = S.read_table(primitives.sparkSession, path, "bed long, area double, latent_flux double")
+    return back.groupBy("bed").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 4).alias("area"), F.round(F.sum("latent_flux"), 2).alias("latent_flux"))
+
+
+@query("k6_write_mesh", "pixels", sql="SELECT image_id AS raster_id, count(*) AS n_vertices FROM pixels WHERE band = 0 AND v > 100 GROUP BY image_id")
+def _k6(pixels):
+    from plotweave.operators.geo import dem_mesh
+
+    path = _folder(pixels, "mesh")
+    K.write_mesh(*dem_mesh(_one(pixels).withColumn("v", F.when(F.col("v") > 100, F.col("v")))), path)
+    return pixels.sparkSession.read.parquet(f"{path}/vertices").groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_vertices"))
+
+
+EVENT_KINDS = "SELECT DISTINCT kind FROM arrivals"
+
+
+@query("t1_completeness", "arrivals", sql=f"""
+WITH k AS ({EVENT_KINDS}), a AS (SELECT DISTINCT plot, kind FROM arrivals), m AS (SELECT p.plot, k.kind FROM (SELECT DISTINCT plot FROM a) p, k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.plot = p.plot AND a.kind = k.kind))
+SELECT p.plot, CASE WHEN count(m.kind) = 0 THEN 'complete' ELSE 'timed_out' END AS state, coalesce(string_agg(m.kind, ',' ORDER BY m.kind), '') AS missing FROM (SELECT DISTINCT plot FROM a) p LEFT JOIN m USING (plot) GROUP BY p.plot""")
+def _t1(arrivals):
+    # the kinds are a small vocabulary
+    kinds = [r[0] for r in arrivals.select("kind").distinct().collect()]
+    return T.completeness_batch(arrivals, kinds)
+
+
+@query("t2_progress", "arrivals", sql="SELECT kind AS status, count(*) AS n FROM arrivals GROUP BY kind")
+def _t2(arrivals):
+    return T.progress(arrivals.withColumnRenamed("kind", "status"))
+
+
+@query("t3_incremental_todo", "arrivals", sql="SELECT DISTINCT plot, kind FROM arrivals")
+def _t3(arrivals):
+    return arrivals.dropDuplicates(["plot", "kind"]).select("plot", "kind")
+
+
+@query("t4_arrivals_per_window", "arrivals", sql="SELECT to_timestamp(floor(epoch(arrived_at) / 15) * 15) AT TIME ZONE 'UTC' AS window_start, count(*) AS n FROM arrivals GROUP BY 1")
+def _t4(arrivals):
+    return T.arrivals_per_window(arrivals, "arrived_at").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
