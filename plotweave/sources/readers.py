@@ -32,15 +32,16 @@ def read_plots(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns(ends)
 
 
-_COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,segmentation:array<array<double>>,area:double>>, categories array<struct<id:long,name:string>>, _corrupt_record string"
+_COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,segmentation:array<array<double>>,area:double>>, categories array<struct<id:long,name:string>>"
 
 
 def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """images, annotations and categories of COCO files, each with its file name; malformed files are listed under `corrupt`."""
-    docs = spark.read.schema(_COCO).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    docs = _named(docs)
-    parts = {k: docs.select("file_name", F.posexplode(k).alias("pos", "x")).select(F.col("file_name").alias("source"), "pos", "x.*") for k in ("images", "annotations", "categories")}
-    return parts | {"corrupt": docs.where("_corrupt_record is not null").select(F.col("file_name").alias("source"), "_corrupt_record")}
+    """images, annotations and categories of COCO files, each with its file name; files that don't parse are listed under `corrupt`."""
+    text = _named(spark.read.text(path, wholetext=True))
+    docs = text.select("file_name", F.from_json("value", _COCO).alias("d"))
+    parts = {k: docs.select(F.col("file_name").alias("source"), F.posexplode(f"d.{k}").alias("pos", "x")).select("source", "pos", "x.*") for k in ("images", "annotations", "categories")}
+    corrupt = text.where(F.try_parse_json("value").isNull()).select(F.col("file_name").alias("source"))
+    return parts | {"corrupt": corrupt}
 
 
 def parse_yolo(lines: DataFrame, value: str = "value") -> DataFrame:
