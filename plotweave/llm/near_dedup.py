@@ -16,8 +16,12 @@ with most others; confirmed links join them, and sets that are connected
 already need no comparison. After the last level what is left of large nodes is
 compared exhaustively too; nothing is capped.
 
-Candidate pairs pass a 128-bit sketch in the join condition, and survivors are
-confirmed on the full sets of the whole texts.
+Candidate pairs pass two sketches in the join condition, and survivors are
+confirmed on the full sets of the whole texts. One has two bits of each token.
+The other has a bit's parity for each element, so that the bits in which two
+sketches differ are never more than the elements in which the sets differ: for
+sets of up to some hundred shingles it lets through few pairs that are not
+links, and every pair that is.
 
 Defined results: texts without words link with nothing; equal sets are one
 vertex; rows repeated under one id, null included, are one vertex too; an empty
@@ -42,7 +46,11 @@ TOKENS = 64
 TREES = 4
 DEPTH = 5
 #: Sets in a node that are compared exhaustively.
-SMALL = 64
+SMALL = 512
+#: The shapes of a tree's first level, which are the picks of its root.
+FIRST = [(t, s) for t in range(TREES) for s in (2, 3)]
+#: Bits of the parity sketch.
+ODD_BITS = 512
 #: Stands for a null id: last in order, so that it never names a component with other members.
 NO_ID = (1 << 63) - 1
 
@@ -60,6 +68,12 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return mixed(best)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """The parity sketch of one set as 64-bit words."""
+    at = ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (ODD_BITS - 1)
+    return np.packbits((np.bincount(at, minlength=ODD_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _features(width: int):
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -74,8 +88,10 @@ def _features(width: int):
                 key2 = np.array([mixed(s ^ _XOR[0]).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 flat = pa.array((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel())
                 token_lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TOKENS), flat)
+                odd = pa.array(np.concatenate([parities(s) for s in sets]))
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (ODD_BITS // 64)), odd)
                 longs = [pa.array(x.view(np.int64)) for x in (key1, key2, low, high)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *longs, token_lists], names=["id", "n", "key1", "key2", "low", "high", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *longs, token_lists, odd], names=["id", "n", "key1", "key2", "low", "high", "tokens", "odd"])
 
     return run
 
@@ -117,12 +133,19 @@ def _token_at(tree: int, shape: int) -> int:
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the pair; a pair at the threshold fails by chance about once in a million."""
+    """Sizes and sketches allow the pair; a pair at the threshold fails by chance in about one of 50,000, a more similar one far less often."""
     p = (1 - percent / 100) * 0.75
-    most = ceil(TOKENS * p + 5.5 * sqrt(TOKENS * p * (1 - p)))
+    most = ceil(TOKENS * p + 4.2 * sqrt(TOKENS * p * (1 - p)))
     differ = F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low")).bitwiseOR(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high"))))
     small, large = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (differ <= most) & (small * 100 >= large * percent)
+    odd = F.bit_count(F.col(f"{a}.odd")[0].bitwiseXOR(F.col(f"{b}.odd")[0]))
+    for i in range(1, ODD_BITS // 64):
+        odd = odd + F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i]))
+    # so many elements may differ; beyond some hundred, parities meet, and five deviations above their mean is the limit
+    apart = F.floor((small + large) * (100 - percent) / (100 + percent) + 1e-9)
+    mean = ODD_BITS / 2 * (1 - F.exp(-2 * apart / ODD_BITS))
+    limit = F.least(apart.cast("double"), mean + 5 * F.sqrt(mean * (1 - mean / ODD_BITS)))
+    return (small * 100 >= large * percent) & (differ <= most) & (odd <= limit)
 
 
 def _with_part(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -136,44 +159,57 @@ def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of large nodes: b is the set with most company in all its nodes."""
     fame = nodes.groupBy("id").agg(F.sum("size").alias("fame"))
     large = nodes.where(F.col("size") > SMALL).join(fame, "id")
-    centre = large.groupBy("key").agg(F.min_by(F.struct("id", "n", "low", "high"), F.struct(-F.col("fame"), "id")).alias("c")).select("key", "c.*")
+    centre = large.groupBy("key").agg(F.min_by(F.struct("id", "n", "low", "high", "odd"), F.struct(-F.col("fame"), "id")).alias("c")).select("key", "c.*")
     return large.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _alike("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def _node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+def _node_pairs(nodes: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Pairs of sets of different parts that meet in a node; a pair that meets in several small first-level nodes is made in the first."""
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part"))
-    return nodes.alias("a").join(nodes.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & _alike("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    met = F.lit(False)
+    for i in range(len(FIRST)):
+        meets = (F.col("a.tokens")[i] == F.col("b.tokens")[i]) & (F.shiftright("a.big", i).bitwiseAND(1) == 0)
+        met = met | (meets & (F.col("a.k") > i) if first else meets)
+    return nodes.alias("a").join(nodes.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & _alike("a", "b", percent) & ~met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all similar sets; `sets` has one row per distinct set."""
-    brief = ["id", "n", "low", "high"]
-    picks = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(s).alias("shape"), F.xxhash64(F.lit(t), F.lit(s), F.col("tokens")[_token_at(t, s)]).alias("key")) for t in range(TREES) for s in (2, 3)])
-    nodes = sets.select(*brief, F.explode(picks).alias("node")).select(*brief, "node.*")
+    brief = ["id", "n", "low", "high", "odd"]
+    own = F.array(*[F.col("tokens")[_token_at(t, s)] for t, s in FIRST])
+    picks = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(s).alias("shape"), F.lit(k).alias("k"), F.xxhash64(F.lit(t), F.lit(s), F.col("tokens")[_token_at(t, s)]).alias("key")) for k, (t, s) in enumerate(FIRST)])
+    nodes = sets.select(*brief, own.alias("own"), F.explode(picks).alias("node")).select(*brief, F.col("own").alias("tokens"), "node.*")
     sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     nodes = staged(nodes.join(sizes, "key"), "near-nodes")
 
     links, parts = None, None
-    if nodes.where(F.col("size") > SMALL).limit(1).count():
+    crowded = bool(nodes.where(F.col("size") > SMALL).limit(1).count())
+    if crowded:
         links = confirmed(staged(_star_pairs(nodes, percent), "near-stars"), docs, width, percent)
         parts = components(links)
+        # which first-level nodes of a set are large; most sets have none
+        big = nodes.where(F.col("size") > SMALL).groupBy("id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("big"))
+        nodes = nodes.join(big, "id", "left").withColumn("big", F.coalesce("big", F.lit(0)))
+    else:
+        nodes = nodes.withColumn("big", F.lit(0))
 
+    carried = [*brief, "part", "tokens", "big", "tree"]
     found = []
     nodes = _with_part(nodes.drop("size"), parts)
     for depth in range(1, DEPTH + 1):
         open_nodes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key", "size")
         nodes = staged(nodes.join(open_nodes, "key"), "near-level")
         last = depth == DEPTH
-        found.append(_node_pairs(nodes if last else nodes.where(F.col("size") <= SMALL), percent))
+        found.append(_node_pairs(nodes if last else nodes.where(F.col("size") <= SMALL), percent, depth == 1))
         large = nodes.where(F.col("size") > SMALL)
-        if last or not large.limit(1).count():
+        if last or not crowded or not large.limit(1).count():
             break
         # a child's position depends on tree and shape alone, so it is looked up in a constant
         table = F.array(*[F.lit(_token_at(t, s)) for t in range(TREES) for s in range(2 << depth, 4 << depth)])
         child = F.explode(F.array(F.col("shape") * 2, F.col("shape") * 2 + 1))
-        grown = large.select(*brief, "part", "tree", F.col("key").alias("parent"), child.alias("shape")).join(sets.select("id", "tokens"), "id")
+        grown = large.select(*carried, F.col("key").alias("parent"), child.alias("shape")).join(sets.select("id", F.col("tokens").alias("all")), "id")
         place = F.element_at(table, (F.col("tree") * (2 << depth) + F.col("shape") - (2 << depth) + 1).cast("int"))
-        nodes = grown.select(*brief, "part", "tree", "shape", F.xxhash64("parent", "shape", F.element_at("tokens", (place + 1).cast("int"))).alias("key"))
+        nodes = grown.select(*carried, "shape", F.lit(0).alias("k"), F.xxhash64("parent", "shape", F.element_at("all", (place + 1).cast("int"))).alias("key"))
 
     pairs = found[0]
     for more in found[1:]:
@@ -191,9 +227,9 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     """
     bounded_batches(docs.sparkSession)
     own = columns(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
-    rows = staged(own.mapInArrow(_features(width), "id long, n long, key1 long, key2 long, low long, high long, tokens array<int>"), "near-features")
+    rows = staged(own.mapInArrow(_features(width), "id long, n long, key1 long, key2 long, low long, high long, tokens array<int>, odd array<long>"), "near-features")
     same = ["n", "key1", "key2"]
-    sets = rows.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min_by(F.struct("low", "high", "tokens"), "id").alias("s")).select("id", *same, "s.*")
+    sets = rows.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min_by(F.struct("low", "high", "tokens", "odd"), "id").alias("s")).select("id", *same, "s.*")
     sets = staged(sets, "near-sets")
     parts = components(similar_links(sets, own, width, percent))
     named = sets.join(parts.select(F.col("v").alias("id"), "component"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
