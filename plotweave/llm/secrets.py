@@ -2,10 +2,11 @@
 
 Two first-order models give the probability of each next character: one is
 trained on the values that the patterns found (random strings), the other on
-tokens of texts without a match (ordinary identifiers). A token whose mean
+tokens of texts without a match (ordinary identifiers) that are too short to be
+judged, so that what is judged was not learned as ordinary. A pair of characters
+that is rare in training falls back on how often its second one occurs. A token whose mean
 log-likelihood ratio per character reaches `MIN_RATIO` is reported, unless a
-pattern covers part of it. Both models are smoothed towards the uniform
-distribution, so without a labelled secret the random model is uniform.
+pattern covers part of it. Without a labelled secret the random model is uniform.
 
 Everything is built from SQL functions; a model is one array of numbers by
 character pair. Training reads a bounded sample (`SAMPLE_TOKENS` values,
@@ -39,6 +40,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]+"
 #: Least length of a token that the models judge, and the mean log-likelihood ratio that makes it a secret.
 MIN_TOKEN = 20
 MIN_RATIO = 0.6
+#: Weight of a character's own frequency in the frequency of a pair.
+BACKOFF = 5.0
 SAMPLE_TOKENS = 20_000
 SAMPLE_TEXTS = 4_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -89,15 +92,18 @@ def train(spans: DataFrame) -> list[float]:
     """
     values = spans.where(F.size("base") > 0).select(F.explode("base.value").alias("token")).where(F.length("token") >= 12).distinct()
     secret = values.orderBy(F.xxhash64("token"), "token").limit(SAMPLE_TOKENS).withColumn("label", F.lit(1))
-    plain = spans.where(F.size("base") == 0).select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).where(F.length("token") >= 6)
+    plain = spans.where(F.size("base") == 0).select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).where(F.length("token").between(6, MIN_TOKEN - 1))
     plain = plain.distinct().orderBy(F.xxhash64("token"), "token").limit(5 * SAMPLE_TOKENS).withColumn("label", F.lit(0))
     counts = {}
     for label, a, b, n in _pairs(secret.unionByName(plain)).groupBy("label", "a", "b").count().collect():
         counts[label, a, b] = n
     total = {(t, a): sum(counts.get((t, a, b), 0) for b in ALPHABET) for t in (0, 1) for a in ALPHABET}
+    arrive = {(t, b): sum(counts.get((t, a, b), 0) for a in ALPHABET) for t in (0, 1) for b in ALPHABET}
+    size = {t: sum(total[t, a] for a in ALPHABET) for t in (0, 1)}
 
     def log(t: int, a: str, b: str) -> float:
-        return math.log((counts.get((t, a, b), 0) + 0.5) / (total[t, a] + 0.5 * len(ALPHABET)))
+        alone = (arrive[t, b] + 0.5) / (size[t] + 0.5 * len(ALPHABET))
+        return math.log((counts.get((t, a, b), 0) + BACKOFF * alone) / (total[t, a] + BACKOFF))
 
     return [log(1, a, b) - log(0, a, b) for a in ALPHABET for b in ALPHABET]
 
