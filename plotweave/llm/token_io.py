@@ -66,6 +66,22 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
+class _Memory(dict):
+    """Ids (bytes) of segments and pieces; what is missing comes from the generation before, or is encoded."""
+
+    def __init__(self, encode):
+        self.encode, self.before = encode, {}
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = self.before.get(segment)
+        self[segment] = ids = self.encode(segment) if ids is None else ids
+        return ids
+
+    def age(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
+
 class SegmentEncoder:
     """Encodes texts with a byte-level tokenizers file, and remembers the ids of segments that keep occurring."""
 
@@ -74,50 +90,43 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Memory(self._learned)
+        self.by_piece = True
         self.by_piece = all(self._encoded(t) == self._joined(t) for t in ("It's a\n\n test,  isn't it?", "Été 2024: x\t y"))
+        self.known.clear()
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32).tobytes()
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _joined(self, text: str) -> bytes:
         """Ids from the model, piece by piece, which spares what the encoding of a text adds to that."""
-        parts = []
         # a blank and letters, perhaps with a sign after them, need no pattern
         if text[0] == " " and text[1:].isalpha():
-            pieces = (text,)
-        elif text[0] == " " and text[-1] in ",.;:!?" and text[1:-1].isalpha():
+            return self._piece(text)
+        if text[0] == " " and text[-1] in ",.;:!?" and text[1:-1].isalpha():
             pieces = (text[:-1], text[-1])
         else:
             pieces = _PIECES(text)
-        for piece in pieces:
-            ids = self.young.get(piece)
-            if ids is None:
-                letters = piece.encode().decode("latin-1").translate(_LETTERS)
-                ids = self.young[piece] = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            parts.append(ids)
-        return b"".join(parts)
-
-    def _learn(self, fresh: set[str]) -> None:
-        for s in fresh:
-            # a special token's text is not for the model
-            plain = self.by_piece and _PLAIN(s) and "<|" not in s
-            self.young[s] = self._joined(s) if plain else self._encoded(s)
+            if len(pieces) == 1:
+                return self._piece(text)
+        return b"".join([self.known[p] if len(p) < len(text) else self._piece(p) for p in pieces])
+
+    def _learned(self, segment: str) -> bytes:
+        # a special token's text is not for the model
+        plain = self.by_piece and _PLAIN(segment) and "<|" not in segment
+        return self._joined(segment) if plain else self._encoded(segment)
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text with `end_id` after them."""
-        end = np.int32(end_id).tobytes()
-        if len(self.young) > REMEMBER:
-            self.old, self.young = self.young, {}
-        cut = [[t] if not t.isascii() and _OTHER_SPACE(t) else _SEGMENTS(t) for t in texts]
-        wanted = set().union(*cut).difference(self.young)
-        again = wanted & self.old.keys()
-        for s in again:
-            self.young[s] = self.old[s]
-        self._learn(wanted - again)
-        known = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(known, segments)) + end, dtype=np.int32) for segments in cut]
+        end, ids_of = np.int32(end_id).tobytes(), self.known.__getitem__
+        if len(self.known) > REMEMBER:
+            self.known.age()
+        cut = ([t] if not t.isascii() and _OTHER_SPACE(t) else _SEGMENTS(t) for t in texts)
+        return [np.frombuffer(b"".join(map(ids_of, segments)) + end, dtype=np.int32) for segments in cut]
 
 
 #: Encoders of this worker by file: a worker runs many tasks, and what it remembers serves them all.
