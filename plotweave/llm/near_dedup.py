@@ -38,15 +38,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.operators.connect import components
+
 from .common import bounded_batches, columns, staged, text_of, with_member_flag, without_ids
-from .links import components
 from .wordhash import mixed, shingle_sets, slices
 
 TOKENS = 64
 TREES = 4
 DEPTH = 5
-#: Sets in a node that are compared exhaustively.
-SMALL = 512
+#: Sets in a node that are compared exhaustively: some two million sketch tests.
+SMALL = 2048
+#: Sets in a node from which one is compared with all others first.
+STAR = 256
 #: The shapes of a tree's first level, which are the picks of its root.
 FIRST = [(t, s) for t in range(TREES) for s in (2, 3)]
 #: Bits of the parity sketch.
@@ -148,17 +151,10 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (differ <= most) & (odd <= limit)
 
 
-def _with_part(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Add `part`, the component as far as known."""
-    if parts is None:
-        return nodes.withColumn("part", F.col("id"))
-    return nodes.join(parts.select(F.col("v").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
-
-
 def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of large nodes: b is the set with most company in all its nodes."""
     fame = nodes.groupBy("id").agg(F.sum("size").alias("fame"))
-    large = nodes.where(F.col("size") > SMALL).join(fame, "id")
+    large = nodes.where(F.col("size") > STAR).join(fame, "id")
     centre = large.groupBy("key").agg(F.min_by(F.struct("id", "n", "low", "high", "odd"), F.struct(-F.col("fame"), "id")).alias("c")).select("key", "c.*")
     return large.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _alike("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
@@ -182,20 +178,21 @@ def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) ->
     sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     nodes = staged(nodes.join(sizes, "key"), "near-nodes")
 
-    links, parts = None, None
-    crowded = bool(nodes.where(F.col("size") > SMALL).limit(1).count())
+    links = None
+    crowded = bool(nodes.where(F.col("size") > STAR).limit(1).count())
     if crowded:
         links = confirmed(staged(_star_pairs(nodes, percent), "near-stars"), docs, width, percent)
         parts = components(links)
-        # which first-level nodes of a set are large; most sets have none
+        # which first-level nodes of a set are large, and its component as far as known; most sets have neither
         big = nodes.where(F.col("size") > SMALL).groupBy("id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("big"))
-        nodes = nodes.join(big, "id", "left").withColumn("big", F.coalesce("big", F.lit(0)))
+        marks = parts.select(F.col("v").alias("id"), F.col("component").alias("part")).join(big, "id", "full")
+        nodes = nodes.join(marks, "id", "left").withColumns({"big": F.coalesce("big", F.lit(0)), "part": F.coalesce("part", "id")})
     else:
-        nodes = nodes.withColumn("big", F.lit(0))
+        nodes = nodes.withColumns({"big": F.lit(0), "part": F.col("id")})
 
     carried = [*brief, "part", "tokens", "big", "tree"]
     found = []
-    nodes = _with_part(nodes.drop("size"), parts)
+    nodes = nodes.drop("size")
     for depth in range(1, DEPTH + 1):
         open_nodes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key", "size")
         nodes = staged(nodes.join(open_nodes, "key"), "near-level")

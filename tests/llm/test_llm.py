@@ -111,6 +111,7 @@ def test_near_dedup(docs, nothing):
 def test_near_dedup_of_one_large_group(spark, monkeypatch):
     """A crowded node: near copies of one text beside a second family of texts, with the exhaustive limit lowered."""
     monkeypatch.setattr(near_dedup, "SMALL", 16)
+    monkeypatch.setattr(near_dedup, "STAR", 8)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -212,6 +213,7 @@ def test_secrets(spark, docs, nothing):
     rand = lambda n, abc=b64: "".join(rng.choice(abc) for _ in range(n))
     texts = [f"user says {w} {k} = \"{rand(24)}\" and {w}" for w in WORDS for k in ("password", "API-KEY", "Api_Key", "token")]
     texts += [f"plain {rand(30)} é", "secret=token:abcdef1", "key AKIA" + rand(16, "ABCDEF0123456789") + "x", "AKIA123", "x" + rand(40, "0123456789abcdef") + "g", "thisisaverylongordinaryidentifiername stationtionthreouandentities", "", None]
+    texts += [" ".join(rng.choice(WORDS) + rng.choice(WORDS) + rng.choice(["", "_id", "Name"]) for _ in range(40)) for _ in range(60)]
     rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
     spans = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
     patterns = [(re.compile(p), g, n) for p, g, n in secrets.KINDS.values()]
