@@ -1,13 +1,12 @@
-"""Helpers that several corpus operators share: text measures, staged tables and a bounded membership filter."""
+"""Helpers that several corpus operators share: text measures, batch limits and a bounded membership filter."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotweave.plans.staging import shared_dir, staged  # noqa: F401  for the operators
+
 #: White space in all contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,18 +29,6 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(WORD)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; local sessions may go without."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "plotweave.scratch" not in _SCRATCH:
-        _SCRATCH["plotweave.scratch"] = tempfile.mkdtemp(prefix="plotweave-")
-    return _SCRATCH["plotweave.scratch"]
-
-
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Limit the bytes of an Arrow batch that goes to a Python worker, unless the session has a limit of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -49,17 +36,6 @@ def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
         spark.conf.set(key, size)
 
 
-_SCRATCH: dict[str, str] = {}
-
-
-def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plotweave/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _slot(key: Column, bits: int) -> tuple[Column, Column]:
     at = F.pmod(key, F.lit(bits))
     return F.floor(at / _CHUNK).cast("int"), F.pmod(at, F.lit(_CHUNK))
