@@ -21,7 +21,7 @@ confirmed on the full sets of the whole texts. One has two bits of each token.
 The other has a bit's parity for each element, so that the bits in which two
 sketches differ are never more than the elements in which the sets differ: for
 sets of up to some hundred shingles it lets through few pairs that are not
-links, and every pair that is.
+links, and every pair that is, so there it decides alone; larger sets pass both.
 
 Defined results: texts without words link with nothing; equal sets are one
 vertex; rows repeated under one id, null included, are one vertex too; an empty
@@ -136,9 +136,9 @@ def _token_at(tree: int, shape: int) -> int:
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the pair; a pair at the threshold fails by chance in about one of 50,000, a more similar one far less often."""
+    """Sizes and sketches allow the pair; where parities decide alone no link fails, else one at the threshold does by chance some twice in ten million."""
     p = (1 - percent / 100) * 0.75
-    most = ceil(TOKENS * p + 4.2 * sqrt(TOKENS * p * (1 - p)))
+    most = ceil(TOKENS * p + 5.5 * sqrt(TOKENS * p * (1 - p)))
     differ = F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low")).bitwiseOR(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high"))))
     small, large = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
     odd = F.bit_count(F.col(f"{a}.odd")[0].bitwiseXOR(F.col(f"{b}.odd")[0]))
@@ -147,8 +147,8 @@ def _alike(a: str, b: str, percent: int) -> Column:
     # so many elements may differ; beyond some hundred, parities meet, and five deviations above their mean is the limit
     apart = F.floor((small + large) * (100 - percent) / (100 + percent) + 1e-9)
     mean = ODD_BITS / 2 * (1 - F.exp(-2 * apart / ODD_BITS))
-    limit = F.least(apart.cast("double"), mean + 5 * F.sqrt(mean * (1 - mean / ODD_BITS)))
-    return (small * 100 >= large * percent) & (differ <= most) & (odd <= limit)
+    chance = mean + 5 * F.sqrt(mean * (1 - mean / ODD_BITS))
+    return (small * 100 >= large * percent) & (odd <= F.least(apart.cast("double"), chance)) & ((apart <= chance) | (differ <= most))
 
 
 def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:

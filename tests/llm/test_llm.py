@@ -108,6 +108,27 @@ def test_near_dedup(docs, nothing):
     assert near_dedup.near_groups(nothing).count() == 0
 
 
+def test_near_dedup_of_unlucky_links(spark):
+    """Pairs at the threshold whose tokens differ in more places than most."""
+    rng = random.Random(3232)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(130)]
+    near = ["x" if i in (20, 60) else w for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(near)]
+    a, b = shingle_sets(texts, 5)
+    both = len(np.intersect1d(a, b))
+    assert 100 * both >= 85 * (len(a) + len(b) - both)
+    assert np.count_nonzero((near_dedup.minwise(a) ^ near_dedup.minwise(b)) & np.uint64(3)) == 19
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert [r.component_id for r in near_dedup.near_groups(df, 85).collect()] == [0, 0]
+    # (differing token places, differing parities, elements), at 85 percent: short sets by parities alone, long ones by both
+    cases = [(19, 0, 5000, True), (22, 0, 5000, True), (40, 0, 5000, False), (40, 10, 100, True), (0, 17, 100, False)]
+    odd = F.array(*[F.lit(0).cast("long")] * 8)
+    pairs = spark.createDataFrame([(*c, (1 << c[0]) - 1, (1 << c[1]) - 1) for c in cases], "t int, o int, n long, want boolean, tb long, ob long")
+    side = lambda t, o: F.struct("n", t.alias("low"), F.lit(0).cast("long").alias("high"), F.array(o, *[F.lit(0).cast("long")] * 7).alias("odd"))
+    pairs = pairs.select("want", side(F.col("tb"), F.col("ob")).alias("a"), F.struct("n", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), odd.alias("odd")).alias("b"))
+    assert pairs.where(near_dedup._alike("a", "b", 85) != F.col("want")).count() == 0
+
+
 def test_near_dedup_of_one_large_group(spark, monkeypatch):
     """A crowded node: near copies of one text beside a second family of texts, with the exhaustive limit lowered."""
     monkeypatch.setattr(near_dedup, "SMALL", 16)
