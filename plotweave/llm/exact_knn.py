@@ -1,20 +1,20 @@
 """Exact top-k inner products by a Voronoi join.
 
 Every vector belongs to its nearest pivot. A group's summary holds its size, its
-radius and the distances of its members nearest to the pivot. From summaries
+radius and the ids and distances of its members nearest to the pivot. From summaries
 alone a query gets a score that its k-th answer surely reaches (the members
-known to lie near a pivot score at least q.p - |q| d) and, for each group, a
+of other ids known to lie near a pivot score at least q.p - |q| d) and, for each group, a
 score that no member exceeds (q.p + |q| r). Only groups that may exceed the
 first are searched. Groups are cut into blocks of rows, queries into blocks
 likewise, and each needed pair of blocks is solved by one matrix product.
 
 Memory of a task: one block of data and one of queries, whatever a group's
 size. The driver holds pivots and summaries, at most MAX_PIVOTS x (dimension +
-k) numbers.
+k) numbers twice over.
 
 Defined results: rows with a null id or vector, or with a null component, take
 no part; shorter vectors count as padded with zeros; rows of a query's own id
-are not its candidates; equal rows count once; fewer candidates than k are all
+are not its candidates; rows with equal id and vector count once; fewer candidates than k are all
 returned; an empty table gives an empty result.
 """
 
@@ -59,22 +59,26 @@ def _nearest(pivots: np.ndarray):
 
 
 def _near_members(k: int):
-    """Partial summaries: the k + 1 smallest distances of each group in what one task has read."""
+    """Partial summaries: the k + 1 nearest ids of each group, with their distances, in what one task has read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[float]] = {}
+        held: dict[int, dict[int, float]] = {}
         for frame in frames:
-            for g, far in frame.groupby("grp").far:
-                held[g] = heapq.nsmallest(k + 1, [*held.get(g, []), *far])
-        yield pd.DataFrame({"grp": list(held), "near": list(held.values())}).astype({"grp": "int32"})
+            for (g, i), far in frame.groupby(["grp", "id"]).far.min().items():
+                own = held.setdefault(g, {})
+                own[i] = min(far, own.get(i, far))
+            held = {g: dict(heapq.nsmallest(k + 1, own.items(), key=lambda x: x[1])) for g, own in held.items()}
+        rows = [(g, i, far) for g, own in held.items() for i, far in own.items()]
+        yield pd.DataFrame(rows, columns=["grp", "id", "far"]).astype({"grp": "int32", "id": "int64", "far": "float64"})
 
     return run
 
 
-def _targets(pivots: np.ndarray, radius: np.ndarray, near: list[list[float]], blocks: np.ndarray, k: int):
+def _targets(pivots: np.ndarray, radius: np.ndarray, near: list[list[tuple[float, int]]], blocks: np.ndarray, k: int):
     """For each query the blocks that it must search, and the score that its answers reach."""
     owner = np.repeat(np.arange(len(near)), [len(x) for x in near])
-    known = np.concatenate([np.asarray(x, dtype=float) for x in near]) if len(owner) else np.zeros(0)
+    known = np.array([far for x in near for far, _ in x], dtype=float)
+    known_ids = np.array([i for x in near for _, i in x], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +89,10 @@ def _targets(pivots: np.ndarray, radius: np.ndarray, near: list[list[float]], bl
                 at_pivot, norm = part @ pivots.T, np.sqrt((part**2).sum(1))
                 slack = 1e-9 * (np.abs(at_pivot).max(initial=0) + norm.max(initial=0) * radius.max(initial=0)) + 1e-6
                 floor = np.full(len(part), -np.inf)
-                if len(known) > k:  # one of them may be the query itself
-                    sure = at_pivot[:, owner] - norm[:, None] * known
-                    floor = np.partition(sure, len(known) - k - 1, axis=1)[:, len(known) - k - 1] - slack
+                if len(known) >= k:  # rows of the query's own id don't count
+                    own = known_ids[None, :] == ids.slice(a, len(part)).to_numpy()[:, None]
+                    sure = np.where(own, -np.inf, at_pivot[:, owner] - norm[:, None] * known)
+                    floor = np.partition(sure, len(known) - k, axis=1)[:, len(known) - k] - slack
                 reach = at_pivot + norm[:, None] * radius + slack >= floor[:, None]
                 q, g = np.nonzero(reach & (blocks > 0))
                 times = blocks[g]
@@ -139,26 +144,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     bounded_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     whole = columns(vectors, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("vec"), is_query.alias("asks"))
-    whole = staged(whole.where("id is not null and vec is not null").where(F.forall("vec", lambda x: x.isNotNull())), "knn-rows")
+    whole = whole.where("id is not null and vec is not null").where(F.forall("vec", lambda x: x.isNotNull()))
+    # equal rows are one before any top k is cut, and so are vectors that trailing zeros alone part: padded, they are equal
+    longest = F.coalesce(F.array_max(F.transform("vec", lambda x, i: F.when(x != 0, i + 1))), F.lit(0))
+    whole = staged(whole.withColumn("vec", F.slice("vec", F.lit(1), longest)).groupBy("id", "vec").agg(F.max(F.coalesce("asks", F.lit(False))).alias("asks")), "knn-rows")
     n, width = whole.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     pivots = min(MAX_PIVOTS, max(1, n // PER_PIVOT))
     sample = whole.select(F.xxhash64("vec").alias("h"), "vec").distinct().orderBy("h").limit(pivots).toPandas()
     centres = _matrix(list(sample.vec), max(width, 1)) if len(sample) else np.zeros((1, max(width, 1)))
     placed = staged(whole.select("id", "vec").mapInArrow(_nearest(centres), "id long, vec array<long>, grp int, far double"), "knn-placed")
 
-    parts = placed.select("grp", "far").mapInPandas(_near_members(k), "grp int, near array<double>")
-    near = parts.groupBy("grp").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    parts = placed.select("grp", "id", "far").mapInPandas(_near_members(k), "grp int, id long, far double").groupBy("grp", "id").agg(F.min("far").alias("far"))
+    near = parts.groupBy("grp").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("near"))
     summary = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).join(near, "grp").toPandas().set_index("grp")
     groups = range(len(centres))
     radius = np.array([summary.radius.get(g, 0.0) for g in groups])
     blocks = np.array([-(-int(summary.n.get(g, 0)) // block) for g in groups])
-    members = [list(summary.near.get(g, [])) for g in groups]
+    members = [[(x["far"], x["id"]) for x in summary.near.get(g, [])] for g in groups]
 
     # the blocks of a group, by a hash of the row
     cut = F.array(*[F.lit(int(max(1, b))) for b in blocks])
     nth = F.pmod(F.xxhash64("id", "vec"), F.element_at(cut, F.col("grp") + 1)).cast("int")
     data = placed.select("id", "vec", "grp", nth.alias("block"))
-    asks = whole.where("asks").select("id", "vec").distinct()
+    asks = whole.where("asks").select("id", "vec")
     batches = max(1, -(-asks.count() // block))
     asks = asks.mapInArrow(_targets(centres, radius, members, blocks, k), "id long, vec array<long>, floor double, grp int, block int").withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     asks = staged(asks, "knn-asks")
@@ -166,6 +174,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     key = ["grp", "block", "batch"]
     # fresh aliases: both sides of the cogroup come from the same queries
     data = data.join(needed, ["grp", "block"]).select("id", "vec", *[F.col(c).alias(c) for c in key])
-    found = asks.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(_best(max(width, 1), k), "query_id long, vec_id long, score long").distinct()
+    found = asks.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(_best(max(width, 1), k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

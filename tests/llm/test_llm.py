@@ -388,6 +388,25 @@ def test_exact_knn(spark, monkeypatch, block):
     assert exact_knn.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_knn_of_repeated_rows_and_hot_ids(spark, monkeypatch, block):
+    """A best vector and a query id that are repeated more than k times."""
+    monkeypatch.setattr(exact_knn, "PER_PIVOT", 40)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(200)]
+    rows += [(500, [30, 30, 30, 30])] * 40 + [(500, [30, 30, 30, 30, 0])]
+    rows += [(0, [20, 20, 20, 20 + i % 30]) for i in range(60)] + [(501, [3, i, 10 - i, 7]) for i in range(30)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), [int(x) for x in v]) for i, v in rows], "vec_id long, vec array<long>").repartition(3)
+    have = {(i, tuple(v[:4])) for i, v in rows}
+    got = {}
+    for r in exact_knn.top_k(df, F.pmod("vec_id", F.lit(20)) == 0, 7, block=block).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in [*range(0, 200, 20), 500]:
+        best = sorted((-int(np.dot(a, b)), i) for j, a in have if j == q for i, b in have if i != q)[:7]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_knn_beyond_doubles(spark):
     big = 1 << 28
     df = spark.createDataFrame([(0, [big, 1]), (1, [big, 0]), (2, [big, 1]), (3, [big, 2])], "vec_id long, vec array<long>")
