@@ -96,8 +96,12 @@ GENOTYPE_RANGES = {
 
 
 def virtual_genotypes(spark, n: int, seed: int = 42) -> DataFrame:
-    """`n` genotypes with a range (min, max) per trait, the maximum drawn above the minimum."""
-    out = spark.range(n).withColumnRenamed("id", "genotype_id")
+    """Genotypes 0 to `n` - 1 with their traits."""
+    return with_traits(spark.range(n).withColumnRenamed("id", "genotype_id"), seed)
+
+
+def with_traits(out: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows with a range (min, max) per trait of their genotype_id, the maximum drawn above the minimum."""
     for trait, (lo, hi, gap, top) in GENOTYPE_RANGES.items():
         least = lo + uniform(seed, F.col("genotype_id"), f"{trait}-min") * (hi - lo)
         least = F.floor(least).cast("double") if trait == "plant_count" else least

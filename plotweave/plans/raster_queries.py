@@ -217,12 +217,12 @@ def _x3(scenes):
 
 @query("x4_virtual_genotypes", "scenes", sql="SELECT scene_id AS genotype_id, TRUE AS ordered FROM scenes")
 def _x4(scenes):
-    made = X.virtual_genotypes(scenes.sparkSession, 200_000)
+    made = X.with_traits(scenes.select(F.col("scene_id").alias("genotype_id")))
     fine = [F.col(f"{t}_min") < F.col(f"{t}_max") for t in X.GENOTYPE_RANGES if t != "plant_count"] + [F.col("plant_count_min") < F.col("plant_count_max")]
     ok = fine[0]
     for f in fine[1:]:
         ok = ok & f
-    return scenes.select(F.col("scene_id").alias("genotype_id")).join(made, "genotype_id").select("genotype_id", ok.alias("ordered"))
+    return made.select("genotype_id", ok.alias("ordered"))
 
 
 def _matrix(scenes: DataFrame) -> DataFrame:

@@ -161,6 +161,14 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert sorted(got) == sorted(again)
 
 
+def test_genotypes_of_any_scene_id(spark):
+    from plotweave.plans import raster_queries
+
+    ids = [0, 7, 199_999, 200_000, 5_000_000_000, -3]
+    got = raster_queries._x4(spark.createDataFrame([(i,) for i in ids], "scene_id long")).collect()
+    assert sorted(r.genotype_id for r in got) == sorted(ids) and all(r.ordered for r in got)
+
+
 def test_old_dialect_of_distributions(spark):
     docs = frame(spark, [(1, '{"plant_age": {"sampling": "uniform", "min": 10, "max": 100}, "h": {"sampling": "normal", "mean": 1.5, "stddev": 0.5}}')], "id int, t string").select("id", F.parse_json("t").alias("doc"))
     got = {r.path: r for r in scenario.leaf_distributions(scenario.flatten_params(docs, "id")).collect()}
