@@ -4,13 +4,15 @@ Entities (e-mail and IP addresses, phone, card and account numbers, titled
 names) are found by patterns. Equal entities, however written, have one
 normal form, and one normal form has one surrogate in all documents. A surrogate
 has the type, script and format of what it replaces: letters become letters of
-their script and case, digits digits, punctuation stays; card numbers that pass
+their script and case (Latin ones where a script has no alphabet here), digits
+digits, punctuation stays; card numbers that pass
 the Luhn test get surrogates that pass it; names keep the title, and a title's
 gender chooses the given name.
 
 Surrogates are drawn from a keyed hash. A draw that equals another entity's
 draw, or any entity that really occurs, is drawn again under a higher attempt
-until none collides, so distinct entities stay distinct.
+until none collides, so distinct entities stay distinct. Late attempts lengthen
+e-mail addresses and names.
 
 Only texts with an entity are shuffled, to meet the surrogates of their own
 entities. Everything is built from SQL functions.
@@ -59,9 +61,26 @@ _LETTERS = {
     r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ",
     r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω",
     r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    r"\p{IsHan}": "天地山水火木金土日月明春秋夏冬花石林江海云雨风雪",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてと",
+    r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテト",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하고노도로모보소오조초",
+    r"[\p{IsArabic}&&\p{L}]": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"[\p{IsHebrew}&&\p{L}]": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"[\p{IsDevanagari}&&\p{L}]": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह",
+    r"[\p{IsThai}&&\p{L}]": "กขคงจฉชซดตถทธนบปผพภมยรลวสห",
+    r"[\u0660-\u0669]": "٠١٢٣٤٥٦٧٨٩",
+    r"[\u06F0-\u06F9]": "۰۱۲۳۴۵۶۷۸۹",
+    r"[\u0966-\u096F]": "०१२३४५६७८९",
+    r"[\uFF10-\uFF19]": "０１２３４５６７８９",
     r"\p{Ll}": "abcdefghijklmnopqrstuvwxyz",
     r"\p{Lu}": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    # letters and digits of all other scripts
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
+    r"\p{N}": "0123456789",
 }
+#: Attempts that keep the length; each later one adds a letter or syllable to e-mail addresses and names.
+SAME_LENGTH = 3
 
 
 def _type_of(raw: Column) -> Column:
@@ -106,6 +125,12 @@ def _masked(key: str, value: Column, *salt: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
+def _grown(key: str, options: list[str], attempt: Column, *salt: Column) -> Column:
+    """What late attempts add: more with each, so that some attempt must be free."""
+    more = F.transform(F.sequence(F.lit(1), F.greatest(attempt - SAME_LENGTH, F.lit(1))), lambda i: _pick(options, _draw(key, *salt, F.lit("more"), i)))
+    return F.when(attempt > SAME_LENGTH, F.array_join(more, "")).otherwise(F.lit(""))
+
+
 def _luhn_sum(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -123,7 +148,7 @@ def surrogate(key: str, kind: Column, norm: Column, gender: Column, attempt: Col
     at = F.substring_index(norm, "@", -1)
     top = F.substring_index(at, ".", -1)
     host = F.substring(at, F.lit(1), F.length(at) - F.length(top) - 1)
-    email = F.concat(_masked(key, F.substring_index(norm, "@", 1), *salt), F.lit("@"), _masked(key, host, F.lit("host"), at), F.lit("."), top)
+    email = F.concat(_masked(key, F.substring_index(norm, "@", 1), *salt), _grown(key, list(_LETTERS["[a-z]"]), attempt, *salt), F.lit("@"), _masked(key, host, F.lit("host"), at), F.lit("."), top)
     octets = [(F.pmod(_draw(key, *salt, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)]
     digits = _masked(key, norm, *salt)
     stem = F.substring(digits, F.lit(1), F.length(digits) - 1)
@@ -136,7 +161,7 @@ def surrogate(key: str, kind: Column, norm: Column, gender: Column, attempt: Col
     names = F.lit(None).cast("string")
     for script in GIVEN:
         part = lambda *n: F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(key, *salt, F.lit(f"s{i}"))) for i in range(*n)]))
-        family = F.concat(part(3), F.when(attempt > 0, F.lower(part(3, 5))).otherwise(F.lit("")))
+        family = F.concat(part(3), F.when(attempt > 0, F.lower(part(3, 5))).otherwise(F.lit("")), _grown(key, SYLLABLES[script], attempt, *salt))
         given = F.lit(None).cast("string")
         for g, options in GIVEN[script].items():
             given = F.when(gender == g, _pick(options, _draw(key, *salt, F.lit("g")))).otherwise(given)

@@ -282,6 +282,21 @@ def test_surrogates(spark, docs, nothing):
     assert surrogates.replace_entities(nothing, "k").count() == 0
 
 
+def test_surrogates_of_all_scripts(spark):
+    def replaced(addresses):
+        df = spark.createDataFrame([(i, f"to {a} now", "en", "s", 0) for i, a in enumerate(addresses)], DOCS)
+        return {e.original: e.replacement for r in surrogates.replace_entities(df, "k").collect() for e in r._entities}
+
+    local = ["王小明", "محمد", "דוד", "रमन", "สมชาย"[:2], "김철수", "さくら", "სანდრო", "٣٤٥٦٧٨"]
+    new = replaced([f"{x}@mail.com" for x in local])
+    assert len(set(new.values())) == len(local)
+    assert all(not set(x) <= set(new[f"{x}@mail.com"].split("@")[0]) for x in local)
+    # nothing but the host to draw for, or one letter: more entities than draws of that length
+    addresses = ["王小明@例子.中国"] + [f"_@{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    new = replaced(addresses)
+    assert len(set(new.values())) == len(addresses) and not set(new.values()) & set(addresses)
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With a hash of 16 values first draws must collide; later attempts part them."""
     real = surrogates._draw
