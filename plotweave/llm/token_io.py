@@ -19,19 +19,20 @@ writes no row; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, columns, text_of
-from .wordhash import slices
 
 FORMAT = {
     "parquet.writer.version": "v2",
@@ -43,15 +44,22 @@ FORMAT = {
     "compression": "zstd",
 }
 TOKENS_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
-#: Segments a worker remembers with their ids, in each of two generations.
-REMEMBER = 500_000
-#: A segment is a run of ASCII white space and what follows it. The pre-tokeniser always cuts where white space follows other text, so ids of segments join to the ids of the text.
-_SEGMENTS = re.compile(r"\s*\S+|\s+", re.ASCII).findall
+#: Bytes of units, ids and their bookkeeping that a worker remembers before it starts afresh.
+REMEMBER_BYTES = 256 << 20
+#: What an entry costs beside its characters and ids, and the longest unit worth an entry.
+_ENTRY_BYTES, _LONGEST = 200, 256
+#: Bytes of text that are encoded at a time; a longer text is a slice of its own.
+SLICE = 2 << 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Kinds of bytes: 1 letters, 2 digits, 3 other signs; 0 white space and whatever is not cut from what stands beside it.
+_KIND = np.array([0 if b < 33 or b > 126 or b == 39 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], dtype=np.uint8)
+#: First bytes of the characters of `_OTHER_SPACE`, in UTF-8.
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Other white space could be part of a run that a segment cuts; such texts are encoded whole.
-_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-
-
-#: The byte-level pre-tokeniser's pattern, and the texts for which its classes are beyond doubt.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+# The byte-level pre-tokeniser's published pattern, and characters whose classes are beyond doubt.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 _PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]+").fullmatch
 
@@ -64,92 +72,156 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+_BLANK = _byte_letters()[32]
 
 
-class _Memory(dict):
-    """Ids (bytes) of segments and pieces; what is missing comes from the generation before, or is encoded."""
-
-    def __init__(self, encode):
-        self.encode, self.before = encode, {}
-
-    def __missing__(self, segment: str) -> bytes:
-        ids = self.before.get(segment)
-        self[segment] = ids = self.encode(segment) if ids is None else ids
-        return ids
-
-    def age(self) -> None:
-        self.before = dict(self)
-        self.clear()
+class UnitEncoder:
+    """Encodes texts with a tokenizers file, unit by unit, and remembers the ids of units that keep occurring.
 
-
-class SegmentEncoder:
-    """Encodes texts with a byte-level tokenizers file, and remembers the ids of segments that keep occurring."""
+    A unit is a run of ASCII white space and what follows it up to the next
+    change between letters, digits and other signs (an apostrophe is not cut
+    from its neighbours). A byte-level pre-tokeniser cuts at all these places,
+    so the ids of units join to the ids of the text. The file says whether that
+    holds: with another pre-tokeniser, a normaliser, or added tokens that take
+    white space with them, whole texts are encoded, as are texts that hold an
+    added token or other white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known = _Memory(self._learned)
-        self.by_piece = True
-        self.by_piece = all(self._encoded(t) == self._joined(t) for t in ("It's a\n\n test,  isn't it?", "Été 2024: x\t y"))
-        self.known.clear()
-
-    def _encoded(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(_LETTERS)
-        return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _joined(self, text: str) -> bytes:
-        """Ids from the model, piece by piece, which spares what the encoding of a text adds to that."""
-        # a blank and letters, perhaps with a sign after them, need no pattern
-        if text[0] == " " and text[1:].isalpha():
-            return self._piece(text)
-        if text[0] == " " and text[-1] in ",.;:!?" and text[1:-1].isalpha():
-            pieces = (text[:-1], text[-1])
-        else:
-            pieces = _PIECES(text)
-            if len(pieces) == 1:
-                return self._piece(text)
-        return b"".join([self.known[p] if len(p) < len(text) else self._piece(p) for p in pieces])
-
-    def _learned(self, segment: str) -> bytes:
-        # a special token's text is not for the model
-        plain = self.by_piece and _PLAIN(segment) and "<|" not in segment
-        return self._joined(segment) if plain else self._encoded(segment)
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """Ids of each text with `end_id` after them."""
-        end, ids_of = np.int32(end_id).tobytes(), self.known.__getitem__
-        if len(self.known) > REMEMBER:
-            self.known.age()
-        cut = ([t] if not t.isascii() and _OTHER_SPACE(t) else _SEGMENTS(t) for t in texts)
-        return [np.frombuffer(b"".join(map(ids_of, segments)) + end, dtype=np.int32) for segments in cut]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cutter, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        byte_level = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+        spaced = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or _SPACE[list(t["content"].encode())].any() for t in added)
+        self.by_unit = bool(byte_level and not spec.get("normalizer") and not spaced)
+        # nothing but merges decides the ids of a piece
+        more = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        self.by_piece = self.by_unit and model.get("type") == "BPE" and not any(model.get(k) for k in more)
+        self.by_word = self.by_piece and not any(t.strip().isalpha() for t in self.added)
+        self._forget()
+
+    def _forget(self) -> None:
+        """`place` of a unit: which entry of the pool holds its ids; an entry has a size and follows the one before."""
+        self.place: dict[str, int] = {}
+        self.pool, self.sizes, self.held = array("i"), array("i"), 0
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+
+    def _ids(self, unit: str) -> list[int]:
+        """Ids of a new unit: from the model piece by piece, which spares what the encoding of a text adds to that."""
+        # letters, perhaps after a blank, need no pattern
+        if self.by_word and unit.isascii():
+            if unit.isalpha():
+                return [t.id for t in self.model.tokenize(unit)]
+            if unit[0] == " " and unit[1:].isalpha():
+                return [t.id for t in self.model.tokenize(_BLANK + unit[1:])]
+        if not self.by_piece or not _PLAIN(unit) or any(t in unit for t in self.added):
+            return self.tokenizer.encode(unit, add_special_tokens=False).ids
+        return [i for p in _PIECES(unit) for i in self._piece(p)]
+
+    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where units start in `data`, the bytes of all texts, which `bounds` part."""
+        first = bounds[:-1][np.diff(bounds) > 0]
+        if not self.by_unit or not len(data):
+            return first
+        space, kind = _SPACE[data], _KIND[data]
+        # two-byte letters from U+00C0 to U+00FF; the signs of multiplication and division are left as they are
+        accent = np.flatnonzero(data[:-1] == 0xC3)
+        accent = accent[(data[accent + 1] != 0x97) & (data[accent + 1] != 0xB7)]
+        kind[accent] = kind[accent + 1] = 1
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        start[first] = True
+        doubt, blob = _LEADS[data], data.tobytes() if self.added else b""
+        for t in self.added:
+            token = t.encode()
+            if token in blob:
+                doubt |= data == token[0]
+        for r in np.unique(np.searchsorted(bounds, np.flatnonzero(doubt), side="right") - 1):
+            text = data[bounds[r] : bounds[r + 1]].tobytes().decode()
+            if _OTHER_SPACE(text) or any(t in text for t in self.added):
+                start[bounds[r] + 1 : bounds[r + 1]] = False
+        return np.flatnonzero(start)
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        """The pool's entries of the units; new ones are added."""
+        out, find, place, n, held = [], self.place.get, self.place, len(self.sizes), 0
+        for unit in units:
+            at = find(unit)
+            if at is None:
+                ids, at = self._ids(unit), n
+                self.pool.extend(ids)
+                self.sizes.append(len(ids))
+                n, held = n + 1, held + 4 * len(ids)
+                if len(unit) <= _LONGEST:
+                    place[unit] = at
+                    held += len(unit) + _ENTRY_BYTES
+            out.append(at)
+        self.held += held
+        return np.array(out, dtype=np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with `end_id` after them, and how many each text has."""
+        if self.held > REMEMBER_BYTES:
+            self._forget()
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, dtype=np.uint8)
+        bounds = bounds - bounds[0]
+        starts = self._starts(data, bounds)
+        edges = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        coded = pa.StringArray.from_buffers(len(starts), edges, pa.py_buffer(data)).dictionary_encode()
+        known = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # the pool with the end id as one more entry, which follows the units of each text
+        sizes = np.append(np.frombuffer(self.sizes, dtype=np.int32), 1).astype(np.int64)
+        pool = np.append(np.frombuffer(self.pool, dtype=np.int32), np.int32(end_id))
+        ends = np.searchsorted(starts, bounds[1:]) + np.arange(len(texts))
+        order = np.full(len(starts) + len(texts), len(sizes) - 1)
+        inner = np.ones(len(order), dtype=bool)
+        inner[ends] = False
+        order[inner] = known[coded.indices.to_numpy()]
+        first, many = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        upto = np.cumsum(many)
+        at = np.repeat(first - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)
+        return pool[at], np.diff(upto[ends], prepend=0)
 
 
 #: Encoders of this worker by file: a worker runs many tasks, and what it remembers serves them all.
-_ENCODERS: dict[str, SegmentEncoder] = {}
+_ENCODERS: dict[str, UnitEncoder] = {}
 
 
-def _encoder(path: str) -> SegmentEncoder:
+def _encoder(path: str) -> UnitEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = SegmentEncoder(path)
+        _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with some SLICE bytes of text each; one longer text makes a range of its own."""
+    upto, start = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while start < len(texts):
+        end = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + SLICE)) + 1
+        yield start, min(end, len(texts))
+        start = min(end, len(texts))
+
+
 def _encoding_task(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts, 1 << 19):
-                rows = encoder.encode(texts[a:b], end_id)
-                sizes = np.array([len(r) for r in rows], dtype=np.int64)
+            texts = batch.column("text").cast(pa.string())
+            for a, b in _slices(texts):
+                ids, sizes = encoder.encode(texts.slice(a, b - a), end_id)
                 ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, part, dtype=np.int32)), pa.array(at + ends - sizes), pa.array(sizes.astype(np.int32)), ids], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, part, dtype=np.int32)), pa.array(at + ends - sizes), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 at += int(ends[-1])
 
     return run
