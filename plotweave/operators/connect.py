@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, component): every vertex of the links (a, b) with the smallest vertex it reaches.
+    """(v, component): every vertex that the links (a, b) join to another, with the smallest vertex it reaches.
 
     Vertices keep one edge to a smaller one, so the table shrinks towards one
     row per vertex; the number of rounds grows with the logarithm of the longest
@@ -36,5 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(_small_star(_large_star(edges).where("v != w").distinct()).distinct(), "components")
         state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "w"))).first())
         if state == seen or not state[0]:
-            return edges.select("v", F.col("w").alias("component"))
+            return edges.select("v", F.col("w").alias("component")).unionByName(edges.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct())
         seen = state

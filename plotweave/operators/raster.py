@@ -120,8 +120,8 @@ def label_components(mask: DataFrame) -> DataFrame:
     w = Window.partitionBy(ID, "row").orderBy("col")
     runs = on.withColumn("run", F.col("col") - F.row_number().over(w)).groupBy(ID, "row", "run").agg(F.min("col").alias("c1"), F.max("col").alias("c2"))
     runs = runs.join(F.broadcast(size), ID).withColumn("key", F.col("row") * F.col("width") + F.col("c1"))
-    # one number for a run over all rasters
-    runs = staged(runs.select(ID, "row", "c1", "c2", "key", F.xxhash64(ID, "key").alias("node")), "raster-runs")
+    # runs are numbered over all rasters; the numbers are written with them
+    runs = staged(runs.select(ID, "row", "c1", "c2", "key", F.monotonically_increasing_id().alias("node")), "raster-runs")
     a, b = runs.alias("a"), runs.alias("b")
     touch = (F.col(f"a.{ID}") == F.col(f"b.{ID}")) & (F.col("a.row") + 1 == F.col("b.row")) & (F.col("a.c1") <= F.col("b.c2") + 1) & (F.col("b.c1") <= F.col("a.c2") + 1)
     links = a.join(b, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
