@@ -59,19 +59,41 @@ def with_member_flag(df: DataFrame, key: Column, keys: DataFrame, keys_key: Colu
     return own.join(F.broadcast(maps), "_pw_chunk", "left").select(*[own[c] for c in df.columns], F.coalesce(hit, F.lit(False)).alias(flag))
 
 
-def without_ids(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id isn't in `drop` (one column of that name); null ids are compared like others.
+def text_key(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that with the id name a row's text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(77), text)
 
-    Rows that surely stay pass straight through; only rows that the bitmap
-    flags move to the anti join, so kept texts are not shuffled.
+
+def _hashable(kind) -> bool:
+    """Spark hashes every type but maps and variants, wherever they are nested."""
+    return not any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
+def keep_rows(docs: DataFrame, gone: DataFrame, once: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without those named in `gone`, and with one row of each named in `once`.
+
+    Both are (id, ta, tb): an id, null included, and the `text_key` of a text, so
+    one row's fate doesn't depend on other texts under its id. Rows that surely
+    stay pass straight through; only rows that the bitmap flags move, so kept
+    texts are not shuffled. Of rows equal in id and text the least by a hash of
+    all columns stays; they are aggregated before the shuffle.
     """
-    flag = "_pw_doubt"
-    marked = with_member_flag(docs, F.xxhash64(F.col(id_col)), drop, F.xxhash64(F.col(id_col)), flag)
-    cols = [F.col(c) for c in docs.columns]
-    clear = marked.where(~F.col(flag)).select(*cols)
-    doubt = marked.where(F.col(flag)).select(*cols)
-    gone = drop.select(F.col(id_col).alias("_pw_gone")).distinct()
-    return clear.unionByName(doubt.join(gone, F.col(id_col).eqNullSafe(F.col("_pw_gone")), "left_anti"))
+    text = text_of(text_col)
+    ta, tb = text_key(text)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_pw_row")
+    own = docs.select(row, F.col(id_col).alias("_pw_id"), ta.alias("_pw_ta"), tb.alias("_pw_tb"))
+    marks = gone.select("id", "ta", "tb", F.lit(False).alias("stays")).unionByName(once.select("id", "ta", "tb", F.lit(True).alias("stays"))).distinct()
+    marks = staged(marks, "row-marks")
+    flagged = with_member_flag(own, F.xxhash64("_pw_id", "_pw_ta", "_pw_tb"), marks, F.xxhash64("id", "ta", "tb"), "_pw_doubt")
+    same = F.col("_pw_id").eqNullSafe(F.col("id")) & (F.col("_pw_ta") == F.col("ta")) & (F.col("_pw_tb") == F.col("tb"))
+    spread = lambda rows: rows.select(*[F.col("_pw_row")[c].alias(c) for c in docs.columns])
+    clear = spread(flagged.where(~F.col("_pw_doubt")))
+    if not marks.where("stays").limit(1).count():
+        return clear.unionByName(spread(flagged.where("_pw_doubt").join(marks, same, "left_anti")))
+    doubt = flagged.where("_pw_doubt").join(marks, same, "left").where("stays is null or stays")
+    order = F.xxhash64(*[F.col("_pw_row")[f.name] for f in docs.schema if _hashable(f.dataType)])
+    single = doubt.where("stays").groupBy("_pw_id", "_pw_ta", "_pw_tb").agg(F.min_by("_pw_row", order).alias("_pw_row"))
+    return clear.unionByName(spread(doubt.where("stays is null"))).unionByName(spread(single))
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Near duplicates of word shingles by a chosen-path set similarity join.
 
-Every distinct shingle set gets 64 minwise tokens. A forest of trees branches
-the sets: a node picks fixed positions of the tokens, and a set goes to one
-child per picked position, named by the token that it has there. Similar sets
-share most tokens, so they stay together along some path; others part after a
-level or two. Nodes with few sets are compared exhaustively; larger ones branch
-on. With two picks a node, a pair at similarity s misses a tree with a
-probability q that solves q = (1 - s + s q)**2 at most: 0.03 for s = 0.85 and
-0.06 for 0.8. Four trees on separate positions miss a pair with q**4, about
-1e-6 and 2e-5.
+Every distinct shingle set is a vertex and gets 64 minwise tokens. Trees branch
+the sets: a node picks positions of the tokens, and a set goes to one child per
+picked position, named by the token that it has there. Similar sets share most
+tokens, so they stay together along some path; others part after a level or
+two. Nodes with few sets are compared exhaustively; larger ones branch on. Eight
+roots pick separate positions. The first two levels below a root have two
+children for each set; from there on the mean number of children is 1 / threshold,
+so a pair at the threshold keeps one common child on average, and sets below it
+lose each other level by level. A pair meets in a root with its similarity s, so
+pairs whose nodes are small at once are missed with (1 - s)**8 at most: 3e-7 for
+0.85, 3e-6 for 0.8. In nodes that need 6, 10 or 16 more levels a pair exactly at
+the threshold is missed with about 4e-5, 3e-4 and 2e-3 (0.85), or 7e-4, 4e-3 and
+2e-2 (0.8); a pair 0.05 above it is missed less than 1 in 4,000 times.
 
 A large group of near copies would keep its node large on every path. So each
 large node first compares its sets with one of them, the one that shares tokens
 with most others; confirmed links join them, and sets that are connected
-already need no comparison. After the last level what is left of large nodes is
-compared exhaustively too; nothing is capped.
+already need no comparison. What is still large after the last level is
+compared exhaustively too, in blocks; nothing is capped.
 
 Candidate pairs pass two sketches in the join condition, and survivors are
 confirmed on the full sets of the whole texts. One has two bits of each token.
@@ -23,9 +27,10 @@ sketches differ are never more than the elements in which the sets differ: for
 sets of up to some hundred shingles it lets through few pairs that are not
 links, and every pair that is, so there it decides alone; larger sets pass both.
 
-Defined results: texts without words link with nothing; equal sets are one
-vertex; rows repeated under one id, null included, are one vertex too; an empty
-table gives an empty result; other columns are ignored.
+Defined results: texts without words link with nothing and always stay; equal
+sets are one vertex; null ids are last in order; rows are decided by their own
+text, whatever other rows hold their id; of rows equal in id and text one
+stays; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,23 +45,25 @@ from pyspark.sql import functions as F
 
 from plotweave.operators.connect import components
 
-from .common import bounded_batches, columns, staged, text_of, with_member_flag, without_ids
+from .common import bounded_batches, columns, keep_rows, staged, text_key, text_of, with_member_flag
 from .wordhash import mixed, shingle_sets, slices
 
 TOKENS = 64
-TREES = 4
-DEPTH = 5
-#: Sets in a node that are compared exhaustively: some two million sketch tests.
-SMALL = 2048
+#: Positions that the roots pick.
+ROOTS = [8 * k for k in range(8)]
+#: Levels below a root at which each set has two children, and levels that are grown between two counts.
+RICH = 2
+STRIDE = 2
+#: Most rounds of growth; what is large then is compared exhaustively.
+ROUNDS = 12
+#: Sets in a node that are compared exhaustively, and sets in a block of those that are larger after the last round.
+SMALL = 512
 #: Sets in a node from which one is compared with all others first.
 STAR = 256
-#: The shapes of a tree's first level, which are the picks of its root.
-FIRST = [(t, s) for t in range(TREES) for s in (2, 3)]
+#: Pairs of sets that one task is given to compare.
+TASK_PAIRS = 4_000_000
 #: Bits of the parity sketch.
 ODD_BITS = 512
-#: Stands for a null id: last in order, so that it never names a component with other members.
-NO_ID = (1 << 63) - 1
-
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -94,7 +101,7 @@ def _features(width: int):
                 odd = pa.array(np.concatenate([parities(s) for s in sets]))
                 odd = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (ODD_BITS // 64)), odd)
                 longs = [pa.array(x.view(np.int64)) for x in (key1, key2, low, high)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *longs, token_lists, odd], names=["id", "n", "key1", "key2", "low", "high", "tokens", "odd"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("id", "ta", "tb")], pa.array([len(s) for s in sets], pa.int64()), *longs, token_lists, odd], names=["id", "ta", "tb", "n", "key1", "key2", "low", "high", "tokens", "odd"])
 
     return run
 
@@ -122,19 +129,18 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; staged. Only texts of the pairs are shuffled."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = with_member_flag(docs, F.xxhash64("id"), ends, F.xxhash64("id"), "wanted").where("wanted").select("id", "text")
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that are similar enough as a whole; staged. Only one text of each set is shuffled."""
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    named = sets.select("v", F.col("rep.id").alias("rid"), F.col("rep.ta").alias("rta"), F.col("rep.tb").alias("rtb")).join(ends, "v")
+    named = staged(named, "near-ends")
+    some = with_member_flag(docs, F.xxhash64("id", "ta", "tb"), named, F.xxhash64("rid", "rta", "rtb"), "wanted").where("wanted")
+    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("ta") == F.col("rta")) & (F.col("tb") == F.col("rtb"))
+    texts = some.join(named, same).select("v", "text").dropDuplicates(["v"])
+    rows = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
     return staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long").distinct(), "near-links")
 
 
-def _token_at(tree: int, shape: int) -> int:
-    """Position that a node of `shape` (1 the root, 2s and 2s + 1 the children of s) has picked; trees start on separate ones."""
-    return (shape - 2 + 16 * tree) % TOKENS
-
-
 def _alike(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches allow the pair; where parities decide alone no link fails, else one at the threshold does by chance some twice in ten million."""
     p = (1 - percent / 100) * 0.75
@@ -153,90 +159,135 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of large nodes: b is the set with most company in all its nodes."""
-    fame = nodes.groupBy("id").agg(F.sum("size").alias("fame"))
-    large = nodes.where(F.col("size") > STAR).join(fame, "id")
-    centre = large.groupBy("key").agg(F.min_by(F.struct("id", "n", "low", "high", "odd"), F.struct(-F.col("fame"), "id")).alias("c")).select("key", "c.*")
-    return large.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _alike("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    fame = nodes.groupBy("v").agg(F.sum("size").alias("fame"))
+    large = nodes.where(F.col("size") > STAR).join(fame, "v")
+    centre = large.groupBy("key").agg(F.min_by(F.struct("v", "n", "low", "high", "odd"), F.struct(-F.col("fame"), "v")).alias("c")).select("key", "c.*")
+    return large.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.v") != F.col("b.v")) & _alike("a", "b", percent)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()
 
 
 def _node_pairs(nodes: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Pairs of sets of different parts that meet in a node; a pair that meets in several small first-level nodes is made in the first."""
-    apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part"))
+    """Pairs of sets of different parts that meet in a node; a pair that meets in several small roots is made in the first.
+
+    A node of more than SMALL sets is cut into blocks, and each pair of blocks is
+    a group of its own. Groups are dealt to enough tasks for the pairs in them.
+    """
+    work = nodes.agg(F.sum(F.least(F.col("size"), F.lit(2 * SMALL)))).first()[0] or 0
+    tasks = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-work // TASK_PAIRS))
+    blocks = F.ceil(F.col("size") / SMALL).cast("int")
+    cut = nodes.withColumn("own", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("blocks", blocks)
+    # of two blocks the lower is `lo`; a row stands on the left for its own block as `lo`, on the right as `hi`
+    left = cut.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    left = left.select("*", F.xxhash64("key", F.col("own").alias("lo"), F.col("other").alias("hi")).alias("cell"))
+    right = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    right = right.select("*", F.xxhash64("key", F.col("other").alias("lo"), F.col("own").alias("hi")).alias("cell"))
+    left, right = left.repartition(tasks, "cell").alias("a"), right.repartition(tasks, "cell").alias("b")
+    order = F.when(F.col("a.own") == F.col("b.own"), F.col("a.v") < F.col("b.v")).otherwise(True)
     met = F.lit(False)
-    for i in range(len(FIRST)):
-        meets = (F.col("a.tokens")[i] == F.col("b.tokens")[i]) & (F.shiftright("a.big", i).bitwiseAND(1) == 0)
+    for i in range(len(ROOTS)):
+        meets = (F.col("a.roots")[i] == F.col("b.roots")[i]) & (F.shiftright("a.big", i).bitwiseAND(1) == 0)
         met = met | (meets & (F.col("a.k") > i) if first else meets)
-    return nodes.alias("a").join(nodes.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & _alike("a", "b", percent) & ~met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    pair = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & order & (F.col("a.part") != F.col("b.part"))
+    return left.join(right, pair & _alike("a", "b", percent) & ~met).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b"))
+
+
+def _children(tokens: str, rich: bool, percent: int):
+    """The keys of a node's children for a set with these tokens; which positions a node picks depends on its key alone."""
+
+    def of(key: Column) -> Column:
+        pick = lambda j: F.xxhash64(key, F.lit(j), F.get(F.col(tokens), F.pmod(F.xxhash64(key, F.lit(f"at{j}")), F.lit(TOKENS)).cast("int")))
+        if rich:
+            return F.array(pick(0), pick(1))
+        more = F.pmod(F.xxhash64(key, F.lit("more")), F.lit(10_000)) < int(10_000 * (100 / percent - 1))
+        return F.when(more, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
+
+    return of
 
 
 def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect all similar sets; `sets` has one row per distinct set."""
-    brief = ["id", "n", "low", "high", "odd"]
-    own = F.array(*[F.col("tokens")[_token_at(t, s)] for t, s in FIRST])
-    picks = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(s).alias("shape"), F.lit(k).alias("k"), F.xxhash64(F.lit(t), F.lit(s), F.col("tokens")[_token_at(t, s)]).alias("key")) for k, (t, s) in enumerate(FIRST)])
-    nodes = sets.select(*brief, own.alias("own"), F.explode(picks).alias("node")).select(*brief, F.col("own").alias("tokens"), "node.*")
+    """Confirmed links (a, b) that connect all similar sets; `sets` has one row per distinct set, with its vertex v."""
+    brief = ["v", "n", "low", "high", "odd"]
+    roots = F.array(*[F.col("tokens")[at] for at in ROOTS])
+    picks = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("tokens")[at]).alias("key")) for k, at in enumerate(ROOTS)])
+    nodes = sets.select(*brief, roots.alias("roots"), F.explode(picks).alias("node")).select(*brief, "roots", "node.*")
     sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     nodes = staged(nodes.join(sizes, "key"), "near-nodes")
 
     links = None
     crowded = bool(nodes.where(F.col("size") > STAR).limit(1).count())
     if crowded:
-        links = confirmed(staged(_star_pairs(nodes, percent), "near-stars"), docs, width, percent)
+        links = confirmed(staged(_star_pairs(nodes, percent), "near-stars"), sets, docs, width, percent)
         parts = components(links)
-        # which first-level nodes of a set are large, and its component as far as known; most sets have neither
-        big = nodes.where(F.col("size") > SMALL).groupBy("id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("big"))
-        marks = parts.select(F.col("v").alias("id"), F.col("component").alias("part")).join(big, "id", "full")
-        nodes = nodes.join(marks, "id", "left").withColumns({"big": F.coalesce("big", F.lit(0)), "part": F.coalesce("part", "id")})
+        # which roots of a set are large, and its component as far as known; most sets have neither
+        big = nodes.where(F.col("size") > SMALL).groupBy("v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("big"))
+        marks = parts.select("v", F.col("component").alias("part")).join(big, "v", "full")
+        nodes = nodes.join(marks, "v", "left").withColumns({"big": F.coalesce("big", F.lit(0)), "part": F.coalesce("part", "v")})
     else:
-        nodes = nodes.withColumns({"big": F.lit(0), "part": F.col("id")})
+        nodes = nodes.withColumns({"big": F.lit(0), "part": F.col("v")})
 
-    carried = [*brief, "part", "tokens", "big", "tree"]
+    carried = [*brief, "part", "roots", "big"]
     found = []
     nodes = nodes.drop("size")
-    for depth in range(1, DEPTH + 1):
+    for turn in range(ROUNDS + 1):
         open_nodes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key", "size")
         nodes = staged(nodes.join(open_nodes, "key"), "near-level")
-        last = depth == DEPTH
-        found.append(_node_pairs(nodes if last else nodes.where(F.col("size") <= SMALL), percent, depth == 1))
+        last = turn == ROUNDS
+        found.append(staged(_node_pairs(nodes if last else nodes.where(F.col("size") <= SMALL), percent, turn == 0).distinct(), "near-pairs"))
         large = nodes.where(F.col("size") > SMALL)
         if last or not crowded or not large.limit(1).count():
             break
-        # a child's position depends on tree and shape alone, so it is looked up in a constant
-        table = F.array(*[F.lit(_token_at(t, s)) for t in range(TREES) for s in range(2 << depth, 4 << depth)])
-        child = F.explode(F.array(F.col("shape") * 2, F.col("shape") * 2 + 1))
-        grown = large.select(*carried, F.col("key").alias("parent"), child.alias("shape")).join(sets.select("id", F.col("tokens").alias("all")), "id")
-        place = F.element_at(table, (F.col("tree") * (2 << depth) + F.col("shape") - (2 << depth) + 1).cast("int"))
-        nodes = grown.select(*carried, "shape", F.lit(0).alias("k"), F.xxhash64("parent", "shape", F.element_at("all", (place + 1).cast("int"))).alias("key"))
+        grown = large.select(*carried, "key").join(sets.select("v", "tokens"), "v")
+        for level in range(STRIDE):
+            children = _children("tokens", turn * STRIDE + level < RICH, percent)
+            grown = grown.withColumn("key", F.explode(children(F.col("key"))))
+        nodes = grown.select(*carried, F.lit(0).alias("k"), "key")
 
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    confirmed_pairs = confirmed(staged(pairs.distinct(), "near-pairs"), docs, width, percent)
+    confirmed_pairs = confirmed(staged(pairs.distinct(), "near-pairs") if len(found) > 1 else pairs, sets, docs, width, percent)
     return confirmed_pairs if links is None else links.unionByName(confirmed_pairs)
 
 
+def _graded(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, ta, tb, n and best, the (none, id, ta, tb) of the row that stays for its component; null without words."""
+    bounded_batches(docs.sparkSession)
+    text = text_of(text_col)
+    ta, tb = text_key(text)
+    own = columns(docs, id_col, text_col).select(F.col(id_col).alias("id"), ta.alias("ta"), tb.alias("tb"), text.alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    rows = own.mapInArrow(_features(width), f"id {kind}, ta long, tb long, n long, key1 long, key2 long, low long, high long, tokens array<int>, odd array<long>")
+    rows = staged(rows, "near-features")
+    same = ["n", "key1", "key2"]
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ta", "tb")).alias("rep")
+    sets = rows.where("n > 0").groupBy(*same).agg(rep, F.min_by(F.struct("low", "high", "tokens", "odd"), "ta").alias("s"))
+    # the numbers are written with the sets, so they are the same wherever they are read
+    sets = staged(sets.select(F.monotonically_increasing_id().alias("v"), *same, "rep", "s.*"), "near-sets")
+    parts = staged(components(similar_links(sets, own, width, percent)), "near-parts")
+    best = sets.join(parts, "v").groupBy("component").agg(F.min("rep").alias("best"))
+    linked = parts.join(best, "component").select("v", "best")
+    named = sets.join(linked, "v", "left").select(*same, F.coalesce("best", "rep").alias("best"))
+    row = ["id", "ta", "tb", "n"]
+    placed = rows.where("n > 0").select(*row, "key1", "key2").join(named, same).select(*row, "best")
+    return placed.unionByName(rows.where("n = 0").select(*row, F.lit(None).cast(placed.schema["best"].dataType).alias("best")))
+
+
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept (the id is its component's).
 
     Documents are linked when 100 x intersection >= percent x union of their
     sets of distinct `width`-word shingles (A-Z lower-cased); component_id is
     the smallest id reachable over links.
     """
-    bounded_batches(docs.sparkSession)
-    own = columns(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
-    rows = staged(own.mapInArrow(_features(width), "id long, n long, key1 long, key2 long, low long, high long, tokens array<int>, odd array<long>"), "near-features")
-    same = ["n", "key1", "key2"]
-    sets = rows.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min_by(F.struct("low", "high", "tokens", "odd"), "id").alias("s")).select("id", *same, "s.*")
-    sets = staged(sets, "near-sets")
-    parts = components(similar_links(sets, own, width, percent))
-    named = sets.join(parts.select(F.col("v").alias("id"), "component"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    placed = rows.where("n > 0").select("id", *same).join(named, same).select("id", "n", "component")
-    placed = placed.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    real = [F.when(F.col(c) != NO_ID, F.col(c)).alias(out) for c, out in (("id", id_col), ("component", "component_id"))]
-    return placed.select(real[0], F.col("n").alias("n_shingles"), real[1], (F.col("id") == F.col("component")).alias("kept"))
+    component = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id"))
+    out = _graded(docs, percent, width, id_col, text_col).withColumn("component_id", component)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, with one document of each component."""
-    found = near_groups(docs, percent, width, id_col, text_col)
-    return without_ids(docs, staged(found.where(~F.col("kept")).select(id_col), "near-drop"), id_col)
+    """The rows of `docs`, all columns, with one row of each component."""
+    graded = staged(_graded(docs, percent, width, id_col, text_col).where("n > 0"), "near-graded")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("ta") == F.col("best.ta")) & (F.col("tb") == F.col("best.tb"))
+    row = ["id", "ta", "tb"]
+    gone = staged(graded.where(~stays).select(*row).distinct(), "near-drop")
+    once = graded.where(stays).groupBy(*row).count().where("count > 1").select(*row)
+    return keep_rows(docs, gone, once, id_col, text_col)

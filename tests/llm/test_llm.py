@@ -11,7 +11,7 @@ from compare import DATA, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from plotweave.llm import exact_dedup, exact_knn, mixing, near_dedup, packing, queries, secrets, sharding, surrogates, token_io, toxicity
-from plotweave.llm.common import without_ids
+
 from plotweave.llm.wordhash import shingle_sets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,10 +80,32 @@ def test_null_and_repeated_ids(spark):
     assert mixing.mix(df).count() == 4
     assert packing.pack(df).count() == 4
     assert surrogates.replace_entities(df, "k").count() == 4
-    assert without_ids(df, df.where("doc_id is null").select("doc_id")).count() == 2
 
 
-def test_near_dedup(docs, nothing):
+def _texts(df):
+    return sorted(((str(r.doc_id), r.text) for r in df.collect()), key=str)
+
+
+def test_drops_are_decided_by_row(spark):
+    """One row of each equal text stays, and no text goes because another row has its id."""
+    df = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumns({"ta": F.lit("clash"), "_pw_id": F.lit(0)})
+    for drop in (exact_dedup.drop_exact, near_dedup.drop_near):
+        assert _texts(drop(df([(0, "T"), (1, "T"), (1, "unique")]))) == [("0", "T"), ("1", "unique")]
+        assert _texts(drop(df([(2, "same"), (2, "same"), (2, "same"), (3, "other")]))) == [("2", "same"), ("3", "other")]
+        assert _texts(drop(df([(None, "ab"), (1, "ab"), (None, "c"), (None, "c")]))) == [("1", "ab"), ("None", "c")]
+        assert drop(df([(2, "same"), (2, "same")])).columns == df([(2, "x")]).columns
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "x"])
+    rows = [(None, near), (5, " ".join(words)), (None, "quite another text of some words"), (5, "a third text under the same id")]
+    assert _texts(near_dedup.drop_near(df(rows))) == sorted([(str(i), t) for i, t in rows[1:]], key=str)
+    # rows that differ in other columns alone; ids of other types; a map column
+    twins = df([(4, "x y")]).unionByName(df([(4, "x y")]).withColumn("lang", F.lit("de"))).withColumns({"doc_id": F.concat(F.lit("id"), "doc_id"), "meta": F.create_map(F.lit("a"), F.lit(1))})
+    for drop in (exact_dedup.drop_exact, near_dedup.drop_near):
+        assert [r.doc_id for r in drop(twins).collect()] == ["id4"]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup(docs, nothing, percent):
     def shingles(t):
         w = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -99,10 +121,10 @@ def test_near_dedup(docs, nothing):
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
-    got = {tuple(r) for r in near_dedup.near_groups(docs, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    got = {tuple(r) for r in near_dedup.near_groups(docs, percent).select("doc_id", "n_shingles", "component_id", "kept").collect()}
     assert got == {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
     assert len({find(i) for i in sets}) < len(sets)
     assert near_dedup.near_groups(nothing).count() == 0
@@ -211,7 +233,7 @@ def test_token_files(spark, docs, nothing, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    odd = ["a\xa0 b\n\n\tc  d ", "", "  ", "it's  we'LL\r\n\r\n x", "日本 語　 z", "y" * 3000, " " * 200 + "x", "\n", "x\x1c!\x1c y", "<|endoftext|> <|endoftext|>"]
+    odd = ["a\xa0 b\n\n\tc  d ", "", "  ", "it's  we'LL\r\n\r\n x", "日本 語　 z", "y" * 3000, " " * 200 + "x", "\n", "x\x1c!\x1c y", "<|endoftext|> <|endoftext|>", "it's, don't.'s 'tis x' y a.'s 12th 3rd's", "Ça×b÷c é,é é2 ÿ; naïve's œuvre", "a<|endoftext|>b", " \t 12 a1b2 ...x", "ab\x0bc\x0c d"]
     more = spark.createDataFrame([(1000 + i, t, None, None, 0) for i, t in enumerate(odd)], DOCS)
     token_io.write_tokens(docs.select(*more.columns).unionByName(more), str(tmp_path / "t"), path, 2)
     got = {r.doc_id: r for r in token_io.read_tokens(spark, str(tmp_path / "t")).collect()}
@@ -228,6 +250,62 @@ def test_token_files(spark, docs, nothing, tmp_path):
     assert token_io.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_of_null_and_repeated_ids(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(None, "alpha beta", "en", "s", 1), (None, None, "en", "s", 1), (3, "x y", "en", "s", 1), (3, "x y", "en", "s", 1), (3, "z", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"part": F.lit("clash"), "ids": F.lit(0)})
+    token_io.write_tokens(df, str(tmp_path / "t"), path, 2)
+    got = token_io.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), tok.encode(t or "", add_special_tokens=False).ids + [2]) for i, t, *_ in rows)
+    assert [r.doc_id for r in got] == [None, None, 3, 3, 3]
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(5)]
+
+
+def test_token_file_footers(spark, docs, tmp_path):
+    """Dictionary-encoded ids, delta-encoded metadata, several row groups, and page indexes."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    token_io.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    seen = 0
+    for f in (tmp_path / "t" / "tokens").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 2 * (32 << 20)
+            columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert ids.has_dictionary_page and any("DICTIONARY" in e for e in ids.encodings)
+            for name in ("doc_id", "start_in_part", "n_tokens"):
+                assert "DELTA_BINARY_PACKED" in columns[name].encodings and columns[name].has_column_index and columns[name].has_offset_index
+                assert columns[name].statistics.has_min_max
+            seen += group.num_rows
+    assert seen == 120
+
+
+@pytest.mark.parametrize("change", [{"added": [("gamma", {})]}, {"added": [("<x> ", {})]}, {"added": [("<y>", {"lstrip": True})]}, {"normalizer": "lower"}, {"pre": "metaspace"}])
+def test_token_files_follow_the_tokenizer_file(tmp_path, change):
+    """Settings under which units don't join to a text's ids: whole texts are encoded."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import AddedToken, Tokenizer, normalizers, pre_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.add_tokens([AddedToken(t, **kw) for t, kw in change.get("added", [])])
+    if "normalizer" in change:
+        tok.normalizer = normalizers.Lowercase()
+    if "pre" in change:
+        tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(), pre_tokenizers.ByteLevel(add_prefix_space=True)])
+    tok.save(str(tmp_path / "tok.json"))
+    texts = ["Alpha gamma  <x> beta", "gammagamma  <y> 12", "", "zeta\t<y> <x>  <x> GAMMA"]
+    ids, sizes = token_io.UnitEncoder(str(tmp_path / "tok.json")).encode(pa.array(texts), 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_secrets(spark, docs, nothing):
     rng = random.Random(2)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
