@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.plans.staging import shared_dir, staged  # noqa: F401  for the operators
+from plotweave.plans.staging import remove, scratch, shared_dir, staged  # noqa: F401  for the operators
 
 #: White space in all contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"

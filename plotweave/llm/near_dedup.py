@@ -165,8 +165,8 @@ def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     return large.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.v") != F.col("b.v")) & _alike("a", "b", percent)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()
 
 
-def _node_pairs(nodes: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Pairs of sets of different parts that meet in a node; a pair that meets in several small roots is made in the first.
+def _node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of sets of different parts that meet in a node.
 
     A node of more than SMALL sets is cut into blocks, and each pair of blocks is
     a group of its own. Groups are dealt to enough tasks for the pairs in them.
@@ -182,12 +182,9 @@ def _node_pairs(nodes: DataFrame, percent: int, first: bool) -> DataFrame:
     right = right.select("*", F.xxhash64("key", F.col("other").alias("lo"), F.col("own").alias("hi")).alias("cell"))
     left, right = left.repartition(tasks, "cell").alias("a"), right.repartition(tasks, "cell").alias("b")
     order = F.when(F.col("a.own") == F.col("b.own"), F.col("a.v") < F.col("b.v")).otherwise(True)
-    met = F.lit(False)
-    for i in range(len(ROOTS)):
-        meets = (F.col("a.roots")[i] == F.col("b.roots")[i]) & (F.shiftright("a.big", i).bitwiseAND(1) == 0)
-        met = met | (meets & (F.col("a.k") > i) if first else meets)
+    # the condition must stay small enough for compiled code: a test for pairs that met elsewhere made it five times slower
     pair = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & order & (F.col("a.part") != F.col("b.part"))
-    return left.join(right, pair & _alike("a", "b", percent) & ~met).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b"))
+    return left.join(right, pair & _alike("a", "b", percent)).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b")).distinct()
 
 
 def _children(tokens: str, rich: bool, percent: int):
@@ -206,9 +203,7 @@ def _children(tokens: str, rich: bool, percent: int):
 def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all similar sets; `sets` has one row per distinct set, with its vertex v."""
     brief = ["v", "n", "low", "high", "odd"]
-    roots = F.array(*[F.col("tokens")[at] for at in ROOTS])
-    picks = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("tokens")[at]).alias("key")) for k, at in enumerate(ROOTS)])
-    nodes = sets.select(*brief, roots.alias("roots"), F.explode(picks).alias("node")).select(*brief, "roots", "node.*")
+    nodes = sets.select(*brief, F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("tokens")[at]) for k, at in enumerate(ROOTS)])).alias("key"))
     sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     nodes = staged(nodes.join(sizes, "key"), "near-nodes")
 
@@ -216,22 +211,20 @@ def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) ->
     crowded = bool(nodes.where(F.col("size") > STAR).limit(1).count())
     if crowded:
         links = confirmed(staged(_star_pairs(nodes, percent), "near-stars"), sets, docs, width, percent)
-        parts = components(links)
-        # which roots of a set are large, and its component as far as known; most sets have neither
-        big = nodes.where(F.col("size") > SMALL).groupBy("v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("big"))
-        marks = parts.select("v", F.col("component").alias("part")).join(big, "v", "full")
-        nodes = nodes.join(marks, "v", "left").withColumns({"big": F.coalesce("big", F.lit(0)), "part": F.coalesce("part", "v")})
+        # a set's component as far as known
+        parts = components(links).select("v", F.col("component").alias("part"))
+        nodes = nodes.join(parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
     else:
-        nodes = nodes.withColumns({"big": F.lit(0), "part": F.col("v")})
+        nodes = nodes.withColumn("part", F.col("v"))
 
-    carried = [*brief, "part", "roots", "big"]
+    carried = [*brief, "part"]
     found = []
     nodes = nodes.drop("size")
     for turn in range(ROUNDS + 1):
         open_nodes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key", "size")
         nodes = staged(nodes.join(open_nodes, "key"), "near-level")
         last = turn == ROUNDS
-        found.append(staged(_node_pairs(nodes if last else nodes.where(F.col("size") <= SMALL), percent, turn == 0).distinct(), "near-pairs"))
+        found.append(staged(_node_pairs(nodes if last else nodes.where(F.col("size") <= SMALL), percent), "near-pairs"))
         large = nodes.where(F.col("size") > SMALL)
         if last or not crowded or not large.limit(1).count():
             break
@@ -239,7 +232,7 @@ def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) ->
         for level in range(STRIDE):
             children = _children("tokens", turn * STRIDE + level < RICH, percent)
             grown = grown.withColumn("key", F.explode(children(F.col("key"))))
-        nodes = grown.select(*carried, F.lit(0).alias("k"), "key")
+        nodes = grown.select(*carried, "key")
 
     pairs = found[0]
     for more in found[1:]:

@@ -4,31 +4,35 @@ Words are hashed into an embedding table, of which row 0 stands for all words
 that too few training rows have, or whose place a more frequent word holds; filters of several widths slide over
 the whole text, and each filter's largest response feeds a logistic output. One
 embedding dimension starts as the word's class evidence in the training rows.
-Rows for training are a bounded sample of labelled rows (`SAMPLE`), hashed in
-tasks; training runs on the driver, scoring in tasks with the model broadcast
-(its size is fixed by VOCAB and the filters).
+Training reads a bounded sample of labelled rows (`SAMPLE`, `SAMPLE_WORDS`) in
+one task, which sends the model's few megabytes to the driver; scoring runs in
+tasks with the model broadcast (its size is fixed by VOCAB and the filters).
 
-Labels are split by crc32 of the id: remainder 2 of 4 is never read, remainder
-1 calibrates the score and the thresholds by language, 0 and 3 train.
+Labels are split by crc32 of the id: remainder 2 of 4 is never read, 0 and 3
+train, and 1 calibrates the score and the thresholds by language. All rows of
+remainder 1, of any length, are scored in tasks; histograms of their scores by
+language and class, of fixed size, decide.
 
 Defined results: null texts are empty; a text without words gets the score that
 the output's bias gives; without labels of both classes all scores are 0; rows
-of one id are scored each by its own text; an empty table gives an empty result.
+of one id are scored each by its own text, and training takes the one with the
+least hash; labels that contradict each other count as toxic; other columns
+are carried along unread, with any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns, text_of
+from .common import bounded_batches, columns, staged, text_of, with_member_flag
 from .wordhash import hashed_words, slices
 
 VOCAB = 1 << 17
@@ -36,8 +40,12 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Most rows of each class that training reads, and the most words a row among them may have.
-SAMPLE = {1: 3000, 0: 6000}
-SAMPLE_WORDS = 10_000
+SAMPLE = {1: 2700, 0: 5300}
+SAMPLE_WORDS = 20_000
+#: Steps of a logit in the histograms, and the logits at their ends.
+LOGIT_STEPS, LOGIT_ENDS = 32, 30
+#: Toxic rows from which a language has a threshold of its own.
+LANGUAGE_ROWS = 10
 #: Score from which a text counts as toxic where a language has too few labels for a threshold of its own.
 DEFAULT_THRESHOLD = 0.3
 #: No language rejects below the first or spares above the second score.
@@ -71,10 +79,11 @@ def _sigmoid(x):
 
 @dataclass
 class Model:
-    """Filters as one table of responses per width and place; `scale` and `shift` calibrate the output."""
+    """Embedding table, filters and output; `scale` and `shift` calibrate the output."""
 
     holder: np.ndarray | None = None
-    tables: list[list[np.ndarray]] = field(default_factory=list)
+    table: np.ndarray | None = None
+    kernel: list[list[np.ndarray]] = field(default_factory=list)
     bias: list[np.ndarray] = field(default_factory=list)
     out: np.ndarray | None = None
     base: float = 0.0
@@ -82,6 +91,16 @@ class Model:
     shift: float = 0.0
     thresholds: dict[str | None, float] = field(default_factory=dict)
 
+    @property
+    def tables(self) -> list[list[np.ndarray]]:
+        """What each word adds to each filter at each place; made once in a process that scores."""
+        if "_tables" not in self.__dict__:
+            self.__dict__["_tables"] = [[self.table @ k for k in places] for places in self.kernel]
+        return self.__dict__["_tables"]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
     def pooled(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The largest response of every filter in every text; 0 where a text is shorter than the filter."""
         n = len(offsets) - 1
@@ -104,11 +123,14 @@ class Model:
     def logits(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.pooled(word_ids(words, self.holder), offsets) @ self.out + self.base
 
+    def text_logits(self, texts: list[str]) -> np.ndarray:
+        parts = [self.logits(*word_keys(texts[a:b])) for a, b in slices(texts)]
+        return np.concatenate(parts).astype(float) if parts else np.zeros(0)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.out is None:
             return np.zeros(len(texts))
-        parts = [self.logits(*word_keys(texts[a:b])) for a, b in slices(texts)]
-        return _sigmoid(np.concatenate(parts).astype(float) * self.scale + self.shift) if parts else np.zeros(0)
+        return _sigmoid(self.text_logits(texts) * self.scale + self.shift)
 
 
 def _evidence(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -183,18 +205,16 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 16, seed: int
             grad[ids == 0] = 0
             seen_table[ids] += (grad**2).sum(1)
             table[ids] -= (0.02 * grad / np.sqrt(seen_table[ids])[:, None]).astype(np.float32)
-    model = Model(holder=holder, bias=bias, out=out.astype(np.float32), base=float(base))
-    model.tables = [[table @ k for k in places] for places in kernel]
-    return model
+    return Model(holder=holder, table=table, kernel=kernel, bias=bias, out=out.astype(np.float32), base=float(base))
 
 
-def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, weight: np.ndarray, langs: list[str | None]) -> None:
-    """Fit scale and shift of the output on rows that training did not see, then a threshold by language."""
+def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
+    """Fit scale and shift of the output on rows that training did not see; `weight` counts rows of equal logit and class."""
     a, b = 1.0, 0.0
-    if min(toxic.sum(), len(toxic) - toxic.sum()) >= 3:
+    pos, neg = weight[toxic == 1].sum(), weight[toxic == 0].sum()
+    if min(pos, neg) >= 3:
         x = np.stack([logits, np.ones(len(logits))], 1)
         # soft targets keep separable rows from driving the scale without bound
-        pos, neg = toxic.sum(), len(toxic) - toxic.sum()
         goal = np.where(toxic == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
         for _ in range(30):
             p = _sigmoid(a * logits + b)
@@ -203,13 +223,6 @@ def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, weight: np.nd
             move = np.linalg.solve(hess, grad)
             a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
     model.scale, model.shift = max(float(a), 0.05), float(b)
-    scores = _sigmoid(model.scale * logits + model.shift)
-    names = np.array([x or "" for x in langs])
-    model.thresholds = {}
-    for lang in [None, *sorted({str(x) for x in names})]:
-        own = np.ones(len(scores), dtype=bool) if lang is None else names == lang
-        if toxic[own].sum() >= 10:
-            model.thresholds[lang] = _best_threshold(scores[own], toxic[own], weight[own])
 
 
 def _best_threshold(scores: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
@@ -230,47 +243,75 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(_remainder(id_col) == 2, F.lit(False))
 
 
-def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows of one task: at most SAMPLE rows of SAMPLE_WORDS words."""
+    ids, rows, toxic = [], [], []
     for batch in batches:
         words, offsets = word_keys(batch.column("text").to_pylist())
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "toxic", "lang", "fold")] + [lists], names=["id", "toxic", "lang", "fold", "words"])
+        some = [(i, words[a:b].copy(), t) for i, a, b, t in zip(batch.column("key").to_pylist(), offsets[:-1], offsets[1:], batch.column("toxic").to_pylist(), strict=True) if b - a <= SAMPLE_WORDS]
+        for out, column in zip((ids, rows, toxic), zip(*some, strict=True), strict=False):
+            out.extend(column)
+    order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
+    toxic = np.array(toxic, dtype=np.int64)[order]
+    model = train([rows[i] for i in order], toxic) if 0 < toxic.sum() < len(toxic) else Model()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def _thresholds(scale: float, shift: float):
+    """Per language its threshold and how many toxic rows decided it, from its histogram."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        scores = _sigmoid(scale * rows.logit.to_numpy() + shift)
+        toxic, weight = rows.toxic.to_numpy().astype(float), rows.n.to_numpy().astype(float)
+        return pd.DataFrame({"lang": [rows.lang.iloc[0]], "n": [int((weight * toxic).sum())], "cut": [_best_threshold(scores, toxic, weight)]})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
-    """Train on a bounded sample of the labelled rows outside the held-out quarter."""
+    """Train on a bounded sample of the labelled rows outside the held-out quarter, and calibrate on all rows of another."""
     bounded_batches(docs.sparkSession)
     known = columns(labels, id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (_remainder(id_col) != 2))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    if len(counts) < 2:
+    known = staged(known.withColumn("fold", _remainder("id").cast("int")), "toxic-labels")
+    if known.where("fold != 1").select("toxic").distinct().count() < 2:
         return Model()
-    picks = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(n) for t, n in SAMPLE.items()]
+    own = columns(docs, id_col, text_col, lang_col).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    key = F.xxhash64("id")
+    picks = [known.where((F.col("toxic") == t) & (F.col("fold") != 1)).orderBy(key, "id").limit(n) for t, n in SAMPLE.items()]
     # at most the sample's ids: a fixed bound
     pick = F.broadcast(picks[0].unionByName(picks[1]))
-    own = columns(docs, id_col, text_col, lang_col).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = own.join(pick, "id").select("id", "toxic", "lang", _remainder("id").cast("int").alias("fold"), "text")
-    rows = rows.mapInArrow(_hash_rows, "id long, toxic int, lang string, fold int, words array<long>").where(F.size("words") <= SAMPLE_WORDS)
-    # at most the sample's words, as one flat array
-    found = rows.dropDuplicates(["id"]).toArrow().combine_chunks().sort_by("id")
-    lists = found["words"].combine_chunks()
-    flat, offsets = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
-    words = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    toxic, calib, langs = found["toxic"].to_numpy(), found["fold"].to_numpy() == 1, found["lang"].to_pylist()
-    if not 0 < toxic[~calib].sum() < (~calib).sum():
-        return Model()
-    model = train([w for w, c in zip(words, calib, strict=True) if not c], toxic[~calib])
-    # the sample holds other shares of the classes than the labels
-    weight = np.where(toxic == 1, counts[1] / max(1, toxic.sum()), counts[0] / max(1, len(toxic) - toxic.sum()))
-    weight = weight / weight.min()
-    use = np.flatnonzero(calib)
-    logits = np.array([float(model.logits(words[i], np.array([0, len(words[i])]))[0]) for i in use])
-    calibrate(model, logits, toxic[use].astype(float), weight[use], [langs[i] for i in use])
+    rows = own.join(pick, "id").groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # a bounded sample: one task
+    trained = rows.select(key.alias("key"), "toxic", "text").repartition(1).mapInArrow(_train_task, "model binary")
+    model = pickle.loads(trained.first()[0])
+    if model.out is None:
+        return model
+    judges = known.where("fold = 1").select("id", "toxic")
+    some = with_member_flag(own.where(_remainder("id") == 1), key, judges, key, "labelled").where("labelled")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def logit(texts: pd.Series) -> pd.Series:
+        return pd.Series(held.value.text_logits(texts.tolist()))
+
+    step = F.round(F.greatest(F.lit(-LOGIT_ENDS), F.least(F.lit(LOGIT_ENDS), logit("text"))) * LOGIT_STEPS) / LOGIT_STEPS
+    hist = some.select("id", "lang", step.alias("logit")).join(judges, "id").groupBy("lang", "toxic", "logit").agg(F.count(F.lit(1)).alias("n"))
+    hist = staged(hist, "toxic-scores")
+    held.destroy()
+    # one row per step and class, whatever the input
+    whole = hist.groupBy("toxic", "logit").agg(F.sum("n").alias("n")).toPandas().sort_values(["logit", "toxic"])
+    calibrate(model, whole.logit.to_numpy(), whole.toxic.to_numpy(), whole.n.to_numpy().astype(float))
+    cut = _thresholds(model.scale, model.shift)
+    model.thresholds = {None: float(x.cut) for x in [cut(whole.assign(lang="")).iloc[0]] if x.n >= LANGUAGE_ROWS}
+    # one row per language that has a threshold of its own
+    for lang, _, own_cut in hist.groupBy("lang").applyInPandas(cut, "lang string, n long, cut double").where(F.col("n") >= LANGUAGE_ROWS).collect():
+        model.thresholds[lang] = own_cut
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of `docs`, with _score (0 to 1, from the text alone) and _toxic (score at or above the language's threshold)."""
+def _judged(docs: DataFrame, model: Model, text_col: str, lang_col: str) -> tuple[Column, Column]:
+    """The score of a row and whether it reaches its language's threshold."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
@@ -279,14 +320,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(held.value.scores(texts.tolist()))
 
-    default = model.thresholds.get(None, DEFAULT_THRESHOLD)
-    least = F.lit(default)
+    least = F.lit(model.thresholds.get(None, DEFAULT_THRESHOLD))
     for lang, cut in model.thresholds.items():
-        if lang:
-            least = F.when(F.col(lang_col) == lang, cut).otherwise(least)
-    return docs.withColumn("_score", scored(text_of(text_col))).withColumn("_toxic", F.col("_score") >= least)
+        if lang is not None:
+            least = F.when(F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == lang, cut).otherwise(least)
+    return scored(text_of(text_col)), least
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All columns of `docs`, with _score (0 to 1, from the text alone) and _toxic (score at or above the language's threshold).
+
+    Columns that already have these two names are replaced.
+    """
+    scored, least = _judged(docs, model, text_col, lang_col)
+    return docs.withColumn("_score", scored).withColumn("_toxic", F.col("_score") >= least)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **cols: str) -> DataFrame:
-    """The rows of `docs`, all columns, that the classifier does not reject."""
-    return score(docs, fit(docs, labels, **cols), **cols).where(~F.col("_toxic")).select(*[F.col(c) for c in docs.columns])
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
+    """The rows of `docs`, all columns as they are, that the classifier does not reject."""
+    scored, least = _judged(docs, fit(docs, labels, id_col, text_col, lang_col, label_col), text_col, lang_col)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_pw_row")
+    kept = docs.select(row, scored.alias("_pw_score"), least.alias("_pw_least")).where("_pw_score < _pw_least")
+    return kept.select(*[F.col("_pw_row")[c].alias(c) for c in docs.columns])
