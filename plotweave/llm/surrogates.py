@@ -1,35 +1,45 @@
 """Keyed, type-consistent surrogates for personal data.
 
-Entities (e-mail and IP addresses, phone, card and account numbers, titled
-names) are found by patterns. Equal entities, however written, have one
-normal form, and one normal form has one surrogate in all documents. A surrogate
-has the type, script and format of what it replaces: letters become letters of
-their script and case (Latin ones where a script has no alphabet here), digits
-digits, punctuation stays; card numbers that pass
-the Luhn test get surrogates that pass it; names keep the title, and a title's
-gender chooses the given name.
-
-Surrogates are drawn from a keyed hash. A draw that equals another entity's
-draw, or any entity that really occurs, is drawn again under a higher attempt
-until none collides, so distinct entities stay distinct. Late attempts lengthen
-e-mail addresses and names.
-
-Only texts with an entity are shuffled, to meet the surrogates of their own
-entities. Everything is built from SQL functions.
-
-Defined results: a null text stays null and counts no entity; rows repeated
-under one id, null included, are rewritten each by the same surrogates; an empty
-table gives an empty result; other columns are carried along unread.
+Entities (e-mail and IP addresses, phone, card and account numbers, names after
+a title) are found by patterns. A surrogate has the type, script and format of
+what it replaces: letters become letters of their script and case (Latin ones
+where a script has no alphabet here), digits digits, punctuation stays; card
+numbers that pass the Luhn test and account numbers whose check digits hold get
+surrogates that do so too; names keep title, hyphens and capitals.
+
+What is drawn are atoms: numbers and IP addresses as a whole, the local part and
+the host of an address, the given and the family name of a person. Equal atoms,
+however written, have one normal form and one surrogate in all documents, so
+"Mrs. Berg" and "Mrs. Jordan Berg" keep one family name and addresses of one
+host one host. The gender of the title is part of a given name's normal form;
+a name under a title without gender takes the one that it has elsewhere, if
+that is one only.
+
+Surrogates are drawn from a keyed hash. A draw that equals another atom's draw,
+or an atom that really occurs, is drawn again under a higher attempt until none
+collides, so distinct entities stay distinct. Attempts above SAME_LENGTH
+lengthen hosts, local parts and names, attempts above SAME_FORMAT all others, so
+that the draws of some attempt must be free.
+
+Only rows with an entity are staged and shuffled. Everything is built from SQL
+functions.
+
+Defined results: a null text stays null and counts no entity; ids are not read,
+so rows repeated under one id, null included, are rewritten each by itself; an
+empty table gives an empty result; a column named _entities is replaced, other
+columns are carried along unread.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
 
-# Titles by gender, given names by script and gender, syllables by script.
+# Titles by gender, given names by script and gender, syllables and endings by script.
 TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"], "n": ["Dr", "Prof"]}
 GIVEN = {
     "latin": {"m": ["Adam", "Boris", "Carlo", "David", "Emil", "Felix", "Georg", "Hugo"], "f": ["Alma", "Berta", "Clara", "Diana", "Edith", "Flora", "Greta", "Helen"], "n": ["Alex", "Chris", "Jules", "Kim", "Lou", "Robin", "Sam", "Toni"]},
@@ -37,12 +47,17 @@ GIVEN = {
     "greek": {"m": ["Νίκος", "Γιώργος", "Πέτρος", "Κώστας"], "f": ["Μαρία", "Ελένη", "Άννα", "Σοφία"], "n": ["Αγάπη", "Φώτη", "Χαρά", "Ζωή"]},
 }
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "tu", "va", "wen", "zor", "lan"], "cyrillic": ["ба", "ве", "ги", "до", "ка", "ле", "ми", "но", "па", "ре", "си", "ту", "ва", "зен", "мор", "лан"], "greek": ["βα", "γε", "δι", "κο", "λα", "με", "νι", "πο", "ρα", "σε", "τι", "φο", "χα", "ζεν", "μορ", "λαν"]}
+ENDINGS = {
+    "latin": {"m": ["us", "ard", "olf", "or", "ert", "in"], "f": ["ia", "ina", "ana", "ita", "elle", "ette"], "n": ["is", "ey", "en", "el", "yn", "ay"]},
+    "cyrillic": {"m": ["слав", "мир", "ий", "он"], "f": ["ина", "ия", "ана", "ея"], "n": ["ша", "ня", "ля", "ко"]},
+    "greek": {"m": ["ος", "ης", "ων", "ας"], "f": ["ία", "ούλα", "ίνα", "άνα"], "n": ["ι", "ώ", "ού", "ύ"]},
+}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "(?:" + "|".join(t for names in TITLES.values() for t in names) + r")\.?"
 #: Patterns by type; at one place the first that matches wins.
 TYPES = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!-?\d)",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -51,8 +66,6 @@ TYPES = {
     "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 _ALL = "|".join(TYPES.values())
-#: Texts without a digit, an @ or a title hold no entity.
-_GATE = rf"[0-9@]|{_TITLE} \p{{Lu}}"
 _LETTERS = {
     r"[a-z]": "abcdefghijklmnopqrstuvwxyz",
     r"[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -79,8 +92,13 @@ _LETTERS = {
     r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
     r"\p{N}": "0123456789",
 }
-#: Attempts that keep the length; each later one adds a letter or syllable to e-mail addresses and names.
+#: Attempts that keep the length of names and addresses, and attempts that keep the format of all others.
 SAME_LENGTH = 3
+SAME_FORMAT = 12
+#: Tasks in which surrogates are drawn, for each core.
+DRAW_TASKS = 2
+_SCHEMA = "array<struct<kind:string,original:string,replacement:string>>"
+_CUT = "(?<=['’-])"
 
 
 def _type_of(raw: Column) -> Column:
@@ -91,47 +109,46 @@ def _type_of(raw: Column) -> Column:
     return out
 
 
-def _normal(kind: Column, raw: Column) -> Column:
-    digits = F.regexp_replace(raw, r"[^0-9]", "")
-    bare = F.regexp_replace(raw, rf"^{_TITLE} ", "")
-    return F.when(kind == "email", F.lower(raw)).when(kind.isin("card", "social", "phone"), digits).when(kind == "account", F.regexp_replace(raw, " ", "")).when(kind == "name", F.lower(bare)).otherwise(raw)
-
-
-def entities(text: Column) -> Column:
-    """The matched strings in order; empty where there is none."""
-    return F.when(text.rlike(_GATE), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-
-def _draw(key: str, *salt: Column) -> Column:
-    """A non-negative integer below 2**32 from the key and the salt."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[s.cast("string") for s in salt]), 256), 1, 8), 16, 10).cast("long")
+def _draws(key: str, *salt: Column) -> Column:
+    """Eight integers below 2**32 from the key and the salt, whose parts are told apart by their lengths."""
+    inner, outer = (sha256(f"{part}:{key}".encode()).hexdigest() for part in ("inner", "outer"))
+    text = [s.cast("string") for s in salt]
+    message = F.concat(F.lit(inner), *[x for t in text for x in (F.length(t).cast("string"), F.lit(":"), t)])
+    digest = F.sha2(F.concat(F.lit(outer), F.sha2(message, 256)), 256)
+    return F.transform(F.regexp_extract_all(digest, F.lit("[0-9a-f]{8}"), F.lit(0)), lambda w: F.conv(w, 16, 10).cast("long"))
 
 
 def _pick(options: list[str], draw: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod(draw, F.lit(len(options))) + 1).cast("int"))
 
 
+def _chars(value: Column) -> Column:
+    return F.filter(F.split(value, ""), lambda c: c != "")
+
+
 def _masked(key: str, value: Column, *salt: Column) -> Column:
     """Each letter or digit replaced by one of its script, case and kind."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, draw: Column) -> Column:
         out = c
         for pattern, letters in reversed(_LETTERS.items()):
-            at = (F.pmod(_draw(key, *salt, i), F.lit(len(letters))) + 1).cast("int")
-            out = F.when(c.rlike(f"^{pattern}$"), F.substring(F.lit(letters), at, F.lit(1))).otherwise(out)
+            new = F.substring(F.lit(letters), (F.pmod(draw, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+            plain = {"[a-z]": c.between("a", "z"), "[A-Z]": c.between("A", "Z"), "[0-9]": c.between("0", "9")}
+            out = F.when(plain.get(pattern, c.rlike(f"^{pattern}$")), new).otherwise(out)
         return out
 
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, one), "")
+    blocks = F.sequence(F.lit(0), F.floor(F.length(value) / 8).cast("int"))
+    draws = F.flatten(F.transform(blocks, lambda i: _draws(key, *salt, F.lit("mask"), i)))
+    return F.array_join(F.zip_with(_chars(value), F.slice(draws, F.lit(1), F.size(_chars(value))), one), "")
 
 
-def _grown(key: str, options: list[str], attempt: Column, *salt: Column) -> Column:
-    """What late attempts add: more with each, so that some attempt must be free."""
-    more = F.transform(F.sequence(F.lit(1), F.greatest(attempt - SAME_LENGTH, F.lit(1))), lambda i: _pick(options, _draw(key, *salt, F.lit("more"), i)))
-    return F.when(attempt > SAME_LENGTH, F.array_join(more, "")).otherwise(F.lit(""))
+def _grown(key: str, options: list[str], attempt: int, free: int, *salt: Column) -> Column:
+    """What attempts above `free` add: more with each, so that some attempt must be free."""
+    return F.concat(F.lit(""), *[_pick(options, _draws(key, *salt, F.lit("more"), F.lit(i))[0]) for i in range(attempt - free)])
 
 
-def _luhn_sum(digits: Column) -> Column:
+def _digit_sum(digits: Column) -> Column:
+    """The Luhn sum."""
     n = F.length(digits)
 
     def term(i: Column) -> Column:
@@ -142,100 +159,172 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + term(i))
 
 
-def surrogate(key: str, kind: Column, norm: Column, gender: Column, attempt: Column) -> Column:
-    """The surrogate of a normal form under one attempt, in normal form."""
-    salt = (kind, norm, attempt)
-    at = F.substring_index(norm, "@", -1)
-    top = F.substring_index(at, ".", -1)
-    host = F.substring(at, F.lit(1), F.length(at) - F.length(top) - 1)
-    email = F.concat(_masked(key, F.substring_index(norm, "@", 1), *salt), _grown(key, list(_LETTERS["[a-z]"]), attempt, *salt), F.lit("@"), _masked(key, host, F.lit("host"), at), F.lit("."), top)
-    octets = [(F.pmod(_draw(key, *salt, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)]
+def _mod97(account: Column) -> Column:
+    """The remainder by 97 of an account number, its first four characters last and letters counted from 10."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+
+    def add(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(_chars(turned), F.lit(0), add)
+
+
+def _name(key: str, norm: Column, attempt: int, salt: tuple, gender: Column | None) -> Column:
+    """A name with as many parts, joined by the same signs; a given name has the ending of its gender."""
+    out = None
+    for script, test in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", ".")):
+        grown = lambda i: _grown(key, SYLLABLES[script], attempt, SAME_LENGTH, *salt, i)  # noqa: B023, E731
+        syllables = lambda d, n: [_pick(SYLLABLES[script], d[j]) for j in range(n)]  # noqa: B023, E731
+
+        def part(p: Column, i: Column) -> Column:
+            d = _draws(key, *salt, F.lit("part"), i)
+            sign = F.regexp_extract(p, "(['’-])$", 1)
+            if gender is None:
+                return F.concat(*syllables(d, 3 if attempt == 0 else 5), grown(i), sign)  # noqa: B023
+            word = F.lit("")
+            for g in ENDINGS[script]:  # noqa: B023
+                own = F.lower(_pick(GIVEN[script][g], d[0])) if attempt == 0 else F.concat(*syllables(d, 2), grown(i), _pick(ENDINGS[script][g], d[7]))  # noqa: B023
+                word = F.when(gender == g, own).otherwise(word)
+            return F.concat(word, sign)
+
+        whole = F.array_join(F.transform(F.split(norm, _CUT), part), "")
+        out = F.when(norm.rlike(test), whole) if out is None else out.when(norm.rlike(test), whole)
+    return out
+
+
+def surrogate(key: str, kind: Column, norm: Column, gender: Column, attempt: int) -> Column:
+    """The surrogate of an atom's normal form under one attempt, in normal form."""
+    salt = (kind, norm, gender, F.lit(attempt))
+    late = _grown(key, list("0123456789"), attempt, SAME_FORMAT, *salt)
+    letters = _grown(key, list(_LETTERS["[a-z]"]), attempt, SAME_LENGTH, *salt)
+    local = F.concat(_masked(key, F.substring_index(norm, "@", 1), *salt), letters, F.lit("@"), F.substring_index(norm, "@", -1))
+    top = F.substring_index(norm, ".", -1)
+    host = F.concat(_masked(key, F.substring(norm, F.lit(1), F.length(norm) - F.length(top) - 1), *salt), letters, F.lit("."), top)
+    d = _draws(key, *salt, F.lit("octets"))
+    octets = [(F.pmod(d[i], F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)]
+    ip = F.concat(F.concat_ws(".", *octets), F.when(F.length(late) > 0, F.concat(F.lit("."), late)).otherwise(F.lit("")))
     digits = _masked(key, norm, *salt)
     stem = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(stem, F.lit("0"))), F.lit(10)), F.lit(10))
-    card = F.when(F.pmod(_luhn_sum(norm), F.lit(10)) == 0, F.concat(stem, check.cast("string"))).otherwise(digits)
-    account = F.concat(F.substring(norm, 1, 2), _masked(key, F.substring(norm, F.lit(3), F.length(norm)), *salt))
+    check = F.pmod(10 - F.pmod(_digit_sum(F.concat(stem, F.lit("0"))), F.lit(10)), F.lit(10))
+    card = F.when(F.pmod(_digit_sum(norm), F.lit(10)) == 0, F.concat(stem, check.cast("string"))).otherwise(digits)
+    body = _masked(key, F.substring(norm, F.lit(5), F.length(norm)), *salt)
+    proof = F.lpad((98 - _mod97(F.concat(F.substring(norm, 1, 2), F.lit("00"), body))).cast("string"), 2, "0")
+    account = F.when(_mod97(norm) == 1, F.concat(F.substring(norm, 1, 2), proof, body)).otherwise(F.concat(F.substring(norm, 1, 2), F.substring(_masked(key, F.substring(norm, 3, 2), *salt, F.lit("check")), 1, 2), body))
     # a country code before ten digits stays
     code = F.substring(norm, F.lit(1), F.greatest(F.length(norm) - 10, F.lit(0)))
     phone = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)))
-    names = F.lit(None).cast("string")
-    for script in GIVEN:
-        part = lambda *n: F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(key, *salt, F.lit(f"s{i}"))) for i in range(*n)]))
-        family = F.concat(part(3), F.when(attempt > 0, F.lower(part(3, 5))).otherwise(F.lit("")), _grown(key, SYLLABLES[script], attempt, *salt))
-        given = F.lit(None).cast("string")
-        for g, options in GIVEN[script].items():
-            given = F.when(gender == g, _pick(options, _draw(key, *salt, F.lit("g")))).otherwise(given)
-        whole = F.when(norm.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
-        test = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "latin": "."}[script]
-        names = F.coalesce(names, F.when(norm.rlike(test), whole)) if script != "latin" else F.when(~norm.rlike(r"\p{IsCyrillic}|\p{IsGreek}"), whole)
-    return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *octets)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "account", account).when(kind == "name", names).otherwise(digits)
+    out = F.when(kind == "local", local).when(kind == "host", host).when(kind == "ip", ip).when(kind == "card", F.concat(card, late)).when(kind == "phone", F.concat(phone, late)).when(kind == "account", F.concat(account, late))
+    return out.when(kind == "family", _name(key, norm, attempt, salt, None)).when(kind == "given", _name(key, norm, attempt, salt, gender)).otherwise(F.concat(digits, late))
 
 
 def distinct_surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, surrogate) for the distinct (kind, norm, gender) of `found`; collisions are drawn again."""
-    real = staged(found.groupBy("kind", "norm").agg(F.min("gender").alias("gender")), "pii-entities")
-    settled, open_, attempt = None, real, 0
-    fold = lambda c: F.lower(c)
+    """(kind, norm, gender, surrogate) for the distinct atoms (kind, norm, gender) of `found`; collisions are drawn again.
+
+    A given name's gender tells atoms apart; other atoms have none ("").
+    """
+    atom = ["kind", "norm", "gender"]
+    spark = found.sparkSession
+    tasks = DRAW_TASKS * spark.sparkContext.defaultParallelism
+    real = staged(found.select(*atom).distinct(), "pii-atoms")
+    names = real.select("kind", F.lower("norm").alias("folded")).distinct()
+    settled, open_, attempt = [], real, 0
     while True:
-        drawn = open_.select("kind", "norm", "gender", surrogate(key, F.col("kind"), F.col("norm"), F.col("gender"), F.lit(attempt)).alias("surrogate"))
-        drawn = staged(drawn, "pii-drawn")
-        taken = real.select("kind", F.col("norm").alias("folded"))
-        if settled is not None:
-            taken = taken.unionByName(settled.select("kind", fold(F.col("surrogate")).alias("folded")))
-        first = drawn.groupBy("kind", fold(F.col("surrogate")).alias("folded")).agg(F.min("norm").alias("norm"))
-        good = first.join(taken.distinct(), ["kind", "folded"], "left_anti").select("kind", "norm")
-        fine = drawn.join(good, ["kind", "norm"]).select("kind", "norm", "surrogate")
-        settled = staged(fine if settled is None else settled.unionByName(fine), "pii-settled")
-        open_ = staged(real.join(settled, ["kind", "norm"], "left_anti"), "pii-open")
+        # few small rows, but dear ones: dealt to a fixed number of tasks
+        drawn = open_.repartition(tasks, *atom).select(*atom, surrogate(key, F.col("kind"), F.col("norm"), F.col("gender"), attempt).alias("surrogate"))
+        drawn = staged(drawn.withColumn("folded", F.lower("surrogate")), "pii-drawn")
+        taken = names
+        for part in settled:
+            taken = taken.unionByName(part.select("kind", "folded"))
+        # of equal draws the least atom keeps it
+        first = drawn.groupBy("kind", "folded").agg(F.min(F.struct("norm", "gender")).alias("who")).join(taken, ["kind", "folded"], "left_anti")
+        good = first.select("kind", F.col("who.norm").alias("norm"), F.col("who.gender").alias("gender"))
+        settled.append(staged(drawn.join(good, atom), "pii-settled"))
+        open_ = staged(open_.join(settled[-1], atom, "left_anti"), "pii-open")
         attempt += 1
         if not open_.limit(1).count():
-            return settled
+            break
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.select(*atom, "surrogate")
 
 
-def _rendered(kind: Column, raw: Column, new: Column) -> Column:
-    """A surrogate in the format of the occurrence it replaces."""
-    chars = F.filter(F.split(raw, ""), lambda c: c != "")
+def _gender(raw: Column) -> Column:
+    out = F.lit("n")
+    for g in ("m", "f"):
+        out = F.when(raw.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? "), g).otherwise(out)
+    return out
+
+
+def _parsed(raws: DataFrame) -> DataFrame:
+    """raw with kind and its atoms: `one` always, `two` for the host of an address and the given name of a person."""
+    raw, kind = F.col("raw"), F.col("kind")
+    rows = raws.withColumn("kind", _type_of(raw))
+    bare = F.regexp_replace(raw, rf"^{_TITLE} ", "")
+    rows = rows.withColumns({"family": F.when(kind == "name", F.substring_index(bare, " ", -1)), "given": F.when((kind == "name") & bare.contains(" "), F.substring_index(bare, " ", 1)), "gender": F.when(kind == "name", _gender(raw))})
+    # the gender that a full name has under other titles
+    person = [F.lower("given").alias("_g"), F.lower("family").alias("_f")]
+    known = rows.where("given is not null and gender != 'n'").select(*person, "gender").groupBy("_g", "_f").agg(F.min("gender").alias("_least"), F.max("gender").alias("_most"))
+    known = known.where("_least = _most").select("_g", "_f", F.col("_least").alias("_known"))
+    rows = rows.join(known, (F.lower("given") == F.col("_g")) & (F.lower("family") == F.col("_f")), "left")
+    gender = F.when(F.col("gender") == "n", F.coalesce("_known", F.lit("n"))).otherwise(F.col("gender"))
+    none = F.lit("")
+    atom = lambda k, norm, g=none: F.struct(k.alias("kind"), norm.alias("norm"), g.alias("gender"))
+    digits = F.regexp_replace(raw, r"[^0-9]", "")
+    norm = F.when(kind.isin("card", "social", "phone"), digits).when(kind == "account", F.regexp_replace(raw, " ", "")).otherwise(raw)
+    one = F.when(kind == "name", atom(F.lit("family"), F.lower("family"))).when(kind == "email", atom(F.lit("local"), F.lower(raw))).otherwise(atom(kind, norm))
+    two = F.when(F.col("given").isNotNull(), atom(F.lit("given"), F.lower("given"), gender)).when(kind == "email", atom(F.lit("host"), F.lower(F.substring_index(raw, "@", -1))))
+    return rows.select("raw", "kind", "given", "family", one.alias("one"), two.alias("two"))
+
+
+def _styled(new: Column, raw: Column) -> Column:
+    """A lower-case name with the capitals of what it replaces."""
+    capital = F.array_join(F.transform(F.split(new, _CUT), lambda p: F.initcap(p)), "")
+    return F.when((F.upper(raw) == raw) & (F.length(raw) > 1), F.upper(new)).otherwise(capital)
+
+
+def _rendered(one: Column, two: Column) -> Column:
+    """The surrogates of an entity's atoms in the format of the occurrence (raw, kind, given, family)."""
+    raw, kind = F.col("raw"), F.col("kind")
     digit = F.when(kind == "account", F.lit("^[A-Za-z0-9]$")).otherwise(F.lit("^[0-9]$"))
 
     def put(acc: Column, c: Column) -> Column:
         hit = F.regexp_like(c, digit)
-        return F.struct((acc["n"] + F.when(hit, 1).otherwise(0)).alias("n"), F.concat(acc["out"], F.when(hit, F.substring(new, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+        return F.struct((acc["n"] + F.when(hit, 1).otherwise(0)).alias("n"), F.concat(acc["out"], F.when(hit, F.substring(one, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
-    spread = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), put)["out"]
+    laid = F.aggregate(_chars(raw), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), put)
+    spread = F.concat(laid["out"], F.substring(one, laid["n"] + 1, F.length(one)))
     title = F.regexp_extract(raw, rf"^({_TITLE} )", 1)
-    shouted = (F.upper(raw) == raw) & (F.lower(raw) != raw)
-    email = F.when(shouted, F.upper(new)).otherwise(new)
-    return F.when(kind == "email", email).when(kind == "ip", new).when(kind == "name", F.concat(title, new)).otherwise(spread)
-
-
-def _gender(raw: Column) -> Column:
-    out = F.lit("n")
-    for g in ("m", "f"):
-        out = F.when(raw.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? "), g).otherwise(out)
-    return out
+    name = F.concat(title, F.coalesce(F.concat(_styled(two, F.col("given")), F.lit(" ")), F.lit("")), _styled(one, F.col("family")))
+    mail = F.concat(F.substring_index(one, "@", 1), F.lit("@"), two)
+    same = F.array_join(F.zip_with(_chars(mail), _chars(raw), lambda m, r: F.when(F.lower(r) != r, F.upper(m)).otherwise(m)), "")
+    shouted = F.when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(mail)).otherwise(mail)
+    email = F.when(F.length(mail) == F.length(raw), same).otherwise(shouted)
+    return F.when(kind == "email", email).when(kind == "ip", one).when(kind == "name", name).otherwise(spread)
 
 
-def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns of `docs` with the text rewritten, and _entities: an array of (kind, original, replacement) in order.
 
     The key decides all surrogates; the same key gives the same ones where the
     same entities occur.
     """
-    text = F.col(text_col)
-    id_key = F.struct(F.col(id_col).isNull(), F.coalesce(F.col(id_col), F.lit(0)))
-    raw = F.explode(F.array_distinct(entities(text_of(text_col)))).alias("raw")
-    hits = docs.where(text.rlike(_GATE)).select(id_key.alias("id"), raw).withColumn("kind", _type_of(F.col("raw")))
-    hits = staged(hits.select("id", "kind", "raw", _normal(F.col("kind"), F.col("raw")).alias("norm"), _gender(F.col("raw")).alias("gender")), "pii-hits")
-    made = distinct_surrogates(hits, key)
-    own = hits.join(made, ["kind", "norm"]).select("id", "kind", "raw", _rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new")).distinct()
-    own = staged(own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("raw", F.struct("kind", "new")))).alias("_pw_new")), "pii-own")
-
-    schema = "array<struct<kind:string,original:string,replacement:string>>"
-    found = F.size(entities(text_of(text_col))) > 0
-    plain = docs.where(~found).withColumn("_entities", F.array().cast(schema))
-    rows = docs.where(found).withColumn("_pw_id", id_key).join(own.withColumnRenamed("id", "_pw_id"), "_pw_id")
-    rows = rows.withColumns({"_pw_gaps": F.split(text, _ALL, -1), "_pw_hits": F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))})
-    rows = rows.withColumn("_pw_put", F.transform("_pw_hits", lambda r: F.struct(F.element_at(F.col("_pw_new"), r)["kind"].alias("kind"), r.alias("original"), F.element_at(F.col("_pw_new"), r)["new"].alias("replacement"))))
-    mixed = F.zip_with("_pw_gaps", "_pw_put", lambda g, p: F.concat(g, F.coalesce(p["replacement"], F.lit(""))))
-    rows = rows.withColumn(text_col, F.array_join(mixed, "")).withColumn("_entities", F.col("_pw_put").cast(schema))
-    return plain.unionByName(rows.select(*plain.columns))
+    docs = docs.drop("_entities")
+    text, has = F.col(text_col), text_of(text_col).rlike(_ALL)
+    plain = docs.where(~has).withColumn("_entities", F.array().cast(_SCHEMA))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = staged(docs.where(has).select(F.monotonically_increasing_id().alias("rid"), row, text.alias("text"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0)).alias("hits")), "pii-rows")
+
+    raws = staged(_parsed(rows.select(F.explode(F.array_distinct("hits")).alias("raw")).distinct()), "pii-raws")
+    atoms = raws.select(F.explode(F.array_compact(F.array("one", "two"))).alias("a")).select("a.*")
+    made = distinct_surrogates(atoms, key)
+    side = lambda n: made.select(F.struct("kind", "norm", "gender").alias(n), F.col("surrogate").alias(f"new_{n}"))
+    news = raws.join(side("one"), "one").join(side("two"), "two", "left").select("raw", F.struct("kind", _rendered(F.col("new_one"), F.col("new_two")).alias("new")).alias("new"))
+    news = staged(news, "pii-new")
+
+    # a row's map holds what occurs in its own text
+    own = rows.select("rid", F.explode(F.array_distinct("hits")).alias("raw")).join(news, "raw").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("new"))
+    done = rows.join(own, "rid").withColumn("put", F.transform("hits", lambda r: F.struct(F.element_at(F.col("new"), r)["kind"].alias("kind"), r.alias("original"), F.element_at(F.col("new"), r)["new"].alias("replacement"))))
+    mixed = F.zip_with(F.split("text", _ALL, -1), "put", lambda g, p: F.concat(g, F.coalesce(p["replacement"], F.lit(""))))
+    cols = [F.array_join(mixed, "").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return plain.unionByName(done.select(*cols, F.col("put").cast(_SCHEMA).alias("_entities")))
