@@ -527,8 +527,7 @@ def test_best_fit_by_brute_force():
 
 
 @pytest.mark.parametrize("block", [7, 10_000])
-def test_exact_knn(spark, monkeypatch, block):
-    monkeypatch.setattr(exact_knn, "PER_PIVOT", 40)
+def test_exact_knn(spark, block):
     rng = np.random.default_rng(1)
     vec = rng.integers(-9, 9, (300, 5)).tolist()
     vec[10:60] = [vec[9]] * 50  # ties
@@ -547,9 +546,8 @@ def test_exact_knn(spark, monkeypatch, block):
 
 
 @pytest.mark.parametrize("block", [7, 10_000])
-def test_knn_of_repeated_rows_and_hot_ids(spark, monkeypatch, block):
+def test_knn_of_repeated_rows_and_hot_ids(spark, block):
     """A best vector and a query id that are repeated more than k times."""
-    monkeypatch.setattr(exact_knn, "PER_PIVOT", 40)
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(200)]
     rows += [(500, [30, 30, 30, 30])] * 40 + [(500, [30, 30, 30, 30, 0])]
@@ -565,6 +563,19 @@ def test_knn_of_repeated_rows_and_hot_ids(spark, monkeypatch, block):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_knn_prunes_groups(spark):
+    """Far groups are not searched where the vectors form clusters."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.array([1000, 0, 0]) if i % 2 else np.array([0, 1000, 0])) + rng.integers(-3, 4, 3)) for i in range(400)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, vec array<long>")
+    pairs, searched = exact_knn.pruned_pairs(df, F.pmod("vec_id", F.lit(20)) == 0, 5)
+    assert pairs >= 20 * 10 and searched <= 0.6 * pairs
+    got = exact_knn.top_k(df, F.pmod("vec_id", F.lit(20)) == 0, 5).collect()
+    for q in range(0, 400, 20):
+        best = sorted((-int(np.dot(rows[q][1], v)), i) for i, v in rows if i != q)[:5]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_knn_beyond_doubles(spark):
     big = 1 << 28
     df = spark.createDataFrame([(0, [big, 1]), (1, [big, 0]), (2, [big, 1]), (3, [big, 2])], "vec_id long, vec array<long>")
