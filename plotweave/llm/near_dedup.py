@@ -56,8 +56,9 @@ RICH = 2
 STRIDE = 2
 #: Most rounds of growth; what is large then is compared exhaustively.
 ROUNDS = 12
-#: Sets in a node that are compared exhaustively, and sets in a block of those that are larger after the last round.
+#: A node of so many sets is compared exhaustively; after the last round larger ones are too, in blocks of so many.
 SMALL = 512
+FEW = 64
 #: Sets in a node from which one is compared with all others first.
 STAR = 256
 #: Pairs of sets that one task is given to compare.
@@ -165,25 +166,44 @@ def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     return large.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.v") != F.col("b.v")) & _alike("a", "b", percent)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()
 
 
+def _opened(nodes: DataFrame, crowded: bool) -> DataFrame:
+    """Rows of nodes in which several parts meet, with the node's size, its most frequent part and that part's size; staged."""
+    if crowded:
+        counts = nodes.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        counts = counts.agg(F.sum("n").alias("size"), F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"))
+    else:
+        counts = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("main"), F.lit(1).cast("long").alias("most"))
+    return staged(nodes.drop("size").join(counts.where(F.col("size") > F.col("most")), "key"), "near-level")
+
+
+def _is_small() -> Column:
+    """A node is small by the pairs that must be compared in it: all but those inside its most frequent part.
+
+    One with FEW sets outside that part is small too: no set has more partners than those.
+    """
+    rest = F.col("size") - F.col("most")
+    return (rest <= FEW) | (rest * F.col("most") + rest * rest / 2 <= SMALL * SMALL / 2)
+
+
 def _node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of sets of different parts that meet in a node.
 
-    A node of more than SMALL sets is cut into blocks, and each pair of blocks is
-    a group of its own. Groups are dealt to enough tasks for the pairs in them.
+    On the left stand the sets outside the most frequent part, on the right all;
+    both sides are cut into blocks of SMALL sets, and each pair of blocks is a
+    group of its own. Groups are dealt to enough tasks for the pairs in them.
     """
-    work = nodes.agg(F.sum(F.least(F.col("size"), F.lit(2 * SMALL)))).first()[0] or 0
+    outer = F.col("part") != F.col("main")
+    work = nodes.where(outer).agg(F.sum("size")).first()[0] or 0
     tasks = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-work // TASK_PAIRS))
-    blocks = F.ceil(F.col("size") / SMALL).cast("int")
-    cut = nodes.withColumn("own", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("blocks", blocks)
-    # of two blocks the lower is `lo`; a row stands on the left for its own block as `lo`, on the right as `hi`
-    left = cut.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
-    left = left.select("*", F.xxhash64("key", F.col("own").alias("lo"), F.col("other").alias("hi")).alias("cell"))
-    right = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    right = right.select("*", F.xxhash64("key", F.col("other").alias("lo"), F.col("own").alias("hi")).alias("cell"))
+    lefts, rights = (F.ceil(n / SMALL).cast("int") for n in (F.col("size") - F.col("most"), F.col("size")))
+    left = nodes.where(outer).select("*", F.explode(F.sequence(F.lit(0), rights - 1)).alias("block"))
+    left = left.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("v"), lefts), F.col("block").cast("long")))
+    right = nodes.select("*", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("block"))
+    right = right.withColumn("cell", F.xxhash64("key", F.col("block").cast("long"), F.pmod(F.xxhash64("v"), rights)))
     left, right = left.repartition(tasks, "cell").alias("a"), right.repartition(tasks, "cell").alias("b")
-    order = F.when(F.col("a.own") == F.col("b.own"), F.col("a.v") < F.col("b.v")).otherwise(True)
+    once = (F.col("b.part") == F.col("b.main")) | (F.col("a.v") < F.col("b.v"))
     # the condition must stay small enough for compiled code: a test for pairs that met elsewhere made it five times slower
-    pair = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & order & (F.col("a.part") != F.col("b.part"))
+    pair = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once
     return left.join(right, pair & _alike("a", "b", percent)).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b")).distinct()
 
 
@@ -219,13 +239,11 @@ def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) ->
 
     carried = [*brief, "part"]
     found = []
-    nodes = nodes.drop("size")
     for turn in range(ROUNDS + 1):
-        open_nodes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key", "size")
-        nodes = staged(nodes.join(open_nodes, "key"), "near-level")
+        nodes = _opened(nodes, crowded)
         last = turn == ROUNDS
-        found.append(staged(_node_pairs(nodes if last else nodes.where(F.col("size") <= SMALL), percent), "near-pairs"))
-        large = nodes.where(F.col("size") > SMALL)
+        found.append(staged(_node_pairs(nodes if last else nodes.where(_is_small()), percent), "near-pairs"))
+        large = nodes.where(~_is_small())
         if last or not crowded or not large.limit(1).count():
             break
         grown = large.select(*carried, "key").join(sets.select("v", "tokens"), "v")
