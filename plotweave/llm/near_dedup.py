@@ -40,7 +40,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.operators.connect import components
@@ -53,10 +53,12 @@ TOKENS = 64
 ROOTS = [8 * k for k in range(8)]
 #: Levels below a root at which each set has two children, and levels that are grown between two counts.
 RICH = 2
-STRIDE = 2
+STRIDE = 4
 #: Most rounds of growth; what is large then is compared exhaustively.
-ROUNDS = 12
-#: A node of so many sets is compared exhaustively; after the last round larger ones are too, in blocks of so many.
+ROUNDS = 6
+#: A root of so many sets is compared exhaustively: growing it would cost more pairs than it saves.
+ROOT = 2048
+#: A grown node of so many sets is compared exhaustively; after the last round larger ones are too, in blocks of so many.
 SMALL = 512
 FEW = 64
 #: Sets in a node from which one is compared with all others first.
@@ -176,17 +178,17 @@ def _opened(nodes: DataFrame, crowded: bool) -> DataFrame:
     return staged(nodes.drop("size").join(counts.where(F.col("size") > F.col("most")), "key"), "near-level")
 
 
-def _is_small() -> Column:
-    """A node is small by the pairs that must be compared in it: all but those inside its most frequent part.
+def _is_small(most: int) -> Column:
+    """A node is small by the pairs that must be compared in it, those of `most` sets: all but those inside its most frequent part.
 
     One with FEW sets outside that part is small too: no set has more partners than those.
     """
     rest = F.col("size") - F.col("most")
-    return (rest <= FEW) | (rest * F.col("most") + rest * rest / 2 <= SMALL * SMALL / 2)
+    return (rest <= FEW) | (rest * F.col("most") + rest * rest / 2 <= most * most / 2)
 
 
 def _node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets of different parts that meet in a node.
+    """Distinct pairs of sets of different parts that meet in a node; of several nodes in which a pair meets one makes it.
 
     On the left stand the sets outside the most frequent part, on the right all;
     both sides are cut into blocks of SMALL sets, and each pair of blocks is a
@@ -196,15 +198,17 @@ def _node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     work = nodes.where(outer).agg(F.sum("size")).first()[0] or 0
     tasks = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-work // TASK_PAIRS))
     lefts, rights = (F.ceil(n / SMALL).cast("int") for n in (F.col("size") - F.col("most"), F.col("size")))
+    keys = F.collect_list("key").over(Window.partitionBy("v"))  # a set is in few nodes
+    nodes = nodes.withColumn("before", F.filter(keys, lambda k: k < F.col("key")))
     left = nodes.where(outer).select("*", F.explode(F.sequence(F.lit(0), rights - 1)).alias("block"))
     left = left.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("v"), lefts), F.col("block").cast("long")))
     right = nodes.select("*", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("block"))
     right = right.withColumn("cell", F.xxhash64("key", F.col("block").cast("long"), F.pmod(F.xxhash64("v"), rights)))
     left, right = left.repartition(tasks, "cell").alias("a"), right.repartition(tasks, "cell").alias("b")
     once = (F.col("b.part") == F.col("b.main")) | (F.col("a.v") < F.col("b.v"))
-    # the condition must stay small enough for compiled code: a test for pairs that met elsewhere made it five times slower
+    # the condition must stay small enough for compiled code
     pair = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once
-    return left.join(right, pair & _alike("a", "b", percent)).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b")).distinct()
+    return left.join(right, pair & _alike("a", "b", percent) & ~F.arrays_overlap("a.before", "b.before")).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b")).distinct()
 
 
 def _children(tokens: str, rich: bool, percent: int):
@@ -242,8 +246,8 @@ def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) ->
     for turn in range(ROUNDS + 1):
         nodes = _opened(nodes, crowded)
         last = turn == ROUNDS
-        found.append(staged(_node_pairs(nodes if last else nodes.where(_is_small()), percent), "near-pairs"))
-        large = nodes.where(~_is_small())
+        found.append(staged(_node_pairs(nodes if last else nodes.where(_is_small(SMALL if turn else ROOT)), percent), "near-pairs"))
+        large = nodes.where(~_is_small(SMALL if turn else ROOT))
         if last or not crowded or not large.limit(1).count():
             break
         grown = large.select(*carried, "key").join(sets.select("v", "tokens"), "v")

@@ -154,6 +154,8 @@ def test_near_dedup_of_unlucky_links(spark):
 def test_near_dedup_of_one_large_group(spark, monkeypatch):
     """A crowded node: near copies of one text beside a second family of texts, with the exhaustive limit lowered."""
     monkeypatch.setattr(near_dedup, "SMALL", 16)
+    monkeypatch.setattr(near_dedup, "ROOT", 24)
+    monkeypatch.setattr(near_dedup, "FEW", 2)
     monkeypatch.setattr(near_dedup, "STAR", 8)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
