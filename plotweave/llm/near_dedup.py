@@ -57,7 +57,7 @@ STRIDE = 4
 #: Most rounds of growth; what is large then is compared exhaustively.
 ROUNDS = 6
 #: A root of so many sets is compared exhaustively: growing it would cost more pairs than it saves.
-ROOT = 2048
+ROOT = 4096
 #: A grown node of so many sets is compared exhaustively; after the last round larger ones are too, in blocks of so many.
 SMALL = 512
 FEW = 64
@@ -242,25 +242,22 @@ def similar_links(sets: DataFrame, docs: DataFrame, width: int, percent: int) ->
         nodes = nodes.withColumn("part", F.col("v"))
 
     carried = [*brief, "part"]
-    found = []
+    ready = None
     for turn in range(ROUNDS + 1):
         nodes = _opened(nodes, crowded)
-        last = turn == ROUNDS
-        found.append(staged(_node_pairs(nodes if last else nodes.where(_is_small(SMALL if turn else ROOT)), percent), "near-pairs"))
-        large = nodes.where(~_is_small(SMALL if turn else ROOT))
-        if last or not crowded or not large.limit(1).count():
+        last, small = turn == ROUNDS or not crowded, _is_small(SMALL if turn else ROOT)
+        some = nodes if last else nodes.where(small)
+        ready = some if ready is None else ready.unionByName(some)
+        if last or not nodes.where(~small).limit(1).count():
             break
-        grown = large.select(*carried, "key").join(sets.select("v", "tokens"), "v")
+        grown = nodes.where(~small).select(*carried, "key").join(sets.select("v", "tokens"), "v")
         for level in range(STRIDE):
             children = _children("tokens", turn * STRIDE + level < RICH, percent)
             grown = grown.withColumn("key", F.explode(children(F.col("key"))))
         nodes = grown.select(*carried, "key")
 
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    confirmed_pairs = confirmed(staged(pairs.distinct(), "near-pairs") if len(found) > 1 else pairs, sets, docs, width, percent)
-    return confirmed_pairs if links is None else links.unionByName(confirmed_pairs)
+    pairs = confirmed(staged(_node_pairs(ready, percent), "near-pairs"), sets, docs, width, percent)
+    return pairs if links is None else links.unionByName(pairs)
 
 
 def _graded(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:

@@ -133,9 +133,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     `spans` those and the models'.
     """
     base = pattern_spans(docs, id_col, text_col)
-    # ordinary texts are sampled by a hash of the id, at a share that leaves some SAMPLE_TEXTS of them
+    # ordinary texts are sampled by a hash of id and text, at a share that leaves some SAMPLE_TEXTS of them
     share = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
-    sampled = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))
+    sampled = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 48)) < int(share * (1 << 48))
     sample = base.select(F.when(F.size("base") > 0, F.lit("")).when(sampled, F.col("text")).alias("text"), "base").where("text is not null")
     model = train(staged(sample, "secret-sample"))
     long_token = TOKEN[:-1] + "{%d,}" % MIN_TOKEN

@@ -32,11 +32,12 @@ def winner(key: Column, weights: list[float], among: int | None = None) -> Colum
 def assign_shards(docs: DataFrame, weights: list[float], key_col: str = "doc_id", grown: list[float] | None = None, slices: int | None = None, keep: tuple[str, ...] = (), **measures: Column) -> DataFrame:
     """Per row: key, the columns of `keep`, `measures`, shard, slot and (with `grown`, weights of the enlarged set) grown_shard.
 
-    Slots run from 0 in each shard, by slices of the key's hash: rows are
-    numbered within a slice, and the counts of the slices before are added.
+    Slots run from 0 in each shard, by slices of a hash of key and measures, so
+    rows of one key are spread by what is measured of them: rows are numbered
+    within a slice, and the counts of the slices before are added.
     """
     key, slices = F.col(key_col), slices or max(16, SLICES // len(weights))
-    rows = docs.select(key.alias("key"), F.xxhash64(key, F.lit("slot")).alias("spot"), *[F.col(c) for c in keep], *[m.alias(n) for n, m in measures.items()], winner(key, weights).alias("shard"), (winner(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
+    rows = docs.select(key.alias("key"), F.xxhash64(key, F.lit("slot"), *measures.values()).alias("spot"), *[F.col(c) for c in keep], *[m.alias(n) for n, m in measures.items()], winner(key, weights).alias("shard"), (winner(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
     rows = rows.withColumn("slice", F.pmod("spot", F.lit(slices)).cast("int"))
     counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -596,16 +596,113 @@ def test_query_has_every_document(spark, name):
     assert got == spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").count()
 
 
+def _plain_components(texts, percent):
+    """The smallest index reachable over links of similar sets of five-word shingles; texts without words link with nothing."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(texts)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages after each other, on null and repeated ids, repeated rows, empty texts and columns with the stages' names."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(420):
+        words = [rng.choice(WORDS) + rng.choice("aeiou") for _ in range(rng.choice([0, 4, 30, 80]))]
+        bad = i % 4 == 1 and len(words) > 3
+        if bad:
+            words[1] = rng.choice(["rotter", "scoundrel", "knave"])
+        text = " ".join(words)
+        if i % 9 == 2 and rows:
+            old = (rng.choice(rows)[1] or "x y").split() or ["x"]
+            text = "  ".join(old) if i % 2 else " ".join([*old[:-1], "changed"])
+        rows.append((None if i % 40 == 7 else i - i % 2 if i % 30 == 5 else i, text or None, rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s1", None]), i))
+        labels.append((i, int(bad)))
+    rows += rows[10:14] + [(900, " ".join(rng.choice(WORDS) for _ in range(5000)), "en", "s1", 0)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("_score", "_toxic", "id", "ta", "kept", "size", "slot", "part", "best")})
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    shown = lambda rows: sorted(((str(r.doc_id), r.text or "", r.source or "") for r in rows))
+    have = docs.collect()
+
+    model = toxicity.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    scores = model.scores([r.text or "" for r in have])
+    cut = [model.thresholds.get(r.lang or "", model.thresholds.get(None, toxicity.DEFAULT_THRESHOLD)) for r in have]
+    want = [r for r, s, c in zip(have, scores, cut, strict=True) if s < c]
+    assert 0 < len(have) - len(want) < len(have) / 2
+
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name == "best_fit_packing":
+            break
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = docs.collect()
+        assert all(r._score == r._toxic == r.part == "clash" for r in got)
+        if name == "exact_dedup":
+            groups = {}
+            for r in have:
+                groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append(r)
+            want = [min(g, key=lambda r: (-len(r.text or ""), key(r))) for g in groups.values()]
+            assert {(str(r.doc_id), r.text or "") for r in want} >= {(str(r.doc_id), r.text or "") for r in got if r.text} and len(got) == len(want)
+        elif name == "near_dedup":
+            order = sorted(have, key=key)
+            comp = _plain_components([r.text for r in order], 80)
+            best = {i for i, c in enumerate(comp) if i == c}
+            ids = lambda rows: sorted(str(r.doc_id) for r in rows)
+            assert len(got) == len(best) < len(have)
+            assert ids(r for r in got if r.doc_id is not None) == ids(order[i] for i in best if order[i].doc_id is not None)
+        elif name == "mix_sources":
+            size = lambda rows, s: sum(len(WORD.findall(r.text or "")) for r in rows if r.source == s)
+            plan = {r.source: r for r in mixing.mix(spark.createDataFrame(have)).collect()}
+            for source in {r.source for r in have}:
+                longest = max(len(WORD.findall(r.text or "")) for r in have if r.source == source)
+                assert abs(size(got, source) - plan[source].target) <= longest
+            assert set(shown(got)) <= set(shown(have)) and max(shown(got).count(x) for x in shown(got)) <= 3
+        else:
+            assert shown(got) == shown(want)
+        have = got
+    bins, words = {}, {}
+    for r in out.collect():
+        words[str(r.doc_id)] = words.get(str(r.doc_id), 0) + r.n_words
+        if r.bin_id:
+            bins.setdefault(r.bin_id, []).append(r)
+    whole = {}
+    for r in have:
+        whole[str(r.doc_id)] = whole.get(str(r.doc_id), 0) + len(WORD.findall(r.text or ""))
+    assert words == whole
+    assert all(sum(r.n_words for r in b) == b[0].bin_words <= 2048 for b in bins.values())
+    assert all(sum(r.source == s for r in b) <= 4 for b in bins.values() for s in {r.source for r in b})
+
+
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    d = f"{DATA}/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    names, sizes = docs.columns, []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, d)
-        assert docs.columns == names
-        sizes.append(docs.count())
-    assert sizes[0] <= 200 and sizes[1] < sizes[0] and sizes[2] <= sizes[1]
-    packed = corpus_pipeline.run(spark, d)
+    packed = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
     assert packed.where("bin_words > 2048").count() == 0 and packed.count() > 0
