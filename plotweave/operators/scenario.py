@@ -9,9 +9,10 @@ from . import geo
 
 
 def uniform(seed: Column | int, *salt: Column | str) -> Column:
-    """A number in [0, 1) from a hash of seed and salt: the same in every run and on every partitioning."""
-    parts = [F.lit(seed) if isinstance(seed, int) else seed, *[F.lit(s) if isinstance(s, str) else s for s in salt]]
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) from 52 bits of the md5 of seed and salt: the same in every run, on every partitioning and in other engines."""
+    parts = [F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string"), *[F.lit(s) if isinstance(s, str) else s.cast("string") for s in salt]]
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10)
+    return bits.cast("long") / float(1 << 52)
 
 
 def normal(seed: Column | int, *salt: Column | str) -> Column:
@@ -20,70 +21,99 @@ def normal(seed: Column | int, *salt: Column | str) -> Column:
     return F.sqrt(-2 * F.ln(u)) * F.cos(v * 6.283185307179586)
 
 
+_STEPS = "array<struct<name:string,at:int>>"
+
+
 def flatten_params(docs: DataFrame, key: str, doc: str = "doc", depth: int = 6) -> DataFrame:
-    """Leaves (key, path, kind, node) of variant documents.
+    """Leaves (key, path, steps, kind, node) of variant documents.
 
-    Objects and arrays are opened level by level down to `depth`; an object with
-    a distribution (or a sampling) is a leaf. Kind is `distribution` or `literal`.
+    Objects and arrays are opened down to `depth`; an object with a distribution
+    (or a sampling) is a leaf, and so is an empty object or array. Kind is
+    `distribution` or `literal`; `steps` are the names and positions of the path.
+    Every level opens what the one before has left, in one projection each.
     """
-    spark = docs.sparkSession
-    level = docs.select(key, F.lit("").alias("path"), F.col(doc).alias("node"))
-    leaves = None
-    for step in range(depth + 1):
-        text = F.schema_of_variant("node")
-        drawn = F.try_variant_get("node", "$.distribution", "variant").isNotNull() | F.try_variant_get("node", "$.sampling", "variant").isNotNull()
-        opened = (text.startswith("OBJECT") | text.startswith("ARRAY")) & ~drawn
-        here = level.select("*", F.coalesce(opened, F.lit(False)).alias("open"), F.coalesce(drawn, F.lit(False)).alias("drawn"))
-        end = here if step == depth else here.where(~F.col("open"))
-        part = end.where("path != ''").select(key, "path", F.when(F.col("drawn"), "distribution").otherwise("literal").alias("kind"), "node")
-        leaves = part if leaves is None else leaves.unionByName(part)
-        if step < depth:
-            inner = here.where("open").select(key, F.col("path").alias("parent"), F.col("node").alias("outer_node"))
-            child = inner.lateralJoin(spark.tvf.variant_explode(F.col("outer_node").outer()))
-            name = F.coalesce(F.concat(F.lit("."), F.col("key")), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-            level = child.select(key, F.concat("parent", name).alias("path"), F.col("value").alias("node"))
-    return leaves
+    node = F.col("node")
+    rows = docs.select(key, F.lit("").alias("path"), F.array().cast(_STEPS).alias("steps"), F.col(doc).alias("node"))
+    drawn = F.coalesce(F.try_variant_get(node, "$.distribution", "variant").isNotNull() | F.try_variant_get(node, "$.sampling", "variant").isNotNull(), F.lit(False))
+    step = lambda name, at: F.struct(name.cast("string").alias("name"), at.cast("int").alias("at"))
+    grown = lambda suffix, s, value: F.struct(F.concat("path", suffix).alias("path"), F.array_append("steps", s).cast(_STEPS).alias("steps"), value.alias("node"))
+    none = F.lit(None)
+    for _ in range(depth):
+        shape = F.schema_of_variant(node)
+        fields = F.transform(F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")), lambda e: grown(F.concat(F.lit("."), e["key"]), step(e["key"], none), e["value"]))
+        items = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v, i: grown(F.concat(F.lit("["), i.cast("string"), F.lit("]")), step(none, i), v))
+        inner = F.when(shape.startswith("OBJECT") & ~drawn, fields).when(shape.startswith("ARRAY"), items)
+        itself = F.array(F.struct("path", "steps", "node"))
+        rows = rows.select(key, F.explode(F.when(F.coalesce(F.size(inner), F.lit(0)) > 0, inner).otherwise(itself)).alias("r")).select(key, "r.*")
+    return rows.where("path != ''").select(key, "path", "steps", F.when(drawn, "distribution").otherwise("literal").alias("kind"), "node")
 
 
 def leaf_distributions(leaves: DataFrame) -> DataFrame:
-    """Both dialects of distribution leaves as columns: dist, low, high, mean, std, categories, whole, value."""
+    """Both dialects of distribution leaves as columns: dist, low, high, mean, std, categories, whole, value.
+
+    `categories` and `value` are JSON texts, so types survive.
+    """
     node = F.col("node")
     get = lambda path, kind: F.try_variant_get(node, path, kind)
+    json = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
     both = lambda new, old, kind="double": F.coalesce(*[get(p, kind) for p in (*[f"$.distribution.params.{n}" for n in new], *[f"$.{n}" for n in old])])
     name = F.coalesce(get("$.distribution.type", "string"), get("$.sampling", "string"))
     dist = F.when(name.isin("discrete"), "categorical").otherwise(F.coalesce(name, F.lit("literal")))
     ends = [F.regexp_extract(F.schema_of_variant(F.coalesce(get(f"$.distribution.params.{n}", "variant"), get(f"$.{n}", "variant"))), "^[A-Z]+", 0) for n in ("min", "max")]
     whole = F.coalesce((ends[0] == "BIGINT") & (ends[1] == "BIGINT"), F.lit(False))
-    options = F.coalesce(get("$.distribution.params.categories", "array<string>"), get("$.values", "array<string>"))
-    fixed = F.coalesce(get("$.distribution.params.value", "string"), get("$.value", "string"), F.when(dist == "literal", get("$", "string")))
+    options = F.transform(F.coalesce(get("$.distribution.params.categories", "array<variant>"), get("$.values", "array<variant>")), json)
+    fixed = F.when(dist == "literal", json(node)).otherwise(json(F.coalesce(get("$.distribution.params.value", "variant"), get("$.value", "variant"))))
     return leaves.select(*[c for c in leaves.columns if c != "node"], dist.alias("dist"), both(["min"], ["min"]).alias("low"), both(["max"], ["max"]).alias("high"), both(["mean"], ["mean"]).alias("mean"), both(["std", "stddev"], ["stddev", "std"]).alias("std"), options.alias("categories"), whole.alias("whole"), fixed.alias("value"))
 
 
 def sample_params(leaves: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """`n` scenes per document with a drawn value (text) for each leaf of `leaf_distributions`.
+    """`n` scenes per document with a drawn value (JSON text) for each leaf of `leaf_distributions`.
 
     Uniform draws are whole (ends included) when both ends are, else real;
-    reals are rounded to 4 digits; without categories the value is empty.
+    reals are rounded to 4 digits; without categories the value is an empty string.
     """
     scenes = leaves.withColumn("scene", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    salt = (F.col(key).cast("string"), F.col("scene"), F.col("path"))
+    salt = (F.col(key), F.col("scene"), F.col("path"))
     u = uniform(seed, *salt)
     span = F.col("high") - F.col("low")
     whole = (F.col("low") + F.floor(u * (span + 1))).cast("long").cast("string")
     real = F.round(F.col("low") + u * span, 4).cast("string")
     drawn = F.when(F.col("dist") == "uniform", F.when(F.col("whole"), whole).otherwise(real)).when(F.col("dist") == "normal", F.round(F.col("mean") + normal(seed, *salt) * F.col("std"), 4).cast("string"))
-    picked = F.coalesce(F.get("categories", F.floor(u * F.size("categories")).cast("int")), F.lit(""))
+    picked = F.coalesce(F.get("categories", F.floor(u * F.size("categories")).cast("int")), F.lit('""'))
     drawn = drawn.when(F.col("dist") == "categorical", picked).otherwise(F.col("value"))
     return scenes.withColumn("drawn", drawn)
 
 
+def nested_json(leaves: Column) -> Column:
+    """The JSON document of an array of (steps, drawn): objects and arrays as deep as the paths, in the order of names and positions.
+
+    Leaves are visited in order; between two of them the containers that only
+    the first is in are closed and those that only the second is in are opened.
+    """
+    left = lambda s: F.when(s["name"].isNull(), F.lit("[")).otherwise(F.lit("{"))
+    right = lambda s: F.when(s["name"].isNull(), F.lit("]")).otherwise(F.lit("}"))
+    label = lambda s: F.when(s["name"].isNull(), F.lit("")).otherwise(F.concat(F.lit('"'), F.regexp_replace(s["name"], r'(["\\\\])', r"\\$1"), F.lit('":')))
+
+    def add(acc: Column, leaf: Column) -> Column:
+        old, new = acc["steps"], leaf["steps"]
+        same = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(old), F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & F.get(old, i - 1).eqNullSafe(F.get(new, i - 1)), i).otherwise(n))
+        shut = F.array_join(F.transform(F.reverse(F.slice(old, same + 2, F.greatest(F.size(old) - same - 1, F.lit(0)))), right), "")
+        first = F.get(new, same)
+        begin = F.when(F.size(old) > 0, F.concat(shut, F.lit(","))).otherwise(left(first))
+        deeper = F.array_join(F.transform(F.slice(new, same + 2, F.greatest(F.size(new) - same - 1, F.lit(0))), lambda s: F.concat(left(s), label(s))), "")
+        return F.struct(new.alias("steps"), F.concat(acc["text"], begin, label(first), deeper, leaf["drawn"]).alias("text"))
+
+    out = F.aggregate(leaves, F.struct(F.array().cast(_STEPS).alias("steps"), F.lit("").alias("text")), add)
+    return F.concat(out["text"], F.array_join(F.transform(F.reverse(out["steps"]), right), ""))
+
+
 def assemble_params(samples: DataFrame, key: str) -> DataFrame:
-    """One document (JSON text) per scene: a map from path to drawn value, in path order."""
-    pairs = F.array_sort(F.collect_list(F.struct("path", "drawn")))
-    return samples.groupBy(key, "scene").agg(F.to_json(F.map_from_entries(pairs)).alias("document"), F.count(F.lit(1)).alias("n_leaves"))
+    """One document (JSON text) per scene, nested and typed like the template, with the drawn values in it."""
+    leaves = F.array_sort(F.collect_list(F.struct("steps", "drawn")))
+    return samples.groupBy(key, "scene").agg(leaves.alias("leaves"), F.count(F.lit(1)).alias("n_leaves")).select(key, "scene", nested_json(F.col("leaves")).alias("document"), "n_leaves")
 
 
-#: Ranges of a genotype's traits: lower end of the minimum, its upper end, least gap (or None for a fixed start), upper end of the maximum.
+#: Ranges of a genotype's traits, lower end of the minimum, its upper end, least gap (or None for a fixed start), upper end of the maximum.
 GENOTYPE_RANGES = {
     "plant_count": (3, 8, 1, 15),
     "plant_spacing_x": (0.3, 0.5, 0.1, 1.0),
@@ -141,12 +171,48 @@ def scene_plan(matrix: DataFrame, seed: int = 42, area: int = 1280 * 720) -> tup
     return plants, geo.camera_plan(scenes)
 
 
-def plots_to_scenes(plants: DataFrame, plots: DataFrame) -> DataFrame:
-    """Scene document (JSON text) of each plot from its detected plants (raster_id, x_m, y_m, z) and layout (raster_id, width_m, height_m)."""
+#: Keys of a scene document that a template may leave out.
+SCENE_DEFAULTS = {"plot_size_z": 0.2, "azimuth_angle": 0.0, "focusing_plants": False, "mode": "manual"}
+
+
+def plots_to_scenes(plants: DataFrame, plots: DataFrame, template: str = "{}", plant_type: str | None = None, year: int = 2025, camera_height: float = 1.2, buffer: float = 1.0, ground: Column | None = None) -> DataFrame:
+    """Scene document (JSON text) of each plot from its detected plants (raster_id, x_m, y_m, z) and layout (raster_id, width_m, height_m, dap).
+
+    `template` is a scene document (JSON text): its other keys stay, and those
+    that the plot decides are set, down to single keys of sections that the
+    template has. `ground` is the path of a plot's ground mesh, null where there
+    is none. Plants of a plot are one array, which its document needs; plots are
+    apart, so no array grows with their number.
+    """
     spots = F.array_sort(F.collect_list(F.struct(F.bround("x_m", 4).alias("x"), F.bround("y_m", 4).alias("y"), F.coalesce("z", F.lit(0.0)).alias("z"))))
     own = plants.groupBy("raster_id").agg(spots.alias("plants"))
-    out = geo.scene_size(plots.join(own, "raster_id", "left"), F.col("width_m"), F.col("height_m"))
-    layout = F.struct("size_x", "size_y", F.lit(1).alias("num_rows"), F.lit(1).alias("num_beds"))
-    field = F.struct(layout.alias("layout"), F.coalesce("plants", F.array().cast("array<struct<x:double,y:double,z:double>>")).alias("plants"))
-    camera = F.struct(F.col("image_width").alias("resolution_x"), F.col("image_height").alias("resolution_y"))
-    return out.select("raster_id", F.to_json(F.struct(field.alias("field"), F.struct(F.col("heading").alias("rotate_obj")).alias("soil"), camera.alias("camera"))).alias("document"))
+    dap = F.col("dap") if "dap" in plots.columns else F.lit(None).cast("int")
+    out = geo.scene_size(plots.withColumn("_dap", dap).join(own, "raster_id", "left"), F.col("width_m"), F.col("height_m"), buffer)
+    path = F.lit(None).cast("string") if ground is None else ground
+    none = F.array().cast("array<struct<x:double,y:double,z:double>>")
+    plot = F.struct(F.lit(1).alias("bed"), F.lit(1).alias("row"), F.coalesce("plants", none).alias("plants"))
+    given = F.parse_json(F.lit(template))
+    text = lambda c: F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    value = lambda c: F.try_variant_get(F.parse_json(text(c)), "$.v", "variant")
+    default = lambda at, name: F.coalesce(F.try_variant_get(given, f"$.{at}.{name}", "variant"), value(F.lit(SCENE_DEFAULTS[name])))
+    values = {
+        "metadata": {"plant_type": None if plant_type is None else value(F.lit(plant_type)), "year": value(F.lit(year)), "dap": value(F.col("_dap"))},
+        "field.layout": {"mode": value(F.lit(SCENE_DEFAULTS["mode"])), "plot_size_x": value(F.col("size_x")), "plot_size_y": value(F.col("size_y")), "plot_size_z": default("field.layout", "plot_size_z"), "num_rows": value(F.lit(1)), "num_beds": value(F.lit(1))},
+        "field": {"plots": value(F.array(plot))},
+        "environment.soil": {"rotate_obj": value(F.col("heading")), "use_obj_ground": F.when(path.isNotNull(), value(F.lit(True))), "obj_file_path": F.when(path.isNotNull(), value(path))},
+        "camera.positioning": {"camera_height": value(F.bround(F.lit(camera_height), 4)), "azimuth_angle": value(F.lit(SCENE_DEFAULTS["azimuth_angle"])), "focusing_plants": value(F.lit(SCENE_DEFAULTS["focusing_plants"]))},
+        "camera.sensor": {"resolution_x": value(F.col("image_width")), "resolution_y": value(F.col("image_height"))},
+    }
+
+    def merged(at: str, extra: dict[str, Column]) -> Column:
+        """The template's object at `at` with the plot's keys, and with `extra` sections, as JSON text."""
+        base = F.try_variant_get(given, f"$.{at}" if at else "$", "map<string,variant>")
+        sets = {k: v for k, v in values.get(at, {}).items() if v is not None}
+        pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.to_json(v).alias("value")) for k, v in sets.items()], *[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in extra.items()]), lambda e: e["value"].isNotNull())
+        named = F.transform(pairs, lambda e: e["key"])
+        kept = F.transform(F.filter(F.coalesce(F.map_entries(base), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: ~F.array_contains(named, e["key"])), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+        body = F.transform(F.concat(kept, pairs), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+        return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
+
+    sections = {"metadata": merged("metadata", {}), "field": merged("field", {"layout": merged("field.layout", {})}), "environment": merged("environment", {"soil": merged("environment.soil", {})}), "camera": merged("camera", {"positioning": merged("camera.positioning", {}), "sensor": merged("camera.sensor", {})})}
+    return out.select("raster_id", merged("", sections).alias("document"))
