@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: Artefact kinds that end a file name.
 KINDS = ("depth", "temperature", "masks", "boxes", "params", "rad", "vis", "xml", "sem", "labels")
 _NAME = r"^dap_(\d+)_plot_(\d+)_(\d+)(?:_(\d+))?(?:_(?!(?:{k})\.)(.*?))?(?:_({k}))?\.([A-Za-z0-9]+)$".format(k="|".join(KINDS))
-_ROVER = r"(?i)AgRowStitch[_-]plot[_-]?([^-_\.]+)(?:[_-]?(\d+))?"
+# The word that starts the name of a rover image, and the signs between its parts.
+ROVER_WORD = "AgRowStitch"
+SIGNS = "-_"
 _DATE = r"(\d{4}-\d{2}-\d{2})"
 
 
@@ -20,10 +22,16 @@ def artifact_parts(name: Column) -> dict[str, Column]:
 
 
 def rover_parts(name: Column, extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".tif", ".tiff")) -> dict[str, Column]:
-    """plot and idx of a rover image; null when the name doesn't match or the extension isn't listed."""
+    """plot and idx of a rover image: the word, a sign, `plot`, then the plot's name and perhaps a number, each after a sign or none.
+
+    Null when the name doesn't match or the extension isn't listed.
+    """
     known = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*extensions)
-    part = lambda i: F.when(known, F.nullif(F.regexp_extract(name, _ROVER, i), F.lit("")))
-    return {"plot": part(1), "idx": part(2).cast("int")}
+    rest = F.regexp_extract(name, f"(?i){ROVER_WORD}[{SIGNS}]plot[{SIGNS}]?(.+)", 1)
+    plot = F.regexp_extract(rest, f"^[^{SIGNS}.]+", 0)
+    number = F.regexp_extract(F.substring(rest, F.length(plot) + 1, F.length(rest)), f"^[{SIGNS}]?([0-9]+)", 1)
+    some = known & (F.length(plot) > 0)
+    return {"plot": F.when(some, plot), "idx": F.when(some, F.nullif(number, F.lit(""))).cast("int")}
 
 
 def dap_from_name(name: Column, planted: Column, fallback: Column) -> Column:

@@ -13,22 +13,23 @@ def dedupe_plots(files: DataFrame, by: tuple[str, ...] = ("bed", "tier"), order:
     return first.select(*[F.col(c) if c in by else F.col(f"_f.{c}").alias(c) for c in files.columns])
 
 
-#: Defaults of a field's means.
+#: Defaults of a field's means.
 FIELD_DEFAULTS = {"plot_size_x": 1.35, "plot_size_y": 3.84, "plot_size_z": 0.2, "sun_elevation": 45.0, "sun_azimuth": 180.0, "chlorophyll": 30.0}
 
 
-def merge_field(plots: DataFrame, beds: tuple[int, int], tiers: tuple[int, int], left_to_right: bool = True, bottom_to_top: bool = True) -> DataFrame:
-    """Plots of a grid range with their renumbered place and the field's means.
+def merge_field(plots: DataFrame, beds: tuple[int, int], tiers: tuple[int, int], left_to_right: bool = True, bottom_to_top: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Plots of a grid range with their renumbered place and their field's means; `by` names the field, without it all plots are one.
 
     Means count a missing value by its default. Numbers start at 1 on the left
     and at the bottom, or at the other end where a flag is off.
     """
     inside = plots.where(F.col("bed").between(*beds) & F.col("tier").between(*tiers))
-    means = inside.agg(*[F.avg(F.coalesce(F.col(c), F.lit(d))).alias(f"mean_{c}") for c, d in FIELD_DEFAULTS.items() if c in plots.columns])
+    means = inside.groupBy(*(by or [])).agg(*[F.avg(F.coalesce(F.col(c), F.lit(d))).alias(f"mean_{c}") for c, d in FIELD_DEFAULTS.items() if c in plots.columns])
     bed = F.col("bed") - beds[0] + 1 if left_to_right else beds[1] - F.col("bed") + 1
     tier = F.col("tier") - tiers[0] + 1 if bottom_to_top else tiers[1] - F.col("tier") + 1
-    # the means are one row
-    return inside.withColumns({"new_bed": bed, "new_tier": tier}).join(F.broadcast(means))
+    placed = inside.withColumns({"new_bed": bed, "new_tier": tier})
+    # without a field the means are one row
+    return placed.join(means, by) if by else placed.join(F.broadcast(means))
 
 
 def merged_camera(field: DataFrame, width: int = 2000, height: float = 5.0) -> DataFrame:
@@ -73,7 +74,7 @@ def raster_histogram(pixels: DataFrame, by: list[str], bins: int = 50, value: st
     ends = pixels.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0).cast("int")
-    joined = pixels.join(F.broadcast(ends), by) if by else pixels.join(F.broadcast(ends))  # one row per raster
+    joined = pixels.join(ends, by) if by else pixels.join(F.broadcast(ends))  # without `by` one row
     return joined.where(F.col(value).isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).withColumn("bin_start", F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).drop("lo", "hi")
 
 

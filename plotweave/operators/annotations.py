@@ -59,6 +59,25 @@ def stitch_coco(annotations: DataFrame, layout: DataFrame, tile_w: int, tile_h:
     return out.drop("x_offset", "y_offset")
 
 
+def stitch_field(annotations: DataFrame, categories: DataFrame, layout: DataFrame, tile_w: int, tile_h: int, in_file: list[str], file_name: str, width: int, height: int) -> dict[str, DataFrame]:
+    """One annotation set of a whole field: images (one row), annotations and categories.
+
+    Annotations are those of `stitch_coco`, numbered from 0 by bed, tier and
+    `in_file`, all of image 0. Categories (bed, tier, id, name) are those of the
+    first file, by bed and tier, that has any.
+    """
+    from .numbering import global_annotation_ids
+
+    placed = global_annotation_ids(stitch_coco(annotations, layout, tile_w, tile_h), in_file)
+    placed = placed.withColumns({"id": F.col("annotation_id"), "image_id": F.lit(0)}).drop("annotation_id")
+    files = categories.join(layout.select("bed", "tier"), ["bed", "tier"])
+    # one row
+    first = files.agg(F.min(F.struct("bed", "tier")).alias("_first"))
+    names = files.join(F.broadcast(first), F.struct("bed", "tier") == F.col("_first")).select("id", "name").distinct()
+    image = layout.sparkSession.range(1).select(F.lit(0).alias("id"), F.lit(file_name).alias("file_name"), F.lit(width).alias("width"), F.lit(height).alias("height"))
+    return {"images": image, "annotations": placed, "categories": names}
+
+
 def stitch_yolo(boxes: DataFrame, layout: DataFrame, n_beds: int, n_tiers: int) -> DataFrame:
     """Normalised boxes of plots (bed, tier) normalised to the whole grid, with the text line of each."""
     out = boxes.join(layout.select("bed", "tier", "col", "row"), ["bed", "tier"])

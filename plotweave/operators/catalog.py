@@ -30,18 +30,47 @@ def grid_filter(plots: DataFrame, bed_lo: int, bed_hi: int, row_lo: int, row_hi:
     return plots.where(F.col(bed).between(bed_lo, bed_hi) & F.col(row).between(row_lo, row_hi))
 
 
-def validate_params(docs: DataFrame, required: list[str], optional: list[str], doc: str = "doc", plots_path: str = "$.field.plots") -> DataFrame:
-    """Per document: the missing required and optional paths, the verdict and the number of plots.
-
-    Rules become columns of one projection, so no join with a rule table is needed.
+# The keys of a scene document that must be there, and those that are looked for besides.
+REQUIRED_KEYS = ["seed", "metadata", "environment", "field", "plant_properties", "camera", "metadata.plant_type", "metadata.dap", "field.layout", "field.plots"]
+OPTIONAL_KEYS = [
+    "metadata.year", "metadata.location", "field.layout.mode",
+    "environment.sun", "environment.soil", "environment.sun.elevation_degrees", "environment.sun.azimuth_degrees", "environment.sun.shadow", "environment.soil.spectral_data",
+    "camera.sensor", "camera.positioning", "camera.sensor.resolution_x", "camera.sensor.resolution_y", "camera.sensor.focal_plane_distance_difference", "camera.sensor.lens_diameter",
+    "camera.positioning.camera_height", "camera.positioning.azimuth_angle", "camera.positioning.distance_from_center",
+    "plant_properties.leaf_optics", "plant_properties.architecture",
+    *[f"plant_properties.leaf_optics.{k}" for k in ("number_layers", "chlorophyll_content", "carotenoid_content", "anthocyan_content", "brown_pigments", "water_mass", "dry_mass")],
+]
+#: Keys that are looked for only where their section is there.
+SECTION_KEYS = [f"field.layout.sampling.{k}" for k in ("plot_size_x", "plot_size_y", "plot_size_z")]
+
+
+def validate_params(docs: DataFrame, required: list[str] | None = None, optional: list[str] | None = None, doc: str = "doc") -> DataFrame:
+    """Per document: the missing required and optional keys, the verdict, the number of plots and what the first plot has.
+
+    Without `required` and `optional` the rules of scene documents apply. A key
+    counts as missing where its section is, but for SECTION_KEYS. A key with a
+    JSON null is there. Rules become columns of one projection, so no join with
+    a rule table is needed.
     """
+    own = required is None and optional is None
+    required, optional = REQUIRED_KEYS if required is None else required, OPTIONAL_KEYS if optional is None else optional
     d = F.col(doc)
-    absent = lambda paths: F.array_compact(F.array(*[F.when(F.try_variant_get(d, p, "variant").isNull(), F.lit(p)) for p in paths]))
-    plots = F.try_variant_get(d, plots_path, "array<variant>")
+
+    def there(path: str) -> Column:
+        section, _, key = path.removeprefix("$.").rpartition(".")
+        fields = F.try_variant_get(d, f"$.{section}" if section else "$", "map<string,variant>")
+        return F.coalesce(F.array_contains(F.map_keys(fields), key), F.lit(False))
+
+    absent = lambda tests: F.array_compact(F.array(*[F.when(~ok, F.lit(p)) for p, ok in tests]))
+    plots = F.try_variant_get(d, "$.field.plots", "array<variant>")
     first = F.try_element_at(plots, F.lit(1))
-    out = docs.withColumns({"missing_required": absent(required), "missing_optional": absent(optional), "n_plots": F.coalesce(F.nullif(F.size(plots), F.lit(-1)), F.lit(0))})
-    has_plants = F.coalesce(F.size(F.try_variant_get(first, "$.plants", "array<variant>")) > 0, F.lit(False))
-    return out.withColumns({"valid": F.size("missing_required") == 0, "first_plot_has_plants": has_plants})
+    plants = F.try_variant_get(first, "$.plants", "array<variant>")
+    more = [(p, there(p) | ~there(p.rpartition(".")[0])) for p in SECTION_KEYS] if own else []
+    out = docs.withColumns({"missing_required": absent([(p, there(p)) for p in required]), "missing_optional": absent([(p, there(p)) for p in optional] + more), "n_plots": F.coalesce(F.size(plots), F.lit(0))})
+    out = out.withColumns({"valid": F.size("missing_required") == 0, "first_plot_has_plants": F.coalesce(F.size(plants) > 0, F.lit(False))})
+    look = lambda node, k: F.coalesce(F.array_contains(F.map_keys(F.try_variant_get(node, "$", "map<string,variant>")), k), F.lit(False))
+    spot = F.try_element_at(plants, F.lit(1))
+    return out.withColumn("first_plot_placed", look(first, "bed") & look(first, "row") & (~F.col("first_plot_has_plants") | (look(spot, "x") & look(spot, "y"))))
 
 
 def apply_overrides(scenes: DataFrame, overrides: dict[str, object], seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import projection as P
+from plotweave.plans.staging import staged
 
 
 def with_utm_zone(rows: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -136,9 +137,10 @@ def dem_mesh(pixels: DataFrame, scale: float = 1.0, scale_z: float = 1.0, stride
 
     kept = pixels.where(f"v is not null and row % {stride} = 0 and col % {stride} = 0")
     size = pixels.groupBy("raster_id").agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"))
-    ids = numbered(kept, ["raster_id", "row"], ["col"], "n").withColumn("first", F.min("n").over(Window.partitionBy("raster_id")))
-    ids = ids.withColumn("vertex_id", F.col("n") - F.col("first") + 1).select("raster_id", "row", "col", "v", "vertex_id")
-    vertices = ids.join(F.broadcast(size), "raster_id").select("raster_id", "vertex_id", "row", "col", ((F.col("col") - F.col("w") / 2) * scale).alias("x"), ((F.col("h") / 2 - F.col("row")) * scale).alias("y"), (F.col("v") * scale_z).alias("z"), (F.col("col") / F.greatest(F.col("w") - 1, F.lit(1))).alias("u"), (1 - F.col("row") / F.greatest(F.col("h") - 1, F.lit(1))).alias("t"))
+    ids = staged(numbered(kept, ["raster_id", "row"], ["col"], "n"), "mesh-ids")
+    first = ids.groupBy("raster_id").agg(F.min("n").alias("first"))
+    ids = ids.join(first, "raster_id").withColumn("vertex_id", F.col("n") - F.col("first") + 1).select("raster_id", "row", "col", "v", "vertex_id")
+    vertices = ids.join(size, "raster_id").select("raster_id", "vertex_id", "row", "col", ((F.col("col") - F.col("w") / 2) * scale).alias("x"), ((F.col("h") / 2 - F.col("row")) * scale).alias("y"), (F.col("v") * scale_z).alias("z"), (F.col("col") / F.greatest(F.col("w") - 1, F.lit(1))).alias("u"), (1 - F.col("row") / F.greatest(F.col("h") - 1, F.lit(1))).alias("t"))
     # a vertex and its right neighbour are next in a row's order; only the row below needs a join
     w = Window.partitionBy("raster_id", "row").orderBy("col")
     pair = ids.withColumns({"right": F.when(F.lead("col").over(w) == F.col("col") + stride, F.lead("vertex_id").over(w))}).where("right is not null")
@@ -188,21 +190,47 @@ def exposure_plan(scenes: DataFrame, iso: Column, lens_m: Column, focal_mm: floa
     return scenes.withColumns({"iso": value, "exposure": F.concat(F.lit("ISO"), value.cast("string")), "shutter_time": time})
 
 
-def focus_camera(vertices: DataFrame, scenes: DataFrame, by: list[str], margin: float = 1.05) -> DataFrame:
-    """Refit the horizontal field of view to the box of a scene's vertices.
+def _unit(v: list[Column], otherwise: list[float]) -> list[Column]:
+    """A vector of length 1, or `otherwise` where it has almost none."""
+    size = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    return [F.when(size < 1e-6, F.lit(o)).otherwise(c / size) for c, o in zip(v, otherwise, strict=True)]
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
-    The eight corners are projected onto the view plane of a camera at
-    (camera_x, camera_y, camera_z) that looks straight down; the larger half
-    extent, widened by `margin`, decides.
+
+def focus_camera(vertices: DataFrame, scenes: DataFrame, by: list[str], margin: float = 1.05) -> DataFrame:
+    """Turn a scene's camera to the centre of its vertices' box and refit the horizontal field of view to it.
+
+    `scenes` has camera_x.. and lookat_x.. (their difference is kept) and
+    resolution_x, resolution_y. The box's eight corners are projected onto the
+    view plane (upright where the camera doesn't look straight down); the larger
+    half extents, widened by `margin`, give both fields of view, and a vertical
+    one that is larger than the image allows widens the horizontal one. A scene
+    whose box has no width or no length keeps its camera, with hfov null.
     """
     from .aggregates import bbox3d
 
-    box = bbox3d(vertices, by)
-    corner = lambda c: F.explode(F.array(f"min_{c}", f"max_{c}")).alias(f"corner_{c}")
-    rows = box.select(*by, "min_y", "max_y", "min_z", "max_z", corner("x"))
-    rows = rows.select(*by, "min_z", "max_z", "corner_x", corner("y")).select(*by, "corner_x", "corner_y", corner("z")).join(scenes, by)
-    depth = F.greatest(F.col("camera_z") - F.col("corner_z"), F.lit(1e-6))
-    return rows.groupBy(*by).agg(F.max(F.abs(F.col("corner_x") - F.col("camera_x")) / depth).alias("tan_x"), F.max(F.abs(F.col("corner_y") - F.col("camera_y")) / depth).alias("tan_y")).withColumn("hfov", F.degrees(2 * F.atan(F.col("tan_x") * margin)))
+    axes = "xyz"
+    rows = scenes.join(bbox3d(vertices, by).select(*by, *[f"{e}_{c}" for e in ("min", "max") for c in axes]), by)
+    middle = [(F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in axes]
+    offset = [(F.col(f"camera_{c}") - F.col(f"lookat_{c}")).cast("double") for c in axes]
+    towards = _unit(offset, [0.0, 0.0, 1.0])
+    right = _unit([-towards[1], towards[0], F.lit(0.0)], [1.0, 0.0, 0.0])
+    rows = rows.withColumns({f"_{n}{c}": v for n, vector in (("o", offset), ("z", towards), ("r", right), ("u", _cross(towards, right))) for c, v in zip(axes, vector, strict=True)})
+    ends = lambda c: F.explode(F.array(F.col(f"min_{c}") - middle[axes.index(c)] - F.col(f"_o{c}"), F.col(f"max_{c}") - middle[axes.index(c)] - F.col(f"_o{c}"))).alias(f"_d{c}")
+    corners = rows.select("*", ends("x")).select("*", ends("y")).select("*", ends("z"))
+    along = lambda n: sum((F.col(f"_d{c}") * F.col(f"_{n}{c}") for c in axes), F.lit(0.0))
+    depth = F.greatest(-along("z"), F.lit(1e-4))
+    half = corners.groupBy(*by).agg(F.max(F.abs(along("r") / depth)).alias("_hx"), F.max(F.abs(along("u") / depth)).alias("_hy"))
+    angle = lambda c: 2 * F.atan(F.greatest(F.col(c) * margin, F.lit(1e-4)))
+    aspect = F.col("resolution_x") / F.greatest(F.col("resolution_y"), F.lit(1))
+    wide = (F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y"))
+    out = rows.join(half, by)
+    moved = {f"camera_{c}": F.when(wide, middle[i] + F.col(f"_o{c}")).otherwise(F.col(f"camera_{c}")) for i, c in enumerate(axes)} | {f"lookat_{c}": F.when(wide, middle[i]).otherwise(F.col(f"lookat_{c}")) for i, c in enumerate(axes)}
+    hfov = F.when(wide, F.degrees(F.greatest(angle("_hx"), angle("_hy") / aspect)))
+    return out.select(*[moved.get(c, F.col(c)).alias(c) for c in scenes.columns], hfov.alias("hfov"))
 
 
 def field_layout(spark, beds: int, rows: int, spacing_x: float, spacing_y: float, mode: str = "manual") -> DataFrame:
@@ -234,7 +262,7 @@ def rescale_translate(vertices: DataFrame, by: list[str], target: tuple[float, f
 def copies_on_grid(vertices: DataFrame, layout: DataFrame) -> DataFrame:
     """A copy of the vertices at each plot origin; the grid of one field is the small side."""
     cells = layout.select("bed", "tier", "origin_x", "origin_y")
-    return vertices.join(F.broadcast(cells)).withColumns({"x": F.col("x") + F.col("origin_x"), "y": F.col("y") + F.col("origin_y")}).drop("origin_x", "origin_y")
+    return vertices.join(cells).withColumns({"x": F.col("x") + F.col("origin_x"), "y": F.col("y") + F.col("origin_y")}).drop("origin_x", "origin_y")
 
 
 def ground_drop(vertices: DataFrame, by: list[str], margin: float = 0.02) -> DataFrame:

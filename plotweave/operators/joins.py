@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.plans.staging import staged
+
 
 def images_with_sidecars(images: DataFrame, labels: DataFrame, params: DataFrame, stem: str = "stem") -> DataFrame:
     """Each image with its label and parameter file, null where one is missing."""
@@ -43,11 +45,11 @@ def expected_grid(spark, beds: int, tiers: int) -> DataFrame:
     return spark.range(beds * tiers).select((F.floor(F.col("id") / tiers) + 1).cast("long").alias("bed"), (F.col("id") % tiers + 1).alias("tier"))
 
 
-def missing_artifacts(grid: DataFrame, kinds: list[str], artifacts: DataFrame) -> DataFrame:
-    """(bed, tier, kind) of the grid for which no artefact of a length above 0 exists."""
-    wanted = grid.select("bed", "tier", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+def missing_artifacts(grid: DataFrame, kinds: list[str], artifacts: DataFrame, by: tuple[str, ...] = ("bed", "tier")) -> DataFrame:
+    """(`by`, kind) of the grid for which no artefact of a length above 0 exists."""
+    wanted = grid.select(*by, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
     there = artifacts.where(F.col("length") > 0) if "length" in artifacts.columns else artifacts
-    return wanted.join(there.select("bed", "tier", "kind").distinct(), ["bed", "tier", "kind"], "left_anti")
+    return wanted.join(there.select(*by, "kind").distinct(), [*by, "kind"], "left_anti")
 
 
 def todo(scenes: DataFrame, existing: DataFrame, keys: list[str], iteration: str | None = None, start: int = 0) -> DataFrame:
@@ -66,8 +68,10 @@ def pick_by_dap(artifacts: DataFrame, daps: DataFrame) -> DataFrame:
 def method_or_general(files: DataFrame, method: str, group: str = "dap") -> DataFrame:
     """Per group the files of `method`; where there is none, those without a method."""
     rank = F.when(F.col("method") == method, 0).when(F.col("method").isNull(), 1)
-    best = F.min("_rank").over(Window.partitionBy(group))
-    return files.withColumn("_rank", rank).where("_rank is not null").withColumn("_best", best).where("_rank = _best").drop("_rank", "_best")
+    ranked = files.withColumn("_rank", rank).where("_rank is not null")
+    # one row per group, aggregated before the shuffle
+    best = ranked.groupBy(F.col(group).alias("_group")).agg(F.min("_rank").alias("_best"))
+    return ranked.join(best, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_rank") == F.col("_best"))).drop("_rank", "_best", "_group")
 
 
 def weather_at(events: DataFrame, weather: DataFrame, ts: str, hour: str = "hour_ts") -> DataFrame:
@@ -78,19 +82,22 @@ def weather_at(events: DataFrame, weather: DataFrame, ts: str, hour: str = "hour
 def weather_as_of(events: DataFrame, weather: DataFrame, ts: str, hour: str = "hour_ts") -> DataFrame:
     """Events with the latest weather at or before them.
 
-    Both sides meet in one sorted window per day, with the last row of the days
-    before carried into the first; no range join is needed.
+    Both sides meet in ranges of time of bounded size, sorted inside; the last
+    weather of the ranges before is carried into each, so no range join is needed
+    and neither a busy day nor a busy instant is one task.
     """
     values = [c for c in weather.columns if c != hour]
-    day = lambda c: F.date_trunc("day", c)
     packed = weather.select(F.col(hour).alias("_at"), F.struct(*values).alias("_w"))
-    last = packed.groupBy(day(F.col("_at")).alias("_day")).agg(F.max_by("_w", "_at").alias("_close"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
-    days = events.select(day(F.col(ts)).alias("_day")).distinct().join(last, "_day", "full").withColumn("_carry", F.last("_close", ignorenulls=True).over(before)).drop("_close")
-    rows = events.withColumns({"_at": F.col(ts), "_w": F.lit(None).cast(packed.schema["_w"].dataType), "_mine": F.lit(1)})
-    rows = rows.unionByName(packed.withColumn("_mine", F.lit(0)), allowMissingColumns=True).withColumn("_day", day(F.col("_at")))
-    upto = Window.partitionBy("_day").orderBy("_at", "_mine").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_now", F.last("_w", ignorenulls=True).over(upto)).where("_mine = 1").join(days, "_day", "left")
+    rows = events.withColumns({"_at": F.col(ts), "_w": F.lit(None).cast(packed.schema["_w"].dataType), "_mine": F.lit(1), "_tie": F.xxhash64(*events.columns)})
+    rows = rows.unionByName(packed.withColumns({"_mine": F.lit(0), "_tie": F.lit(0).cast("long")}), allowMissingColumns=True)
+    order = ["_at", "_mine", "_tie"]
+    rows = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "as-of")
+    # one row per range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy("_part").agg(F.max_by("_w", F.when(F.col("_mine") == 0, F.col("_at"))).alias("_close"))
+    carry = last.select("_part", F.last("_close", ignorenulls=True).over(before).alias("_carry"))
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_now", F.last("_w", ignorenulls=True).over(upto)).where("_mine = 1").join(carry, "_part")
     return out.withColumn("_now", F.coalesce("_now", "_carry")).select(*events.columns, *[F.col(f"_now.{v}").alias(v) for v in values])
 
 

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.plans.staging import staged
+
 
 def numbered(rows: DataFrame, group: list[str], within: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of `group`, then `within`.
 
-    Rows are numbered inside their group, and the counts of the groups before
-    are added: the only unpartitioned window is over one row per group.
+    Rows are dealt by ranges of that order, so a group with many rows is spread
+    too; they are numbered inside their range, and the counts of the ranges
+    before are added. The only unpartitioned window is over one row per range.
     """
-    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    bases = bases.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_base")
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
-    own = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(*within)) - 1 + start)
-    return own.join(bases, same).withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_at", "_base", *[f"_g{i}" for i in range(len(group))])
+    order = [*group, *within]
+    # which range a row is in is written with it
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start)
+    return own.join(bases, "_part").withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_at", "_base", "_part")
 
 
 def global_annotation_ids(annotations: DataFrame, in_file: list[str]) -> DataFrame:
@@ -34,12 +35,11 @@ def global_plant_ids(plants: DataFrame, in_plot: list[str]) -> DataFrame:
 
 
 def organ_instance_ids(objects: DataFrame, plant: list[str], within: list[str], organ: str = "organ") -> DataFrame:
-    """Instance numbers from 0 per organ class over plants in order; counts of (class, plant) groups carry the sum."""
-    before = Window.partitionBy(organ).orderBy(*plant).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = objects.groupBy(organ, *plant).agg(F.count(F.lit(1)).alias("_n"))
-    bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = objects.withColumn("_at", F.row_number().over(Window.partitionBy(organ, *plant).orderBy(*within)) - 1)
-    return own.join(bases, [organ, *plant]).withColumn("instance_id", (F.col("_base") + F.col("_at")).cast("long")).drop("_at", "_base")
+    """Instance numbers from 0 per organ class over plants in order: numbers over all classes less the first of the class."""
+    whole = staged(numbered(objects, [organ, *plant], within, "_whole"), "instances")
+    # one row per class
+    first = whole.groupBy(F.col(organ).alias("_organ")).agg(F.min("_whole").alias("_first"))
+    return whole.join(first, F.col(organ).eqNullSafe(F.col("_organ"))).withColumn("instance_id", F.col("_whole") - F.col("_first")).drop("_whole", "_first", "_organ")
 
 
 def grid_index(bed: Column, tier: Column, ncols: int = 40) -> Column:
@@ -57,14 +57,15 @@ def tile_place(index: Column, ncols: int) -> tuple[Column, Column]:
     return F.floor(index / ncols).cast("long"), F.pmod(index, F.lit(ncols))
 
 
-def sorted_merge(plots: DataFrame, payload: list[str]) -> DataFrame:
-    """All plots as one array ordered by (bed, tier); for a field's worth of plots."""
-    return plots.agg(F.array_sort(F.collect_list(F.struct("bed", "tier", *payload))).alias("plots"))
+def sorted_merge(plots: DataFrame, payload: list[str], by: list[str] | None = None) -> DataFrame:
+    """The plots of each field (`by`; none: of one field) as an array ordered by (bed, tier); no array is larger than a field."""
+    return plots.groupBy(*(by or [])).agg(F.array_sort(F.collect_list(F.struct("bed", "tier", *payload))).alias("plots"))
 
 
 def sample_plots(plots: DataFrame, keys: list[str], n: int = 6, seed: int = 42) -> DataFrame:
-    """`n` distinct rows by a seeded hash of their keys: a top-k, the same in every run."""
-    return plots.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """`n` rows by the md5 of seed and keys: a top-k, the same in every run and in other engines."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return plots.orderBy(order, *keys).limit(n)
 
 
 def first_n(rows: DataFrame, n: int, *order: str) -> DataFrame:

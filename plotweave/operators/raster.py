@@ -35,7 +35,7 @@ def minmax_scale(pixels: DataFrame, low: float = 0.0, high: float = 255.0) -> Da
     """Per raster from its smallest and largest value to `low` and `high`; a flat raster becomes `low`."""
     ends = pixels.groupBy(ID).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     part = F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return pixels.join(F.broadcast(ends), ID).withColumn("v", low + F.coalesce(part, F.lit(0.0)) * (high - low)).drop("_lo", "_hi")
+    return pixels.join(ends, ID).withColumn("v", low + F.coalesce(part, F.lit(0.0)) * (high - low)).drop("_lo", "_hi")
 
 
 def raster_sizes(pixels: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def gaussian_blur(pixels: DataFrame, k: int = 3) -> DataFrame:
     Sums are aggregated before each of the two shuffles.
     """
     size = raster_sizes(pixels)
-    out = pixels.select(ID, "row", "col", F.col("v").cast("double").alias("v")).join(F.broadcast(size), ID)
+    out = pixels.select(ID, "row", "col", F.col("v").cast("double").alias("v")).join(size, ID)
     for axis, n in (("col", "width"), ("row", "height")):
         s, hits = F.col(axis), []
         for i, w in enumerate(GAUSS[k]):
@@ -93,21 +93,22 @@ def ellipse(size: int) -> list[tuple[int, int]]:
 
 
 def _spread(mask: DataFrame, kernel: list[tuple[int, int]], largest: bool) -> DataFrame:
-    size = raster_sizes(mask)
+    """One pass over (raster_id, row, col, v, width, height); sizes are carried along."""
     moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in kernel])
-    out = mask.join(F.broadcast(size), ID).withColumn("m", F.explode(moves))
+    out = mask.withColumn("m", F.explode(moves))
     out = out.select(ID, (F.col("row") + F.col("m.dy")).alias("row"), (F.col("col") + F.col("m.dx")).alias("col"), "v", "width", "height")
     inside = F.col("row").between(0, F.col("height") - 1) & F.col("col").between(0, F.col("width") - 1)
-    return out.where(inside).groupBy(ID, "row", "col").agg((F.max if largest else F.min)("v").alias("v"))
+    return out.where(inside).groupBy(ID, "row", "col", "width", "height").agg((F.max if largest else F.min)("v").alias("v"))
 
 
 def morphology(mask: DataFrame, op: str, kernel: list[tuple[int, int]], iterations: int = 1) -> DataFrame:
     """erode, dilate, open or close; pixels outside the raster don't count. Each pass is one partial aggregation and shuffle."""
     passes = {"erode": [False], "dilate": [True], "open": [False, True], "close": [True, False]}[op]
+    out = mask.join(raster_sizes(mask), ID).select(ID, "row", "col", "v", "width", "height")
     for largest in passes:
         for _ in range(iterations):
-            mask = _spread(mask, kernel, largest)
-    return mask
+            out = _spread(out, kernel, largest)
+    return out.select(ID, "row", "col", "v")
 
 
 def label_components(mask: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def label_components(mask: DataFrame) -> DataFrame:
     on = mask.where("v > 0").select(ID, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     w = Window.partitionBy(ID, "row").orderBy("col")
     runs = on.withColumn("run", F.col("col") - F.row_number().over(w)).groupBy(ID, "row", "run").agg(F.min("col").alias("c1"), F.max("col").alias("c2"))
-    runs = runs.join(F.broadcast(size), ID).withColumn("key", F.col("row") * F.col("width") + F.col("c1"))
+    runs = runs.join(size, ID).withColumn("key", F.col("row") * F.col("width") + F.col("c1"))
     # runs are numbered over all rasters; the numbers are written with them
     runs = staged(runs.select(ID, "row", "c1", "c2", "key", F.monotonically_increasing_id().alias("node")), "raster-runs")
     a, b = runs.alias("a"), runs.alias("b")
@@ -181,12 +182,12 @@ def detect_plants(rgb: DataFrame, pixel: float, min_size: int = 3, kernel_small:
     blurred = gaussian_blur(exg(rgb, wrap_uint8), 3).withColumn("v", F.floor((F.col("v") + 1) * 127.5))
     # values stay exact small integers from here on
     blurred = staged(blurred, "raster-blur")
-    mask = blurred.join(F.broadcast(otsu(blurred)), ID).select(ID, "row", "col", F.when(F.col("v") > F.col("threshold"), 255).otherwise(0).alias("v"))
+    mask = blurred.join(otsu(blurred), ID).select(ID, "row", "col", F.when(F.col("v") > F.col("threshold"), 255).otherwise(0).alias("v"))
     small, large = ellipse(kernel_small), ellipse(kernel_large)
     for op, kernel, times in (("open", small, 2), ("close", large, 2), ("open", small, 1)):
         mask = staged(morphology(mask, op, kernel, times), "raster-mask")
     kept = staged(drop_small(label_components(mask), min_size), "raster-labels")
-    plants = segment_props(split_blobs(region_props(kept)), kept).join(F.broadcast(size), ID)
+    plants = segment_props(split_blobs(region_props(kept)), kept).join(size, ID)
     return pixels_to_local(plants, "drone", F.col("width"), F.col("height"), F.lit(pixel)).drop("width", "height")
 
 
@@ -197,7 +198,7 @@ def clahe(pixels: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
     has 256 rows, so windows are bounded.
     """
     size = raster_sizes(pixels)
-    own = pixels.join(F.broadcast(size), ID).withColumns({"th": F.ceil(F.col("height") / tiles), "tw": F.ceil(F.col("width") / tiles)})
+    own = pixels.join(size, ID).withColumns({"th": F.ceil(F.col("height") / tiles), "tw": F.ceil(F.col("width") / tiles)})
     own = own.withColumns({"ty": F.floor(F.col("row") / F.col("th")).cast("int"), "tx": F.floor(F.col("col") / F.col("tw")).cast("int")})
     counts = own.groupBy(ID, "ty", "tx", F.col("v").cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     area = Window.partitionBy(ID, "ty", "tx")
@@ -221,7 +222,7 @@ def depth_stretch(pixels: DataFrame, background: int = 220) -> DataFrame:
     ends = pixels.groupBy(ID).agg(F.min(near).alias("_lo"), F.max(near).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     value = F.when(span > 0, F.try_divide((F.col("v") - F.col("_lo")).cast("double"), span.cast("double")) * 220).otherwise(100.0).cast("int")
-    return pixels.join(F.broadcast(ends), ID).withColumn("v", F.when(F.col("v") > background, 255).otherwise(value)).drop("_lo", "_hi")
+    return pixels.join(ends, ID).withColumn("v", F.when(F.col("v") > background, 255).otherwise(value)).drop("_lo", "_hi")
 
 
 def apply_lut(pixels: DataFrame, lut: DataFrame) -> DataFrame:
@@ -294,6 +295,6 @@ def resize_raster(pixels: DataFrame, source: tuple[int, int], target: tuple[int,
     if method == "nearest":
         return mask
     mean = pixels.groupBy(ID).agg(F.avg("v").alias("_mean"))
-    filled = pixels.join(F.broadcast(mean), ID).withColumn("v", F.coalesce(F.col("v").cast("double"), F.col("_mean"))).drop("_mean")
+    filled = pixels.join(mean, ID).withColumn("v", F.coalesce(F.col("v").cast("double"), F.col("_mean"))).drop("_mean")
     smooth = resample_affine(filled, tw, th, inverse, method)
     return smooth.join(mask.withColumnRenamed("v", "_near"), [ID, "row", "col"]).withColumn("v", F.when(F.col("_near").isNotNull(), F.col("v"))).drop("_near")

@@ -18,6 +18,12 @@ def read_scene_params(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumns(artifact_parts(F.col("file_name")))
 
 
+def read_scene_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document per line as a variant, with the columns of its directory; lines that don't parse have a null document."""
+    lines = spark.read.text(path)
+    return lines.select(*[c for c in lines.columns if c != "value"], F.try_parse_json("value").alias("doc"))
+
+
 _PLOTS = "features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<plot:string,column:int,bed:int,row:int,population:string>>>"
 
 
@@ -69,9 +75,11 @@ def parse_label_matrix(text: Column) -> Column:
 
 
 def read_label_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, row, col, class)."""
-    rows = _named(spark.read.text(path, wholetext=True)).select("file_name", F.posexplode(parse_label_matrix(F.col("value"))).alias("row", "cells"))
-    return rows.select("file_name", "row", F.posexplode("cells").alias("col", "class"))
+    """(file_name, columns of its directory, row, col, class)."""
+    files = _named(spark.read.text(path, wholetext=True))
+    own = [c for c in files.columns if c != "value"]
+    rows = files.select(*own, F.posexplode(parse_label_matrix(F.col("value"))).alias("row", "cells"))
+    return rows.select(*own, "row", F.posexplode("cells").alias("col", "class"))
 
 
 def read_labelme(spark: SparkSession, path: str) -> DataFrame:

@@ -19,12 +19,30 @@ def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFr
     anns = annotations.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id"), *[c for c in annotations.columns if c != "id"]))).alias("annotations"))
     cats = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("categories"))
     image = F.array(F.struct(F.col("image_id").alias("id"), *[c for c in images.columns if c != "image_id"]))
+    # one row: a set has few categories, and each document repeats them all
     out = images.join(anns, "image_id", "left").join(F.broadcast(cats))
     return out.select("image_id", F.to_json(F.struct(image.alias("images"), F.coalesce("annotations", F.array().cast(anns.schema["annotations"].dataType)).alias("annotations"), "categories")).alias("value"))
 
 
-def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    coco_documents(images, annotations, categories).select("value").write.text(path)
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, by: tuple[str, ...] = ("image_id",)) -> None:
+    """A document per image, as lines of text files in directories by `by`, columns of `images` (many images: a bucket of their ids)."""
+    docs = coco_documents(images, annotations, categories)
+    docs.join(images.select("image_id", *[c for c in by if c != "image_id"]), "image_id").select(*by, "value").write.partitionBy(*by).text(path)
+
+
+def write_field_coco(field: dict[str, DataFrame], path: str) -> None:
+    """One document of a whole field: the text files of `path`, in the order of their names, are its parts.
+
+    Every annotation is a line, dealt and sorted by its id, so no task holds the document.
+    """
+    listed = lambda df: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("v"))
+    head = listed(field["images"]).withColumnRenamed("v", "i").join(F.broadcast(listed(field["categories"]).withColumnRenamed("v", "c")))
+    begin = head.select(F.lit(-1).cast("long").alias("id"), F.concat(F.lit('{"images":'), "i", F.lit(',"categories":'), "c", F.lit(',"annotations":[')).alias("value"))
+    anns = field["annotations"]
+    line = F.concat(F.when(F.col("id") > 0, ",").otherwise(""), F.to_json(F.struct(*[c for c in anns.columns if c not in ("bed", "tier", "width", "height")])))
+    end = anns.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("id"), F.lit("]}").alias("value"))
+    lines = begin.unionByName(anns.select("id", line.alias("value"))).unionByName(end)
+    lines.repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
 
 
 def yolo_lines(boxes: DataFrame) -> DataFrame:
@@ -32,8 +50,9 @@ def yolo_lines(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("value", F.format_string("%d %.6f %.6f %.6f %.6f", F.col("category_id").cast("long"), *[F.col(c).cast("double") for c in ("x_c", "y_c", "w", "h")]))
 
 
-def write_yolo(boxes: DataFrame, path: str, image: str = "image_id") -> None:
-    yolo_lines(boxes).select(image, "value").write.partitionBy(image).text(path)
+def write_yolo(boxes: DataFrame, path: str, by: tuple[str, ...] = ("image_id",)) -> None:
+    """Lines of boxes in directories by `by`: the image itself, or for many images a bucket or the plot's bed and tier."""
+    yolo_lines(boxes).select(*by, "value").write.partitionBy(*by).text(path)
 
 
 def survey_documents(plants: DataFrame, header: list[str], plot: list[str]) -> DataFrame:
