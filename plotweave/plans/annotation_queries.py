@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from plotweave.sources import readers as S
 from plotweave.sources import writers as K
 
 from .registry import query
+from .staging import shared_dir
 
 BOX = "l_linenumber, l_partkey, l_suppkey"
 
@@ -59,15 +62,29 @@ def _placed(boxes: DataFrame) -> DataFrame:
 
 
 @query("n4_stitch_coco", "boxes", sql=f"""
-WITH lay AS ({LAYOUT}), b AS (SELECT *, l_suppkey % 40 + 1 AS bed, l_partkey % 14 + 1 AS tier, CASE WHEN l_linenumber = 1 THEN 640 ELSE 1280 END AS aw FROM boxes)
-SELECT b.bed, b.tier, count(*) AS n, round(sum(x_c * 640 / aw * 640 + col * 640), 3) AS x, round(sum(y_c * 480 + row * 480), 3) AS y, round(sum(w * 100 * 640 / aw), 3) AS w, round(sum(2 * (x_c * 640 / aw * 640 + col * 640) + w * 100 * 640 / aw), 3) AS ring_x
+WITH lay AS ({LAYOUT}), b AS (SELECT *, l_suppkey % 40 + 1 AS bed, l_partkey % 14 + 1 AS tier, CASE WHEN l_linenumber = 1 THEN 640 ELSE 1280 END AS aw,
+  row_number() OVER (ORDER BY l_suppkey % 40 + 1, l_partkey % 14 + 1, image_id, l_linenumber, l_partkey, l_suppkey, x_c, y_c, w, h) - 1 AS id FROM boxes)
+SELECT b.bed, b.tier, min(id) AS first_id, max(id) AS last_id, 0 AS image_id, 'c1-c2' AS names, count(*) AS n, round(sum(x_c * 640 / aw * 640 + col * 640), 3) AS x, round(sum(y_c * 480 + row * 480), 3) AS y, round(sum(w * 100 * 640 / aw), 3) AS w, round(sum(2 * (x_c * 640 / aw * 640 + col * 640) + w * 100 * 640 / aw), 3) AS ring_x
 FROM b JOIN lay USING (bed, tier) GROUP BY b.bed, b.tier""")
 def _n4(boxes):
     x, y, w = F.col("x_c") * 640, F.col("y_c") * 480, F.col("w") * 100
-    anns = _placed(boxes).select("bed", "tier", F.array(x, y, w, F.col("h")).alias("bbox"), F.array(F.array(x, y, x + w, y)).alias("segmentation"), F.when(F.col("l_linenumber") != 1, 1280).alias("width"), F.lit(None).cast("int").alias("height"))
-    out = N.stitch_coco(anns, _layout(boxes), 640, 480)
+    order = ["image_id", "l_linenumber", "l_partkey", "l_suppkey", "x_c", "y_c", "w", "h"]
+    anns = _placed(boxes).select("bed", "tier", *order, F.array(x, y, w, F.col("h")).alias("bbox"), F.array(F.array(x, y, x + w, y)).alias("segmentation"), F.when(F.col("l_linenumber") != 1, 1280).alias("width"), F.lit(None).cast("int").alias("height"))
+    anns = anns.withColumn("source", F.col("image_id"))
+    # the first file has categories 1 and 2, the others more
+    cats = _placed(boxes).select("bed", "tier").distinct().select("bed", "tier", F.explode(F.sequence(F.lit(1), F.when((F.col("bed") == 1) & (F.col("tier") == 1), 2).otherwise(3))).alias("id"))
+    field = N.stitch_field(anns, cats.withColumn("name", F.concat(F.lit("c"), "id")), _layout(boxes), 640, 480, order, "field.jpeg", 25600, 6720)
+    path = f"{shared_dir(boxes.sparkSession)}/plotweave/field-coco-{uuid.uuid4().hex}"
+    K.write_field_coco({**field, "annotations": field["annotations"].select("id", "image_id", "bed", "tier", "bbox", "segmentation", F.struct("bed", "tier").alias("plot"))}, path)
+    # each line but the first and last is an annotation, after a comma or none
+    lines = boxes.sparkSession.read.text(path)
+    d = F.from_json(F.regexp_replace("value", "^,", ""), "id bigint, image_id int, bbox array<double>, segmentation array<array<double>>, plot struct<bed:bigint,tier:bigint>")
+    found = lines.where(F.col("value").rlike('^,?[{]"id"')).select(d.alias("d")).select("d.*")
+    names = lines.where(F.col("value").startswith('{"images"')).select(F.array_join(F.from_json(F.concat("value", F.lit("]}")), "categories array<struct<id:int,name:string>>")["categories"]["name"], "-").alias("names"))
     ring = F.col("segmentation")[0]
-    return sums(out.select("bed", "tier", F.col("bbox")[0].alias("x"), F.col("bbox")[1].alias("y"), F.col("bbox")[2].alias("w"), (ring[0] + ring[2]).alias("ring_x")), ["bed", "tier"], "x", "y", "w", "ring_x", digits=3)
+    out = sums(found.select("plot.bed", "plot.tier", F.col("bbox")[0].alias("x"), F.col("bbox")[1].alias("y"), F.col("bbox")[2].alias("w"), (ring[0] + ring[2]).alias("ring_x")), ["bed", "tier"], "x", "y", "w", "ring_x", digits=3)
+    ids = found.groupBy("plot.bed", "plot.tier").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("image_id").alias("image_id"))
+    return out.join(ids, ["bed", "tier"]).join(F.broadcast(names))
 
 
 @query("n5_stitch_yolo", "boxes", sql=f"""
@@ -203,13 +220,14 @@ def _g13(raster):
 
 
 @query("g14_mosaic", "pixels", sql="""
-WITH t AS (SELECT CAST(floor(image_id / CAST(4 AS DOUBLE)) AS BIGINT) AS composite, image_id % 4 AS tile, row, col, v FROM pixels WHERE band = 0),
+WITH t AS (SELECT CAST(floor((image_id * 3 + band) / CAST(4 AS DOUBLE)) AS BIGINT) AS composite, (image_id * 3 + band) % 4 AS tile, row, col, v FROM pixels),
 n AS (SELECT composite FROM t GROUP BY composite HAVING count(DISTINCT tile) = 4)
 SELECT composite, CAST(floor(tile / CAST(2 AS DOUBLE)) AS BIGINT) * 8 + row AS row, tile % 2 * 8 + col AS col, v FROM t JOIN n USING (composite)""")
 def _g14(pixels):
     from plotweave.operators.raster import mosaic
 
-    tiles = pixels.where("band = 0").select(F.floor(F.col("image_id") / 4).alias("composite"), (F.col("image_id") % 4).alias("tile"), "row", "col", "v")
+    number = F.col("image_id") * 3 + F.col("band")
+    tiles = pixels.select(F.floor(number / 4).alias("composite"), (number % 4).alias("tile"), "row", "col", "v")
     return mosaic(tiles, 2, 2, 8, 8)
 
 
@@ -229,7 +247,7 @@ def _g16(scenes):
 
 
 @query("g17_dem_mesh", "pixels", sql="""
-WITH p AS (SELECT image_id, row, col, CASE WHEN v > 100 THEN v END AS v FROM pixels WHERE band = 0),
+WITH p AS (SELECT image_id * 3 + band AS image_id, row, col, CASE WHEN v > 100 THEN v END AS v FROM pixels),
 k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY row, col) AS id FROM p WHERE v IS NOT NULL),
 q AS (SELECT a.image_id, a.id AS a, b.id AS b, c.id AS c, d.id AS d FROM k a JOIN k b ON b.image_id = a.image_id AND b.row = a.row AND b.col = a.col + 1 JOIN k c ON c.image_id = a.image_id AND c.row = a.row + 1 AND c.col = a.col
   JOIN k d ON d.image_id = a.image_id AND d.row = a.row + 1 AND d.col = a.col + 1)
@@ -237,7 +255,7 @@ SELECT v.raster_id, v.n_vertices, v.sum_z, v.sum_x, coalesce(f.n_faces, 0) AS n_
   (SELECT image_id AS raster_id, count(*) AS n_vertices, round(sum(v * CAST(0.5 AS DOUBLE)), 4) AS sum_z, round(sum((col - 4) * CAST(0.1 AS DOUBLE)), 4) AS sum_x FROM k GROUP BY image_id) v
   LEFT JOIN (SELECT image_id AS raster_id, count(*) * 2 AS n_faces, sum(a + c + b + b * 7 + c * 7 + d * 7) AS check_sum FROM q GROUP BY image_id) f USING (raster_id)""")
 def _g17(pixels):
-    dem = pixels.where("band = 0").select(F.col("image_id").alias("raster_id"), "row", "col", F.when(F.col("v") > 100, F.col("v")).alias("v"))
+    dem = pixels.select((F.col("image_id") * 3 + F.col("band")).alias("raster_id"), "row", "col", F.when(F.col("v") > 100, F.col("v")).alias("v"))
     vertices, faces = G.dem_mesh(dem, 0.1, 0.5)
     v = vertices.groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.round(F.sum("z"), 4).alias("sum_z"), F.round(F.sum("x"), 4).alias("sum_x"))
     # the second triangle of a quad starts at its upper right corner
@@ -262,11 +280,18 @@ def _g19(scenes):
 
 
 @query("g20_focus_camera", "vertices", sql="""
-WITH b AS (SELECT object_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, max(z) AS z2 FROM vertices GROUP BY object_id)
-SELECT object_id, round(degrees(2 * atan(greatest(abs(x1 - 2.5), abs(x2 - 2.5)) / (5 - z2) * 1.05)), 6) AS hfov FROM b""")
+WITH b AS (SELECT object_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2, CAST(object_id % 3 AS DOUBLE) AS ox, CAST(-(object_id % 3) AS DOUBLE) / 2 AS oy, CAST(5 AS DOUBLE) AS oz FROM vertices GROUP BY object_id),
+e AS (SELECT *, sqrt(ox * ox + oy * oy + oz * oz) AS len, sqrt(ox * ox + oy * oy) AS flat FROM b),
+f AS (SELECT *, ox / len AS zx, oy / len AS zy, oz / len AS zz, CASE WHEN flat / len < 1e-6 THEN 1 ELSE -oy / flat END AS rx, CASE WHEN flat / len < 1e-6 THEN 0 ELSE ox / flat END AS ry FROM e),
+c AS (SELECT f.*, (sx.s * (x2 - x1) / 2 - ox) AS dx, (sy.s * (y2 - y1) / 2 - oy) AS dy, (sz.s * (z2 - z1) / 2 - oz) AS dz FROM f, (SELECT unnest([-1, 1]) AS s) sx, (SELECT unnest([-1, 1]) AS s) sy, (SELECT unnest([-1, 1]) AS s) sz),
+h AS (SELECT object_id, max(abs((dx * rx + dy * ry) / -(dx * zx + dy * zy + dz * zz))) AS hx, max(abs((-dx * zz * ry + dy * zz * rx + dz * (zx * ry - zy * rx)) / (dx * zx + dy * zy + dz * zz))) AS hy FROM c GROUP BY object_id)
+SELECT object_id, round(CASE WHEN x2 > x1 AND y2 > y1 THEN degrees(greatest(2 * atan(hx * 1.05), 2 * atan(hy * 1.05) / (CAST(1 AS DOUBLE) * 640 / 480))) END, 5) AS hfov,
+  round(CASE WHEN x2 > x1 AND y2 > y1 THEN (x1 + x2) / 2 + ox ELSE 2.5 + ox END, 6) AS camera_x, round(CASE WHEN x2 > x1 AND y2 > y1 THEN (z1 + z2) / 2 ELSE 0 END, 6) AS lookat_z FROM b JOIN h USING (object_id)""")
 def _g20(vertices):
-    scenes = vertices.select("object_id").distinct().withColumns({"camera_x": F.lit(2.5), "camera_y": F.lit(0.5), "camera_z": F.lit(5.0)})
-    return rounded(G.focus_camera(vertices, scenes, ["object_id"]), ["object_id"], "hfov")
+    turn = (F.col("object_id") % 3).cast("double")
+    scenes = vertices.select("object_id").distinct().withColumns({"camera_x": turn + 2.5, "camera_y": -turn / 2 + 0.5, "camera_z": F.lit(5.0), "lookat_x": F.lit(2.5), "lookat_y": F.lit(0.5), "lookat_z": F.lit(0.0), "resolution_x": F.lit(640), "resolution_y": F.lit(480)})
+    out = G.focus_camera(vertices, scenes, ["object_id"])
+    return out.select("object_id", F.round("hfov", 5).alias("hfov"), F.round("camera_x", 6).alias("camera_x"), F.round("lookat_z", 6).alias("lookat_z"))
 
 
 @query("g21_field_layout", "plots", sql="SELECT bed, tier, round((bed - 1) * CAST(1.5 AS DOUBLE) - 39 * CAST(1.5 AS DOUBLE) / 2, 6) AS origin_x, round((tier - 1) * CAST(4 AS DOUBLE) - 26, 6) AS origin_y, CAST(0 AS DOUBLE) AS field_x FROM plots")
@@ -303,33 +328,46 @@ def _g25(raster):
 
 @query("s4_yolo_lines", "boxes", sql="SELECT category_id, count(*) AS n, round(sum(round(x_c, 6)), 3) AS x_c, round(sum(round(h, 6)), 3) AS h FROM boxes WHERE l_linenumber <> 7 GROUP BY category_id")
 def _s4(boxes):
-    line = K.yolo_lines(boxes).withColumn("value", F.when(F.col("l_linenumber") == 7, "  1 0.5 ").otherwise(F.concat(F.lit(" "), "value"))).select("value")
-    return sums(S.parse_yolo(line), ["category_id"], "x_c", "h", digits=3)
+    path = f"{shared_dir(boxes.sparkSession)}/plotweave/yolo-{uuid.uuid4().hex}"
+    bucket = (F.col("image_id") % 16).alias("bucket")
+    K.write_yolo(boxes.where("l_linenumber != 7").withColumn("bucket", bucket), f"{path}/lines", ("bucket",))
+    # short and blank lines are skipped
+    boxes.where("l_linenumber = 7").select(bucket, F.lit("  1 0.5 ").alias("value")).write.partitionBy("bucket").mode("append").text(f"{path}/lines")
+    return sums(S.read_yolo(boxes.sparkSession, f"{path}/lines"), ["category_id"], "x_c", "h", digits=3)
 
 
-@query("s6_label_matrix", "raster", sql="SELECT row, col, v AS class FROM raster WHERE row < 50")
+@query("s6_label_matrix", "raster", sql="SELECT row, col, v AS class FROM raster")
 def _s6(raster):
-    lines = raster.where("row < 50").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("c")).select("row", F.concat(F.array_join(F.transform("c", lambda c: c["v"].cast("string")), " "), F.lit(" \n")).alias("line"))
-    cells = lines.select("row", F.posexplode(F.get(S.parse_label_matrix(F.col("line")), F.lit(0))).alias("pos", "class"))
-    return cells.select("row", F.col("pos").cast("long").alias("col"), "class")
+    # one matrix file per 50 rows
+    path = f"{shared_dir(raster.sparkSession)}/plotweave/matrix-{uuid.uuid4().hex}"
+    lines = raster.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("c")).select("row", F.concat(F.array_join(F.transform("c", lambda c: c["v"].cast("string")), " "), F.lit(" ")).alias("line"))
+    files = lines.groupBy(F.floor(F.col("row") / 50).alias("part")).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("l"))
+    files.select("part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("value")).write.partitionBy("part").text(path)
+    cells = S.read_label_matrix(raster.sparkSession, path)
+    return cells.select((F.col("part").cast("long") * 50 + F.col("row")).alias("row"), F.col("col").cast("long").alias("col"), "class")
 
 
 @query("k2_coco_documents", "boxes", sql="""
-SELECT image_id, count(*) AS n_annotations, 6 AS n_categories, min(id) AS first_id FROM (SELECT image_id, l_linenumber * 10000 + l_partkey AS id FROM boxes) GROUP BY image_id""")
+SELECT image_id, count(*) AS n_annotations, 6 AS n_categories, min(id) AS first_id, count(*) AS n_read FROM (SELECT image_id, l_linenumber * 10000 + l_partkey AS id FROM boxes) GROUP BY image_id""")
 def _k2(boxes):
     from plotweave.operators.aggregates import ORGANS
 
     images = boxes.select("image_id").distinct().withColumns({"width": F.lit(640), "height": F.lit(480)})
     anns = boxes.select("image_id", (F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("id"), "category_id", "x_c")
     cats = boxes.sparkSession.createDataFrame(list(enumerate(ORGANS)), "id long, name string")
-    doc = F.from_json("value", "annotations array<struct<id:long>>, categories array<struct<id:long>>")
-    out = K.coco_documents(images, anns, cats).select("image_id", doc.alias("d"))
-    return out.select("image_id", F.size("d.annotations").cast("long").alias("n_annotations"), F.size("d.categories").alias("n_categories"), F.col("d.annotations")[0]["id"].alias("first_id"))
+    path = f"{shared_dir(boxes.sparkSession)}/plotweave/coco-{uuid.uuid4().hex}"
+    K.write_coco(images.withColumn("bucket", F.col("image_id") % 8), anns, cats, path, ("bucket",))
+    doc = F.from_json("value", "images array<struct<id:long>>, annotations array<struct<id:long,image_id:long>>, categories array<struct<id:long>>")
+    out = boxes.sparkSession.read.text(path).select(doc.alias("d"))
+    own = F.size(F.filter("d.annotations", lambda a: a["image_id"] == F.col("d.images")[0]["id"]))
+    return out.select(F.col("d.images")[0]["id"].alias("image_id"), F.size("d.annotations").cast("long").alias("n_annotations"), F.size("d.categories").alias("n_categories"), F.col("d.annotations")[0]["id"].alias("first_id"), own.cast("long").alias("n_read"))
 
 
-@query("k3_yolo_lines", "boxes", sql="SELECT image_id, count(*) AS n, min(printf('%d %.6f %.6f %.6f %.6f', category_id, x_c, y_c, w, h)) AS first_line FROM boxes GROUP BY image_id")
+@query("k3_yolo_lines", "boxes", sql="SELECT l_suppkey % 40 + 1 AS bed, count(*) AS n, min(printf('%d %.6f %.6f %.6f %.6f', category_id, x_c, y_c, w, h)) AS first_line, max(printf('%d %.6f %.6f %.6f %.6f', category_id, x_c, y_c, w, h)) AS last_line FROM boxes GROUP BY 1")
 def _k3(boxes):
-    return K.yolo_lines(boxes).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_line"))
+    path = f"{shared_dir(boxes.sparkSession)}/plotweave/yolo-{uuid.uuid4().hex}"
+    K.write_yolo(_placed(boxes), path, ("bed",))
+    return boxes.sparkSession.read.text(path).groupBy(F.col("bed").cast("long").alias("bed")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_line"), F.max("value").alias("last_line"))
 
 
 @query("k4_survey_documents", "plants", sql="""
@@ -337,5 +375,7 @@ SELECT dap, bed AS plot, list_aggregate(list_sort(list(DISTINCT crop_type)), 'st
 FROM (SELECT *, min(tier) OVER (PARTITION BY dap, bed) AS t0 FROM plants) GROUP BY dap, bed""")
 def _k4(plants):
     rows = plants.select("dap", F.col("bed").alias("plot"), "bed", F.col("tier").alias("row"), "x", "y", "crop_type", "crop_height")
-    out = K.survey_documents(rows, ["dap"], ["plot"])
+    path = f"{shared_dir(plants.sparkSession)}/plotweave/survey-{uuid.uuid4().hex}"
+    K.write_survey(rows, ["dap"], ["plot"], path)
+    out = plants.sparkSession.read.schema("dap bigint, plot bigint, crop_types array<string>, n_beds bigint, n_rows bigint, crops array<struct<bed:bigint,row:bigint,x:double,y:double>>").json(path)
     return out.select("dap", "plot", F.array_join("crop_types", ",").alias("crop_types"), "n_beds", "n_rows", F.size("crops").cast("long").alias("n_crops"), F.round(F.col("crops")[0]["x"], 6).alias("first_x"))

@@ -81,13 +81,31 @@ def _p7(plants):
     return C.grid_filter(plants, 1, 8, 1, 14).groupBy("bed", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _scene_docs(scenes: DataFrame) -> DataFrame:
+    """Documents of which some lack a section, a key or the plants of their first plot."""
+    n = F.col("scene_id")
+    some = lambda by, c: F.when(n % by != 0, c)
+    meta = F.struct(F.lit("cowpea").alias("plant_type"), some(5, n).alias("dap"), some(4, n).alias("year"))
+    layout = F.struct(F.lit("manual").alias("mode"), F.when(n % 8 == 0, F.struct(F.lit(1.0).alias("plot_size_x"))).alias("sampling"))
+    plant = F.struct(F.lit(1.0).alias("x"), some(9, F.lit(1.0)).alias("y"))
+    plots = F.array(F.struct("bed", some(11, F.col("tier")).alias("row"), some(3, F.array(plant)).alias("plants")))
+    env = F.struct(F.struct(F.col("sun_elevation").alias("elevation_degrees"), F.lit(0).alias("azimuth_degrees"), F.lit(True).alias("shadow")).alias("sun"), F.struct(F.lit("x").alias("spectral_data")).alias("soil"))
+    camera = F.struct(F.struct(*[F.lit(1).alias(c) for c in ("resolution_x", "resolution_y", "focal_plane_distance_difference", "lens_diameter")]).alias("sensor"), F.struct(*[F.lit(1).alias(c) for c in ("camera_height", "azimuth_angle", "distance_from_center")]).alias("positioning"))
+    optics = F.struct(*[F.lit(1).alias(c) for c in ("number_layers", "chlorophyll_content", "carotenoid_content", "anthocyan_content", "brown_pigments", "water_mass", "dry_mass")])
+    plants = F.struct(optics.alias("leaf_optics"), F.struct(F.lit(1).alias("flower_bud_break_probability")).alias("architecture"))
+    doc = F.struct(some(6, n).alias("seed"), meta.alias("metadata"), env.alias("environment"), F.struct(layout.alias("layout"), some(7, plots).alias("plots")).alias("field"), some(10, plants).alias("plant_properties"), camera.alias("camera"))
+    return scenes.select("scene_id", F.parse_json(F.to_json(doc)).alias("doc"))
+
+
 @query("p8_validate_params", "scenes", sql="""
-SELECT scene_id, scene_id % 7 <> 0 AS valid, CASE WHEN scene_id % 7 = 0 THEN 0 ELSE 1 END AS n_plots, scene_id % 7 <> 0 AS first_plot_has_plants,
-  CASE WHEN scene_id % 7 = 0 THEN '$.field.plots' ELSE '' END AS missing_required,
-  CASE WHEN scene_id % 6 = 0 THEN '$.camera' ELSE '$.seed,$.camera' END AS missing_optional FROM scenes""")
+SELECT scene_id, scene_id % 5 <> 0 AND scene_id % 6 <> 0 AND scene_id % 7 <> 0 AND scene_id % 10 <> 0 AS valid, CASE WHEN scene_id % 7 = 0 THEN 0 ELSE 1 END AS n_plots, scene_id % 7 <> 0 AND scene_id % 3 <> 0 AS first_plot_has_plants,
+  scene_id % 7 <> 0 AND scene_id % 11 <> 0 AND (scene_id % 3 = 0 OR scene_id % 9 <> 0) AS first_plot_placed,
+  concat_ws(',', CASE WHEN scene_id % 6 = 0 THEN 'seed' END, CASE WHEN scene_id % 10 = 0 THEN 'plant_properties' END, CASE WHEN scene_id % 5 = 0 THEN 'metadata.dap' END, CASE WHEN scene_id % 7 = 0 THEN 'field.plots' END) AS missing_required,
+  concat_ws(',', CASE WHEN scene_id % 4 = 0 THEN 'metadata.year' END, 'metadata.location', CASE WHEN scene_id % 10 = 0 THEN 'plant_properties.leaf_optics,plant_properties.architecture,plant_properties.leaf_optics.number_layers,plant_properties.leaf_optics.chlorophyll_content,plant_properties.leaf_optics.carotenoid_content,plant_properties.leaf_optics.anthocyan_content,plant_properties.leaf_optics.brown_pigments,plant_properties.leaf_optics.water_mass,plant_properties.leaf_optics.dry_mass' END,
+    CASE WHEN scene_id % 8 = 0 THEN 'field.layout.sampling.plot_size_y,field.layout.sampling.plot_size_z' END) AS missing_optional FROM scenes""")
 def _p8(scenes):
-    out = C.validate_params(_docs(scenes), ["$.field.layout", "$.field.plots", "$.environment.sun.elevation_degrees"], ["$.seed", "$.camera"])
-    return out.select("scene_id", "valid", "n_plots", "first_plot_has_plants", F.array_join("missing_required", ",").alias("missing_required"), F.array_join("missing_optional", ",").alias("missing_optional"))
+    out = C.validate_params(_scene_docs(scenes))
+    return out.select("scene_id", "valid", "n_plots", "first_plot_has_plants", "first_plot_placed", F.array_join("missing_required", ",").alias("missing_required"), F.array_join("missing_optional", ",").alias("missing_optional"))
 
 
 @query("p9_apply_overrides", "scenes", sql="SELECT scene_id, bed, tier, CAST(2.5 AS DOUBLE) AS camera_height, CAST(40 AS BIGINT) AS dap FROM scenes")
@@ -157,18 +175,21 @@ KINDS = ["depth", "temperature", "masks", "boxes", "params", "rad", "vis"]
 
 
 @query("j5_missing_artifacts", "artifacts", sql=f"""
-WITH a AS (SELECT DISTINCT {PARTS.format(row='tier')} FROM artifacts WHERE file_name LIKE 'dap_10_%')
-SELECT b.range + 1 AS bed, t.range + 1 AS tier, k.kind FROM range(40) b, range(14) t, (SELECT unnest({KINDS}) AS kind) k
-WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.bed = b.range + 1 AND a.tier = t.range + 1 AND a.kind = k.kind)""")
+WITH a AS (SELECT DISTINCT {PARTS.format(row='tier')} FROM artifacts), d AS (SELECT DISTINCT dap FROM a)
+SELECT d.dap, b.range + 1 AS bed, t.range + 1 AS tier, k.kind FROM d, range(40) b, range(14) t, (SELECT unnest({KINDS}) AS kind) k
+WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.dap = d.dap AND a.bed = b.range + 1 AND a.tier = t.range + 1 AND a.kind = k.kind)""")
 def _j5(artifacts):
-    a = C.parse_artifact_name(artifacts).where("dap = 10").withColumnRenamed("row", "tier").withColumn("length", F.lit(1))
-    return J.missing_artifacts(J.expected_grid(artifacts.sparkSession, 40, 14), KINDS, a)
+    a = C.parse_artifact_name(artifacts).withColumnRenamed("row", "tier").withColumn("length", F.lit(1))
+    # the days of a season times the grid of a field
+    days = a.select("dap").distinct().withColumn("bed", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("tier", F.explode(F.sequence(F.lit(1), F.lit(14))))
+    grid = days.select("dap", F.col("bed").cast("long").alias("bed"), F.col("tier").cast("long").alias("tier"))
+    return J.missing_artifacts(grid, KINDS, a, ("dap", "bed", "tier"))
 
 
 @query("j6_todo", "scenes", "plants", sql="""
-SELECT scene_id, bed, tier FROM scenes s WHERE NOT EXISTS (SELECT 1 FROM plants p WHERE p.bed = s.bed AND p.tier = s.tier AND p.set_id = 7) AND scene_id >= 100""")
+SELECT scene_id, bed, tier FROM scenes s WHERE NOT EXISTS (SELECT 1 FROM plants p WHERE p.bed = s.bed AND p.tier = s.tier AND p.set_id = 7 AND p.bed % 3 = 1) AND scene_id >= 100""")
 def _j6(scenes, plants):
-    return J.todo(scenes, plants.where("set_id = 7"), ["bed", "tier"], "scene_id", 100).select("scene_id", "bed", "tier")
+    return J.todo(scenes, plants.where("set_id = 7 and bed % 3 = 1"), ["bed", "tier"], "scene_id", 100).select("scene_id", "bed", "tier")
 
 
 @query("j7_pick_by_dap", "artifacts", sql="""
@@ -235,7 +256,9 @@ SELECT set_id, count(*) AS n, round(sum(elevation), 3) AS sum_elevation, round(m
 def _j12(plants, raster):
     meta = plants.select(F.col("set_id").alias("raster_id")).distinct().withColumns({"width": F.lit(100), "height": F.lit(100), "scale": F.lit(0.02)})
     points = plants.select(F.col("set_id").alias("raster_id"), "x", (F.col("y") / F.lit(0.1) * F.lit(0.02)).alias("y"))
-    pixels = raster.join(meta.select("raster_id")).select("raster_id", "row", "col", "v")
+    # the one raster serves all sets: each pixel is listed under them
+    sets = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("raster_id")
+    pixels = raster.select(sets, "row", "col", "v")
     out = J.sample_raster(points, meta, pixels)
     return out.groupBy(F.col("raster_id").alias("set_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("elevation"), 3).alias("sum_elevation"), F.round(F.max("z"), 6).alias("max_z"))
 
@@ -273,16 +296,17 @@ def _a1(artifacts):
 
 
 @query("a2_merge_field", "scenes", "plants", sql="""
-WITH f AS (SELECT * FROM scenes WHERE scene_id < 560 AND bed BETWEEN 1 AND 8 AND tier BETWEEN 1 AND 14), n AS (SELECT bed, tier, count(*) AS n_plants FROM plants WHERE dap = 30 GROUP BY 1, 2),
-m AS (SELECT avg(plot_size_x) AS mx, avg(plot_size_y) AS my, avg(sun_elevation) AS me, avg(coalesce(chlorophyll, 30)) AS mc FROM f)
-SELECT f.bed, f.tier, f.bed AS new_bed, 15 - f.tier AS new_tier, coalesce(n_plants, 0) AS n_plants, round(mx, 6) AS mean_plot_size_x, round(my, 6) AS mean_plot_size_y, round(me, 6) AS mean_sun_elevation, round(mc, 6) AS mean_chlorophyll
-FROM f LEFT JOIN n USING (bed, tier), m""")
+WITH f AS (SELECT *, CAST(floor(scene_id / CAST(560 AS DOUBLE)) AS BIGINT) AS field FROM scenes WHERE bed BETWEEN 1 AND 8 AND tier BETWEEN 1 AND 14), n AS (SELECT bed, tier, count(*) AS n_plants FROM plants WHERE dap = 30 GROUP BY 1, 2),
+m AS (SELECT field, avg(plot_size_x) AS mx, avg(plot_size_y) AS my, avg(sun_elevation) AS me, avg(coalesce(chlorophyll, 30)) AS mc FROM f GROUP BY field)
+SELECT field, f.bed, f.tier, f.bed AS new_bed, 15 - f.tier AS new_tier, coalesce(n_plants, 0) AS n_plants, round(mx, 6) AS mean_plot_size_x, round(my, 6) AS mean_plot_size_y, round(me, 6) AS mean_sun_elevation, round(mc, 6) AS mean_chlorophyll
+FROM f LEFT JOIN n USING (bed, tier) JOIN m USING (field)""")
 def _a2(scenes, plants):
-    field = A.merge_field(scenes.where("scene_id < 560"), (1, 8), (1, 14), bottom_to_top=False)
+    fields = scenes.withColumn("field", F.floor(F.col("scene_id") / 560))
+    field = A.merge_field(fields, (1, 8), (1, 14), bottom_to_top=False, by=["field"])
     n = plants.where("dap = 30").groupBy("bed", "tier").agg(F.count(F.lit(1)).alias("n_plants"))
     out = field.join(n, ["bed", "tier"], "left").withColumn("n_plants", F.coalesce("n_plants", F.lit(0)))
     means = ["mean_plot_size_x", "mean_plot_size_y", "mean_sun_elevation", "mean_chlorophyll"]
-    return r6(out.select("bed", "tier", "new_bed", "new_tier", "n_plants", *means), *means)
+    return r6(out.select("field", "bed", "tier", "new_bed", "new_tier", "n_plants", *means), *means)
 
 
 @query("a3_merged_camera", "scenes", sql="""
@@ -447,13 +471,13 @@ def _w4(plots):
     return out.withColumns({"bed_again": bed, "tier_again": tier})
 
 
-@query("w5_sorted_merge", "scenes", sql="SELECT string_agg(concat(bed, '/', tier, '/', scene_id), ',' ORDER BY bed, tier, scene_id) AS plots FROM scenes WHERE scene_id < 560")
+@query("w5_sorted_merge", "scenes", sql="SELECT CAST(floor(scene_id / CAST(560 AS DOUBLE)) AS BIGINT) AS field, string_agg(concat(bed, '/', tier, '/', scene_id), ',' ORDER BY bed, tier, scene_id) AS plots FROM scenes GROUP BY 1")
 def _w5(scenes):
-    merged = W.sorted_merge(scenes.where("scene_id < 560"), ["scene_id"])
-    return merged.select(F.array_join(F.transform("plots", lambda p: F.concat_ws("/", p["bed"].cast("string"), p["tier"].cast("string"), p["scene_id"].cast("string"))), ",").alias("plots"))
+    merged = W.sorted_merge(scenes.withColumn("field", F.floor(F.col("scene_id") / 560)), ["scene_id"], ["field"])
+    return merged.select("field", F.array_join(F.transform("plots", lambda p: F.concat_ws("/", p["bed"].cast("string"), p["tier"].cast("string"), p["scene_id"].cast("string"))), ",").alias("plots"))
 
 
-@query("w6_sample_plots", "plots")
+@query("w6_sample_plots", "plots", sql="SELECT bed, tier FROM plots ORDER BY md5(concat_ws('|', '42', bed, tier)), bed, tier LIMIT 6")
 def _w6(plots):
     return W.sample_plots(plots, ["bed", "tier"]).select("bed", "tier")
 

@@ -27,10 +27,11 @@ RGB = "rgb AS (SELECT image_id AS raster_id, row, col, max(v) FILTER (band = 0)
 
 
 def _one(pixels: DataFrame) -> DataFrame:
-    return pixels.where("band = 0").select(F.col("image_id").alias("raster_id"), "row", "col", "v")
+    """Every band as a raster of its own."""
+    return pixels.select((F.col("image_id") * 3 + F.col("band")).alias("raster_id"), "row", "col", "v")
 
 
-ONE = "px AS (SELECT image_id AS raster_id, row, col, v FROM pixels WHERE band = 0)"
+ONE = "px AS (SELECT image_id * 3 + band AS raster_id, row, col, v FROM pixels)"
 
 
 def _whole(raster: DataFrame) -> DataFrame:
@@ -142,9 +143,30 @@ def _r12(pixels):
     return out.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
 
 
-@query("r13_detect_plants", "pixels")
+def _passes() -> str:
+    """Masks m1 to m10 from m0: open twice, close twice, open once, each pass over a pixel and its four neighbours."""
+    steps = ["min", "min", "max", "max", "max", "max", "min", "min", "min", "max"]
+    pass_ = "m{1} AS (SELECT a.raster_id, a.row, a.col, {0}(b.v) AS v FROM m{2} a, k JOIN m{2} b ON b.raster_id = a.raster_id AND b.row = a.row + dy AND b.col = a.col + dx GROUP BY 1, 2, 3)"
+    return ", ".join(pass_.format(f, i + 1, i) for i, f in enumerate(steps))
+
+
+PLANTS = f"""WITH RECURSIVE {RGB}, px AS (SELECT raster_id, row, col, greatest(-1, least(1, (2 * g - r - b) / (r + g + b + {DUCK(1e-6)}))) AS v FROM rgb), {BLUR},
+q AS (SELECT raster_id, row, col, CAST(floor((v + 1) * {DUCK(127.5)}) AS INT) AS v FROM bl), hist AS (SELECT raster_id, v AS t, count(*) AS n FROM q GROUP BY 1, 2),
+cum AS (SELECT raster_id, t, sum(n) OVER w AS w0, sum(n * t) OVER w AS s0, sum(n) OVER (PARTITION BY raster_id) AS total, sum(n * t) OVER (PARTITION BY raster_id) AS s FROM hist WINDOW w AS (PARTITION BY raster_id ORDER BY t)),
+bet AS (SELECT raster_id, t, CASE WHEN total > w0 THEN round(CAST(w0 AS DOUBLE) * (total - w0) * power(CAST(s0 AS DOUBLE) / w0 - CAST(s - s0 AS DOUBLE) / (total - w0), 2), 3) ELSE 0 END AS between FROM cum),
+cut AS (SELECT raster_id, t FROM (SELECT raster_id, t, row_number() OVER (PARTITION BY raster_id ORDER BY between DESC, t) AS k FROM bet) WHERE k = 1),
+m0 AS (SELECT q.raster_id, row, col, CASE WHEN v > t THEN 255 ELSE 0 END AS v FROM q JOIN cut USING (raster_id)), {_near(1)}, {_passes()},
+{COMPONENTS.replace("FROM px WHERE v > 140", "FROM m10 WHERE v > 0").replace("r AS (", "rec AS (").replace("FROM r JOIN", "FROM rec r JOIN").replace("FROM r GROUP", "FROM rec GROUP")},
+{PROPS.replace("props AS (", "props AS (SELECT * FROM (") + " WHERE greatest(y2 - y1, x2 - x1) >= 2)"}, {SEGMENTS}"""
+
+
+@query("r13_detect_plants", "pixels", sql=f"""
+{PLANTS}, o AS (SELECT s.raster_id, s.label, s.segment, coalesce(avg(l.col), (sx1 + sx2) / {DUCK(2)}) AS cx, coalesce(avg(l.row), (sy1 + sy2) / {DUCK(2)}) AS cy, coalesce(min(l.col), sx1) AS x1, coalesce(min(l.row), sy1) AS y1, coalesce(max(l.col), sx2) AS x2, coalesce(max(l.row), sy2) AS y2
+FROM seg s LEFT JOIN lab l ON l.raster_id = s.raster_id AND l.label = s.label AND l.col >= sx1 AND l.col < sx2 AND l.row >= sy1 AND l.row < sy2 GROUP BY s.raster_id, s.label, s.segment, sx1, sx2, sy1, sy2)
+SELECT raster_id, label, segment, round(cx, 6) AS cx, round(cy, 6) AS cy, x1, y1, x2, y2, round((cx - 4) * {DUCK(0.0035)}, 6) AS x_m, round(-(cy - 4) * {DUCK(0.0035)}, 6) AS y_m FROM o""")
 def _r13(pixels):
-    return R.detect_plants(_rgb(pixels), 0.0035, min_size=2, kernel_small=3, kernel_large=3)
+    out = R.detect_plants(_rgb(pixels), 0.0035, min_size=2, kernel_small=3, kernel_large=3)
+    return out.withColumns({c: F.round(c, 6) for c in ("cx", "cy", "x_m", "y_m")})
 
 
 @query("r14_clahe", "raster")
@@ -185,80 +207,128 @@ def _g12(pixels):
     return R.resize_raster(_one(pixels), (8, 8), (4, 4), "bilinear").withColumn("v", F.round("v", 6))
 
 
+U = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)".format
+
+
 def _templates(scenes: DataFrame) -> DataFrame:
     """A document per scene with literal, uniform, normal and categorical leaves and a nested array."""
     dist = lambda kind, **p: F.struct(F.struct(F.lit(kind).alias("type"), F.struct(*[v.alias(k) for k, v in p.items()]).alias("params")).alias("distribution"))
     spot = F.array(F.struct(F.lit(0.5).alias("x")), F.struct(F.lit(1.5).alias("x")))
-    doc = F.struct(dist("uniform", min=F.lit(10), max=F.lit(90)).alias("dap"), dist("normal", mean=F.col("sun_elevation"), std=F.lit(0.0)).alias("sun"), dist("categorical", categories=F.array(F.lit("a"), F.lit("b"))).alias("kind"), F.struct(F.col("camera_height").alias("height"), spot.alias("plants")).alias("field"))
+    doc = F.struct(dist("uniform", min=F.lit(10), max=F.lit(90)).alias("dap"), dist("normal", mean=F.col("sun_elevation"), std=F.lit(2.0)).alias("sun"), dist("categorical", categories=F.array(F.lit("a"), F.lit("b"))).alias("kind"), F.struct(F.col("camera_height").alias("height"), spot.alias("plants")).alias("field"))
     return scenes.select("scene_id", F.parse_json(F.to_json(doc)).alias("doc"))
 
 
+def _draw(path: str, *more: str) -> str:
+    return U(", ".join(["'5'", "scene_id", "s.range", f"'{path}'", *[f"'{m}'" for m in more]]))
+
+
+DRAWN = f"""drawn AS (SELECT scene_id, CAST(s.range AS INT) AS scene, 10 + CAST(floor({_draw('.dap')} * 81) AS BIGINT) AS dap,
+  round(sun_elevation + sqrt(-2 * ln(1 - {_draw('.sun', 'u')})) * cos({_draw('.sun', 'v')} * {DUCK(6.283185307179586)}) * 2, 4) AS sun, CASE WHEN {_draw('.kind')} < 0.5 THEN 'a' ELSE 'b' END AS kind, camera_height AS height FROM scenes, range(2) s)"""
+
+
+def _samples(scenes: DataFrame) -> DataFrame:
+    return X.sample_params(X.leaf_distributions(X.flatten_params(_templates(scenes), "scene_id", depth=5)), "scene_id", 2, seed=5)
+
+
 @query("x1_flatten_params", "scenes", sql="""
 SELECT scene_id, unnest(['.dap', '.sun', '.kind', '.field.height', '.field.plants[0].x', '.field.plants[1].x']) AS path, unnest(['distribution', 'distribution', 'distribution', 'literal', 'literal', 'literal']) AS kind FROM scenes""")
 def _x1(scenes):
     return X.flatten_params(_templates(scenes), "scene_id", depth=5).select("scene_id", "path", "kind")
 
 
-@query("x2_sample_params", "scenes", sql="""
-SELECT path, count(*) * 2 AS n, count(*) * 2 AS within FROM (SELECT unnest(['.dap', '.sun', '.kind', '.field.height', '.field.plants[0].x', '.field.plants[1].x']) AS path FROM scenes) GROUP BY path""")
+@query("x2_sample_params", "scenes", sql=f"""
+WITH {DRAWN} SELECT scene_id, scene, unnest(['.dap', '.sun', '.field.height', '.kind']) AS path, round(unnest([CAST(dap AS DOUBLE), sun, height, NULL]), 4) AS number, unnest([NULL, NULL, NULL, kind]) AS word FROM drawn""")
 def _x2(scenes):
-    leaves = X.leaf_distributions(X.flatten_params(_templates(scenes), "scene_id", depth=5))
-    s = X.sample_params(leaves, "scene_id", 2, seed=5)
-    value = F.col("drawn").try_cast("double")
-    good = F.when(F.col("path") == ".dap", value.between(10, 90) & ~F.col("drawn").contains(".")).when(F.col("path") == ".kind", F.col("drawn").isin("a", "b")).when(F.col("path") == ".sun", value == F.col("mean")).otherwise(F.col("drawn") == F.col("value"))
-    return s.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("within"))
+    s = _samples(scenes).where(~F.col("path").contains("plants"))
+    word = F.when(F.col("path") == ".kind", F.replace("drawn", F.lit('"'), F.lit("")))
+    return s.select("scene_id", "scene", "path", F.round(F.when(F.col("path") != ".kind", F.col("drawn").cast("double")), 4).alias("number"), word.alias("word"))
 
 
-@query("x3_assemble_params", "scenes", sql="SELECT scene_id, CAST(s.range AS INT) AS scene, 6 AS n_leaves FROM scenes, range(2) s")
+@query("x3_assemble_params", "scenes", sql=f"WITH {DRAWN} SELECT scene_id, scene, dap, round(sun, 4) AS sun, kind, round(height, 4) AS height, {DUCK(0.5)} AS x0, {DUCK(1.5)} AS x1, 6 AS n_leaves, TRUE AS typed FROM drawn")
 def _x3(scenes):
-    leaves = X.leaf_distributions(X.flatten_params(_templates(scenes), "scene_id", depth=5))
-    return X.assemble_params(X.sample_params(leaves, "scene_id", 2, seed=5), "scene_id").select("scene_id", "scene", F.col("n_leaves").cast("int").alias("n_leaves"))
+    out = X.assemble_params(_samples(scenes), "scene_id")
+    d = F.from_json("document", "dap bigint, sun double, kind string, field struct<height:double,plants:array<struct<x:double>>>")
+    typed = F.col("document").startswith('{"dap":') & F.col("document").rlike('"kind":"[ab]"') & F.try_parse_json("document").isNotNull()
+    return out.select("scene_id", "scene", d.alias("d"), typed.alias("typed"), F.col("n_leaves").cast("int").alias("n_leaves")).select("scene_id", "scene", "d.dap", F.round("d.sun", 4).alias("sun"), "d.kind", F.round("d.field.height", 4).alias("height"), F.col("d.field.plants")[0]["x"].alias("x0"), F.col("d.field.plants")[1]["x"].alias("x1"), "n_leaves", "typed")
+
+
+def _trait(name: str, end: str) -> str:
+    return U(f"'42', genotype_id, '{name}-{end}'")
+
 
+def _traits() -> str:
+    cols = []
+    for t, (lo, hi, gap, top) in X.GENOTYPE_RANGES.items():
+        least = f"({DUCK(lo)} + {_trait(t, 'min')} * {DUCK(hi - lo)})"
+        least = f"floor({least})" if t == "plant_count" else least
+        start, end = (DUCK(top[0]), top[1]) if gap is None else (f"({least} + {DUCK(gap)})", top)
+        most = f"({start} + {_trait(t, 'max')} * ({DUCK(end)} - {start}))"
+        cols += [f"{least} AS {t}_min", f"{f'floor({most})' if t == 'plant_count' else most} AS {t}_max"]
+    return "traits AS (SELECT genotype_id, " + ", ".join(cols) + " FROM (SELECT scene_id AS genotype_id FROM scenes))"
 
-@query("x4_virtual_genotypes", "scenes", sql="SELECT scene_id AS genotype_id, TRUE AS ordered FROM scenes")
+
+TRAITS = _traits()
+ENDS = [f"{t}_{e}" for t in X.GENOTYPE_RANGES for e in ("min", "max")]
+
+
+@query("x4_virtual_genotypes", "scenes", sql=f"WITH {TRAITS} SELECT genotype_id, {', '.join(f'round({c}, 6) AS {c}' for c in ENDS)} FROM traits")
 def _x4(scenes):
     made = X.with_traits(scenes.select(F.col("scene_id").alias("genotype_id")))
-    fine = [F.col(f"{t}_min") < F.col(f"{t}_max") for t in X.GENOTYPE_RANGES if t != "plant_count"] + [F.col("plant_count_min") < F.col("plant_count_max")]
-    ok = fine[0]
-    for f in fine[1:]:
-        ok = ok & f
-    return made.select("genotype_id", ok.alias("ordered"))
+    return made.select("genotype_id", *[F.round(c, 6).alias(c) for c in ENDS])
 
 
 def _matrix(scenes: DataFrame) -> DataFrame:
-    ids = scenes.where("scene_id < 300").select(F.col("scene_id").alias("genotype_id"))
-    made = ids.join(X.virtual_genotypes(scenes.sparkSession, 300), "genotype_id")
-    gone = scenes.where("scene_id < 300 and scene_id % 7 = 0").select(F.col("scene_id").alias("genotype_id"), F.lit(20).alias("dap"), F.lit(1).alias("scene"))
+    made = X.with_traits(scenes.select(F.col("scene_id").alias("genotype_id")))
+    gone = scenes.where("scene_id % 7 = 0").select(F.col("scene_id").alias("genotype_id"), F.lit(20).alias("dap"), F.lit(1).alias("scene"))
     return X.scene_matrix(made, [10, 20, 30], 4, gone)
 
 
-@query("x5_scene_matrix", "scenes", sql="""
-SELECT scene_id AS genotype_id, d.dap, CAST(s.range AS INT) AS scene FROM scenes, (SELECT unnest([10, 20, 30]) AS dap) d, range(4) s WHERE scene_id < 300 AND NOT (scene_id % 7 = 0 AND d.dap = 20 AND s.range = 1)""")
+MATRIX = "(SELECT unnest([10, 20, 30]) AS dap) d, range(4) s WHERE NOT (scene_id % 7 = 0 AND d.dap = 20 AND s.range = 1)"
+
+
+@query("x5_scene_matrix", "scenes", sql=f"SELECT scene_id AS genotype_id, d.dap, CAST(s.range AS INT) AS scene FROM scenes, {MATRIX}")
 def _x5(scenes):
     return _matrix(scenes).select("genotype_id", "dap", "scene")
 
 
-@query("x6_scene_plan", "scenes", sql="""
-SELECT scene_id AS genotype_id, d.dap, CAST(s.range AS INT) AS scene, TRUE AS covers, TRUE AS near_area FROM scenes, (SELECT unnest([10, 20, 30]) AS dap) d, range(4) s WHERE scene_id < 300 AND NOT (scene_id % 7 = 0 AND d.dap = 20 AND s.range = 1)""")
+def _of_scene(*salt: str) -> str:
+    return U(", ".join(["'42'", "genotype_id", "dap", "scene", *salt]))
+
+
+PLAN = f"""m AS (SELECT t.*, d.dap, CAST(s.range AS INT) AS scene FROM traits t, {MATRIX.replace('scene_id', 'genotype_id')}),
+r AS (SELECT *, CAST(floor(plant_count_min + {_of_scene("'n'")} * (plant_count_max + 1 - plant_count_min)) AS INT) AS n_plants, CAST(floor({_of_scene("'rows'")} * 4) + 1 AS INT) AS n_rows FROM m),
+c AS (SELECT *, greatest(1, CAST(ceil(n_plants / CAST(n_rows AS DOUBLE)) AS INT)) AS n_cols FROM r),
+p AS (SELECT genotype_id, dap, scene, n_rows, n_cols, unnest(range(n_plants)) AS plant, plant_spacing_x_min AS ax, plant_spacing_x_max AS bx, plant_spacing_y_min AS ay, plant_spacing_y_max AS yb FROM c WHERE n_plants > 0),
+q AS (SELECT genotype_id, dap, scene, (ax + {_of_scene('plant', "'x'")} * (bx - ax)) * (plant % n_cols - (n_cols - 1) / CAST(2 AS DOUBLE)) AS x, (ay + {_of_scene('plant', "'y'")} * (yb - ay)) * (floor(plant / CAST(n_cols AS DOUBLE)) - (n_rows - 1) / CAST(2 AS DOUBLE)) AS y FROM p),
+e AS (SELECT genotype_id, dap, scene, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM q GROUP BY ALL),
+z AS (SELECT c.genotype_id, c.dap, c.scene, n_plants, n_rows, coalesce(dx + mg, 2.5) AS sx, coalesce(dy + mg, 5) AS sy FROM (SELECT *, {DUCK(0.5)} + {_of_scene("'margin'")} * {DUCK(1.5)} AS mg FROM c) c LEFT JOIN e ON e.genotype_id = c.genotype_id AND e.dap = c.dap AND e.scene = c.scene),
+w AS (SELECT *, CAST(round_even(sy / sx * round_even(sqrt(921600 * sx / sy), 0), 0) AS INT) AS resolution_y FROM z)"""
+
+
+@query("x6_scene_plan", "scenes", sql=f"""
+WITH {TRAITS}, {PLAN} SELECT genotype_id, dap, scene, n_plants, n_rows, round(sx, 5) AS plot_size_x, round(sy, 5) AS plot_size_y, resolution_y, CAST(round_even(resolution_y * sx / sy, 0) AS INT) AS resolution_x FROM w""")
 def _x6(scenes):
-    plants, plan = X.scene_plan(_matrix(scenes))
-    key = ["genotype_id", "dap", "scene"]
-    wide = plants.groupBy(*key).agg((F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"))
-    out = plan.join(wide, key, "left")
-    area = F.col("resolution_x") * F.col("resolution_y")
-    return out.select(*key, F.coalesce((F.col("plot_size_x") > F.col("dx")) & (F.col("plot_size_y") > F.col("dy")), F.lit(True)).alias("covers"), area.between(880_000, 960_000).alias("near_area"))
+    _, plan = X.scene_plan(_matrix(scenes))
+    return plan.select("genotype_id", "dap", "scene", "n_plants", "n_rows", F.round("plot_size_x", 5).alias("plot_size_x"), F.round("plot_size_y", 5).alias("plot_size_y"), "resolution_y", "resolution_x")
+
+
+SCENE = '{"metadata": {"location": "field", "plant_type": "x"}, "environment": {"sun": {"shadow": true}}, "camera": {"sensor": {"ISO": 100, "resolution_x": 1}}, "seed": 7}'
 
 
 @query("x7_plots_to_scenes", "plants", "scenes", sql="""
 WITH p AS (SELECT bed * 100 + tier AS raster_id, count(*) AS n_plants, min(round_even(x, 4)) AS first_x FROM plants GROUP BY 1), s AS (SELECT bed * 100 + tier AS raster_id, max(plot_size_x) AS w, max(plot_size_y) AS h FROM scenes GROUP BY 1)
-SELECT raster_id, coalesce(n_plants, 0) AS n_plants, round(first_x, 4) AS first_x, CAST(0 AS DOUBLE) AS heading, 1080 AS image_height FROM s LEFT JOIN p USING (raster_id)""")
+SELECT raster_id, coalesce(n_plants, 0) AS n_plants, round(first_x, 4) AS first_x, CAST(0 AS DOUBLE) AS heading, 1080 AS image_height, CAST(round_even(1080 * (w / h), 0) AS INT) AS image_width, round(round_even(w, 4) * 1.1, 6) AS size_x, CAST(0.2 AS DOUBLE) AS size_z, 'field' AS location, 'cowpea' AS plant_type, 2025 AS year, 30 AS dap, TRUE AS shadow, 100 AS iso, 7 AS seed, CAST(1.2 AS DOUBLE) AS camera_height, FALSE AS focusing,
+  CASE WHEN raster_id % 2 = 0 THEN concat('g', raster_id, '.obj') END AS ground FROM s LEFT JOIN p USING (raster_id)""")
 def _x7(plants, scenes):
     place = (F.col("bed") * 100 + F.col("tier")).alias("raster_id")
-    plots = scenes.groupBy(place).agg(F.max("plot_size_x").alias("width_m"), F.max("plot_size_y").alias("height_m"))
-    out = X.plots_to_scenes(plants.select(place, F.col("x").alias("x_m"), F.col("y").alias("y_m"), F.lit(0.0).alias("z")), plots)
-    d = F.from_json("document", "field struct<plants:array<struct<x:double>>>, soil struct<rotate_obj:double>, camera struct<resolution_y:int>")
+    plots = scenes.groupBy(place).agg(F.max("plot_size_x").alias("width_m"), F.max("plot_size_y").alias("height_m")).withColumn("dap", F.lit(30))
+    mesh = F.when(F.col("raster_id") % 2 == 0, F.concat(F.lit("g"), "raster_id", F.lit(".obj")))
+    out = X.plots_to_scenes(plants.select(place, F.col("x").alias("x_m"), F.col("y").alias("y_m"), F.lit(0.0).alias("z")), plots, SCENE, plant_type="cowpea", buffer=1.1, ground=mesh)
+    d = F.from_json("document", """seed int, metadata struct<location:string,plant_type:string,year:int,dap:int>, environment struct<sun:struct<shadow:boolean>,soil:struct<rotate_obj:double,use_obj_ground:boolean,obj_file_path:string>>,
+      field struct<layout:struct<plot_size_x:double,plot_size_z:double>,plots:array<struct<plants:array<struct<x:double>>>>>, camera struct<sensor:struct<ISO:int,resolution_x:int,resolution_y:int>,positioning:struct<camera_height:double,focusing_plants:boolean>>""")
     out = out.select("raster_id", d.alias("d"))
-    return out.select("raster_id", F.size("d.field.plants").cast("long").alias("n_plants"), F.round(F.get("d.field.plants", F.lit(0))["x"], 4).alias("first_x"), F.col("d.soil.rotate_obj").alias("heading"), F.col("d.camera.resolution_y").alias("image_height"))
+    dots = F.col("d.field.plots")[0]["plants"]
+    return out.select("raster_id", F.size(dots).cast("long").alias("n_plants"), F.round(F.get(dots, F.lit(0))["x"], 4).alias("first_x"), F.col("d.environment.soil.rotate_obj").alias("heading"), F.col("d.camera.sensor.resolution_y").alias("image_height"), F.col("d.camera.sensor.resolution_x").alias("image_width"), F.round("d.field.layout.plot_size_x", 6).alias("size_x"), F.col("d.field.layout.plot_size_z").alias("size_z"), "d.metadata.location", "d.metadata.plant_type", "d.metadata.year", "d.metadata.dap", "d.environment.sun.shadow", F.col("d.camera.sensor.ISO").alias("iso"), "d.seed", "d.camera.positioning.camera_height", F.col("d.camera.positioning.focusing_plants").alias("focusing"), F.col("d.environment.soil.obj_file_path").alias("ground"))
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -269,8 +339,8 @@ def _folder(df: DataFrame, name: str) -> str:
 def _s1(scenes):
     path = _folder(scenes, "scene-params")
     K.write_scene_params(scenes.withColumn("dap", F.lit(30)).repartition("bed"), path, prefix=True)
-    back = scenes.sparkSession.read.text(path)
-    d = F.try_parse_json("value")
+    back = S.read_scene_lines(scenes.sparkSession, path)
+    d = F.col("doc")
     return back.select(F.try_variant_get(d, "$.scene_id", "long").alias("scene_id"), F.col("bed").cast("long").alias("bed"), F.round(F.try_variant_get(d, "$.camera_height", "double"), 6).alias("camera_height"), F.try_variant_get(d, "$.name", "string").alias("name"))
 
 
@@ -337,7 +407,7 @@ def _s10(primitives):
     return back.groupBy("bed").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 4).alias("area"), F.round(F.sum("latent_flux"), 2).alias("latent_flux"))
 
 
-@query("k6_write_mesh", "pixels", sql="SELECT image_id AS raster_id, count(*) AS n_vertices FROM pixels WHERE band = 0 AND v > 100 GROUP BY image_id")
+@query("k6_write_mesh", "pixels", sql="SELECT image_id * 3 + band AS raster_id, count(*) AS n_vertices FROM pixels WHERE v > 100 GROUP BY 1")
 def _k6(pixels):
     from plotweave.operators.geo import dem_mesh
 
@@ -349,13 +419,39 @@ def _k6(pixels):
 EVENT_KINDS = "SELECT DISTINCT kind FROM arrivals"
 
 
+def _run_stream(out: DataFrame, path: str) -> None:
+    """Take what has arrived so far through a stream that goes on from its checkpoint."""
+    # timers of processing time would ask for empty batches without end
+    used = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    conf = out.sparkSession.conf
+    before = {k: conf.get(k) for k in used}
+    for k, v in used.items():
+        conf.set(k, v)
+    try:
+        query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        if not query.awaitTermination(600):
+            query.stop()
+            raise TimeoutError("the stream of arrivals did not end")
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 @query("t1_completeness", "arrivals", sql=f"""
 WITH k AS ({EVENT_KINDS}), a AS (SELECT DISTINCT plot, kind FROM arrivals), m AS (SELECT p.plot, k.kind FROM (SELECT DISTINCT plot FROM a) p, k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.plot = p.plot AND a.kind = k.kind))
 SELECT p.plot, CASE WHEN count(m.kind) = 0 THEN 'complete' ELSE 'timed_out' END AS state, coalesce(string_agg(m.kind, ',' ORDER BY m.kind), '') AS missing FROM (SELECT DISTINCT plot FROM a) p LEFT JOIN m USING (plot) GROUP BY p.plot""")
 def _t1(arrivals):
-    # the kinds are a small vocabulary
-    kinds = [r[0] for r in arrivals.select("kind").distinct().collect()]
-    return T.completeness_batch(arrivals, kinds)
+    # the kinds are a small vocabulary; what arrives is a stream of files, and plots that lack a kind time out once more data comes
+    kinds = [r[0] for r in arrivals.select("kind").distinct().orderBy("kind").limit(1000).collect()]
+    path = _folder(arrivals, "arrivals")
+    rows = arrivals.select(F.col("plot").cast("string").alias("plot"), "kind")
+    rows.write.parquet(f"{path}/in")
+    stream = lambda: rows.sparkSession.readStream.schema(rows.schema).parquet(f"{path}/in")
+    _run_stream(T.watch_completeness(stream(), kinds, timeout_s=0), path)
+    rows.sparkSession.createDataFrame([("tick", "none")], rows.schema).write.mode("append").parquet(f"{path}/in")
+    _run_stream(T.watch_completeness(stream(), kinds, timeout_s=0), path)
+    out = rows.sparkSession.read.parquet(f"{path}/out").where("plot != 'tick'")
+    return out.select(F.col("plot").cast("long").alias("plot"), "state", "missing")
 
 
 @query("t2_progress", "arrivals", sql="SELECT kind AS status, count(*) AS n FROM arrivals GROUP BY kind")
@@ -365,7 +461,12 @@ def _t2(arrivals):
 
 @query("t3_incremental_todo", "arrivals", sql="SELECT DISTINCT plot, kind FROM arrivals")
 def _t3(arrivals):
-    return arrivals.dropDuplicates(["plot", "kind"]).select("plot", "kind")
+    path = _folder(arrivals, "todo")
+    rows = arrivals.select("plot", "kind", F.col("arrived_at").cast("timestamp").alias("arrived_at"))
+    rows.write.parquet(f"{path}/in")
+    stream = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{path}/in")
+    _run_stream(T.incremental_todo(stream, ["plot", "kind"], "arrived_at").select("plot", "kind"), path)
+    return rows.sparkSession.read.parquet(f"{path}/out")
 
 
 @query("t4_arrivals_per_window", "arrivals", sql="SELECT to_timestamp(floor(epoch(arrived_at) / 15) * 15) AT TIME ZONE 'UTC' AS window_start, count(*) AS n FROM arrivals GROUP BY 1")
