@@ -26,12 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+#: Share of the driver's heap from which finished jobs' leftovers are collected.
+_TIDY_FROM = 0.4
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Spark frees shuffle files and broadcasts of finished jobs when the driver's JVM collects their handles: see to it in time.
+
+    Iterative jobs leave many; a driver with little memory would otherwise fill it before it collects.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > _TIDY_FROM * heap.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/plotweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
+    _tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
