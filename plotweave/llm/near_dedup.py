@@ -15,8 +15,8 @@ the threshold is missed with about 4e-5, 3e-4 and 2e-3 (0.85), or 7e-4, 4e-3 and
 2e-2 (0.8); a pair 0.05 above it is missed less than 1 in 4,000 times.
 
 A large group of near copies would keep its node large on every path. So each
-large node first compares its sets with one of them, the one that shares tokens
-with most others; confirmed links join them, and sets that are connected
+large node first compares its sets with some of them, among these the one that shares
+tokens with most others; confirmed links join them, and sets that are connected
 already need no comparison. What is still large after the last level is
 compared exhaustively too, in blocks; nothing is capped.
 
@@ -61,8 +61,9 @@ ROOT = 4096
 #: A grown node of so many sets is compared exhaustively; after the last round larger ones are too, in blocks of so many.
 SMALL = 512
 FEW = 64
-#: Sets in a node from which one is compared with all others first.
+#: Sets in a node from which some are compared with all others first, and how many.
 STAR = 256
+CENTRES = 32
 #: Pairs of sets that one task is given to compare.
 TASK_PAIRS = 4_000_000
 #: Bits of the parity sketch.
@@ -161,10 +162,13 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 
 def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of large nodes: b is the set with most company in all its nodes."""
+    """(a, b) of large nodes: b is the set with most company in all its nodes, or one of some CENTRES sets that a hash picks."""
     fame = nodes.groupBy("v").agg(F.sum("size").alias("fame"))
     large = nodes.where(F.col("size") > STAR).join(fame, "v")
-    centre = large.groupBy("key").agg(F.min_by(F.struct("v", "n", "low", "high", "odd"), F.struct(-F.col("fame"), "v")).alias("c")).select("key", "c.*")
+    own = ["v", "n", "low", "high", "odd"]
+    centre = large.groupBy("key").agg(F.min_by(F.struct(*own), F.struct(-F.col("fame"), "v")).alias("c")).select("key", "c.*")
+    some = large.where(F.pmod(F.xxhash64("v", F.lit("centre")), F.col("size")) < CENTRES).select("key", *own)
+    centre = centre.unionByName(some).distinct()
     return large.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.v") != F.col("b.v")) & _alike("a", "b", percent)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()
 
 
