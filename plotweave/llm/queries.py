@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, exact_knn, mixing, near_dedup, packing, secrets, sharding, surrogates, token_io, toxicity
+from . import bpe, exact_dedup, exact_knn, mixing, near_dedup, packing, prefix_trie, resampling, secrets, sharding, surrogates, token_io, toxicity
 from .common import shared_dir, text_of
 
 
@@ -77,6 +77,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5, least_words=20, seed=42)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer, packed=True).select("doc_id", "n_tokens", "ids")
+    digest = F.sha2(F.col("ids"), 256).alias("ids_sha256")
+    return bpe.decode(coded, tokenizer).select("doc_id", "n_tokens", digest, F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_secret_scan": op2_secret_scan,
@@ -88,6 +107,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_knn": op9_exact_knn,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_resample": op11_resample,
+    "op12_bpe": op12_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -117,4 +139,23 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
 r AS (SELECT doc_id, sha256(norm) AS text_sha256, count(*) OVER (PARTITION BY norm) AS group_size,
     first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r""",
+    "op13_prefix_trie": r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)),
+  lambda r, x: list_reduce([xor(r, x)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+  lambda v, z: xor(v // 2, 3988292384 * (v % 2)))), 4294967295) % 6 AS h FROM ids),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'role': role, 'text': text} ORDER BY i) AS turns FROM t GROUP BY c),
+r AS (SELECT o.c, list_concat(coalesce(list_slice(b.turns, 1, h.h), []), list_slice(o.turns, h.h + 1, len(o.turns))) AS turns
+  FROM o JOIN h USING (c) LEFT JOIN o b ON b.c = o.c - o.c % 100),
+p AS (SELECT c, d, list_slice(turns, 1, d) AS prefix, d = len(turns) AS ends FROM r, unnest(range(0, len(turns) + 1)) AS u(d)),
+n AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS members,
+  CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(prefix[d].text) END AS saved, count(*) = count(*) FILTER (ends) AS leaf FROM p GROUP BY d, prefix),
+s AS (SELECT v.d, v.prefix, count(*) FILTER (w.leaf) AS n_leaves, sum(w.saved) AS saved_tokens, count(*) FILTER (w.d = v.d + 1) AS n_children
+  FROM n v JOIN p q ON q.d = v.d AND q.prefix = v.prefix JOIN n w ON w.conv_id = q.c AND w.d >= v.d
+  JOIN p x ON x.c = q.c AND x.d = w.d AND x.prefix = w.prefix GROUP BY v.d, v.prefix)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+  sha256(n.members) AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.prefix = n.prefix LEFT JOIN n m ON m.d = n.d - 1 AND m.prefix = list_slice(n.prefix, 1, n.d - 1) AND n.d > 0""",
 }
