@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 #: Artefact kinds that end a file name.
 KINDS = ("depth", "temperature", "masks", "boxes", "params", "rad", "vis", "xml", "sem", "labels")
 _NAME = r"^dap_(\d+)_plot_(\d+)_(\d+)(?:_(\d+))?(?:_(?!(?:{k})\.)(.*?))?(?:_({k}))?\.([A-Za-z0-9]+)$".format(k="|".join(KINDS))
-# The word that starts the name of a rover image, and the signs between its parts.
+# Fixed value: the word that starts the name of a rover image.
 ROVER_WORD = "AgRowStitch"
-SIGNS = "-_"
 _DATE = r"(\d{4}-\d{2}-\d{2})"
 
 
@@ -22,15 +21,23 @@ def artifact_parts(name: Column) -> dict[str, Column]:
 
 
 def rover_parts(name: Column, extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".tif", ".tiff")) -> dict[str, Column]:
-    """plot and idx of a rover image: the word, a sign, `plot`, then the plot's name and perhaps a number, each after a sign or none.
+    """plot and idx of a rover image's name.
 
-    Null when the name doesn't match or the extension isn't listed.
+    From the word on, and up to the next dot, a name is fields between hyphens
+    or underscores: the word, `plot` (perhaps with the plot's name right after
+    it, else that is the next field), and a field that may begin with a number.
+    Null when these fields aren't there or the extension isn't listed.
     """
-    known = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*extensions)
-    rest = F.regexp_extract(name, f"(?i){ROVER_WORD}[{SIGNS}]plot[{SIGNS}]?(.+)", 1)
-    plot = F.regexp_extract(rest, f"^[^{SIGNS}.]+", 0)
-    number = F.regexp_extract(F.substring(rest, F.length(plot) + 1, F.length(rest)), f"^[{SIGNS}]?([0-9]+)", 1)
-    some = known & (F.length(plot) > 0)
+    extension = F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1)))
+    start = F.locate(ROVER_WORD.lower(), F.lower(name))
+    fields = F.split(F.translate(F.substring_index(F.substring(name, start, F.length(name)), ".", 1), "_", "-"), "-")
+    field = lambda i: F.coalesce(F.get(fields, F.lit(i)), F.lit(""))
+    second = F.lower(field(1))
+    named = (start > 0) & extension.isin(*extensions) & (F.lower(field(0)) == ROVER_WORD.lower()) & second.startswith("plot")
+    joined = second != "plot"
+    plot = F.when(joined, F.substring(field(1), 5, F.length(field(1)))).otherwise(field(2))
+    number = F.regexp_extract(F.when(joined, field(2)).otherwise(field(3)), "^[0-9]*", 0)
+    some = named & (plot != "")
     return {"plot": F.when(some, plot), "idx": F.when(some, F.nullif(number, F.lit(""))).cast("int")}
 
 

@@ -171,6 +171,36 @@ def plant_traits(organs: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     return organs.groupBy(*by).agg(span(F.col("z")).alias("height"), span(F.when(stem, F.col("z"))).alias("stem_height"), F.count_if(leaf).alias("leaf_count"), F.coalesce(F.sum(F.when(leaf, F.col("area"))), F.lit(0.0)).alias("leaf_area"), hist.alias("inclination_area"))
 
 
+def triangles(vertices: DataFrame, faces: DataFrame, mesh: str = "raster_id") -> DataFrame:
+    """Faces (mesh, a, b, c, ...) with their lowest and highest z, area, and inclination: the angle of the normal from the vertical.
+
+    `vertices` is (mesh, vertex_id, x, y, z). A face is joined to its corners
+    one by one, each on mesh and vertex, so a large mesh is spread like any
+    other. A face without an area has no inclination; one whose corner is
+    missing is left out.
+    """
+    out = faces
+    for corner in "abc":
+        out = out.join(vertices.select(mesh, F.col("vertex_id").alias(corner), F.struct("x", "y", "z").alias(f"_{corner}")), [mesh, corner])
+    side = lambda to: [F.col(f"_{to}")[c] - F.col("_a")[c] for c in "xyz"]
+    (ux, uy, uz), (vx, vy, vz) = side("b"), side("c")
+    nx, ny, nz = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+    length = F.sqrt(nx * nx + ny * ny + nz * nz)
+    zs = [F.col(f"_{c}")["z"] for c in "abc"]
+    tilt = F.acos(F.least(F.lit(1.0), F.try_divide(F.abs(nz), length)))
+    return out.select(*faces.columns, F.least(*zs).alias("z_min"), F.greatest(*zs).alias("z_max"), (length / 2).alias("area"), F.when(length > 0, tilt).alias("inclination"))
+
+
+def mesh_traits(vertices: DataFrame, faces: DataFrame, mesh: str = "raster_id", bins: int = 10) -> DataFrame:
+    """`plant_traits` of a plant's triangles: faces (mesh, a, b, c, organ, part) tell the organ and which of its kind they belong to."""
+    leaf, stem = F.col("organ") == 2, F.col("organ") == 0
+    own = triangles(vertices, faces, mesh)
+    span = lambda on: F.max(F.when(on, F.col("z_max"))) - F.min(F.when(on, F.col("z_min")))
+    at = F.least(F.floor(F.col("inclination") / (3.141592653589793 / 2 / bins)), F.lit(bins - 1))
+    hist = F.array(*[F.coalesce(F.sum(F.when(leaf & (at == i), F.col("area"))), F.lit(0.0)) for i in range(bins)])
+    return own.groupBy(mesh).agg(span(F.lit(True)).alias("height"), span(stem).alias("stem_height"), F.count_distinct(F.when(leaf, F.col("part"))).alias("leaf_count"), F.coalesce(F.sum(F.when(leaf, F.col("area"))), F.lit(0.0)).alias("leaf_area"), hist.alias("inclination_area"))
+
+
 def blend_spectra(spectra: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sums of named spectra (name, wavelength, value) by (target, name, weight)."""
     return spectra.join(F.broadcast(weights), "name").groupBy("target", "wavelength").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))

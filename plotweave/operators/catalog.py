@@ -98,7 +98,7 @@ ARCHETYPES = [
     ("other", "vine", {"internode_length_max": 0.06, "max_nodes": 12.0, "leaf_pitch": 20.0, "bud_break": 0.25, "tortuosity": 4.0}),
     ("other", "climbing", {"internode_length_max": 0.06, "max_nodes": 12.0, "leaf_pitch": 20.0, "bud_break": 0.25, "tortuosity": 4.0}),
 ]
-#: Below these a trait counts as unset.
+#: Below these a trait counts as unset.
 UNSET = {"internode_length_max": 0.0, "max_nodes": 0.0, "leaf_pitch": -900.0, "bud_break": 0.0, "tortuosity": 0.0}
 
 

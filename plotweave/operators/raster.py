@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.functions.colour import lab_to_rgb, rgb_to_lab
 from plotweave.plans.staging import staged
 
-from .connect import components
-
-ID = "raster_id"
+from . import tiles as T
+from .tiles import ID
 
 
 def bands_to_columns(pixels: DataFrame, names: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
@@ -46,23 +47,10 @@ def raster_sizes(pixels: DataFrame) -> DataFrame:
 GAUSS = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625)}
 
 
-def gaussian_blur(pixels: DataFrame, k: int = 3) -> DataFrame:
-    """Separable blur with reflect-101 borders: every pixel hands its weighted value to the pixels it reaches, along columns, then rows.
-
-    Sums are aggregated before each of the two shuffles.
-    """
-    size = raster_sizes(pixels)
-    out = pixels.select(ID, "row", "col", F.col("v").cast("double").alias("v")).join(size, ID)
-    for axis, n in (("col", "width"), ("row", "height")):
-        s, hits = F.col(axis), []
-        for i, w in enumerate(GAUSS[k]):
-            d = i - k // 2
-            for to, ok in ((s - d, F.lit(True)), (-s - d, s > 0), (2 * (F.col(n) - 1) - s - d, s < F.col(n) - 1)):
-                hits.append(F.when(ok & (to >= 0) & (to < F.col(n)), F.struct(to.alias("to"), F.lit(w).alias("w"))))
-        other = "row" if axis == "col" else "col"
-        out = out.select(ID, other, "width", "height", "v", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-        out = out.groupBy(ID, other, F.col("hit.to").alias(axis), "width", "height").agg(F.sum(F.col("v") * F.col("hit.w")).alias("v"))
-    return out.select(ID, "row", "col", "v")
+def gaussian_blur(pixels: DataFrame, k: int = 3, size: int = T.SIZE) -> DataFrame:
+    """Separable blur with reflect-101 borders, in tiles of `size` with a halo of half the kernel."""
+    tiled = staged(T.to_tiles(pixels, size), "raster-tiles")
+    return T.from_tiles(T.map_tiles(tiled, k // 2, T.blur_kernel(GAUSS[k]), size), size=size)
 
 
 def otsu(pixels: DataFrame) -> DataFrame:
@@ -70,7 +58,10 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
     The first of equal maxima counts. Windows run over at most 256 histogram rows of a raster.
     """
-    hist = pixels.groupBy(ID, F.col("v").cast("int").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return _otsu(pixels.groupBy(ID, F.col("v").cast("int").alias("t")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _otsu(hist: DataFrame) -> DataFrame:
     upto = Window.partitionBy(ID).orderBy("t")
     whole = Window.partitionBy(ID)
     moment = F.col("n") * F.col("t")
@@ -92,45 +83,25 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if abs(dx) <= round(r * sqrt((r * r - dy * dy) / (r * r)))]
 
 
-def _spread(mask: DataFrame, kernel: list[tuple[int, int]], largest: bool) -> DataFrame:
-    """One pass over (raster_id, row, col, v, width, height); sizes are carried along."""
-    moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in kernel])
-    out = mask.withColumn("m", F.explode(moves))
-    out = out.select(ID, (F.col("row") + F.col("m.dy")).alias("row"), (F.col("col") + F.col("m.dx")).alias("col"), "v", "width", "height")
-    inside = F.col("row").between(0, F.col("height") - 1) & F.col("col").between(0, F.col("width") - 1)
-    return out.where(inside).groupBy(ID, "row", "col", "width", "height").agg((F.max if largest else F.min)("v").alias("v"))
+#: Passes of each operation: the largest value under the kernel, or the smallest.
+PASSES = {"erode": [False], "dilate": [True], "open": [False, True], "close": [True, False]}
 
 
-def morphology(mask: DataFrame, op: str, kernel: list[tuple[int, int]], iterations: int = 1) -> DataFrame:
-    """erode, dilate, open or close; pixels outside the raster don't count. Each pass is one partial aggregation and shuffle."""
-    passes = {"erode": [False], "dilate": [True], "open": [False, True], "close": [True, False]}[op]
-    out = mask.join(raster_sizes(mask), ID).select(ID, "row", "col", "v", "width", "height")
-    for largest in passes:
-        for _ in range(iterations):
-            out = _spread(out, kernel, largest)
-    return out.select(ID, "row", "col", "v")
+def _passes(op: str, kernel: list[tuple[int, int]], iterations: int) -> list:
+    return [(largest, kernel) for largest in PASSES[op] for _ in range(iterations)]
 
 
-def label_components(mask: DataFrame) -> DataFrame:
-    """8-connected components of the pixels above 0, each labelled by its smallest row * width + col.
+def morphology(mask: DataFrame, op: str, kernel: list[tuple[int, int]], iterations: int = 1, size: int = T.SIZE) -> DataFrame:
+    """erode, dilate, open or close; pixels outside the raster don't count. All passes run inside tiles of `size` after one exchange of borders."""
+    run, halo = T.morphology_kernel(_passes(op, kernel, iterations))
+    tiled = staged(T.to_tiles(mask, size), "raster-tiles")
+    return T.from_tiles(T.map_tiles(tiled, halo, run, size), mask.schema["v"].dataType.simpleString(), size)
 
-    Rows become runs first, so links exist between runs of neighbouring rows only.
-    """
-    size = raster_sizes(mask).select(ID, "width")
-    on = mask.where("v > 0").select(ID, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
-    w = Window.partitionBy(ID, "row").orderBy("col")
-    runs = on.withColumn("run", F.col("col") - F.row_number().over(w)).groupBy(ID, "row", "run").agg(F.min("col").alias("c1"), F.max("col").alias("c2"))
-    runs = runs.join(size, ID).withColumn("key", F.col("row") * F.col("width") + F.col("c1"))
-    # runs are numbered over all rasters; the numbers are written with them
-    runs = staged(runs.select(ID, "row", "c1", "c2", "key", F.monotonically_increasing_id().alias("node")), "raster-runs")
-    a, b = runs.alias("a"), runs.alias("b")
-    touch = (F.col(f"a.{ID}") == F.col(f"b.{ID}")) & (F.col("a.row") + 1 == F.col("b.row")) & (F.col("a.c1") <= F.col("b.c2") + 1) & (F.col("b.c1") <= F.col("a.c2") + 1)
-    links = a.join(b, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    parts = components(links).select(F.col("v").alias("node"), "component")
-    named = runs.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    label = F.min("key").over(Window.partitionBy(ID, "component"))
-    spread = named.withColumn("label", label).select(ID, "row", "label", F.explode(F.sequence("c1", "c2")).alias("col"))
-    return spread.select(ID, "row", "col", "label")
+
+def label_components(mask: DataFrame, size: int = T.SIZE) -> DataFrame:
+    """8-connected components of the pixels above 0, each labelled by its smallest row * width + col; labelled inside tiles of `size` first."""
+    runs = T.labelled_runs(staged(T.to_tiles(mask, size), "raster-tiles"), size)
+    return runs.select(ID, "row", F.explode(F.sequence("c1", "c2")).alias("col"), "label")
 
 
 def region_props(labels: DataFrame) -> DataFrame:
@@ -138,9 +109,24 @@ def region_props(labels: DataFrame) -> DataFrame:
     return labels.groupBy(ID, "label").agg(F.min("row").alias("y1"), F.min("col").alias("x1"), (F.max("row") + 1).alias("y2"), (F.max("col") + 1).alias("x2"), F.count(F.lit(1)).alias("area"), F.avg("row").alias("cy"), F.avg("col").alias("cx"))
 
 
+def _run_size(a: Column, b: Column) -> tuple[Column, Column]:
+    """How many columns from a to b, and their sum."""
+    return b - a + 1, F.shiftright((a + b) * (b - a + 1), 1)
+
+
+def run_props(runs: DataFrame) -> DataFrame:
+    """`region_props` of labelled runs (raster_id, row, c1, c2, label)."""
+    n, cols = _run_size(F.col("c1"), F.col("c2"))
+    return runs.groupBy(ID, "label").agg(F.min("row").alias("y1"), F.min("c1").alias("x1"), (F.max("row") + 1).alias("y2"), (F.max("c2") + 1).alias("x2"), F.sum(n).alias("area"), (F.sum(F.col("row") * n) / F.sum(n)).alias("cy"), (F.sum(cols) / F.sum(n)).alias("cx"))
+
+
+def _large(props: DataFrame, min_size: int) -> DataFrame:
+    return props.where(F.greatest(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")) >= min_size)
+
+
 def drop_small(labels: DataFrame, min_size: int) -> DataFrame:
     """Labels whose box is at least `min_size` in one direction."""
-    large = region_props(labels).where(F.greatest(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")) >= min_size)
+    large = _large(region_props(labels), min_size)
     return labels.join(large.select(ID, "label"), [ID, "label"], "left_semi")
 
 
@@ -166,54 +152,94 @@ def segment_props(segments: DataFrame, labels: DataFrame) -> DataFrame:
     pick = lambda f, c: f(F.when(F.col("_in"), F.col(c)))
     ends = [ID, "label", "segment", "sx1", "sy1", "sx2", "sy2"]
     out = hit.groupBy(*ends).agg(pick(F.avg, "col").alias("cx"), pick(F.avg, "row").alias("cy"), pick(F.min, "col").alias("bx1"), pick(F.min, "row").alias("by1"), pick(F.max, "col").alias("bx2"), pick(F.max, "row").alias("by2"))
+    return _or_own_box(out)
+
+
+def segment_run_props(segments: DataFrame, runs: DataFrame) -> DataFrame:
+    """`segment_props` of labelled runs: each run counts with the part that lies in the segment."""
+    a, b = F.greatest("c1", "sx1"), F.least(F.col("c2"), F.col("sx2") - 1)
+    inside = F.coalesce(F.col("row").between(F.col("sy1"), F.col("sy2") - 1) & (a <= b), F.lit(False))
+    hit = segments.join(runs, [ID, "label"], "left").select(ID, "label", "segment", "sx1", "sy1", "sx2", "sy2", *[F.when(inside, x).alias(n) for n, x in (("row", F.col("row")), ("a", a), ("b", b))])
+    n, cols = _run_size(F.col("a"), F.col("b"))
+    out = hit.groupBy(ID, "label", "segment", "sx1", "sy1", "sx2", "sy2").agg((F.sum(cols) / F.sum(n)).alias("cx"), (F.sum(F.col("row") * n) / F.sum(n)).alias("cy"), F.min("a").alias("bx1"), F.min("row").alias("by1"), F.max("b").alias("bx2"), F.max("row").alias("by2"))
+    return _or_own_box(out)
+
+
+def _or_own_box(found: DataFrame) -> DataFrame:
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2
-    return out.select(ID, "label", "segment", F.coalesce("cx", mid("sx1", "sx2")).alias("cx"), F.coalesce("cy", mid("sy1", "sy2")).alias("cy"), *[F.coalesce(f"b{c}", f"s{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return found.select(ID, "label", "segment", F.coalesce("cx", mid("sx1", "sx2")).alias("cx"), F.coalesce("cy", mid("sy1", "sy2")).alias("cy"), *[F.coalesce(f"b{c}", f"s{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def detect_plants(rgb: DataFrame, pixel: float, min_size: int = 3, kernel_small: int = 5, kernel_large: int = 9, wrap_uint8: bool = False) -> DataFrame:
+def detect_plants(rgb: DataFrame, pixel: float, min_size: int = 3, kernel_small: int = 5, kernel_large: int = 9, wrap_uint8: bool = False, tile: int = T.SIZE) -> DataFrame:
     """Plants of each image (raster_id, row, col, r, g, b): centre, box and centre in metres from the image's centre.
 
     Excess green, blur, Otsu, opening and closing, small components dropped,
-    components split into near-square segments.
+    components split into near-square segments. Pixels are gathered into tiles
+    once; filters and labelling run inside the tiles.
     """
     from .geo import pixels_to_local
 
-    size = raster_sizes(rgb)
-    blurred = gaussian_blur(exg(rgb, wrap_uint8), 3).withColumn("v", F.floor((F.col("v") + 1) * 127.5))
+    size = staged(raster_sizes(rgb), "raster-sizes")
+    blur = T.blur_kernel(GAUSS[3])
+    tiled = staged(T.to_tiles(exg(rgb, wrap_uint8), tile, size), "raster-tiles")
     # values stay exact small integers from here on
-    blurred = staged(blurred, "raster-blur")
-    mask = blurred.join(otsu(blurred), ID).select(ID, "row", "col", F.when(F.col("v") > F.col("threshold"), 255).otherwise(0).alias("v"))
+    blurred = staged(T.map_tiles(tiled, 1, lambda stack, place: np.floor((blur(stack, place) + 1) * 127.5), tile), "raster-blur")
+    mask = staged(T.threshold_tiles(blurred, _otsu(T.tile_histogram(blurred)).select(ID, "threshold")), "raster-mask")
     small, large = ellipse(kernel_small), ellipse(kernel_large)
-    for op, kernel, times in (("open", small, 2), ("close", large, 2), ("open", small, 1)):
-        mask = staged(morphology(mask, op, kernel, times), "raster-mask")
-    kept = staged(drop_small(label_components(mask), min_size), "raster-labels")
-    plants = segment_props(split_blobs(region_props(kept)), kept).join(size, ID)
+    cleaned, halo = T.morphology_kernel(_passes("open", small, 2) + _passes("close", large, 2) + _passes("open", small, 1))
+    runs = staged(T.labelled_runs(staged(T.map_tiles(mask, halo, cleaned, tile), "raster-mask"), tile), "raster-runs")
+    # plants are measured on runs, not on pixels
+    kept = _large(run_props(runs), min_size)
+    plants = segment_run_props(split_blobs(kept), runs).join(size, ID)
     return pixels_to_local(plants, "drone", F.col("width"), F.col("height"), F.lit(pixel)).drop("width", "height")
 
 
+def _tile_tables(cells: DataFrame, clip: float) -> DataFrame:
+    """Per tile (raster_id, ty, tx) of values 0 to 255 the equalised value of each, as one array of 256.
+
+    Counts above the limit are spread evenly over all values: a value's sum has
+    the kept counts up to it and its share of what was cut off.
+    """
+    counts = cells.groupBy(ID, "ty", "tx", "v").agg(F.count(F.lit(1)).alias("n"))
+    tile = counts.groupBy(ID, "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("n"), F.sum("n").alias("area"))
+    tile = tile.withColumn("limit", F.greatest(F.lit(1.0), clip * F.col("area") / 256))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.try_element_at("n", v), F.lit(0)).cast("double"))
+    tile = tile.withColumn("dense", dense).withColumn("extra", F.aggregate("dense", F.lit(0.0), lambda s, n: s + F.greatest(n - F.col("limit"), F.lit(0.0))))
+    grow = lambda s, n: F.struct((s["sum"] + F.least(n, F.col("limit"))).alias("sum"), F.array_append(s["upto"], s["sum"] + F.least(n, F.col("limit"))).alias("upto"))
+    upto = F.aggregate("dense", F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("upto")), grow)["upto"]
+    return tile.select(ID, "ty", "tx", F.transform(upto, lambda s, v: (s + F.col("extra") * (v + 1) / 256) / F.col("area") * 255).alias("table"))
+
+
 def clahe(pixels: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
-    """Contrast-limited equalisation of values 0 to 255 with bilinear blending of four tile tables.
+    """Contrast-limited equalisation of values 0 to 255 with bilinear blending of four tile tables; other columns stay.
 
-    Counts above the limit are spread evenly over all 256 values. A tile's table
-    has 256 rows, so windows are bounded.
+    Pixels between the same four tile centres form a cell and need the same four
+    tables, so a pixel meets one row of them and is never copied.
     """
     size = raster_sizes(pixels)
-    own = pixels.join(size, ID).withColumns({"th": F.ceil(F.col("height") / tiles), "tw": F.ceil(F.col("width") / tiles)})
-    own = own.withColumns({"ty": F.floor(F.col("row") / F.col("th")).cast("int"), "tx": F.floor(F.col("col") / F.col("tw")).cast("int")})
-    counts = own.groupBy(ID, "ty", "tx", F.col("v").cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    area = Window.partitionBy(ID, "ty", "tx")
-    counts = counts.withColumn("area", F.sum("n").over(area)).withColumn("limit", F.greatest(F.lit(1.0), clip * F.col("area") / 256))
-    counts = counts.withColumns({"kept": F.least(F.col("n").cast("double"), F.col("limit")), "extra": F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0.0))).over(area)})
-    lut = counts.withColumn("y", (F.sum("kept").over(area.orderBy("v")) + F.col("extra") * (F.col("v") + 1) / 256) / F.col("area") * 255)
-    lut = lut.select(ID, F.col("ty").alias("ly"), F.col("tx").alias("lx"), "v", "y")
-    # a value that a neighbouring tile lacks takes the table's value at the next lower one
-    steps = lut.groupBy(ID, "ly", "lx").agg(F.array_sort(F.collect_list(F.struct("v", "y"))).alias("steps"))
-    fy, fx = (F.col("row") + 0.5) / F.col("th") - 0.5, (F.col("col") + 0.5) / F.col("tw") - 0.5
-    lasty, lastx = F.ceil(F.col("height") / F.col("th")) - 1, F.ceil(F.col("width") / F.col("tw")) - 1
-    corner = lambda y, x: F.struct(F.greatest(F.lit(0), F.least(F.floor(fy) + y, lasty)).cast("int").alias("ly"), F.greatest(F.lit(0), F.least(F.floor(fx) + x, lastx)).cast("int").alias("lx"), ((1 - F.abs(fy - F.floor(fy) - y)) * (1 - F.abs(fx - F.floor(fx) - x))).alias("w"))
-    parts = own.withColumn("c", F.explode(F.array(*[corner(y, x) for y in (0, 1) for x in (0, 1)]))).select(ID, "row", "col", F.col("v").cast("int").alias("v"), "c.*")
-    joined = parts.join(steps, [ID, "ly", "lx"]).withColumn("y", F.try_element_at(F.filter("steps", lambda s: s["v"] <= F.col("v")), F.lit(-1))["y"])
-    return joined.groupBy(ID, "row", "col").agg(F.round(F.sum(F.col("w") * F.coalesce("y", F.lit(0.0)))).cast("int").alias("v"))
+    th, tw = F.ceil(F.col("height") / tiles), F.ceil(F.col("width") / tiles)
+    value = F.greatest(F.lit(0), F.least(F.lit(255), F.col("v"))).cast("int")
+    own = pixels.join(size, ID).withColumns({"_th": th, "_tw": tw, "_v": value})
+    luts = _tile_tables(own.where("_v is not null").select(ID, F.floor(F.col("row") / F.col("_th")).cast("int").alias("ty"), F.floor(F.col("col") / F.col("_tw")).cast("int").alias("tx"), F.col("_v").alias("v")), clip)
+    last = [(F.ceil(F.col(n) / t) - 1).cast("int") for n, t in (("height", th), ("width", tw))]
+    places = size.select(ID, last[0].alias("_ly"), last[1].alias("_lx"), F.explode(F.sequence(F.lit(-1), last[0])).alias("_cy")).withColumn("_cx", F.explode(F.sequence(F.lit(-1), F.col("_lx"))))
+    clamp = lambda at, end: F.greatest(F.lit(0), F.least(at, F.col(end)))
+    corners = places.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"ty": clamp(F.col("_cy") + F.floor(F.col("_k") / 2).cast("int"), "_ly"), "tx": clamp(F.col("_cx") + F.col("_k") % 2, "_lx")})
+    cells = corners.join(luts, [ID, "ty", "tx"], "left").groupBy(ID, "_cy", "_cx").agg(*[F.any_value(F.when(F.col("_k") == k, F.col("table")), True).alias(f"_t{k}") for k in range(4)])
+    fy, fx = (F.col("row") + 0.5) / F.col("_th") - 0.5, (F.col("col") + 0.5) / F.col("_tw") - 0.5
+    own = own.withColumns({"_fy": fy - F.floor(fy), "_fx": fx - F.floor(fx), "_cy": F.floor(fy).cast("int"), "_cx": F.floor(fx).cast("int")})
+    part = lambda k: (F.col("_fy") if k // 2 else 1 - F.col("_fy")) * (F.col("_fx") if k % 2 else 1 - F.col("_fx")) * F.coalesce(F.get(f"_t{k}", F.col("_v")), F.col("_v").cast("double"))
+    # sums that differ in the last bits round alike
+    mixed = F.round(F.round(part(0) + part(1) + part(2) + part(3), 6)).cast("int")
+    return own.join(cells, [ID, "_cy", "_cx"]).select(*[mixed.alias("v") if c == "v" else F.col(c) for c in pixels.columns])
+
+
+def equalize_colour(rgb: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
+    """`clahe` on the lightness of colour rasters (raster_id, row, col, r, g, b), as an 8-bit Lab image holds it; hue and chroma stay."""
+    light, a, b = (F.round(c) for c in rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
+    lab = rgb.select(ID, "row", "col", light.cast("int").alias("v"), a.alias("_a"), b.alias("_b"))
+    out = lab_to_rgb(F.col("v"), F.col("_a"), F.col("_b"))
+    return clahe(lab, tiles, clip).select(ID, "row", "col", *[c.alias(n) for c, n in zip(out, "rgb", strict=True)])
 
 
 def depth_stretch(pixels: DataFrame, background: int = 220) -> DataFrame:

@@ -24,46 +24,57 @@ def normal(seed: Column | int, *salt: Column | str) -> Column:
 _STEPS = "array<struct<name:string,at:int>>"
 
 
+def _is_drawn(node: Column) -> Column:
+    """Whether a variant is an object with a distribution, or in the older dialect with a sampling."""
+    return F.coalesce(F.try_variant_get(node, "$.distribution", "variant").isNotNull() | F.try_variant_get(node, "$.sampling", "variant").isNotNull(), F.lit(False))
+
+
 def flatten_params(docs: DataFrame, key: str, doc: str = "doc", depth: int = 6) -> DataFrame:
     """Leaves (key, path, steps, kind, node) of variant documents.
 
     Objects and arrays are opened down to `depth`; an object with a distribution
     (or a sampling) is a leaf, and so is an empty object or array. Kind is
     `distribution` or `literal`; `steps` are the names and positions of the path.
-    Every level opens what the one before has left, in one projection each.
+    Each level is a lateral generator over what the level before has opened: a
+    node is looked into once, and a leaf only passes through.
     """
-    node = F.col("node")
-    rows = docs.select(key, F.lit("").alias("path"), F.array().cast(_STEPS).alias("steps"), F.col(doc).alias("node"))
-    drawn = F.coalesce(F.try_variant_get(node, "$.distribution", "variant").isNotNull() | F.try_variant_get(node, "$.sampling", "variant").isNotNull(), F.lit(False))
-    step = lambda name, at: F.struct(name.cast("string").alias("name"), at.cast("int").alias("at"))
-    grown = lambda suffix, s, value: F.struct(F.concat("path", suffix).alias("path"), F.array_append("steps", s).cast(_STEPS).alias("steps"), value.alias("node"))
-    none = F.lit(None)
-    for _ in range(depth):
-        shape = F.schema_of_variant(node)
-        fields = F.transform(F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")), lambda e: grown(F.concat(F.lit("."), e["key"]), step(e["key"], none), e["value"]))
-        items = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v, i: grown(F.concat(F.lit("["), i.cast("string"), F.lit("]")), step(none, i), v))
-        inner = F.when(shape.startswith("OBJECT") & ~drawn, fields).when(shape.startswith("ARRAY"), items)
-        itself = F.array(F.struct("path", "steps", "node"))
-        rows = rows.select(key, F.explode(F.when(F.coalesce(F.size(inner), F.lit(0)) > 0, inner).otherwise(itself)).alias("r")).select(key, "r.*")
-    return rows.where("path != ''").select(key, "path", "steps", F.when(drawn, "distribution").otherwise("literal").alias("kind"), "node")
+    rows = docs.select(F.col(key).alias("_id"), F.lit("").alias("_path"), F.array().cast(_STEPS).alias("_steps"), F.col(doc).alias("_node"), F.lit(True).alias("_new"))
+    kind = F.when(F.col("_new"), _is_drawn(F.col("_node"))).otherwise(F.col("_drawn"))
+    for level in range(depth):
+        rows = rows.withColumn("_drawn", kind if level else _is_drawn(F.col("_node")))
+        rows = rows.withColumn("_open", F.when(F.col("_new") & ~F.col("_drawn"), F.col("_node")))
+        rows = rows.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()))
+        # an outer row without a place is a leaf, which stays itself
+        inner, named = F.col("pos").isNotNull(), F.col("key").isNotNull()
+        suffix = F.when(named, F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        step = F.struct(F.col("key").alias("name"), F.when(~named, F.col("pos")).alias("at"))
+        rows = rows.select("_id", F.when(inner, F.concat("_path", suffix)).otherwise(F.col("_path")).alias("_path"), F.when(inner, F.array_append("_steps", step).cast(_STEPS)).otherwise(F.col("_steps")).alias("_steps"), F.when(inner, F.col("value")).otherwise(F.col("_node")).alias("_node"), inner.alias("_new"), "_drawn")
+    return rows.where("_path != ''").select(F.col("_id").alias(key), F.col("_path").alias("path"), F.col("_steps").alias("steps"), F.when(kind, "distribution").otherwise("literal").alias("kind"), F.col("_node").alias("node"))
+
+
+#: What a distribution leaf may hold, in both dialects.
+_PARAMS = ",".join(f"{n}:variant" for n in ("min", "max", "mean", "std", "stddev", "value"))
+_LEAF = f"struct<distribution:struct<type:variant,params:struct<{_PARAMS},categories:array<variant>>>,sampling:variant,{_PARAMS},values:array<variant>>"
 
 
 def leaf_distributions(leaves: DataFrame) -> DataFrame:
     """Both dialects of distribution leaves as columns: dist, low, high, mean, std, categories, whole, value.
 
-    `categories` and `value` are JSON texts, so types survive.
+    `categories` and `value` are JSON texts, so types survive. A distribution is
+    read in one pass into its fields, a literal isn't looked into.
     """
-    node = F.col("node")
-    get = lambda path, kind: F.try_variant_get(node, path, kind)
+    node, new, old = F.col("node"), F.col("_leaf.distribution.params"), F.col("_leaf")
     json = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
-    both = lambda new, old, kind="double": F.coalesce(*[get(p, kind) for p in (*[f"$.distribution.params.{n}" for n in new], *[f"$.{n}" for n in old])])
-    name = F.coalesce(get("$.distribution.type", "string"), get("$.sampling", "string"))
-    dist = F.when(name.isin("discrete"), "categorical").otherwise(F.coalesce(name, F.lit("literal")))
-    ends = [F.regexp_extract(F.schema_of_variant(F.coalesce(get(f"$.distribution.params.{n}", "variant"), get(f"$.{n}", "variant"))), "^[A-Z]+", 0) for n in ("min", "max")]
-    whole = F.coalesce((ends[0] == "BIGINT") & (ends[1] == "BIGINT"), F.lit(False))
-    options = F.transform(F.coalesce(get("$.distribution.params.categories", "array<variant>"), get("$.values", "array<variant>")), json)
-    fixed = F.when(dist == "literal", json(node)).otherwise(json(F.coalesce(get("$.distribution.params.value", "variant"), get("$.value", "variant"))))
-    return leaves.select(*[c for c in leaves.columns if c != "node"], dist.alias("dist"), both(["min"], ["min"]).alias("low"), both(["max"], ["max"]).alias("high"), both(["mean"], ["mean"]).alias("mean"), both(["std", "stddev"], ["stddev", "std"]).alias("std"), options.alias("categories"), whole.alias("whole"), fixed.alias("value"))
+    number = lambda v: F.try_variant_get(v, "$", "double")
+    opened = leaves.withColumn("_leaf", F.when(F.col("kind") == "distribution", F.try_variant_get(node, "$", _LEAF)))
+    either = lambda *names: F.coalesce(*[new[n] for n in names], *[old[n] for n in reversed(names)])
+    name = F.coalesce(*[F.try_variant_get(x, "$", "string") for x in (old["distribution"]["type"], old["sampling"])])
+    dist = F.when(name == "discrete", "categorical").otherwise(F.coalesce(name, F.lit("literal")))
+    ends = [F.schema_of_variant(either(n)) == "BIGINT" for n in ("min", "max")]
+    whole = F.coalesce(ends[0] & ends[1], F.lit(False))
+    options = F.transform(F.coalesce(new["categories"], old["values"]), json)
+    fixed = F.when(old.isNull() | (dist == "literal"), json(node)).otherwise(json(either("value")))
+    return opened.select(*[c for c in leaves.columns if c != "node"], dist.alias("dist"), number(either("min")).alias("low"), number(either("max")).alias("high"), number(either("mean")).alias("mean"), number(either("std", "stddev")).alias("std"), options.alias("categories"), whole.alias("whole"), fixed.alias("value"))
 
 
 def sample_params(leaves: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

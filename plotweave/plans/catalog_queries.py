@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotweave.functions.names import fallback_chain, json_or
 from plotweave.operators import aggregates as A
 from plotweave.operators import catalog as C
+from plotweave.operators import geo as G
 from plotweave.operators import joins as J
 from plotweave.operators import numbering as W
 
@@ -428,6 +429,27 @@ def _a18(vertices):
     return r6(out.withColumn("area_bin_3", F.col("inclination_area")[3]).drop("inclination_area"), "height", "stem_height", "leaf_area", "area_bin_3")
 
 
+@query("a18_mesh_traits", "pixels", sql="""
+WITH p AS (SELECT image_id * 3 + band AS raster_id, row, col, (col - 4) * CAST(0.1 AS DOUBLE) AS x, (4 - row) * CAST(0.1 AS DOUBLE) AS y, v * CAST(0.02 AS DOUBLE) AS z FROM pixels WHERE v > 100),
+f AS (SELECT a.raster_id, a.row, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS yb, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz, d.x AS dx, d.y AS dy, d.z AS dz FROM p a JOIN p b ON b.raster_id = a.raster_id AND b.row = a.row + 1 AND b.col = a.col
+  JOIN p c ON c.raster_id = a.raster_id AND c.row = a.row AND c.col = a.col + 1 JOIN p d ON d.raster_id = a.raster_id AND d.row = a.row + 1 AND d.col = a.col + 1),
+t AS (SELECT raster_id, row, bx - ax AS ux, yb - ay AS uy, bz - az AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz, least(az, bz, cz) AS lo, greatest(az, bz, cz) AS hi FROM f
+  UNION ALL SELECT raster_id, row, bx - cx, yb - cy, bz - cz, dx - cx, dy - cy, dz - cz, least(cz, bz, dz), greatest(cz, bz, dz) FROM f),
+n AS (SELECT raster_id, row, lo, hi, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM t),
+g AS (SELECT *, row % 3 AS organ, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM n),
+h AS (SELECT *, least(floor(acos(least(1, abs(nz) / l)) / (CAST(3.141592653589793 AS DOUBLE) / 2 / 10)), 9) AS bin FROM g)
+SELECT raster_id, round(max(hi) - min(lo), 6) AS height, round(max(hi) FILTER (organ = 0) - min(lo) FILTER (organ = 0), 6) AS stem_height, count(DISTINCT row) FILTER (organ = 2) AS leaf_count, round(coalesce(sum(l / 2) FILTER (organ = 2), 0), 6) AS leaf_area,
+  """ + ", ".join(f"round(coalesce(sum(l / 2) FILTER (organ = 2 AND bin = {i}), 0), 6) AS area_bin_{i}" for i in range(10)) + " FROM h GROUP BY raster_id")
+def _a18_mesh(pixels):
+    dem = pixels.select((F.col("image_id") * 3 + F.col("band")).alias("raster_id"), "row", "col", F.when(F.col("v") > 100, F.col("v")).alias("v"))
+    vertices, faces = G.dem_mesh(dem, 0.1, 0.02)
+    # rows of quads stand for organs: stem, petiole, leaf and again
+    row = vertices.groupBy("raster_id", F.col("vertex_id").alias("a")).agg(F.min("row").alias("part"))
+    traits = A.mesh_traits(vertices, faces.join(row, ["raster_id", "a"]).withColumn("organ", F.col("part") % 3))
+    bins = [F.round(F.col("inclination_area")[i], 6).alias(f"area_bin_{i}") for i in range(10)]
+    return traits.select("raster_id", *[F.round(c, 6).alias(c) for c in ("height", "stem_height")], "leaf_count", F.round("leaf_area", 6).alias("leaf_area"), *bins)
+
+
 @query("a19_blend_spectra", "raster", sql="""
 WITH s AS (SELECT concat('s', row % 2) AS name, col AS wavelength, avg(v) AS value FROM raster GROUP BY 1, 2),
 w AS (SELECT unnest(['flower_closed', 'flower_open', 'pod']) AS target, unnest([0.35, 0.10, 0.95]) AS a, unnest([0.65, 0.90, 0.05]) AS b)

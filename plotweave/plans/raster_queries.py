@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.functions import colour as C
 from plotweave.operators import raster as R
 from plotweave.operators import scenario as X
 from plotweave.sources import readers as S
@@ -169,11 +170,50 @@ def _r13(pixels):
     return out.withColumns({c: F.round(c, 6) for c in ("cx", "cy", "x_m", "y_m")})
 
 
-@query("r14_clahe", "raster")
+def _equalized(source: str, tiles: int) -> str:
+    """SQL of `clahe` over a table (raster_id, row, col, v), as CTEs that end in `eq`."""
+    return f"""sz AS (SELECT raster_id, max(row) + 1 AS height, max(col) + 1 AS width, CAST(ceil((max(row) + 1) / {DUCK(tiles)}) AS INT) AS th, CAST(ceil((max(col) + 1) / {DUCK(tiles)}) AS INT) AS tw FROM {source} GROUP BY 1),
+pt AS (SELECT raster_id, row, col, v, th, tw, CAST(ceil(height / {DUCK('th')}) AS INT) - 1 AS ly, CAST(ceil(width / {DUCK('tw')}) AS INT) - 1 AS lx, (row + 0.5) / {DUCK('th')} - 0.5 AS fy, (col + 0.5) / {DUCK('tw')} - 0.5 AS fx FROM {source} JOIN sz USING (raster_id)),
+ct AS (SELECT raster_id, CAST(floor(row / {DUCK('th')}) AS INT) AS ty, CAST(floor(col / {DUCK('tw')}) AS INT) AS tx, v, count(*) AS n FROM pt GROUP BY ALL),
+ar AS (SELECT raster_id, ty, tx, CAST(sum(n) AS DOUBLE) AS area, greatest(1, 2 * CAST(sum(n) AS DOUBLE) / 256) AS lim FROM ct GROUP BY ALL),
+ex AS (SELECT raster_id, ty, tx, any_value(area) AS area, any_value(lim) AS lim, sum(greatest(n - lim, 0)) AS extra FROM ct JOIN ar USING (raster_id, ty, tx) GROUP BY ALL),
+lut AS (SELECT raster_id, ty, tx, v, (sum(least(coalesce(n, 0), lim)) OVER (PARTITION BY raster_id, ty, tx ORDER BY v) + extra * (v + 1) / {DUCK(256)}) / area * 255 AS y
+  FROM (SELECT ex.*, CAST(g.range AS INT) AS v FROM ex, range(256) g) LEFT JOIN ct USING (raster_id, ty, tx, v)),
+co AS (SELECT raster_id, row, col, v, greatest(0, least(CAST(floor(fy) AS INT) + dy, ly)) AS ty, greatest(0, least(CAST(floor(fx) AS INT) + dx, lx)) AS tx, (1 - abs(fy - floor(fy) - dy)) * (1 - abs(fx - floor(fx) - dx)) AS w FROM pt, (SELECT unnest([0, 0, 1, 1]) AS dy, unnest([0, 1, 0, 1]) AS dx)),
+eq AS (SELECT raster_id, row, col, CAST(round(round(sum(w * y), 6)) AS INT) AS v FROM co JOIN lut USING (raster_id, ty, tx, v) GROUP BY ALL)"""
+
+
+@query("r14_clahe", "raster", sql=f"WITH px AS (SELECT 0 AS raster_id, row, col, v FROM raster), {_equalized('px', 8)} SELECT row, col, v FROM eq")
 def _r14(raster):
     return R.clahe(_whole(raster)).select("row", "col", "v")
 
 
+def _lab_sql() -> tuple[str, str]:
+    """SQL of 8-bit RGB (r, g, b of `rgb`) to rounded Lab (`lab`: l, a, b) and of Lab (v, a, b) back to r, g and b."""
+    mix = lambda row, *c: " + ".join(f"{DUCK(w)} * {x}" for w, x in zip(row, c, strict=True))
+    lin = lambda c: f"CASE WHEN {c} / {DUCK(255)} <= {DUCK(0.04045)} THEN {c} / {DUCK(255)} / {DUCK(12.92)} ELSE power(({c} / {DUCK(255)} + {DUCK(0.055)}) / {DUCK(1.055)}, {DUCK(2.4)}) END"
+    f = lambda t: f"CASE WHEN {t} > {DUCK(0.008856)} THEN cbrt({t}) ELSE {DUCK(7.787)} * {t} + {DUCK(16)} / 116 END"
+    there = f"""li AS (SELECT raster_id, row, col, {lin('r')} AS lr, {lin('g')} AS lg, {lin('b')} AS lb FROM rgb),
+xyz AS (SELECT raster_id, row, col, {', '.join(f"({mix(m, 'lr', 'lg', 'lb')}) / {DUCK(w)} AS {n}" for m, w, n in zip(C.TO_XYZ, C.WHITE, 'xyz', strict=True))} FROM li),
+ff AS (SELECT raster_id, row, col, {', '.join(f"{f(n)} AS f{n}" for n in 'xyz')} FROM xyz),
+lab AS (SELECT raster_id, row, col, CAST(round((116 * fy - 16) * {DUCK(2.55)}) AS INT) AS v, round(500 * (fx - fy) + 128) AS a, round(200 * (fy - fz) + 128) AS b FROM ff)"""
+    cube = lambda t: f"CASE WHEN {t} > {DUCK(0.206893)} THEN {t} * {t} * {t} ELSE ({t} - {DUCK(16)} / 116) / {DUCK(7.787)} END"
+    gamma = lambda t: f"CAST(round(255 * (CASE WHEN {t} <= {DUCK(0.0031308)} THEN {DUCK(12.92)} * {t} ELSE {DUCK(1.055)} * power({t}, 1 / {DUCK(2.4)}) - {DUCK(0.055)} END)) AS INT)"
+    back = f"""gf AS (SELECT raster_id, row, col, (eq.v / {DUCK(2.55)} + 16) / 116 AS fy, (a - 128) / {DUCK(500)} AS da, (b - 128) / {DUCK(200)} AS db FROM eq JOIN lab USING (raster_id, row, col)),
+cu AS (SELECT raster_id, row, col, ({cube('(fy + da)')}) * {DUCK(C.WHITE[0])} AS x, {cube('fy')} AS y, ({cube('(fy - db)')}) * {DUCK(C.WHITE[2])} AS z FROM gf),
+cl AS (SELECT raster_id, row, col, {', '.join(f"greatest(0, least(1, {mix(m, 'x', 'y', 'z')})) AS {n}" for m, n in zip(C.FROM_XYZ, 'rgb', strict=True))} FROM cu)
+SELECT raster_id, row, col, {', '.join(f"{gamma(n)} AS {n}" for n in 'rgb')} FROM cl"""
+    return there, back
+
+
+_THERE, _BACK = _lab_sql()
+
+
+@query("r14_equalize_colour", "pixels", sql=f"WITH {RGB}, {_THERE}, {_equalized('lab', 2)}, {_BACK}")
+def _r14c(pixels):
+    return R.equalize_colour(_rgb(pixels), tiles=2)
+
+
 @query("r15_depth_stretch", "pixels", sql=f"""
 WITH {ONE}, e AS (SELECT raster_id, min(v) FILTER (v <= 140) AS lo, max(v) FILTER (v <= 140) AS hi FROM px GROUP BY 1)
 SELECT raster_id, row, col, CASE WHEN v > 140 THEN 255 WHEN hi > lo THEN CAST(trunc((v - lo) / CAST(hi - lo AS DOUBLE) * 220) AS INT) ELSE 100 END AS v FROM px JOIN e USING (raster_id)""")
@@ -295,18 +335,18 @@ def _of_scene(*salt: str) -> str:
     return U(", ".join(["'42'", "genotype_id", "dap", "scene", *salt]))
 
 
-PLAN = f"""m AS (SELECT t.*, d.dap, CAST(s.range AS INT) AS scene FROM traits t, {MATRIX.replace('scene_id', 'genotype_id')}),
-r AS (SELECT *, CAST(floor(plant_count_min + {_of_scene("'n'")} * (plant_count_max + 1 - plant_count_min)) AS INT) AS n_plants, CAST(floor({_of_scene("'rows'")} * 4) + 1 AS INT) AS n_rows FROM m),
+PLAN = f"""m AS MATERIALIZED (SELECT t.*, d.dap, CAST(s.range AS INT) AS scene FROM traits t, {MATRIX.replace('scene_id', 'genotype_id')}),
+r AS MATERIALIZED (SELECT *, CAST(floor(plant_count_min + {_of_scene("'n'")} * (plant_count_max + 1 - plant_count_min)) AS INT) AS n_plants, CAST(floor({_of_scene("'rows'")} * 4) + 1 AS INT) AS n_rows FROM m),
 c AS (SELECT *, greatest(1, CAST(ceil(n_plants / CAST(n_rows AS DOUBLE)) AS INT)) AS n_cols FROM r),
 p AS (SELECT genotype_id, dap, scene, n_rows, n_cols, unnest(range(n_plants)) AS plant, plant_spacing_x_min AS ax, plant_spacing_x_max AS bx, plant_spacing_y_min AS ay, plant_spacing_y_max AS yb FROM c WHERE n_plants > 0),
-q AS (SELECT genotype_id, dap, scene, (ax + {_of_scene('plant', "'x'")} * (bx - ax)) * (plant % n_cols - (n_cols - 1) / CAST(2 AS DOUBLE)) AS x, (ay + {_of_scene('plant', "'y'")} * (yb - ay)) * (floor(plant / CAST(n_cols AS DOUBLE)) - (n_rows - 1) / CAST(2 AS DOUBLE)) AS y FROM p),
+q AS MATERIALIZED (SELECT genotype_id, dap, scene, (ax + {_of_scene('plant', "'x'")} * (bx - ax)) * (plant % n_cols - (n_cols - 1) / CAST(2 AS DOUBLE)) AS x, (ay + {_of_scene('plant', "'y'")} * (yb - ay)) * (floor(plant / CAST(n_cols AS DOUBLE)) - (n_rows - 1) / CAST(2 AS DOUBLE)) AS y FROM p),
 e AS (SELECT genotype_id, dap, scene, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM q GROUP BY ALL),
 z AS (SELECT c.genotype_id, c.dap, c.scene, n_plants, n_rows, coalesce(dx + mg, 2.5) AS sx, coalesce(dy + mg, 5) AS sy FROM (SELECT *, {DUCK(0.5)} + {_of_scene("'margin'")} * {DUCK(1.5)} AS mg FROM c) c LEFT JOIN e ON e.genotype_id = c.genotype_id AND e.dap = c.dap AND e.scene = c.scene),
 w AS (SELECT *, CAST(round_even(sy / sx * round_even(sqrt(921600 * sx / sy), 0), 0) AS INT) AS resolution_y FROM z)"""
 
 
 @query("x6_scene_plan", "scenes", sql=f"""
-WITH {TRAITS}, {PLAN} SELECT genotype_id, dap, scene, n_plants, n_rows, round(sx, 5) AS plot_size_x, round(sy, 5) AS plot_size_y, resolution_y, CAST(round_even(resolution_y * sx / sy, 0) AS INT) AS resolution_x FROM w""")
+WITH {TRAITS.replace("traits AS (", "traits AS MATERIALIZED (")}, {PLAN} SELECT genotype_id, dap, scene, n_plants, n_rows, round(sx, 5) AS plot_size_x, round(sy, 5) AS plot_size_y, resolution_y, CAST(round_even(resolution_y * sx / sy, 0) AS INT) AS resolution_x FROM w""")
 def _x6(scenes):
     _, plan = X.scene_plan(_matrix(scenes))
     return plan.select("genotype_id", "dap", "scene", "n_plants", "n_rows", F.round("plot_size_x", 5).alias("plot_size_x"), F.round("plot_size_y", 5).alias("plot_size_y"), "resolution_y", "resolution_x")
