@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.plans.staging import staged
+
 
 def dedupe_plots(files: DataFrame, by: tuple[str, ...] = ("bed", "tier"), order: str = "file_name") -> DataFrame:
     """The first file of each plot by name."""
@@ -55,11 +57,54 @@ def run_summary(results: DataFrame, errors: int = 100) -> DataFrame:
     return out.join(F.broadcast(first.agg(F.array_sort(F.collect_list("error")).alias("errors"))))
 
 
+#: Bins into which the range that still holds a quantile is cut on each pass.
+QUANTILE_BINS = 1024
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles per group, one column for each of `shares` (name: share): null for a group without values.
+
+    No group's values are gathered. A pass counts the range that holds a rank in
+    `QUANTILE_BINS` bins, aggregated before the shuffle, and goes on with the
+    ends of what the rank's bin holds, until these are one value: two passes for
+    a million different values, three for a thousand million.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    if not by:
+        own, by = own.withColumn("_all", F.lit(0)), ["_all"]
+    ends = own.groupBy(*by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("_n"))
+    place = lambda p: F.lit(p) * (F.col("_n") - 1)
+    # ranks from 0 of the values around each quantile's place
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(place(p)).cast("long").alias("rank")) for name, p in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    open_ = staged(ends.select(*by, "lo", "hi", F.explode(F.array(*wanted)).alias("w")).select(*by, "lo", "hi", "w.*"), "quantile-ranges")
+    done = open_.where("lo = hi")
+    same = ["name", "side"]
+    while open_.where("lo < hi").limit(1).count():
+        open_ = open_.where("lo < hi")
+        # ranks of a group mostly share a range: count it once
+        ranges = open_.select(*by, "lo", "hi").distinct()
+        at = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1))
+        counts = own.join(ranges, by).where("_v >= lo and _v <= hi").groupBy(*by, "lo", "hi", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+        upto = F.sum("n").over(Window.partitionBy(*by, "lo", "hi").orderBy("bin"))
+        counts = counts.withColumn("upto", upto)
+        found = open_.join(counts, [*by, "lo", "hi"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        open_ = staged(found.select(*by, F.col("a").alias("lo"), F.col("b").alias("hi"), *same, (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "quantile-ranges")
+        done = done.unionByName(open_.where("lo = hi"))
+    end = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("lo")))
+    values = done.groupBy(*by).agg(*[end(n, s).alias(f"{n}_{s}") for n in shares for s in ("low", "high")]).join(ends.select(*by, "_n"), by)
+    out = [(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (place(p) - F.floor(place(p)))).alias(n) for n, p in shares.items()]
+    return values.select(*[c for c in by if c != "_all"], *out)
+
+
 def raster_stats(pixels: DataFrame, by: list[str], value: str = "v", nodata: float | None = None, accuracy: int | None = None) -> DataFrame:
     """min, max, mean, population deviation, median, range, valid count and share; `accuracy` makes the median approximate."""
     v = valid_value(F.col(value), nodata)
-    median = F.percentile_approx(v, 0.5, accuracy) if accuracy else F.median(v)
-    out = pixels.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), median.alias("median"), F.count(v).alias("valid"), F.count(F.lit(1)).alias("pixels"))
+    approximate = [F.percentile_approx(v, 0.5, accuracy).alias("median")] if accuracy else []
+    out = pixels.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), *approximate, F.count(v).alias("valid"), F.count(F.lit(1)).alias("pixels"))
+    if not accuracy:
+        median = exact_quantiles(pixels.select(*by, v.alias("_valid")), by, "_valid", {"median": 0.5})
+        out = out.join(median, by, "left") if by else out.join(F.broadcast(median))  # without `by` one row
+    out = out.select(*by, "min", "max", "mean", "std", "median", "valid", "pixels")
     return out.withColumns({"range": F.col("max") - F.col("min"), "valid_percent": F.col("valid") * 100.0 / F.col("pixels")})
 
 
@@ -69,13 +114,23 @@ def valid_value(v: Column, nodata: float | None) -> Column:
     return F.when(~F.isnan(d) if nodata is None else d != nodata, d)
 
 
-def raster_histogram(pixels: DataFrame, by: list[str], bins: int = 50, value: str = "v") -> DataFrame:
-    """Counts of equal-width bins between a raster's ends; the last bin is closed."""
-    ends = pixels.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+def raster_histogram(pixels: DataFrame, by: list[str], bins: int = 50, value: str = "v", accuracy: int | None = None) -> DataFrame:
+    """Counts of equal-width bins between a raster's ends; the last bin is closed.
+
+    With `accuracy` the values are read once, into a mergeable histogram of that
+    many uneven bins per group, whose centres are then counted: approximate.
+    """
+    own = pixels.where(F.col(value).isNotNull())
+    if accuracy:
+        sketch = own.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.histogram_numeric(F.col(value).cast("double"), F.lit(accuracy)).alias("h"))
+        joined, n = sketch.select(*by, "lo", "hi", F.explode("h").alias("h")).select(*by, "lo", "hi", F.col("h.x").alias("_x"), F.col("h.y").alias("_n")), F.sum("_n").cast("long")
+    else:
+        ends = own.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        own = own.select(*by, F.col(value).alias("_x"))
+        joined, n = own.join(ends, by) if by else own.join(F.broadcast(ends)), F.count(F.lit(1))  # without `by` one row
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0).cast("int")
-    joined = pixels.join(ends, by) if by else pixels.join(F.broadcast(ends))  # without `by` one row
-    return joined.where(F.col(value).isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).withColumn("bin_start", F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).drop("lo", "hi")
+    at = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0).cast("int")
+    return joined.groupBy(*by, at.alias("bin")).agg(n.alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).withColumn("bin_start", F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).drop("lo", "hi")
 
 
 def masked_mean(pixels: DataFrame, by: list[str], inside: Column, value: str = "v", digits: int | None = None, scale: float = 1.0) -> DataFrame:

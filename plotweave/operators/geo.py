@@ -56,18 +56,44 @@ def plot_pixel_window(plots: DataFrame, xinit: float, yinit: float, pixel: float
     return out.where("x2 > x1 and y2 > y1").withColumns({"x_size": F.col("x2") - F.col("x1"), "y_size": F.col("y2") - F.col("y1")})
 
 
+def polygon_rows(windows: DataFrame) -> DataFrame:
+    """Windows (y1, y2, ring in pixels, ...) by pixel row, with `spans`: the (c1, c2; end exclusive) of pixels whose centre lies in the ring.
+
+    Where the line through the pixel centres crosses the ring, sorted, an inside
+    part begins and ends in turn; edges are half open in y.
+    """
+    rows = windows.withColumn("row", F.explode(F.sequence(F.col("y1").cast("long"), F.col("y2").cast("long") - 1)))
+    ring, n, y = F.col("ring"), F.size("ring"), F.col("row") + 0.5
+
+    def crossing(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        return F.when((a["y"] > y) != (b["y"] > y), a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)))
+
+    cuts = F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), n - 1), crossing)))
+    col = lambda i: F.ceil(F.get("_cuts", i) - 0.5).cast("long")
+    spans = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("_cuts") - 1, F.lit(0))), lambda i: (i % 2 == 0) & (i < F.size("_cuts"))), lambda i: F.struct(col(i).alias("c1"), col(i + 1).alias("c2")))
+    return rows.withColumn("_cuts", cuts).withColumn("spans", spans).drop("_cuts")
+
+
 def crop_to_plots(pixels: DataFrame, windows: DataFrame, mode: str = "bbox", outside: int | None = 0, tile: int = 64) -> DataFrame:
     """Pixels of each plot window in the plot's own coordinates.
 
     With `polygon` (windows carry `ring` in pixels) pixels whose centre lies
-    outside the ring get `outside`, or are left out when that is None.
+    outside the ring get `outside`, or are left out when that is None. The ring
+    is cut once per row of a window; a pixel meets its row's spans only.
     """
-    from .joins import inside, pixels_in_box
+    from .joins import pixels_in_box
 
-    out = pixels_in_box(pixels, windows, tile)
-    if mode == "polygon":
-        hit = inside(F.col("col") + 0.5, F.col("row") + 0.5, F.col("ring"))
-        out = out.where(hit) if outside is None else out.withColumn("v", F.when(hit, F.col("v")).otherwise(outside))
+    if mode != "polygon":
+        out = pixels_in_box(pixels, windows, tile)
+    else:
+        rows = polygon_rows(windows.where("x2 > x1 and y2 > y1")).withColumnRenamed("row", "_row")
+        rows = rows.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x1") / tile).cast("long"), F.floor((F.col("x2") - 1) / tile).cast("long"))))
+        own = pixels.withColumns({"_row": F.col("row").cast("long"), "_tx": F.floor(F.col("col") / tile).cast("long")})
+        found = own.join(rows, ["_row", "_tx"]).where((F.col("col") >= F.col("x1")) & (F.col("col") < F.col("x2")))
+        hit = F.exists("spans", lambda s: (F.col("col") >= s["c1"]) & (F.col("col") < s["c2"]))
+        found = found.where(hit) if outside is None else found.withColumn("v", F.when(hit, F.col("v")).otherwise(outside))
+        out = found.drop("_row", "_tx", "spans")
     return out.withColumns({"crop_row": F.col("row") - F.col("y1"), "crop_col": F.col("col") - F.col("x1")})
 
 

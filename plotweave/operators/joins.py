@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,16 +120,75 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), crossing)
 
 
-def points_in_plots(points: DataFrame, plots: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
+#: Sides of a cell's children, and how often a cell is split at most: 64 times finer along each axis.
+SPLIT, LEVELS = 4, 3
+#: Cells that are split on one level at most; each holds more than that share of all points.
+SPLIT_CELLS = 1 << 14
+
+
+def crowded_cells(points: DataFrame, cell: float, x: str, y: str, most: int) -> DataFrame:
+    """(level, cx, cy) of the cells with more than `most` points: a quadtree's inner nodes, from one histogram of the finest cells.
+
+    Where the table is so large that more than `SPLIT_CELLS` cells of a level
+    could hold as many, `most` grows with it, so this table has a fixed bound.
+    """
+    finest = cell / SPLIT**LEVELS
+    fine = points.select(F.floor(F.col(x) / finest).cast("long").alias("fx"), F.floor(F.col(y) / finest).cast("long").alias("fy")).groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))
+    up = lambda c, level: F.floor(F.col(c) / SPLIT ** (LEVELS - level)).cast("long")
+    nodes = fine.select("n", F.explode(F.array(*[F.struct(F.lit(level).alias("level"), up("fx", level).alias("cx"), up("fy", level).alias("cy")) for level in range(LEVELS)])).alias("c"))
+    counts = staged(nodes.groupBy("c.level", "c.cx", "c.cy").agg(F.sum("n").alias("n")), "cell-counts")
+    total = counts.where("level = 0").agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") > max(most, total // SPLIT_CELLS)).select("level", "cx", "cy")
+
+
+def _wholly_inside(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column) -> Column:
+    """Whether a box surely lies inside a ring: its corners do, and no edge comes near it."""
+    n = F.size(ring)
+
+    def near(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        apart = (F.greatest(a["x"], b["x"]) < x1) | (F.least(a["x"], b["x"]) > x2) | (F.greatest(a["y"], b["y"]) < y1) | (F.least(a["y"], b["y"]) > y2)
+        side = lambda x, y: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        sides = [side(x, y) for x in (x1, x2) for y in (y1, y2)]
+        return ~(apart | (F.least(*sides) > 0) | (F.greatest(*sides) < 0))
+
+    corners = inside(x1, y1, ring) & inside(x1, y2, ring) & inside(x2, y1, ring) & inside(x2, y2, ring)
+    return corners & ~F.exists(F.sequence(F.lit(0), n - 1), near)
+
+
+def points_in_plots(points: DataFrame, plots: DataFrame, cell: float, x: str = "x", y: str = "y", most: int = 100_000) -> DataFrame:
     """Points with the plot (ring, min_x, min_y, max_x, max_y, ...) that holds them.
 
     Plots are listed under the grid cells that their boxes touch, so the join is
-    an equi join on cells; the ring is tested only for plots of a point's cell.
+    an equi join on cells. Cells with more than `most` points are split into
+    smaller ones, again and again, so a plot with most of all points is many
+    keys. The ring is tested only for points of cells that it may cross.
     """
-    keyed = plots.withColumns({"_cx": F.explode(_cells(F.col("min_x"), F.col("max_x"), cell))}).withColumn("_cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), cell)))
-    own = points.withColumns({"_cx": F.floor(F.col(x) / cell).cast("long"), "_cy": F.floor(F.col(y) / cell).cast("long")})
+    crowded = staged(crowded_cells(points, cell, x, y, most), "crowded-cells")
+    step = lambda level: cell / SPLIT**level
+    at = lambda c, level: F.floor(c / step(level)).cast("long")
+    split = lambda level: F.broadcast(crowded.where(F.col("level") == level).select("cx", "cy", F.lit(True).alias("_split")))
+    own = points.withColumns({"_l": F.lit(0), "_cx": at(F.col(x), 0), "_cy": at(F.col(y), 0)})
+    boxes = plots.withColumns({"_l": F.lit(0), "_cx": F.explode(_cells(F.col("min_x"), F.col("max_x"), cell))}).withColumn("_cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), cell)))
+    settled = []
+    for level in range(LEVELS):
+        hit = lambda rows: (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & (rows == level)
+        down = F.col("_split").isNotNull()
+        own = own.join(split(level), hit(F.col("_l")), "left").withColumns({"_l": F.when(down, level + 1).otherwise(F.col("_l")), "_cx": F.when(down, at(F.col(x), level + 1)).otherwise(F.col("_cx")), "_cy": F.when(down, at(F.col(y), level + 1)).otherwise(F.col("_cy"))}).drop("cx", "cy", "_split")
+        found = boxes.join(split(level), hit(F.lit(level)), "left")
+        settled.append(found.where(~down | down.isNull()).drop("cx", "cy", "_split"))
+        inner = lambda c, lo, hi: F.sequence(F.greatest(F.col(c) * SPLIT, at(F.col(lo), level + 1)), F.least(F.col(c) * SPLIT + SPLIT - 1, at(F.col(hi), level + 1)))
+        # cells that a box only grazes by rounding have no child
+        some = (F.col("_cx") * SPLIT <= at(F.col("max_x"), level + 1)) & (F.col("_cx") * SPLIT + SPLIT > at(F.col("min_x"), level + 1)) & (F.col("_cy") * SPLIT <= at(F.col("max_y"), level + 1)) & (F.col("_cy") * SPLIT + SPLIT > at(F.col("min_y"), level + 1))
+        boxes = found.where(down & some).drop("cx", "cy", "_split").withColumns({"_l": F.lit(level + 1), "_nx": F.explode(inner("_cx", "min_x", "max_x"))}).withColumn("_cy", F.explode(inner("_cy", "min_y", "max_y"))).withColumn("_cx", F.col("_nx")).drop("_nx")
+    keyed = reduce(DataFrame.unionByName, [*settled, boxes])
+    side = F.lit(cell) / F.pow(F.lit(SPLIT), F.col("_l"))
+    # a hair wider than the cell, so that rounding can't put a point beside it
+    hair = side * 1e-6
+    keyed = keyed.withColumn("_whole", _wholly_inside(F.col("_cx") * side - hair, F.col("_cy") * side - hair, (F.col("_cx") + 1) * side + hair, (F.col("_cy") + 1) * side + hair, F.col("ring")))
     in_box = F.col(x).between(F.col("min_x"), F.col("max_x")) & F.col(y).between(F.col("min_y"), F.col("max_y"))
-    return own.join(keyed, ["_cx", "_cy"]).where(in_box & inside(F.col(x), F.col(y), F.col("ring"))).drop("_cx", "_cy")
+    tested = F.when(F.col("_whole"), True).otherwise(in_box & inside(F.col(x), F.col(y), F.col("ring")))
+    return own.join(keyed, ["_l", "_cx", "_cy"]).where(tested).drop("_l", "_cx", "_cy", "_whole")
 
 
 def pixels_in_box(pixels: DataFrame, boxes: DataFrame, tile: int = 64, raster: str | None = None) -> DataFrame:

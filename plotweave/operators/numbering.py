@@ -11,17 +11,18 @@ from plotweave.plans.staging import staged
 def numbered(rows: DataFrame, group: list[str], within: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of `group`, then `within`.
 
-    Rows are dealt by ranges of that order, so a group with many rows is spread
-    too; they are numbered inside their range, and the counts of the ranges
-    before are added. The only unpartitioned window is over one row per range.
+    Rows are dealt and sorted by ranges of that order, so a group with many rows
+    is spread too; a row is written with its range and its place in it, and the
+    counts of the ranges before are added. The only unpartitioned window is over
+    one row per range.
     """
     order = [*group, *within]
-    # which range a row is in is written with it
-    dealt = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    # range and place in one number: 33 bits are for the place
+    dealt = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start)
-    return own.join(bases, "_part").withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_at", "_base", "_part")
+    bases = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return dealt.withColumn("_part", part).join(F.broadcast(bases), "_part").select(*[F.col(c) for c in rows.columns if c != name], (F.col("_base") + place + start).cast("long").alias(name))
 
 
 def global_annotation_ids(annotations: DataFrame, in_file: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def leaf_distributions(leaves: DataFrame) -> DataFrame:
     read in one pass into its fields, a literal isn't looked into.
     """
     node, new, old = F.col("node"), F.col("_leaf.distribution.params"), F.col("_leaf")
-    json = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
+    as_json = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
     number = lambda v: F.try_variant_get(v, "$", "double")
     opened = leaves.withColumn("_leaf", F.when(F.col("kind") == "distribution", F.try_variant_get(node, "$", _LEAF)))
     either = lambda *names: F.coalesce(*[new[n] for n in names], *[old[n] for n in reversed(names)])
@@ -72,8 +74,8 @@ def leaf_distributions(leaves: DataFrame) -> DataFrame:
     dist = F.when(name == "discrete", "categorical").otherwise(F.coalesce(name, F.lit("literal")))
     ends = [F.schema_of_variant(either(n)) == "BIGINT" for n in ("min", "max")]
     whole = F.coalesce(ends[0] & ends[1], F.lit(False))
-    options = F.transform(F.coalesce(new["categories"], old["values"]), json)
-    fixed = F.when(old.isNull() | (dist == "literal"), json(node)).otherwise(json(either("value")))
+    options = F.transform(F.coalesce(new["categories"], old["values"]), as_json)
+    fixed = F.when(old.isNull() | (dist == "literal"), as_json(node)).otherwise(as_json(either("value")))
     return opened.select(*[c for c in leaves.columns if c != "node"], dist.alias("dist"), number(either("min")).alias("low"), number(either("max")).alias("high"), number(either("mean")).alias("mean"), number(either("std", "stddev")).alias("std"), options.alias("categories"), whole.alias("whole"), fixed.alias("value"))
 
 
@@ -191,7 +193,7 @@ def plots_to_scenes(plants: DataFrame, plots: DataFrame, template: str = "{}", p
 
     `template` is a scene document (JSON text): its other keys stay, and those
     that the plot decides are set, down to single keys of sections that the
-    template has. `ground` is the path of a plot's ground mesh, null where there
+    template has, on the driver: rows only fill in values. `ground` is the path of a plot's ground mesh, null where there
     is none. Plants of a plot are one array, which its document needs; plots are
     apart, so no array grows with their number.
     """
@@ -202,28 +204,36 @@ def plots_to_scenes(plants: DataFrame, plots: DataFrame, template: str = "{}", p
     path = F.lit(None).cast("string") if ground is None else ground
     none = F.array().cast("array<struct<x:double,y:double,z:double>>")
     plot = F.struct(F.lit(1).alias("bed"), F.lit(1).alias("row"), F.coalesce("plants", none).alias("plants"))
-    given = F.parse_json(F.lit(template))
+    given = json.loads(template)
     text = lambda c: F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
-    value = lambda c: F.try_variant_get(F.parse_json(text(c)), "$.v", "variant")
-    default = lambda at, name: F.coalesce(F.try_variant_get(given, f"$.{at}.{name}", "variant"), value(F.lit(SCENE_DEFAULTS[name])))
+    # what stands between {"v": and }
+    value = lambda c: F.substring(text(c), F.lit(6), F.length(text(c)) - 6)
+
+    def section(at: str) -> dict:
+        found = given
+        for name in at.split("."):
+            found = found.get(name) if isinstance(found, dict) else None
+        return found if isinstance(found, dict) else {}
+
+    fixed = lambda v: F.lit(json.dumps(v))
+    default = lambda at, name: fixed(section(at).get(name, SCENE_DEFAULTS[name]))
     values = {
-        "metadata": {"plant_type": None if plant_type is None else value(F.lit(plant_type)), "year": value(F.lit(year)), "dap": value(F.col("_dap"))},
-        "field.layout": {"mode": value(F.lit(SCENE_DEFAULTS["mode"])), "plot_size_x": value(F.col("size_x")), "plot_size_y": value(F.col("size_y")), "plot_size_z": default("field.layout", "plot_size_z"), "num_rows": value(F.lit(1)), "num_beds": value(F.lit(1))},
+        "metadata": {"plant_type": None if plant_type is None else fixed(plant_type), "year": fixed(year), "dap": value(F.col("_dap"))},
+        "field.layout": {"mode": fixed(SCENE_DEFAULTS["mode"]), "plot_size_x": value(F.col("size_x")), "plot_size_y": value(F.col("size_y")), "plot_size_z": default("field.layout", "plot_size_z"), "num_rows": fixed(1), "num_beds": fixed(1)},
         "field": {"plots": value(F.array(plot))},
-        "environment.soil": {"rotate_obj": value(F.col("heading")), "use_obj_ground": F.when(path.isNotNull(), value(F.lit(True))), "obj_file_path": F.when(path.isNotNull(), value(path))},
-        "camera.positioning": {"camera_height": value(F.bround(F.lit(camera_height), 4)), "azimuth_angle": value(F.lit(SCENE_DEFAULTS["azimuth_angle"])), "focusing_plants": value(F.lit(SCENE_DEFAULTS["focusing_plants"]))},
+        "environment.soil": {"rotate_obj": value(F.col("heading")), "use_obj_ground": F.when(path.isNotNull(), fixed(True)), "obj_file_path": F.when(path.isNotNull(), value(path))},
+        "camera.positioning": {"camera_height": value(F.bround(F.lit(camera_height), 4)), "azimuth_angle": fixed(SCENE_DEFAULTS["azimuth_angle"]), "focusing_plants": fixed(SCENE_DEFAULTS["focusing_plants"])},
         "camera.sensor": {"resolution_x": value(F.col("image_width")), "resolution_y": value(F.col("image_height"))},
     }
 
-    def merged(at: str, extra: dict[str, Column]) -> Column:
-        """The template's object at `at` with the plot's keys, and with `extra` sections, as JSON text."""
-        base = F.try_variant_get(given, f"$.{at}" if at else "$", "map<string,variant>")
-        sets = {k: v for k, v in values.get(at, {}).items() if v is not None}
-        pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.to_json(v).alias("value")) for k, v in sets.items()], *[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in extra.items()]), lambda e: e["value"].isNotNull())
-        named = F.transform(pairs, lambda e: e["key"])
-        kept = F.transform(F.filter(F.coalesce(F.map_entries(base), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: ~F.array_contains(named, e["key"])), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
-        body = F.transform(F.concat(kept, pairs), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
-        return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
-
-    sections = {"metadata": merged("metadata", {}), "field": merged("field", {"layout": merged("field.layout", {})}), "environment": merged("environment", {"soil": merged("environment.soil", {})}), "camera": merged("camera", {"positioning": merged("camera.positioning", {}), "sensor": merged("camera.sensor", {})})}
-    return out.select("raster_id", merged("", sections).alias("document"))
+    def merged(base: dict, at: str, extra: dict[str, Column]) -> Column:
+        """The template's object with the plot's keys, and with `extra` sections, as JSON text; its own value stays where the plot has none."""
+        sets = {k: v for k, v in values.get(at, {}).items() if v is not None} | extra
+        pair = lambda k, v: F.concat(F.lit(json.dumps(k) + ":"), v)
+        kept = {k: pair(k, fixed(v)) for k, v in base.items()}
+        pairs = [F.coalesce(pair(k, v), kept[k]) if k in kept else pair(k, v) for k, v in sets.items()]
+        return F.concat(F.lit("{"), F.concat_ws(",", *[v for k, v in kept.items() if k not in sets], *pairs), F.lit("}"))
+
+    part = lambda at, **extra: merged(section(at), at, extra)
+    sections = {"metadata": part("metadata"), "field": part("field", layout=part("field.layout")), "environment": part("environment", soil=part("environment.soil")), "camera": part("camera", positioning=part("camera.positioning"), sensor=part("camera.sensor"))}
+    return out.select("raster_id", merged(given, "", sections).alias("document"))

@@ -82,9 +82,9 @@ def _n4(boxes):
     found = lines.where(F.col("value").rlike('^,?[{]"id"')).select(d.alias("d")).select("d.*")
     names = lines.where(F.col("value").startswith('{"images"')).select(F.array_join(F.from_json(F.concat("value", F.lit("]}")), "categories array<struct<id:int,name:string>>")["categories"]["name"], "-").alias("names"))
     ring = F.col("segmentation")[0]
-    out = sums(found.select("plot.bed", "plot.tier", F.col("bbox")[0].alias("x"), F.col("bbox")[1].alias("y"), F.col("bbox")[2].alias("w"), (ring[0] + ring[2]).alias("ring_x")), ["bed", "tier"], "x", "y", "w", "ring_x", digits=3)
-    ids = found.groupBy("plot.bed", "plot.tier").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("image_id").alias("image_id"))
-    return out.join(ids, ["bed", "tier"]).join(F.broadcast(names))
+    totals = {"x": F.col("bbox")[0], "y": F.col("bbox")[1], "w": F.col("bbox")[2], "ring_x": ring[0] + ring[2]}
+    out = found.groupBy("plot.bed", "plot.tier").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("image_id").alias("image_id"), F.count(F.lit(1)).alias("n"), *[F.round(F.sum(v), 3).alias(n) for n, v in totals.items()])
+    return out.join(F.broadcast(names))
 
 
 @query("n5_stitch_yolo", "boxes", sql=f"""

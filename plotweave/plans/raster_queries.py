@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions import colour as C
@@ -459,37 +459,37 @@ def _k6(pixels):
 EVENT_KINDS = "SELECT DISTINCT kind FROM arrivals"
 
 
+def _streaming(spark: SparkSession) -> SparkSession:
+    """A session beside `spark` with the state store that state with timers needs; settings of `spark` stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
+
+
 def _run_stream(out: DataFrame, path: str) -> None:
     """Take what has arrived so far through a stream that goes on from its checkpoint."""
-    # timers of processing time would ask for empty batches without end
-    used = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    conf = out.sparkSession.conf
-    before = {k: conf.get(k) for k in used}
-    for k, v in used.items():
-        conf.set(k, v)
-    try:
-        query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-        if not query.awaitTermination(600):
-            query.stop()
-            raise TimeoutError("the stream of arrivals did not end")
-    finally:
-        for k, v in before.items():
-            conf.set(k, v)
+    query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    if not query.awaitTermination(600):
+        query.stop()
+        raise TimeoutError("the stream of arrivals did not end")
 
 
 @query("t1_completeness", "arrivals", sql=f"""
 WITH k AS ({EVENT_KINDS}), a AS (SELECT DISTINCT plot, kind FROM arrivals), m AS (SELECT p.plot, k.kind FROM (SELECT DISTINCT plot FROM a) p, k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.plot = p.plot AND a.kind = k.kind))
 SELECT p.plot, CASE WHEN count(m.kind) = 0 THEN 'complete' ELSE 'timed_out' END AS state, coalesce(string_agg(m.kind, ',' ORDER BY m.kind), '') AS missing FROM (SELECT DISTINCT plot FROM a) p LEFT JOIN m USING (plot) GROUP BY p.plot""")
 def _t1(arrivals):
-    # the kinds are a small vocabulary; what arrives is a stream of files, and plots that lack a kind time out once more data comes
-    kinds = [r[0] for r in arrivals.select("kind").distinct().orderBy("kind").limit(1000).collect()]
+    # what arrives is a stream of files; a last row far ahead in event time lets every plot's timer fire
     path = _folder(arrivals, "arrivals")
-    rows = arrivals.select(F.col("plot").cast("string").alias("plot"), "kind")
-    rows.write.parquet(f"{path}/in")
-    stream = lambda: rows.sparkSession.readStream.schema(rows.schema).parquet(f"{path}/in")
-    _run_stream(T.watch_completeness(stream(), kinds, timeout_s=0), path)
-    rows.sparkSession.createDataFrame([("tick", "none")], rows.schema).write.mode("append").parquet(f"{path}/in")
-    _run_stream(T.watch_completeness(stream(), kinds, timeout_s=0), path)
+    rows = arrivals.select(F.col("plot").cast("string").alias("plot"), "kind", F.col("arrived_at").cast("timestamp").alias("arrived_at"))
+    tick = rows.agg((F.max("arrived_at") + F.expr("interval 100 days")).alias("arrived_at")).select(F.lit("tick").alias("plot"), F.lit("none").alias("kind"), "arrived_at")
+    rows.unionByName(tick).write.parquet(f"{path}/in")
+    spark = _streaming(rows.sparkSession)
+    expected = spark.read.parquet(f"{path}/in").where("plot != 'tick'").select("kind")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    # plots wait longer than the table is
+    _run_stream(T.watch_completeness(stream, expected, "arrived_at", timeout_s=40 * 86_400), path)
     out = rows.sparkSession.read.parquet(f"{path}/out").where("plot != 'tick'")
     return out.select(F.col("plot").cast("long").alias("plot"), "state", "missing")
 
@@ -504,7 +504,7 @@ def _t3(arrivals):
     path = _folder(arrivals, "todo")
     rows = arrivals.select("plot", "kind", F.col("arrived_at").cast("timestamp").alias("arrived_at"))
     rows.write.parquet(f"{path}/in")
-    stream = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{path}/in")
+    stream = _streaming(rows.sparkSession).readStream.schema(rows.schema).parquet(f"{path}/in")
     _run_stream(T.incremental_todo(stream, ["plot", "kind"], "arrived_at").select("plot", "kind"), path)
     return rows.sparkSession.read.parquet(f"{path}/out")
 

@@ -1,5 +1,6 @@
 """Operators against plain computations and invariants."""
 
+import math
 import random
 
 import numpy as np
@@ -70,6 +71,95 @@ def test_points_in_a_triangle(spark):
     assert got == {(r.x, r.y) for r in points.collect() if r.x + r.y < 10}
 
 
+def _in_ring(px, py, ring):
+    hit = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (ay > py) != (by > py) and px < ax + (py - ay) * (bx - ax) / (by - ay):
+            hit = not hit
+    return hit
+
+
+def _polygons(rng, n, size):
+    """Rings of 3 to 9 corners, some of them not convex."""
+    out = []
+    for _ in range(n):
+        cx, cy = rng.uniform(0, size), rng.uniform(0, size)
+        turns = sorted(rng.uniform(0, 6.28) for _ in range(rng.randint(3, 9)))
+        out.append([(cx + rng.uniform(1, size / 4) * math.cos(t), cy + rng.uniform(1, size / 4) * math.sin(t)) for t in turns])
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 40, 10**9])
+def test_points_in_any_polygon_and_any_split(spark, most):
+    rng = random.Random(11)
+    rings = _polygons(rng, 25, 60.0) + [[(0.0, 0.0), (32.0, 0.0), (32.0, 32.0), (0.0, 32.0)]]
+    spots = [(i, rng.uniform(-5, 65), rng.uniform(-5, 65)) for i in range(600)] + [(1000 + i, float(i % 9) * 4, float(i // 9) * 4) for i in range(81)] + [(2000 + i, 7.5, 7.5) for i in range(5)]
+    plots = frame(spark, [(i, r, *(f(p[k] for p in r) for f in (min, max) for k in (0, 1))) for i, r in enumerate(rings)], "plot int, ring array<struct<x:double,y:double>>, min_x double, min_y double, max_x double, max_y double")
+    points = frame(spark, spots, "id int, x double, y double")
+    got = sorted((r.id, r.plot) for r in joins.points_in_plots(points, plots, 16.0, most=most).collect())
+    assert got == sorted((i, k) for i, x, y in spots for k, ring in enumerate(rings) if _in_ring(x, y, ring))
+
+
+def test_a_plot_with_most_points_is_many_keys(spark):
+    """Nine tenths of the points lie in one plot: no task gets over twice the median."""
+    points = spark.range(20_000).select("id", F.when(F.col("id") < 18_000, F.rand(1) * 4 + 8).otherwise(F.rand(2) * 100).alias("x"), F.when(F.col("id") < 18_000, F.rand(3) * 4 + 8).otherwise(F.rand(4) * 100).alias("y"))
+    crowded = joins.crowded_cells(points, 16.0, "x", "y", 200).collect()
+    assert {r.level for r in crowded} == {0, 1, 2}
+    # the keys that points get: the cell below the last crowded one
+    split = {(r.level, r.cx, r.cy) for r in crowded}
+
+    def key(x, y):
+        level = 0
+        while level < joins.LEVELS and (level, int(x // (16 / 4**level)), int(y // (16 / 4**level))) in split:
+            level += 1
+        return level, int(x // (16 / 4**level)), int(y // (16 / 4**level))
+
+    keys = frame(spark, [key(r.x, r.y) for r in points.collect()], "l int, cx int, cy int")
+    assert keys.groupBy("l", "cx", "cy").count().agg(F.max("count")).first()[0] <= 200
+    sizes = sorted(r["count"] for r in keys.repartition(8, "l", "cx", "cy").groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_polygon_spans_equal_the_ring_test(spark):
+    rng = random.Random(12)
+    rings = _polygons(rng, 30, 40.0) + [[(2.0, 1.0), (5.0, 1.0), (5.0, 4.0), (2.0, 4.0)], [(2.5, 1.5), (6.5, 1.5), (6.5, 4.5), (2.5, 4.5)]]
+    windows = frame(spark, [(i, 0, 45, 0, 41, r) for i, r in enumerate(rings)], "plot int, x1 int, x2 int, y1 int, y2 int, ring array<struct<x:double,y:double>>")
+    pixels = frame(spark, [(r, c, 1) for r in range(45) for c in range(50)], "row long, col long, v int")
+    want = {(i, r, c) for i, ring in enumerate(rings) for r in range(41) for c in range(45) if _in_ring(c + 0.5, r + 0.5, ring)}
+    assert {(r.plot, r.row, r.col) for r in geo.crop_to_plots(pixels, windows, "polygon", None, 16).collect()} == want
+    kept = geo.crop_to_plots(pixels, windows, "polygon", 0, 16)
+    assert kept.count() == len(rings) * 41 * 45 and {(r.plot, r.row, r.col) for r in kept.where("v = 1").collect()} == want
+
+
+@pytest.mark.parametrize("bins", [2, 5, 1024])
+def test_exact_quantiles_by_refinement(spark, monkeypatch, bins):
+    monkeypatch.setattr(aggregates, "QUANTILE_BINS", bins)
+    rng = random.Random(13)
+    groups = {1: [rng.gauss(0, 1e6) for _ in range(301)], 2: [5.0] * 40, 3: [1.0, 2.0], 4: [None, None], 5: [rng.choice([1.0, 1.0 + 1e-15, 1e300, -1e300]) for _ in range(99)], 6: [float(i % 7) for i in range(50)]}
+    rows = frame(spark, [(g, v) for g, vs in groups.items() for v in vs], "g int, v double")
+    shares = {"median": 0.5, "q1": 0.25, "top": 1.0, "p": 0.937}
+    got = {r.g: r for r in aggregates.exact_quantiles(rows, ["g"], "v", shares).collect()}
+    assert set(got) == {1, 2, 3, 5, 6}
+    for g, r in got.items():
+        for name, p in shares.items():
+            assert np.isclose(r[name], np.quantile([v for v in groups[g] if v is not None], p), rtol=1e-12), (g, name)
+    assert aggregates.exact_quantiles(rows.where("g = 3"), [], "v", {"m": 0.5}).collect() == [(1.5,)]
+    assert aggregates.exact_quantiles(rows.where("g = 4"), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_approximate_histogram_is_near_the_exact_one(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 1000).cast("double").alias("v"))
+    exact = {(r.g, r.bin): r.n for r in aggregates.raster_histogram(rows, ["g"], 10).collect()}
+    near = {(r.g, r.bin): r.n for r in aggregates.raster_histogram(rows, ["g"], 10, accuracy=500).collect()}
+    assert set(exact) == set(near) and all(abs(near[k] - n) <= 0.1 * n for k, n in exact.items())
+
+
+def test_numbers_after_others_and_with_a_name_that_is_there(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 1000).alias("k"), F.lit(-1).alias("n"))
+    got = sorted((r.n, r.g, r.k) for r in numbering.numbered(rows.repartition(5), ["g"], ["k"], "n", start=10).collect())
+    assert [(g, k) for _, g, k in got] == sorted((i % 3, i * 7 % 1000) for i in range(1000)) and [n for n, _, _ in got] == list(range(10, 1010))
+
+
 def test_components_by_brute_force(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)]

@@ -50,6 +50,38 @@ def test_completeness_batch(spark):
     assert got == {"p1": ("complete", ""), "p2": ("timed_out", "vis")}
 
 
-def test_watch_completeness(stream):
-    got = _run(T.watch_completeness(stream[0], ["rad", "vis"], 3600), stream[1], "watch")
-    assert [(r.plot, r.state) for r in got] == [("p1", "complete")]
+def _wait(spark, tmp_path, *parts, timeout_s=60, delay="10 seconds", kinds=("rad", "vis")):
+    """Rows that the watch gives after each part of the arrivals."""
+    folder, out = str(tmp_path / "in"), []
+    expected = spark.createDataFrame([(k,) for k in kinds], "kind string")
+    for i, rows in enumerate(parts):
+        _source(spark, folder, rows)
+        stream = spark.readStream.schema(SCHEMA).parquet(folder)
+        q = T.watch_completeness(stream, expected, "ts", timeout_s, delay).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+        out.append(sorted((r.plot, r.state, r.missing) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    return out
+
+
+def test_late_kinds_complete_a_plot_and_others_come_too_late(spark, tmp_path):
+    at = lambda plot, kind, s: (plot, kind, f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}")
+    got = _wait(
+        spark, tmp_path,
+        [at("a", "rad", 0), at("b", "rad", 5), at("c", "rad", 6), at("c", "vis", 7), at("c", "vis", 8), at("d", "other", 1)],
+        # b's second kind is late, out of order, but before its timer and the watermark (0:47 here)
+        [at("z", "rad", 57), at("b", "vis", 50)],
+        # the watermark goes to 3:10: the timers of a, d and z are behind it
+        [at("y", "rad", 200)],
+        # a's second kind is behind the watermark
+        [at("a", "vis", 30), at("y", "vis", 201)],
+    )
+    assert got[0] == [("c", "complete", "")]
+    assert got[1] == [("b", "complete", ""), ("c", "complete", "")]
+    timed = [("a", "timed_out", "vis"), ("d", "timed_out", "rad,vis"), ("z", "timed_out", "vis")]
+    assert got[2] == sorted([*got[1], *timed])
+    assert got[3] == sorted([*got[2], ("y", "complete", "")])
+
+
+def test_no_kinds_expected(spark, tmp_path):
+    assert _wait(spark, tmp_path, ROWS, kinds=()) == [[("p1", "complete", ""), ("p2", "complete", "")]]
