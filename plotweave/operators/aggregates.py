@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.plans.staging import staged
+from plotweave.sources.parts import json_text, object_pairs, object_text
 
 
 def dedupe_plots(files: DataFrame, by: tuple[str, ...] = ("bed", "tier"), order: str = "file_name") -> DataFrame:
@@ -34,6 +35,44 @@ def merge_field(plots: DataFrame, beds: tuple[int, int], tiers: tuple[int, int],
     return placed.join(means, by) if by else placed.join(F.broadcast(means))
 
 
+def merged_documents(docs: DataFrame, beds: tuple[int, int], tiers: tuple[int, int], left_to_right: bool = True, bottom_to_top: bool = True, by: list[str] | None = None, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(heads, items) of the document that merges the plots of each field (`by`) of a grid range, for `write_document_parts` with the end `]}}`.
+
+    `docs` is (bed, tier, doc) with scene documents as variants, one per plot
+    (`dedupe_plots`). The first plot by bed and tier is the template: sun,
+    chlorophyll and plot sizes become the field's means (a missing value counts
+    by its default), layout and plot shape get them where the template has
+    these sections, the camera looks at the whole grid. Items are the first
+    plot of each document, with its place in the grid; documents without plots
+    have none.
+    """
+    keys, d = by or [], F.col(doc)
+    number = lambda path: F.try_variant_get(d, path, "double")
+    paths = {"plot_size_x": "$.field.layout.plot_size_x", "plot_size_y": "$.field.layout.plot_size_y", "plot_size_z": "$.field.layout.plot_size_z", "sun_elevation": "$.environment.sun.elevation_degrees", "sun_azimuth": "$.environment.sun.azimuth_degrees", "chlorophyll": "$.plant_properties.leaf_optics.chlorophyll_content"}
+    placed = merge_field(docs.withColumns({n: number(path) for n, path in paths.items()}), beds, tiers, left_to_right, bottom_to_top, by)
+    n_beds, n_tiers = beds[1] - beds[0] + 1, tiers[1] - tiers[0] + 1
+    # variants can't be compared, so the template travels as text
+    field = placed.groupBy(*keys).agg(F.min_by(F.to_json(d), F.struct("bed", "tier")).alias("_t"), *[F.first(f"mean_{n}").alias(n) for n in paths])
+    field = field.withColumn("_t", F.parse_json("_t"))
+    camera = merged_camera(field.withColumns({"total_x": F.col("plot_size_x") * n_beds, "total_y": F.col("plot_size_y") * n_tiers}))
+    at = lambda path: F.try_variant_get(F.col("_t"), path, "variant")
+    text = lambda **sets: {k: json_text(F.col(v) if isinstance(v, str) else F.lit(v)) for k, v in sets.items()}
+    grid = text(num_beds=n_beds, num_rows=n_tiers)
+    sizes = {"mode": F.lit('"manual"'), **text(plot_size_x="plot_size_x", plot_size_y="plot_size_y", plot_size_z="plot_size_z"), **grid}
+    section = lambda name: {name: F.when(at(f"$.field.{name}").isNotNull(), object_text(at(f"$.field.{name}"), sizes))}
+    sets = {
+        "environment": object_text(at("$.environment"), {"sun": object_text(at("$.environment.sun"), text(elevation_degrees="sun_elevation", azimuth_degrees="sun_azimuth"))}),
+        "plant_properties": object_text(at("$.plant_properties"), {"leaf_optics": object_text(at("$.plant_properties.leaf_optics"), text(chlorophyll_content="chlorophyll"))}),
+        "camera": object_text(at("$.camera"), {"sensor": object_text(at("$.camera.sensor"), text(resolution_x="resolution_x", resolution_y="resolution_y")), "positioning": object_text(at("$.camera.positioning"), text(camera_height="camera_height", focusing_plants=False, lookat_offset_x="lookat_offset_x", lookat_offset_y="lookat_offset_y", lookat_offset_z="lookat_offset_z"))}),
+    }
+    # the field comes last, and in it the list of plots
+    inner = object_pairs(at("$.field"), {**grid, **section("layout"), **section("plot_shape"), "plots": F.lit(None).cast("string")})
+    heads = camera.select(*keys, F.concat(F.lit("{"), object_pairs(F.col("_t"), {**sets, "field": F.lit(None).cast("string")}), F.lit(',"field":{'), inner, F.lit(',"plots":[')).alias("value"))
+    plot = F.try_variant_get(d, "$.field.plots[0]", "variant")
+    items = placed.where(plot.isNotNull()).select(*keys, F.col("bed").alias("_bed"), F.col("tier").alias("_tier"), object_text(plot, {"bed": F.col("new_bed").cast("string"), "row": F.col("new_tier").cast("string")}).alias("value"))
+    return heads, items
+
+
 def merged_camera(field: DataFrame, width: int = 2000, height: float = 5.0) -> DataFrame:
     """Camera of a merged field (total_x, total_y): fixed image width, height by the field's proportions."""
     return field.withColumns({"resolution_x": F.lit(width), "resolution_y": (F.col("total_y") / F.col("total_x") * width).cast("int"), "camera_height": F.lit(height), "lookat_offset_x": F.lit(0.0), "lookat_offset_y": F.lit(0.0), "lookat_offset_z": F.lit(0.0)})

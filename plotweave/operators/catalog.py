@@ -22,8 +22,12 @@ def with_dap(files: DataFrame, planted: str, fallback: str, col: str = "path") -
     return files.withColumn("dap", dap_from_name(F.col(col), planting, F.datediff(F.to_date(F.lit(fallback)), planting)))
 
 
-def natural_sort(files: DataFrame, stem: str = "stem") -> DataFrame:
-    return files.orderBy(*natural_order(F.col(stem)))
+def natural_places(files: DataFrame, stem: str = "stem", name: str = "place") -> DataFrame:
+    """Files numbered from 1 in natural order, dealt by ranges of it."""
+    from .numbering import numbered
+
+    keys = {f"_key{i}": k for i, k in enumerate(natural_order(F.col(stem)))}
+    return numbered(files.withColumns(keys), [], list(keys), name, start=1).drop(*keys)
 
 
 def grid_filter(plots: DataFrame, bed_lo: int, bed_hi: int, row_lo: int, row_hi: int, bed: str = "bed", row: str = "tier") -> DataFrame:

@@ -234,12 +234,13 @@ def focus_camera(vertices: DataFrame, scenes: DataFrame, by: list[str], margin:
     view plane (upright where the camera doesn't look straight down); the larger
     half extents, widened by `margin`, give both fields of view, and a vertical
     one that is larger than the image allows widens the horizontal one. A scene
-    whose box has no width or no length keeps its camera, with hfov null.
+    without vertices, or whose box has no width or no length, keeps its camera,
+    with hfov null.
     """
     from .aggregates import bbox3d
 
     axes = "xyz"
-    rows = scenes.join(bbox3d(vertices, by).select(*by, *[f"{e}_{c}" for e in ("min", "max") for c in axes]), by)
+    rows = scenes.join(bbox3d(vertices, by).select(*by, *[f"{e}_{c}" for e in ("min", "max") for c in axes]), by, "left")
     middle = [(F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in axes]
     offset = [(F.col(f"camera_{c}") - F.col(f"lookat_{c}")).cast("double") for c in axes]
     towards = _unit(offset, [0.0, 0.0, 1.0])
@@ -253,7 +254,8 @@ def focus_camera(vertices: DataFrame, scenes: DataFrame, by: list[str], margin:
     angle = lambda c: 2 * F.atan(F.greatest(F.col(c) * margin, F.lit(1e-4)))
     aspect = F.col("resolution_x") / F.greatest(F.col("resolution_y"), F.lit(1))
     wide = (F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y"))
-    out = rows.join(half, by)
+    # a scene without vertices has no box, and keeps its camera too
+    out = rows.join(half, by, "left")
     moved = {f"camera_{c}": F.when(wide, middle[i] + F.col(f"_o{c}")).otherwise(F.col(f"camera_{c}")) for i, c in enumerate(axes)} | {f"lookat_{c}": F.when(wide, middle[i]).otherwise(F.col(f"lookat_{c}")) for i, c in enumerate(axes)}
     hfov = F.when(wide, F.degrees(F.greatest(angle("_hx"), angle("_hy") / aspect)))
     return out.select(*[moved.get(c, F.col(c)).alias(c) for c in scenes.columns], hfov.alias("hfov"))
@@ -273,22 +275,23 @@ def canopy_grid(layout: DataFrame, nrows: int, ncount: int, row_spacing: float,
     return cells.withColumns({"x": F.round(F.col("origin_x") + (F.col("canopy_row") - (nrows - 1) / 2) * row_spacing, 4), "y": F.round(F.col("origin_y") + (F.col("canopy_col") - (ncount - 1) / 2) * plant_spacing, 4)})
 
 
-def rescale_translate(vertices: DataFrame, by: list[str], target: tuple[float, float, float], offset: tuple[float, float, float] = (0.0, 0.0, 0.0), degrees: float = 0.0) -> DataFrame:
-    """Scale each group to a target extent (an extent of 0 keeps its size), turn it about z and move it."""
+def rescale_translate(vertices: DataFrame, by: list[str], target: tuple[float, float, float], offset: tuple[float, float, float] = (0.0, 0.0, 0.0), degrees: float = 0.0, axes: str = "xyz") -> DataFrame:
+    """Scale each group to a target extent along `axes` (an extent of 0 keeps its size), turn it about z and move it."""
     from .aggregates import bbox3d
 
     size = bbox3d(vertices, by).select(*by, "size_x", "size_y", "size_z")
     out = vertices.join(size, by)
-    x, y, z = (F.col(c) * F.when(F.col(f"size_{c}") == 0, 1.0).otherwise(F.lit(t) / F.nullif(F.col(f"size_{c}"), F.lit(0.0))) for c, t in zip("xyz", target, strict=True))
+    x, y, z = (F.col(c) * F.when((F.col(f"size_{c}") == 0) | F.lit(c not in axes), 1.0).otherwise(F.lit(t) / F.nullif(F.col(f"size_{c}"), F.lit(0.0))) for c, t in zip("xyz", target, strict=True))
     c, s = F.cos(F.radians(F.lit(degrees))), F.sin(F.radians(F.lit(degrees)))
     moved = {"x": x * c - y * s + offset[0], "y": x * s + y * c + offset[1], "z": z + offset[2]}
     return out.select(*[moved[n].alias(n) if n in moved else F.col(n) for n in vertices.columns])
 
 
-def copies_on_grid(vertices: DataFrame, layout: DataFrame) -> DataFrame:
-    """A copy of the vertices at each plot origin; the grid of one field is the small side."""
-    cells = layout.select("bed", "tier", "origin_x", "origin_y")
-    return vertices.join(cells).withColumns({"x": F.col("x") + F.col("origin_x"), "y": F.col("y") + F.col("origin_y")}).drop("origin_x", "origin_y")
+def copies_on_grid(vertices: DataFrame, beds: int, rows: int, step_x: float, step_y: float) -> DataFrame:
+    """A copy of the vertices for each plot (bed, tier) of a grid, moved by whole plot sizes; the first stays where it is."""
+    cells = F.array(*[F.struct(F.lit(b + 1).cast("long").alias("bed"), F.lit(r + 1).cast("long").alias("tier")) for b in range(beds) for r in range(rows)])
+    copies = vertices.withColumn("_cell", F.explode(cells)).select(*vertices.columns, "_cell.*")
+    return copies.withColumns({"x": F.col("x") + (F.col("bed") - 1) * step_x, "y": F.col("y") + (F.col("tier") - 1) * step_y})
 
 
 def ground_drop(vertices: DataFrame, by: list[str], margin: float = 0.02) -> DataFrame:

@@ -53,11 +53,6 @@ def grid_place(index: Column, ncols: int = 40) -> tuple[Column, Column]:
     return F.pmod(index, F.lit(ncols)) + 1, F.floor(index / ncols).cast("long") + 1
 
 
-def tile_place(index: Column, ncols: int) -> tuple[Column, Column]:
-    """(row, col) of a tile by its number."""
-    return F.floor(index / ncols).cast("long"), F.pmod(index, F.lit(ncols))
-
-
 def sorted_merge(plots: DataFrame, payload: list[str], by: list[str] | None = None) -> DataFrame:
     """The plots of each field (`by`; none: of one field) as an array ordered by (bed, tier); no array is larger than a field."""
     return plots.groupBy(*(by or [])).agg(F.array_sort(F.collect_list(F.struct("bed", "tier", *payload))).alias("plots"))

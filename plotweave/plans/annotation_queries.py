@@ -12,6 +12,7 @@ from plotweave.operators import annotations as N
 from plotweave.operators import geo as G
 from plotweave.sources import readers as S
 from plotweave.sources import writers as K
+from plotweave.sources.parts import read_document_parts
 
 from .registry import query
 from .staging import shared_dir
@@ -315,6 +316,16 @@ def _g23(vertices):
     return sums(out, ["object_id"], "x", "y")
 
 
+@query("g23_copies_on_grid", "vertices", sql="""
+WITH m AS (SELECT * FROM vertices WHERE l_linenumber <= 2), b AS (SELECT object_id, max(x) - min(x) AS sx, max(y) - min(y) AS sy FROM m GROUP BY object_id),
+v AS (SELECT -(y * CASE WHEN sy = 0 THEN 1 ELSE CAST(3.831 AS DOUBLE) / sy END) AS x, x * CASE WHEN sx = 0 THEN 1 ELSE CAST(1.299 AS DOUBLE) / sx END AS y, z FROM m JOIN b USING (object_id))
+SELECT d.range + 1 AS bed, t.range + 1 AS tier, count(*) AS n, round(sum(x + d.range * CAST(1.299 AS DOUBLE)), 3) AS x, round(sum(y + t.range * CAST(3.831 AS DOUBLE)), 3) AS y, round(sum(z), 3) AS z FROM v, range(3) d, range(2) t GROUP BY ALL""")
+def _g23_grid(vertices):
+    # ground meshes of fields of 3 beds and 2 tiers
+    ground = G.rescale_translate(vertices.where("l_linenumber <= 2"), ["object_id"], (1.299, 3.831, 0.0), degrees=90.0, axes="xy")
+    return sums(G.copies_on_grid(ground, 3, 2, 1.299, 3.831), ["bed", "tier"], "x", "y", "z", digits=3)
+
+
 @query("g24_ground_drop", "vertices", sql="SELECT object_id, round(CASE WHEN min(z) < 0 THEN min(z) - 0.02 ELSE 0 END, 6) AS shift FROM vertices GROUP BY object_id")
 def _g24(vertices):
     return rounded(G.ground_drop(vertices, ["object_id"]), ["object_id"], "shift")
@@ -377,5 +388,9 @@ def _k4(plants):
     rows = plants.select("dap", F.col("bed").alias("plot"), "bed", F.col("tier").alias("row"), "x", "y", "crop_type", "crop_height")
     path = f"{shared_dir(plants.sparkSession)}/plotweave/survey-{uuid.uuid4().hex}"
     K.write_survey(rows, ["dap"], ["plot"], path)
-    out = plants.sparkSession.read.schema("dap bigint, plot bigint, crop_types array<string>, n_beds bigint, n_rows bigint, crops array<struct<bed:bigint,row:bigint,x:double,y:double>>").json(path)
-    return out.select("dap", "plot", F.array_join("crop_types", ",").alias("crop_types"), "n_beds", "n_rows", F.size("crops").cast("long").alias("n_crops"), F.round(F.col("crops")[0]["x"], 6).alias("first_x"))
+    heads, items = read_document_parts(plants.sparkSession, path)
+    h = F.from_json(F.concat("value", F.lit("]}")), "dap bigint, plot bigint, crop_types array<string>, n_beds bigint, n_rows bigint, crops array<struct<x:double>>")
+    heads = heads.select(h.alias("h")).where(F.size("h.crops") == 0).select("h.*")
+    crop = items.select("dap", "plot", F.from_json("value", "bed bigint, row bigint, x double, y double, crop_height double, crop_type string").alias("c"))
+    crops = crop.groupBy(F.col("dap").cast("long").alias("dap"), F.col("plot").cast("long").alias("plot")).agg(F.count(F.lit(1)).alias("n_crops"), F.min(F.struct("c.bed", "c.row", "c.x"))["x"].alias("first_x"))
+    return heads.join(crops, ["dap", "plot"]).select("dap", "plot", F.array_join("crop_types", ",").alias("crop_types"), "n_beds", "n_rows", "n_crops", F.round("first_x", 6).alias("first_x"))

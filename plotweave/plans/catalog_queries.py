@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from plotweave.operators import catalog as C
 from plotweave.operators import geo as G
 from plotweave.operators import joins as J
 from plotweave.operators import numbering as W
+from plotweave.sources.parts import read_document_parts, write_document_parts
 
 from .registry import query
+from .staging import shared_dir
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
@@ -46,12 +50,7 @@ SELECT stem, row_number() OVER (ORDER BY TRY_CAST(stem AS BIGINT) IS NULL, TRY_C
 def _p4(plots):
     number = F.col("tier") * 100 + F.col("bed")
     stems = plots.select(F.when(F.col("bed") % 3 == 0, F.concat(F.lit("plot_"), number)).otherwise(number.cast("string")).alias("stem"))
-    from plotweave.functions.names import natural_order
-
-    # the plots of one field
-    from pyspark.sql import Window
-
-    return stems.withColumn("place", F.row_number().over(Window.orderBy(*natural_order(F.col("stem")))).cast("long"))
+    return C.natural_places(stems).select("stem", "place")
 
 
 def _docs(scenes: DataFrame) -> DataFrame:
@@ -310,6 +309,29 @@ def _a2(scenes, plants):
     return r6(out.select("field", "bed", "tier", "new_bed", "new_tier", "n_plants", *means), *means)
 
 
+@query("a2_merged_documents", "scenes", sql="""
+WITH f AS (SELECT *, CAST(floor(scene_id / CAST(560 AS DOUBLE)) AS BIGINT) AS field FROM scenes WHERE bed BETWEEN 1 AND 8 AND tier BETWEEN 1 AND 14),
+m AS (SELECT field, avg(plot_size_x) AS mx, avg(plot_size_y) AS my, avg(sun_elevation) AS me, avg(coalesce(chlorophyll, 30)) AS mc, count(*) FILTER (scene_id % 5 <> 0) AS n, sum((9 - bed) * 100 + tier) FILTER (scene_id % 5 <> 0) AS places, sum(scene_id) FILTER (scene_id % 5 <> 0) AS tags, arg_min(scene_id, bed * 100 + tier) AS first FROM f GROUP BY field)
+SELECT field, round(mx, 6) AS plot_size_x, round(my, 6) AS shape_y, round(me, 6) AS elevation, CAST(180 AS DOUBLE) AS azimuth, round(mc, 6) AS chlorophyll, 8 AS num_beds, 14 AS num_rows, 'manual' AS mode, CAST(trunc(2000 * (my * 14 / (mx * 8))) AS INT) AS resolution_y, FALSE AS focusing, first AS template, 7 AS iso, n AS n_plots, CAST(places AS BIGINT) AS places, CAST(tags AS BIGINT) AS tags FROM m""")
+def _a2_documents(scenes):
+    sun = F.struct(F.struct(F.col("sun_elevation").alias("elevation_degrees")).alias("sun"), F.struct(F.lit(1).alias("x")).alias("soil"))
+    plots = F.when(F.col("scene_id") % 5 != 0, F.array(F.struct(F.lit(77).alias("bed"), F.col("scene_id").alias("tag"))))
+    sizes = F.struct("plot_size_x", "plot_size_y", F.lit("auto").alias("mode"))
+    doc = F.struct(F.col("scene_id").alias("seed"), sun.alias("environment"), F.struct(F.struct(F.col("chlorophyll").alias("chlorophyll_content")).alias("leaf_optics")).alias("plant_properties"), F.struct(sizes.alias("layout"), sizes.alias("plot_shape"), plots.alias("plots")).alias("field"), F.struct(F.struct(F.lit(7).alias("ISO")).alias("sensor")).alias("camera"))
+    docs = scenes.select(F.floor(F.col("scene_id") / 560).alias("field"), "bed", "tier", F.parse_json(F.to_json(doc)).alias("doc"))
+    path = f"{shared_dir(scenes.sparkSession)}/plotweave/merged-{uuid.uuid4().hex}"
+    heads, items = A.merged_documents(docs, (1, 8), (1, 14), left_to_right=False, by=["field"])
+    write_document_parts(heads, items, ["field"], ["_bed", "_tier"], path, end="]}}")
+    heads, items = read_document_parts(scenes.sparkSession, path)
+    h = F.from_json(F.concat("value", F.lit("]}}")), """seed bigint, environment struct<sun:struct<elevation_degrees:double,azimuth_degrees:double>,soil:struct<x:int>>, plant_properties struct<leaf_optics:struct<chlorophyll_content:double>>,
+      field struct<num_beds:int,num_rows:int,layout:struct<plot_size_x:double,mode:string>,plot_shape:struct<plot_size_y:double>,plots:array<struct<bed:int>>>, camera struct<sensor:struct<ISO:int,resolution_y:int>,positioning:struct<focusing_plants:boolean>>""")
+    heads = heads.select(F.col("field").cast("long").alias("field"), h.alias("h")).where("size(h.field.plots) = 0 and h.environment.soil.x = 1")
+    p = F.from_json("value", "bed int, row int, tag bigint")
+    plots = items.select(F.col("field").cast("long").alias("field"), p.alias("p")).groupBy("field").agg(F.count(F.lit(1)).alias("n_plots"), F.sum(F.col("p.bed") * 100 + F.col("p.row")).alias("places"), F.sum("p.tag").alias("tags"))
+    out = heads.select("field", F.col("h.field.layout.plot_size_x").alias("plot_size_x"), F.col("h.field.plot_shape.plot_size_y").alias("shape_y"), F.col("h.environment.sun.elevation_degrees").alias("elevation"), F.col("h.environment.sun.azimuth_degrees").alias("azimuth"), F.col("h.plant_properties.leaf_optics.chlorophyll_content").alias("chlorophyll"), "h.field.num_beds", "h.field.num_rows", "h.field.layout.mode", "h.camera.sensor.resolution_y", F.col("h.camera.positioning.focusing_plants").alias("focusing"), F.col("h.seed").alias("template"), F.col("h.camera.sensor.ISO").alias("iso"))
+    return r6(out.join(plots, "field", "left"), "plot_size_x", "shape_y", "elevation", "chlorophyll").withColumn("n_plots", F.coalesce("n_plots", F.lit(0)))
+
+
 @query("a3_merged_camera", "scenes", sql="""
 SELECT bed, CAST(2000 AS INT) AS resolution_x, CAST(trunc(sum(plot_size_y) / sum(plot_size_x) * 2000) AS INT) AS resolution_y, CAST(5.0 AS DOUBLE) AS camera_height FROM scenes GROUP BY bed""")
 def _a3(scenes):

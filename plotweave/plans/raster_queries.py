@@ -398,11 +398,12 @@ def _s2(plots):
 @query("s3_read_coco", "boxes", sql="SELECT category_id, count(*) AS n, round(sum(round(x_c, 6)), 2) AS x FROM boxes GROUP BY category_id")
 def _s3(boxes):
     path = _folder(boxes, "coco")
-    anns = boxes.select((F.col("image_id") % 16).alias("image_id"), F.xxhash64("image_id", "l_linenumber").alias("id"), "category_id", F.array(F.round("x_c", 6), "y_c", "w", "h").alias("bbox"))
+    anns = boxes.select("image_id", F.xxhash64("image_id", "l_linenumber").alias("id"), "category_id", F.array(F.round("x_c", 6), "y_c", "w", "h").alias("bbox"))
     images = anns.select("image_id").distinct().withColumns({"file_name": F.concat("image_id", F.lit(".jpeg")), "width": F.lit(640), "height": F.lit(480)})
     cats = boxes.sparkSession.createDataFrame([(0, "internode")], "id long, name string")
-    K.coco_documents(images, anns, cats).write.partitionBy("image_id").text(path)
-    out = S.read_coco(boxes.sparkSession, f"{path}/*")["annotations"]
+    # a document per image, a line each
+    K.coco_documents(images, anns, cats).select("value").write.text(path)
+    out = S.read_coco(boxes.sparkSession, path, lines=True)["annotations"]
     return out.groupBy(F.col("category_id").cast("int").alias("category_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("bbox")[0]), 2).alias("x"))
 
 

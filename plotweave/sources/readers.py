@@ -41,9 +41,12 @@ def read_plots(spark: SparkSession, path: str) -> DataFrame:
 _COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,segmentation:array<array<double>>,area:double>>, categories array<struct<id:long,name:string>>"
 
 
-def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """images, annotations and categories of COCO files, each with its file name; files that don't parse are listed under `corrupt`."""
-    text = _named(spark.read.text(path, wholetext=True))
+def read_coco(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """images, annotations and categories of COCO files, each with its file name; what doesn't parse is listed under `corrupt`.
+
+    A file is a document, or with `lines` each of its lines is one.
+    """
+    text = _named(spark.read.text(path, wholetext=not lines))
     docs = text.select("file_name", F.from_json("value", _COCO).alias("d"))
     parts = {k: docs.select(F.col("file_name").alias("source"), F.posexplode(f"d.{k}").alias("pos", "x")).select("source", "pos", "x.*") for k in ("images", "annotations", "categories")}
     corrupt = text.where(F.try_parse_json("value").isNull()).select(F.col("file_name").alias("source"))

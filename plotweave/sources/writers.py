@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parts import write_document_parts
+
 
 def write_scene_params(scenes: DataFrame, path: str, partition: tuple[str, ...] = ("dap", "bed"), prefix: bool = False) -> None:
     """One JSON line per scene in directories by `partition`; `prefix` adds name, `dap_D_plot_BED_TIER`."""
@@ -55,17 +57,20 @@ def write_yolo(boxes: DataFrame, path: str, by: tuple[str, ...] = ("image_id",))
     yolo_lines(boxes).select(*by, "value").write.partitionBy(*by).text(path)
 
 
-def survey_documents(plants: DataFrame, header: list[str], plot: list[str]) -> DataFrame:
-    """Plants nested under a plot header; crops in order of bed, row, x and y."""
-    order = ["bed", "row", "x", "y"]
-    rest = [c for c in plants.columns if c not in {*header, *plot, *order}]
-    crops = F.array_sort(F.collect_list(F.struct(*order, *rest)))
-    types = F.array_sort(F.collect_set("crop_type"))
-    return plants.groupBy(*plot, *header).agg(types.alias("crop_types"), F.count_distinct("bed").alias("n_beds"), F.count_distinct("row").alias("n_rows"), crops.alias("crops"))
-
-
 def write_survey(plants: DataFrame, header: list[str], plot: list[str], path: str) -> None:
-    survey_documents(plants, header, plot).write.json(path)
+    """A survey document per plot: its header, crop types and numbers of beds and rows, then its crops by bed, row, x and y, a line each.
+
+    The numbers and types of a plot are few; its crops are never gathered.
+    """
+    order, keys = ["bed", "row", "x", "y"], [*plot, *header]
+    rest = [c for c in plants.columns if c not in {*keys, *order}]
+    heads = plants.groupBy(*keys).agg(F.array_sort(F.collect_set("crop_type")).alias("crop_types"), F.count_distinct("bed").alias("n_beds"), F.count_distinct("row").alias("n_rows"))
+    opened = F.to_json(F.struct(*keys, "crop_types", "n_beds", "n_rows"), {"ignoreNullFields": "false"})
+    heads = heads.select(*keys, F.concat(F.substring(opened, F.lit(1), F.length(opened) - 1), F.lit(',"crops":[')).alias("value"))
+    # an item repeats the bed and row of its place where these name the plot
+    inside = [F.col(c) for c in [*order, *rest]]
+    items = plants.select(*keys, *[F.col(c).alias(f"_{c}") for c in order], F.to_json(F.struct(*inside)).alias("value"))
+    write_document_parts(heads, items, keys, [f"_{c}" for c in order], path)
 
 
 def write_primitive_data(primitives: DataFrame, cols: list[str], path: str) -> None:
