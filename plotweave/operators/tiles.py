@@ -386,3 +386,49 @@ def labelled_runs(tiles: DataFrame, size: int = SIZE) -> DataFrame:
     parts = components(here.join(there, [ID, "row", "col"]).select("a", "b").distinct())
     names = parts.select(F.col("v.r").alias(ID), F.col("v.key").alias("key"), F.col("component.key").alias("_first"))
     return runs.join(names, [ID, "key"], "left").select(ID, "row", "c1", "c2", F.coalesce("_first", "key").alias("label"))
+
+
+def pyramid(tiles: DataFrame, levels: int, size: int = SIZE) -> DataFrame:
+    """The tiles as level 0, and levels 1 to `levels`, each half as fine as the one before: (raster_id, level, ty, tx, height, width, v).
+
+    A pixel of level n is the one from the middle of its 2^n x 2^n pixels, as in
+    `downsample`. Every tile hands its share to each level at once; a tile of a
+    level is put together from at most 4^n pieces, which are a tile in all.
+    """
+    if size % (1 << levels):
+        raise ValueError("a tile must be a whole number of pixels on every level")
+    small_batches(tiles.sparkSession)
+    kind = _id_type(tiles)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = defaultdict(list)
+            for ident, ty, tx, height, width, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                r0, r1, c0, c1 = _box(ty, tx, height, width, size)
+                block = np.frombuffer(v, dtype=_DTYPE).reshape(r1 - r0, c1 - c0)
+                for level in range(1, levels + 1):
+                    step = 1 << level
+                    part = block[step // 2 :: step, step // 2 :: step]
+                    if part.size:
+                        whole = [-(-(n - step // 2) // step) for n in (height, width)]
+                        for name, value in ((ID, ident), ("level", level), ("ty", ty // step), ("tx", tx // step), ("height", whole[0]), ("width", whole[1]), ("r", r0 // step), ("c", c0 // step), ("h", part.shape[0]), ("w", part.shape[1]), ("v", np.ascontiguousarray(part).tobytes())):
+                            rows[name].append(value)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, {ID: batch.column(0).type, "v": pa.binary()}.get(n, pa.int32())) for n, x in rows.items()], names=list(rows))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ty, tx, height, width, pieces in zip(*[batch.column(i).to_pylist() for i in range(2, 7)], strict=True):
+                r0, r1, c0, c1 = _box(ty, tx, height, width, size)
+                block = np.full((r1 - r0, c1 - c0), np.nan)
+                for p in pieces:
+                    block[p["r"] - r0 : p["r"] - r0 + p["h"], p["c"] - c0 : p["c"] - c0 + p["w"]] = np.frombuffer(p["v"], dtype=_DTYPE).reshape(p["h"], p["w"])
+                out.append(block.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)] + [pa.array(out, pa.binary())], names=[ID, "level", "ty", "tx", "height", "width", "v"])
+
+    own = tiles.select(*KEY, "height", "width", "v")
+    pieces = own.mapInArrow(thin, f"{ID} {kind}, level int, ty int, tx int, height int, width int, r int, c int, h int, w int, v binary")
+    place = [ID, "level", "ty", "tx", "height", "width"]
+    coarse = pieces.groupBy(*place).agg(F.collect_list(F.struct("r", "c", "h", "w", "v")).alias("pieces")).mapInArrow(join, f"{ID} {kind}, level int, ty int, tx int, height int, width int, v binary")
+    return own.select(ID, F.lit(0).alias("level"), "ty", "tx", "height", "width", "v").unionByName(coarse)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from plotweave.functions import colour as C
 from plotweave.operators import raster as R
 from plotweave.operators import scenario as X
+from plotweave.operators import tiles as Tl
 from plotweave.sources import readers as S
 from plotweave.sources import writers as K
+from plotweave.sources.tile_files import read_window, write_tiles
 from plotweave.streaming import arrivals as T
 
 from .registry import query
@@ -407,6 +409,18 @@ def _s3(boxes):
     return out.groupBy(F.col("category_id").cast("int").alias("category_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("bbox")[0]), 2).alias("x"))
 
 
+@query("s9_tile_window", "raster", "pixels", sql=f"""
+WITH {ONE}, r AS (SELECT -1 AS raster_id, row, col, v FROM raster UNION ALL SELECT raster_id, row, col, v FROM px)
+SELECT raster_id, 1 AS level, row // 2 AS row, col // 2 AS col, v FROM r WHERE raster_id = -1 AND row % 2 = 1 AND col % 2 = 1 AND row // 2 BETWEEN 3 AND 39 AND col // 2 BETWEEN 5 AND 28
+UNION ALL SELECT raster_id, 2, row // 4, col // 4, v FROM r WHERE row % 4 = 2 AND col % 4 = 2""")
+def _s9_window(raster, pixels):
+    path = _folder(raster, "tiles")
+    whole = raster.select(F.lit(-1).cast("long").alias("raster_id"), "row", "col", "v").unionByName(_one(pixels))
+    write_tiles(Tl.pyramid(Tl.to_tiles(whole, 16), 2, 16), path)
+    window = read_window(raster.sparkSession, path, -1, 1, (3, 40), (5, 29), "int", 16).withColumn("level", F.lit(1))
+    return window.unionByName(read_window(raster.sparkSession, path, level=2, kind="int", size=16).withColumn("level", F.lit(2)))
+
+
 @query("s5_read_classes", "plots", sql="SELECT CAST(bed AS INT) AS id, concat('bed  number ', bed) AS name FROM (SELECT DISTINCT bed FROM plots)")
 def _s5(plots):
     path = _folder(plots, "classes")

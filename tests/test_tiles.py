@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from plotweave.functions import colour
 from plotweave.functions.names import rover_parts
 from plotweave.operators import aggregates, raster
 from plotweave.operators import tiles as T
+from plotweave.sources.tile_files import read_tiles, read_window, write_tiles
 
 
 def grid(spark, *images, partitions=3):
@@ -215,3 +217,47 @@ def test_rover_names(spark):
     names = [n for n, want in ROVER.items() if want is not None]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(*rover_parts(F.col("n")).values()).collect()
     assert {n: tuple(r) for n, r in zip(names, rows, strict=True)} == {n: ROVER[n] for n in names}
+
+
+def _scanned(df):
+    """Rows that the scan of `df` has read, filters aside, and its plan's text."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text, todo, rows = plan.toString(), [plan], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            rows += node.metrics().apply("numOutputRows").value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, text
+
+
+def test_windows_of_a_pyramid_read_few_row_groups(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    images = [rng.integers(0, 99, (200, 230)), rng.integers(0, 99, (64, 64)), rng.integers(0, 99, (9, 200))]
+    path, size = str(tmp_path / "tiles"), 8
+    levels = T.pyramid(T.to_tiles(grid(spark, *images), size), 3, size)
+    write_tiles(levels, path, **{"parquet.block.size": "20000", "compression": "none"})
+    for level in range(4):
+        step = 1 << level
+        for i, img in enumerate(images):
+            want = img[step // 2 :: step, step // 2 :: step]
+            assert np.array_equal(dense(read_window(spark, path, i, level, size=size), want.shape, i), want), (level, i)
+    groups = [g for f in (tmp_path / "tiles").glob("*.parquet") for g in [pq.ParquetFile(f).metadata] for g in [g.row_group(k) for k in range(g.num_row_groups)]]
+    total = sum(g.num_rows for g in groups)
+    window = read_tiles(spark, path, 0, 1, (30, 50), (40, 60), size)
+    rows, plan = _scanned(window)
+    assert "EqualTo(level,1)" in plan.split("PushedFilters: [")[1]
+    # the row groups whose ranges meet the window hold all that was read
+    names = {"raster_id": (0, 0), "level": (1, 1), "ty": (3, 6), "tx": (5, 7)}
+    stat = lambda g: {g.column(k).path_in_schema: g.column(k).statistics for k in range(g.num_columns)}
+    met = [g for g in groups if all(stat(g)[n].min <= hi and stat(g)[n].max >= lo for n, (lo, hi) in names.items())]
+    assert len(groups) > 20 and len(met) <= len(groups) // 4
+    assert window.count() == 12 and rows <= sum(g.num_rows for g in met) < total // 4
+
+
+def test_a_level_needs_whole_pixels(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        T.pyramid(T.to_tiles(grid(spark, np.ones((9, 9))), 12), 3, 12)
