@@ -11,7 +11,10 @@ What is drawn are atoms: numbers and IP addresses as a whole, the local part and
 the host of an address, the given and the family name of a person. Equal atoms,
 however written, have one normal form and one surrogate in all documents, so
 "Mrs. Berg" and "Mrs. Jordan Berg" keep one family name and addresses of one
-host one host. The gender of the title is part of a given name's normal form;
+host one host. A phone number's atom is what follows its country code, which
+stays. All words after a title belong to the name: the last is the family name,
+those before are given names; particles stay, and so does a possessive s. A
+family name that stands by itself later in the same text is replaced too. The gender of the title is part of a given name's normal form;
 a name under a title without gender takes the one that it has elsewhere, if
 that is one only.
 
@@ -53,8 +56,14 @@ ENDINGS = {
     "greek": {"m": ["ος", "ης", "ων", "ας"], "f": ["ία", "ούλα", "ίνα", "άνα"], "n": ["ι", "ώ", "ού", "ύ"]},
 }
 
+#: Words inside a name that stay as they are.
+PARTICLES = ["van", "von", "der", "den", "de", "da", "di", "del", "della", "dos", "du", "la", "le", "ter", "ten", "zu", "zum", "zur", "af", "av", "bin", "ibn", "al", "el", "y"]
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "(?:" + "|".join(t for names in TITLES.values() for t in names) + r")\.?"
+# a capitalised word that is no title, with its inner hyphens and apostrophes but without a possessive s
+_WORD = r"(?!(?:" + "|".join(t for names in TITLES.values() for t in names) + r")(?!\p{L}))\p{Lu}(?=[\p{L}'’-])\p{L}*(?:['’](?![sS](?!\p{L}))\p{L}+|-\p{L}+)*(?![\p{L}])"
+_INSIDE = "(?:" + "|".join(PARTICLES) + r"|\p{Lu}\.|" + _WORD + ")"
 #: Patterns by type; at one place the first that matches wins.
 TYPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -63,9 +72,11 @@ TYPES = {
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:(?<!\d)\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} (?:\p{{Lu}}\.? ){{0,3}}(?:{_INSIDE} ){{0,4}}{_WORD}",
 }
 _ALL = "|".join(TYPES.values())
+#: A word that may be a family name by itself.
+_BARE = rf"(?<![\p{{L}}\p{{N}}'’-]){_WORD}"
 _LETTERS = {
     r"[a-z]": "abcdefghijklmnopqrstuvwxyz",
     r"[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -98,7 +109,10 @@ SAME_FORMAT = 12
 #: Tasks in which surrogates are drawn, for each core.
 DRAW_TASKS = 2
 _SCHEMA = "array<struct<kind:string,original:string,replacement:string>>"
-_CUT = "(?<=['’-])"
+_CUT = "(?<=['’ -])"
+_PARTICLE = "^(?:" + "|".join(PARTICLES) + ")$"
+#: The country code of a phone number: what stands before the first separator, or before the last ten digits.
+_CODE = r"^\+(?:\d{1,3}(?=[ .(-])|\d{1,3}(?=\d{10}$))?"
 
 
 def _type_of(raw: Column) -> Column:
@@ -178,13 +192,16 @@ def _name(key: str, norm: Column, attempt: int, salt: tuple, gender: Column | No
 
         def part(p: Column, i: Column) -> Column:
             d = _draws(key, *salt, F.lit("part"), i)
-            sign = F.regexp_extract(p, "(['’-])$", 1)
+            sign = F.regexp_extract(p, "(['’ -])$", 1)
             if gender is None:
                 return F.concat(*syllables(d, 3 if attempt == 0 else 5), grown(i), sign)  # noqa: B023
             word = F.lit("")
             for g in ENDINGS[script]:  # noqa: B023
                 own = F.lower(_pick(GIVEN[script][g], d[0])) if attempt == 0 else F.concat(*syllables(d, 2), grown(i), _pick(ENDINGS[script][g], d[7]))  # noqa: B023
                 word = F.when(gender == g, own).otherwise(word)
+            letters = next(x for x in _LETTERS.values() if x[0] == {"latin": "a", "cyrillic": "а", "greek": "α"}[script])  # noqa: B023
+            initial = F.concat(_pick(list(letters), d[0]), grown(i), F.regexp_extract(p, r"\.", 0))
+            word = F.when(F.trim(p).rlike(_PARTICLE), F.trim(p)).when(p.rlike(r"^\p{L}\.?[ -]?$"), initial).otherwise(word)
             return F.concat(word, sign)
 
         whole = F.array_join(F.transform(F.split(norm, _CUT), part), "")
@@ -210,10 +227,7 @@ def surrogate(key: str, kind: Column, norm: Column, gender: Column, attempt: int
     body = _masked(key, F.substring(norm, F.lit(5), F.length(norm)), *salt)
     proof = F.lpad((98 - _mod97(F.concat(F.substring(norm, 1, 2), F.lit("00"), body))).cast("string"), 2, "0")
     account = F.when(_mod97(norm) == 1, F.concat(F.substring(norm, 1, 2), proof, body)).otherwise(F.concat(F.substring(norm, 1, 2), F.substring(_masked(key, F.substring(norm, 3, 2), *salt, F.lit("check")), 1, 2), body))
-    # a country code before ten digits stays
-    code = F.substring(norm, F.lit(1), F.greatest(F.length(norm) - 10, F.lit(0)))
-    phone = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)))
-    out = F.when(kind == "local", local).when(kind == "host", host).when(kind == "ip", ip).when(kind == "card", F.concat(card, late)).when(kind == "phone", F.concat(phone, late)).when(kind == "account", F.concat(account, late))
+    out = F.when(kind == "local", local).when(kind == "host", host).when(kind == "ip", ip).when(kind == "card", F.concat(card, late)).when(kind == "account", F.concat(account, late))
     return out.when(kind == "family", _name(key, norm, attempt, salt, None)).when(kind == "given", _name(key, norm, attempt, salt, gender)).otherwise(F.concat(digits, late))
 
 
@@ -261,7 +275,12 @@ def _parsed(raws: DataFrame) -> DataFrame:
     raw, kind = F.col("raw"), F.col("kind")
     rows = raws.withColumn("kind", _type_of(raw))
     bare = F.regexp_replace(raw, rf"^{_TITLE} ", "")
-    rows = rows.withColumns({"family": F.when(kind == "name", F.substring_index(bare, " ", -1)), "given": F.when((kind == "name") & bare.contains(" "), F.substring_index(bare, " ", 1)), "gender": F.when(kind == "name", _gender(raw))})
+    # what stands in front and stays: a title with particles, a country code
+    title = F.regexp_extract(raw, rf"^({_TITLE} )", 1)
+    first = F.regexp_extract(bare, "^(.*) ", 1)
+    idle = F.forall(F.split(F.lower(first), " "), lambda w: w.rlike(_PARTICLE))
+    lead = F.when(kind == "name", F.concat(title, F.when(idle, F.concat(first, F.lit(" "))).otherwise(F.lit("")))).when(kind == "phone", F.regexp_extract(raw, _CODE, 0)).otherwise(F.lit(""))
+    rows = rows.withColumns({"lead": lead, "family": F.when(kind == "name", F.substring_index(bare, " ", -1)), "given": F.when((kind == "name") & ~idle & (first != ""), first), "gender": F.when(kind == "name", _gender(raw))})
     # the gender that a full name has under other titles
     person = [F.lower("given").alias("_g"), F.lower("family").alias("_f")]
     known = rows.where("given is not null and gender != 'n'").select(*person, "gender").groupBy("_g", "_f").agg(F.min("gender").alias("_least"), F.max("gender").alias("_most"))
@@ -270,32 +289,32 @@ def _parsed(raws: DataFrame) -> DataFrame:
     gender = F.when(F.col("gender") == "n", F.coalesce("_known", F.lit("n"))).otherwise(F.col("gender"))
     none = F.lit("")
     atom = lambda k, norm, g=none: F.struct(k.alias("kind"), norm.alias("norm"), g.alias("gender"))
-    digits = F.regexp_replace(raw, r"[^0-9]", "")
+    digits = F.regexp_replace(F.substring(raw, F.length("lead") + 1, F.length(raw)), r"[^0-9]", "")
     norm = F.when(kind.isin("card", "social", "phone"), digits).when(kind == "account", F.regexp_replace(raw, " ", "")).otherwise(raw)
     one = F.when(kind == "name", atom(F.lit("family"), F.lower("family"))).when(kind == "email", atom(F.lit("local"), F.lower(raw))).otherwise(atom(kind, norm))
     two = F.when(F.col("given").isNotNull(), atom(F.lit("given"), F.lower("given"), gender)).when(kind == "email", atom(F.lit("host"), F.lower(F.substring_index(raw, "@", -1))))
-    return rows.select("raw", "kind", "given", "family", one.alias("one"), two.alias("two"))
+    return rows.select("raw", "kind", "lead", "given", "family", one.alias("one"), two.alias("two"))
 
 
 def _styled(new: Column, raw: Column) -> Column:
-    """A lower-case name with the capitals of what it replaces."""
-    capital = F.array_join(F.transform(F.split(new, _CUT), lambda p: F.initcap(p)), "")
+    """A lower-case name with the capitals of what it replaces, part by part."""
+    capital = F.array_join(F.zip_with(F.split(new, _CUT), F.split(raw, _CUT), lambda p, r: F.when(F.lower(r) == r, p).otherwise(F.initcap(p))), "")
     return F.when((F.upper(raw) == raw) & (F.length(raw) > 1), F.upper(new)).otherwise(capital)
 
 
 def _rendered(one: Column, two: Column) -> Column:
-    """The surrogates of an entity's atoms in the format of the occurrence (raw, kind, given, family)."""
+    """The surrogates of an entity's atoms in the format of the occurrence (raw, kind, lead, given, family)."""
     raw, kind = F.col("raw"), F.col("kind")
+    body = F.substring(raw, F.length("lead") + 1, F.length(raw))
     digit = F.when(kind == "account", F.lit("^[A-Za-z0-9]$")).otherwise(F.lit("^[0-9]$"))
 
     def put(acc: Column, c: Column) -> Column:
         hit = F.regexp_like(c, digit)
         return F.struct((acc["n"] + F.when(hit, 1).otherwise(0)).alias("n"), F.concat(acc["out"], F.when(hit, F.substring(one, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
-    laid = F.aggregate(_chars(raw), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), put)
-    spread = F.concat(laid["out"], F.substring(one, laid["n"] + 1, F.length(one)))
-    title = F.regexp_extract(raw, rf"^({_TITLE} )", 1)
-    name = F.concat(title, F.coalesce(F.concat(_styled(two, F.col("given")), F.lit(" ")), F.lit("")), _styled(one, F.col("family")))
+    laid = F.aggregate(_chars(body), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), put)
+    spread = F.concat("lead", laid["out"], F.substring(one, laid["n"] + 1, F.length(one)))
+    name = F.concat("lead", F.coalesce(F.concat(_styled(two, F.col("given")), F.lit(" ")), F.lit("")), _styled(one, F.col("family")))
     mail = F.concat(F.substring_index(one, "@", 1), F.lit("@"), two)
     same = F.array_join(F.zip_with(_chars(mail), _chars(raw), lambda m, r: F.when(F.lower(r) != r, F.upper(m)).otherwise(m)), "")
     shouted = F.when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(mail)).otherwise(mail)
@@ -319,12 +338,30 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     atoms = raws.select(F.explode(F.array_compact(F.array("one", "two"))).alias("a")).select("a.*")
     made = distinct_surrogates(atoms, key)
     side = lambda n: made.select(F.struct("kind", "norm", "gender").alias(n), F.col("surrogate").alias(f"new_{n}"))
-    news = raws.join(side("one"), "one").join(side("two"), "two", "left").select("raw", F.struct("kind", _rendered(F.col("new_one"), F.col("new_two")).alias("new")).alias("new"))
+    family = F.when(F.col("kind") == "name", F.struct(F.lower("family").alias("word"), F.col("new_one").alias("new")))
+    news = raws.join(side("one"), "one").join(side("two"), "two", "left").select("raw", F.struct("kind", _rendered(F.col("new_one"), F.col("new_two")).alias("new")).alias("new"), family.alias("family"))
     news = staged(news, "pii-new")
 
-    # a row's map holds what occurs in its own text
+    # a row's maps hold what occurs in its own text: its entities, and its family names with the place of the first
     own = rows.select("rid", F.explode(F.array_distinct("hits")).alias("raw")).join(news, "raw").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("new"))
-    done = rows.join(own, "rid").withColumn("put", F.transform("hits", lambda r: F.struct(F.element_at(F.col("new"), r)["kind"].alias("kind"), r.alias("original"), F.element_at(F.col("new"), r)["new"].alias("replacement"))))
-    mixed = F.zip_with(F.split("text", _ALL, -1), "put", lambda g, p: F.concat(g, F.coalesce(p["replacement"], F.lit(""))))
+    names = rows.select("rid", F.posexplode("hits").alias("at", "raw")).join(news.where("family is not null").select("raw", "family"), "raw")
+    names = names.groupBy("rid", F.col("family.word").alias("word")).agg(F.min(F.struct("at", "family.new")).alias("first")).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("word", "first"))).alias("names"))
+    done = rows.join(own, "rid").join(names, "rid", "left").withColumn("put", F.transform("hits", lambda r: F.struct(F.element_at(F.col("new"), r)["kind"].alias("kind"), r.alias("original"), F.element_at(F.col("new"), r)["new"].alias("replacement"))))
+    done = done.withColumn("gaps", F.split("text", _ALL, -1))
+
+    def bare(gap: Column, at: Column) -> Column:
+        """A gap's capitalised words, with the surrogate of those that a name before has as family name."""
+        known = lambda w: F.try_element_at(F.col("names"), F.lower(w))
+        return F.transform(F.regexp_extract_all(gap, F.lit(_BARE), F.lit(0)), lambda w: F.struct(F.lit("name").alias("kind"), w.alias("original"), F.when(known(w)["at"] < at, _styled(known(w)["new"], w)).alias("replacement")))
+
+    found = F.when(F.col("names").isNotNull(), F.transform("gaps", bare)).otherwise(F.transform("gaps", lambda g: F.array().cast(_SCHEMA)))
+    done = done.withColumn("bare", found)
+    # where nothing is found in a gap it stays whole
+    some = lambda b: F.exists(b, lambda w: w["replacement"].isNotNull())
+    patched = F.zip_with("gaps", "bare", lambda g, b: F.when(some(b), F.array_join(F.zip_with(F.split(g, _BARE, -1), b, lambda x, w: F.concat(x, F.coalesce(w["replacement"], w["original"], F.lit("")))), "")).otherwise(g))
+    done = done.withColumn("gaps", patched)
+    mixed = F.zip_with("gaps", "put", lambda g, p: F.concat(g, F.coalesce(p["replacement"], F.lit(""))))
+    # entities in order: those of a gap, then the one behind it
+    listed = F.flatten(F.zip_with("bare", "put", lambda b, p: F.concat(F.filter(b, lambda w: w["replacement"].isNotNull()), F.when(p.isNotNull(), F.array(p)).otherwise(F.array().cast(_SCHEMA)))))
     cols = [F.array_join(mixed, "").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return plain.unionByName(done.select(*cols, F.col("put").cast(_SCHEMA).alias("_entities")))
+    return plain.unionByName(done.select(*cols, listed.cast(_SCHEMA).alias("_entities")))

@@ -404,6 +404,30 @@ def test_surrogates_of_persons_and_accounts(spark):
     assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z]@[A-Z][a-z]{3}\.[A-Z][a-z]{6}\.com", new["Anna.B@Mail.Example.com"])
 
 
+def test_surrogates_of_ordinary_english(spark):
+    """Names of many parts, possessives, phone numbers with and without a code, family names by themselves."""
+    texts = [
+        "Mrs Anna Maria Stone", "Mr. Van der Berg", "Mr Jordan Stone said Stone agreed", "Mr. Smith came. Mr. Smith's dog", "Mr. O'Neil's and Mr O’Neil’s; O'Neil's",
+        "+1 (555) 123-4567 or 555-123-4567 or +15551234567", "Mr. J. R. Smith Mrs. Jones, Dr Jan van den Hoek", "Stone is hard, says Mr Stone; STONE and Stones, Stone-Age, but Stone's too",
+    ]
+    rows, new = _replacements(spark, texts)
+    out = [r.text for r in rows]
+    berg, stone, smith = (new[x].split()[-1] for x in ("Mr. Van der Berg", "Mrs Anna Maria Stone", "Mr. Smith"))
+    assert out[0].split()[0] == "Mrs" and len(out[0].split()) == 4 and not {"Anna", "Maria", "Stone"} & set(out[0].split())
+    assert out[1] == f"Mr. Van der {berg}" and berg != "Berg"
+    assert out[2] == f"{new['Mr Jordan Stone']} said {stone} agreed" and new["Mr Jordan Stone"].endswith(stone) and "Jordan" not in out[2]
+    assert out[3] == f"Mr. {smith} came. Mr. {smith}'s dog"
+    neil = new["Mr. O'Neil"].split()[-1]
+    assert re.fullmatch(r"[A-Z][a-z]+'[A-Z][a-z]+", neil) and out[4].split(" and ")[0] == f"Mr. {neil}'s" and out[4].endswith(f"; {neil}'s") and "Neil" not in out[4]
+    phones = out[5].split(" or ")
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0]) and re.fullmatch(r"\d{3}-\d{3}-\d{4}", phones[1])
+    national = re.sub(r"\D", "", phones[1])
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[2]) == "1" + national and national != "5551234567"
+    assert re.fullmatch(rf"Mr\. [A-Z]\. [A-Z]\. {smith} Mrs\. [A-Z][a-z]+, Dr [A-Z][a-z]+ van den [A-Z][a-z]+", out[6]) and not {"Jones", "Jan", "Hoek"} & set(re.findall(r"\w+", out[6]))
+    assert out[7] == f"Stone is hard, says Mr {stone}; {stone.upper()} and Stones, Stone-Age, but {stone}'s too"
+    assert [e.original for e in rows[7]._entities] == ["Mr Stone", "STONE", "Stone"]
+
+
 def test_surrogates_by_brute_force(spark):
     """Every match of the patterns, and nothing else, is replaced; equal entities equally, others differently; hosts stay together."""
     import regex
