@@ -330,6 +330,70 @@ def test_secrets(spark, docs, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_secret_models_on_unseen_tokens(spark):
+    """Random tokens of several alphabets are found; camel case, snake case, paths and UUIDs are not."""
+    import uuid
+
+    rng = random.Random(21)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rand = lambda n, abc: "".join(rng.choice(abc) for _ in range(n))
+    words = ["report", "user", "index", "value", "manager", "request", "buffer", "station", "region", "handler", "session", "layout", "profile", "number", "factory", "channel"]
+    name = lambda: rng.choice([lambda: "".join(w.title() for w in rng.sample(words, 4)), lambda: "_".join(rng.sample(words, 4)), lambda: "/".join(rng.sample(words, 4)), lambda: "".join(rng.sample(words, 2)) + "-" + "".join(rng.sample(words, 2))])()
+    label = [f"the {rng.choice(words)} has token={rand(rng.randint(16, 40), b64)} set" for _ in range(300)]
+    plain = [" ".join(rng.choice(words) + rng.choice(["", "s", "Id", "_" + rng.choice(words)[:4], rng.choice(words)[:5].title()]) for _ in range(60)) for _ in range(150)]
+    secret = [rand(28, b64) for _ in range(100)] + [rand(30, b64[:26] + b64[52:]) for _ in range(50)]
+    calm = [n for n in (name() for _ in range(400)) if len(n) >= 20] + [str(uuid.UUID(int=rng.getrandbits(128))).upper() for _ in range(50)] + [f"id {uuid.UUID(int=rng.getrandbits(128))}".split()[1][:36].upper() for _ in range(10)]
+    texts = label + plain + [f"see {x} there" for x in secret + calm]
+    found = {r.doc_id: [s for s in r.spans if s.kind == len(secrets.KINDS)] for r in secrets.scan(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)).collect()}
+    at = len(label) + len(plain)
+    hits = sum(bool(found[at + i]) for i in range(len(secret)))
+    false = [calm[i] for i in range(len(calm)) if found[at + len(secret) + i]]
+    assert hits >= 0.95 * len(secret), hits
+    assert len(false) <= 0.01 * len(calm), false
+
+
+def test_threshold_of_held_out_tokens():
+    assert secrets.threshold({}) == secrets.threshold({(1, 3): 5}) == secrets.MIN_RATIO
+    counts = {(0, -40): 900, (0, 4): 100, (1, 10): 1, (1, 60): 99}
+    t = secrets.threshold(counts) * secrets.STEPS
+    assert 4 < t <= 10
+    # one ordinary token in a hundred weighs more than the one secret that it costs
+    assert 10 < secrets.threshold({**counts, (0, 20): 10}) * secrets.STEPS <= 60
+
+
+def test_secrets_in_long_texts_and_repeated_rows(spark):
+    """Tens of thousands of matches in one text, rows repeated under one id, columns with the operator's names."""
+    rng = random.Random(22)
+    rand = lambda n, abc: "".join(rng.choice(abc) for _ in range(n))
+    long = " ".join(rng.choice([rand(30, "0123456789abcdef"), "é" * rng.randint(1, 3), "token=" + rand(8, "xyz"), "AKIA" + rand(16, "ABC1"), rand(25, "GHIJKLMghijklm123456789")]) for _ in range(40_000))
+    short = "password: " + rand(24, "abcxyz0189") + " and " + rand(26, "0123456789abcdef")
+    rows = [(1, long, None, None, 0), (2, short, None, None, 0), (2, short, None, None, 0), (None, short, None, None, 0)]
+    frame = spark.createDataFrame(rows, DOCS).withColumns({"base": F.lit("b"), "id": F.lit(1), "tokens": F.lit(2), "hex": F.lit("h"), "spans": F.lit(0)})
+    got = secrets.scan(frame).collect()
+    assert sorted((str(r.doc_id), len(r.base) > 0) for r in got) == [("1", True), ("2", True), ("2", True), ("None", True)]
+    for r in got:
+        text = long if r.doc_id == 1 else short
+        assert [(s.start, s.kind, s.end) for s in r.base] == sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(secrets.KINDS.values()) for m in re.finditer(p, text) if len(m.group(g)) >= n)
+        more = [s for s in r.spans if s.kind == len(secrets.KINDS)]
+        assert not any(a.start < b.end and b.start < a.end for a in more[:50] for b in r.base)
+
+
+def test_overlaps_by_brute_force(spark):
+    rng = random.Random(23)
+    cases = []
+    for _ in range(200):
+        at, spans = 0, []
+        for _ in range(rng.choice([0, 1, 2, 3, 17, 64])):
+            at += rng.randint(0, 5)
+            spans.append((at, at + rng.randint(1, 4)))
+            at = spans[-1][1]
+        a = rng.randint(0, at + 4)
+        cases.append(((a, a + rng.randint(1, 9)), spans))
+    kind = "struct<start:int,end:int>"
+    rows = spark.createDataFrame(cases, f"t {kind}, s array<{kind}>").select("t", "s", secrets.overlaps(F.col("t"), F.col("s")).alias("hit")).collect()
+    assert all(r.hit == any(b.start < r.t.end and b.end > r.t.start for b in r.s) for r in rows)
+
+
 def test_surrogates(spark, docs, nothing):
     rows = [
         (1, "Mail anna.b9@mail.example.com or ANNA.B9@MAIL.EXAMPLE.COM!", "en", "s", 0),
