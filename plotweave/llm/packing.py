@@ -7,8 +7,9 @@ clusters and counted bitmaps of sources (one per allowed repeat). A piece
 searches from the first bin with enough room upwards until the bitmaps allow
 it, which is the tightest compatible bin; without one it opens a bin.
 
-Bitmaps have 64 hashed bits, so two values may share a bit; that sends a piece
-to another bin and never joins what is kept apart.
+A bit may stand for several values (clusters have 1,024 hashed bits, sources a
+bit each up to 64 of a window): where one is set, the bin's exact set of
+clusters and counts of sources decide, so a bin takes any number of clusters.
 
 Windows bound a task's memory and time: a hot source or cluster fills bins in
 many windows, and each window leaves only its own last bins part full.
@@ -21,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,64 +37,90 @@ WINDOW = 8192
 SCHEMA = "doc_id long, source string, piece int, start_word long, n_words int, bin_id string, position int, bin_words int"
 
 
+#: 64-bit words of a bin's bitmap of clusters.
+BITMAP_WORDS = 16
+
+
 class OpenBins:
-    """Bins of one window, ordered by residual room."""
+    """Bins of one window, ordered by residual room.
+
+    A clear bit proves a bin free of a cluster or source; where a bit is set,
+    the bin's own set of clusters and counts of sources decide.
+    """
 
     def __init__(self, capacity: int, source_limit: int, most: int):
-        self.capacity, self.n, self.opened = capacity, 0, 0
+        self.capacity, self.limit, self.n, self.opened = capacity, source_limit, 0, 0
         self.room = np.zeros(most + 1, dtype=np.int64)
-        self.clusters = np.zeros(most + 1, dtype=np.uint64)
+        self.clusters = np.zeros((BITMAP_WORDS, most + 1), dtype=np.uint64)
         self.sources = np.zeros((source_limit, most + 1), dtype=np.uint64)
         self.name = np.zeros(most + 1, dtype=np.int64)
+        self.members: dict[int, set[int]] = {}
+        self.counts: dict[int, Counter] = {}
 
-    def place(self, words: int, cluster_bit: np.uint64, source_bit: np.uint64) -> int:
-        """Put a piece into the tightest compatible bin and return the bin's number."""
+    def place(self, words: int, cluster: int, source: int, source_bit: np.uint64, exact: bool) -> int:
+        """Put a piece into the tightest compatible bin and return the bin's number; `exact`: no two sources share a bit."""
         n, at, step = self.n, int(np.searchsorted(self.room[: self.n], words)), 16
+        word, cluster_bit = (cluster >> 6) % BITMAP_WORDS, np.uint64(1) << np.uint64(cluster & 63)
         full = self.sources[-1]
         while at < n:
             end = min(n, at + step)
-            fits = ((self.clusters[at:end] & cluster_bit) == 0) & ((full[at:end] & source_bit) == 0)
-            hit = int(fits.argmax())
-            if fits[hit]:
-                return self._shrink(at + hit, words, cluster_bit, source_bit)
+            free = (full[at:end] & source_bit) == 0
+            clear = free & ((self.clusters[word, at:end] & cluster_bit) == 0)
+            first = int(clear.argmax()) if clear.any() else end - at
+            # before the first clear one a set bit may stand for another value
+            for i in np.flatnonzero(free[:first]) if exact else range(first):
+                number = int(self.name[at + i])
+                if cluster not in self.members[number] and self.counts[number][source] < self.limit:
+                    return self._shrink(at + int(i), words, cluster, word, cluster_bit, source, source_bit)
+            if at + first < end:
+                return self._shrink(at + first, words, cluster, word, cluster_bit, source, source_bit)
             at, step = end, step * 4
         number = self.opened
         self.opened += 1
-        self.room[n], self.clusters[n], self.name[n] = self.capacity + 1, 0, number
-        self.sources[:, n] = 0
+        self.name[n], self.clusters[:, n], self.sources[:, n] = number, 0, 0
+        self.members[number], self.counts[number] = set(), Counter()
         self.n += 1
         self.room[n] = self.capacity
-        self._shrink(n, words, cluster_bit, source_bit)
+        self._shrink(n, words, cluster, word, cluster_bit, source, source_bit)
         return number
 
-    def _shrink(self, at: int, words: int, cluster_bit: np.uint64, source_bit: np.uint64) -> int:
+    def _shrink(self, at: int, words: int, cluster: int, word: int, cluster_bit: np.uint64, source: int, source_bit: np.uint64) -> int:
         """Take room from bin `at` and move it to its new place in the order."""
         room, number = int(self.room[at]) - words, int(self.name[at])
-        clusters, planes = self.clusters[at] | cluster_bit, self.sources[:, at].copy()
+        self.members[number].add(cluster)
+        self.counts[number][source] += 1
+        clusters, planes = self.clusters[:, at].copy(), self.sources[:, at].copy()
+        clusters[word] |= cluster_bit
         for k in range(len(planes)):
             if not planes[k] & source_bit:
                 planes[k] |= source_bit
                 break
         if room == 0:  # closed
-            for x in (self.room, self.clusters, self.name):
+            for x in (self.room, self.name):
                 x[at : self.n - 1] = x[at + 1 : self.n]
-            self.sources[:, at : self.n - 1] = self.sources[:, at + 1 : self.n]
+            for x in (self.clusters, self.sources):
+                x[:, at : self.n - 1] = x[:, at + 1 : self.n]
+            del self.members[number], self.counts[number]
             self.n -= 1
             return number
         to = int(np.searchsorted(self.room[:at], room))
-        for x, value in ((self.room, room), (self.clusters, clusters), (self.name, number)):
+        for x, value in ((self.room, room), (self.name, number)):
             x[to + 1 : at + 1] = x[to:at].copy()
             x[to] = value
-        self.sources[:, to + 1 : at + 1] = self.sources[:, to:at].copy()
-        self.sources[:, to] = planes
+        for x, value in ((self.clusters, clusters), (self.sources, planes)):
+            x[:, to + 1 : at + 1] = x[:, to:at].copy()
+            x[:, to] = value
         return number
 
 
 def pack_window(words: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capacity: int, source_limit: int) -> np.ndarray:
     """Bin numbers of the pieces of one window; pieces come longest first. `clusters` and `sources` are 64-bit hashes."""
     bins = OpenBins(capacity, source_limit, len(words))
-    bits = [np.uint64(1) << (x.view(np.uint64) & np.uint64(63)) for x in (clusters, sources)]
-    return np.array([bins.place(int(w), c, s) for w, c, s in zip(words, *bits, strict=True)], dtype=np.int64)
+    # up to 64 sources of a window have a bit each
+    ids, place = np.unique(sources, return_inverse=True)
+    bits = np.uint64(1) << (place.astype(np.uint64) & np.uint64(63))
+    clusters = clusters.view(np.uint64)
+    return np.array([bins.place(int(w), int(c), int(s), b, len(ids) <= 64) for w, c, s, b in zip(words, clusters, place, bits, strict=True)], dtype=np.int64)
 
 
 def _packing_task(capacity: int, source_limit: int, window: int):

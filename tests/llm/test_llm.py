@@ -794,3 +794,36 @@ def test_pipeline(spark):
 
     packed = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
     assert packed.where("bin_words > 2048").count() == 0 and packed.count() > 0
+
+
+def test_packing_fills_bins_with_short_pieces_of_many_clusters():
+    rng = np.random.default_rng(31)
+    n = 8192
+    for words in (3, 30):
+        clusters = rng.integers(-(1 << 63), 1 << 63, n)
+        bins = packing.pack_window(np.full(n, words), clusters, np.zeros(n, dtype=np.int64), 2048, n)
+        fill = np.sort(np.bincount(bins, weights=np.full(n, words)))
+        # all bins but the last opened are as full as whole pieces make them
+        assert (fill[1:] == 2048 // words * words).all() and len(fill) == -(-n // (2048 // words))
+
+
+def test_packing_equals_a_search_with_exact_sets():
+    """The tightest compatible bin, with more clusters and sources than bits, hot ones among them."""
+    rng = np.random.default_rng(32)
+    for sources, clusters in ((3, 40), (150, 2000), (70, 5)):
+        n, capacity, limit = 900, 200, 2
+        size = np.sort(rng.integers(1, 60, n))[::-1]
+        source = np.where(rng.random(n) < 0.3, 0, rng.integers(0, sources, n))
+        cluster = np.where(rng.random(n) < 0.2, 7, rng.integers(0, clusters, n))
+        got = packing.pack_window(size, cluster.astype(np.int64) * 64, source.astype(np.int64), capacity, limit)
+        bins = []
+        for w, c, s, b in zip(size, cluster, source, got, strict=True):
+            fits = [x for x in bins if x["room"] >= w and c not in x["c"] and x["s"].count(s) < limit]
+            if b == len(bins):
+                assert not fits
+                bins.append({"room": capacity, "c": set(), "s": []})
+            else:
+                assert bins[b] in fits and bins[b]["room"] == min(x["room"] for x in fits)
+            bins[b]["room"] -= w
+            bins[b]["c"].add(c)
+            bins[b]["s"].append(s)
