@@ -297,7 +297,7 @@ def mesh_traits(vertices: DataFrame, faces: DataFrame, mesh: str = "raster_id",
 
 def blend_spectra(spectra: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sums of named spectra (name, wavelength, value) by (target, name, weight)."""
-    return spectra.join(F.broadcast(weights), "name").groupBy("target", "wavelength").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    return spectra.join(weights, "name").groupBy("target", "wavelength").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 
 #: Blends of reproductive organs, (target, first share, second share).

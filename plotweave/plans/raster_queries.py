@@ -257,7 +257,9 @@ def _templates(scenes: DataFrame) -> DataFrame:
     dist = lambda kind, **p: F.struct(F.struct(F.lit(kind).alias("type"), F.struct(*[v.alias(k) for k, v in p.items()]).alias("params")).alias("distribution"))
     spot = F.array(F.struct(F.lit(0.5).alias("x")), F.struct(F.lit(1.5).alias("x")))
     doc = F.struct(dist("uniform", min=F.lit(10), max=F.lit(90)).alias("dap"), dist("normal", mean=F.col("sun_elevation"), std=F.lit(2.0)).alias("sun"), dist("categorical", categories=F.array(F.lit("a"), F.lit("b"))).alias("kind"), F.struct(F.col("camera_height").alias("height"), spot.alias("plants")).alias("field"))
-    return scenes.select("scene_id", F.parse_json(F.to_json(doc)).alias("doc"))
+    # the table is one small file, its documents are work for all cores
+    spread = scenes.repartition(scenes.sparkSession.sparkContext.defaultParallelism)
+    return spread.select("scene_id", F.parse_json(F.to_json(doc)).alias("doc"))
 
 
 def _draw(path: str, *more: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,8 +11,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
-#: Paths staged inside each open `scratch`, the innermost last.
-_SCRATCH: list[list[str]] = []
+
+
+class _Scratch(threading.local):
+    """Paths staged inside each open `scratch` of a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +53,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/plotweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open:
+        _SCRATCH.open[-1].append(path)
     _tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,9 +68,9 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what is staged inside; results that read it must be written by then."""
-    _SCRATCH.append([])
+    _SCRATCH.open.append([])
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        for path in _SCRATCH.open.pop():
             remove(spark, path)
