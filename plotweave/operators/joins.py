@@ -171,7 +171,8 @@ def points_in_plots(points: DataFrame, plots: DataFrame, cell: float, x: str = "
     own = points.withColumns({"_l": F.lit(0), "_cx": at(F.col(x), 0), "_cy": at(F.col(y), 0)})
     boxes = plots.withColumns({"_l": F.lit(0), "_cx": F.explode(_cells(F.col("min_x"), F.col("max_x"), cell))}).withColumn("_cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), cell)))
     settled = []
-    for level in range(LEVELS):
+    # without a crowded cell nothing is looked up
+    for level in range(LEVELS if crowded.limit(1).count() else 0):
         hit = lambda rows: (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & (rows == level)
         down = F.col("_split").isNotNull()
         own = own.join(split(level), hit(F.col("_l")), "left").withColumns({"_l": F.when(down, level + 1).otherwise(F.col("_l")), "_cx": F.when(down, at(F.col(x), level + 1)).otherwise(F.col("_cx")), "_cy": F.when(down, at(F.col(y), level + 1)).otherwise(F.col("_cy"))}).drop("cx", "cy", "_split")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plotweave.functions import colour as C
 from plotweave.operators import raster as R
@@ -488,6 +489,10 @@ def _streaming(spark: SparkSession) -> SparkSession:
 def _run_stream(out: DataFrame, path: str) -> None:
     """Take what has arrived so far through a stream that goes on from its checkpoint."""
     query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    _ended(query)
+
+
+def _ended(query: StreamingQuery) -> None:
     if not query.awaitTermination(600):
         query.stop()
         raise TimeoutError("the stream of arrivals did not end")
@@ -513,7 +518,20 @@ def _t1(arrivals):
 
 @query("t2_progress", "arrivals", sql="SELECT kind AS status, count(*) AS n FROM arrivals GROUP BY kind")
 def _t2(arrivals):
-    return T.progress(arrivals.withColumnRenamed("kind", "status"))
+    path, done = _folder(arrivals, "progress"), []
+    arrivals.select(F.col("kind").alias("status")).write.parquet(f"{path}/in")
+    stream = _streaming(arrivals.sparkSession).readStream.schema("status string").parquet(f"{path}/in")
+
+    def keep(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{path}/out/{batch}")
+        done.append(batch)
+
+    query = T.progress(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    _ended(query)
+    if not done:  # nothing has arrived
+        return arrivals.sparkSession.createDataFrame([], "status string, n bigint")
+    # each batch writes all counts so far
+    return arrivals.sparkSession.read.schema("status string, n bigint").parquet(f"{path}/out/{max(done)}")
 
 
 @query("t3_incremental_todo", "arrivals", sql="SELECT DISTINCT plot, kind FROM arrivals")
@@ -528,4 +546,11 @@ def _t3(arrivals):
 
 @query("t4_arrivals_per_window", "arrivals", sql="SELECT to_timestamp(floor(epoch(arrived_at) / 15) * 15) AT TIME ZONE 'UTC' AS window_start, count(*) AS n FROM arrivals GROUP BY 1")
 def _t4(arrivals):
-    return T.arrivals_per_window(arrivals, "arrived_at").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    # a last row far ahead lets the watermark pass every interval; its own stays open
+    path = _folder(arrivals, "windows")
+    rows = arrivals.select(F.col("arrived_at").cast("timestamp").alias("arrived_at"))
+    rows.unionByName(rows.agg((F.max("arrived_at") + F.expr("interval 1 day")).alias("arrived_at"))).write.parquet(f"{path}/in")
+    stream = _streaming(rows.sparkSession).readStream.schema(rows.schema).parquet(f"{path}/in")
+    _run_stream(T.arrivals_per_window(stream, "arrived_at"), path)
+    out = rows.sparkSession.read.parquet(f"{path}/out")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")

@@ -39,12 +39,14 @@ def write_field_coco(field: dict[str, DataFrame], path: str) -> None:
     """
     listed = lambda df: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("v"))
     head = listed(field["images"]).withColumnRenamed("v", "i").join(F.broadcast(listed(field["categories"]).withColumnRenamed("v", "c")))
-    begin = head.select(F.lit(-1).cast("long").alias("id"), F.concat(F.lit('{"images":'), "i", F.lit(',"categories":'), "c", F.lit(',"annotations":[')).alias("value"))
+    begin = head.select(F.lit(-1).cast("long").alias("id"), F.concat(F.lit('{"images":'), "i", F.lit(',"categories":'), "c", F.lit(',"annotations":[')).alias("fixed"))
     anns = field["annotations"]
-    line = F.concat(F.when(F.col("id") > 0, ",").otherwise(""), F.to_json(F.struct(*[c for c in anns.columns if c not in ("bed", "tier", "width", "height")])))
-    end = anns.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("id"), F.lit("]}").alias("value"))
-    lines = begin.unionByName(anns.select("id", line.alias("value"))).unionByName(end)
-    lines.repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
+    whole = F.struct(*[c for c in anns.columns if c not in ("bed", "tier", "width", "height")])
+    end = anns.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("id"), F.lit("]}").alias("fixed"))
+    rows = anns.select("id", whole.alias("a")).unionByName(begin, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
+    # rows are dealt as they are and become text behind the shuffle, whose ranges come from a first look at them
+    line = F.coalesce("fixed", F.concat(F.when(F.col("id") > 0, ",").otherwise(""), F.to_json("a")))
+    rows.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.text(path)
 
 
 def yolo_lines(boxes: DataFrame) -> DataFrame:
