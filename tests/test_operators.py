@@ -178,6 +178,31 @@ def test_components_by_brute_force(spark):
     assert got == {v: find(v) for v in {x for a, b in links if a != b for x in (a, b)}}
 
 
+@pytest.mark.parametrize("chunk", [7, 40, 1 << 20])
+def test_thinned_links_keep_the_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(connect, "CHUNK", chunk)
+    rng = random.Random(17)
+    links = [(a, b) for g in range(5) for a in range(g * 50, g * 50 + 12) for b in range(g * 50, g * 50 + 12)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(90)]
+    thin = connect.local_stars(frame(spark, links, "a long, b long")).collect()
+    assert len(thin) < len([1 for a, b in links if a != b]) and all(r.a > r.b for r in thin)
+    plain = lambda edges: {frozenset(c) for c in _classes(edges)}
+    assert plain([(r.a, r.b) for r in thin]) == plain(links)
+    got = {}
+    for r in connect.components(frame(spark, links, "a long, b long")).collect():
+        got.setdefault(r.component, set()).add(r.v)
+    assert {frozenset(v) for v in got.values()} == plain(links) and all(min(v) == k for k, v in got.items())
+
+
+def _classes(edges):
+    out = {}
+    for a, b in edges:
+        if a != b:
+            whole = out.get(a, {a}) | out.get(b, {b})
+            for v in whole:
+                out[v] = whole
+    return out.values()
+
+
 def test_components_without_links(spark):
     assert connect.components(frame(spark, [], "a long, b long")).count() == 0
 
