@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Share of the driver's heap from which finished jobs' leftovers are collected.
-_TIDY_FROM = 0.4
+_TIDY_FROM = 0.3
 
 
 def _tidy(spark: SparkSession) -> None:
