@@ -156,7 +156,7 @@ def _wholly_inside(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column)
     return corners & ~F.exists(F.sequence(F.lit(0), n - 1), near)
 
 
-def points_in_plots(points: DataFrame, plots: DataFrame, cell: float, x: str = "x", y: str = "y", most: int = 100_000) -> DataFrame:
+def points_in_plots(points: DataFrame, plots: DataFrame, cell: float, x: str = "x", y: str = "y", most: int = 1_000_000) -> DataFrame:
     """Points with the plot (ring, min_x, min_y, max_x, max_y, ...) that holds them.
 
     Plots are listed under the grid cells that their boxes touch, so the join is
@@ -164,7 +164,8 @@ def points_in_plots(points: DataFrame, plots: DataFrame, cell: float, x: str = "
     smaller ones, again and again, so a plot with most of all points is many
     keys. The ring is tested only for points of cells that it may cross.
     """
-    crowded = staged(crowded_cells(points, cell, x, y, most), "crowded-cells")
+    # fewer points than a cell may hold need no histogram
+    crowded = staged(crowded_cells(points, cell, x, y, most), "crowded-cells") if points.count() > most else None
     step = lambda level: cell / SPLIT**level
     at = lambda c, level: F.floor(c / step(level)).cast("long")
     split = lambda level: F.broadcast(crowded.where(F.col("level") == level).select("cx", "cy", F.lit(True).alias("_split")))
@@ -172,7 +173,7 @@ def points_in_plots(points: DataFrame, plots: DataFrame, cell: float, x: str = "
     boxes = plots.withColumns({"_l": F.lit(0), "_cx": F.explode(_cells(F.col("min_x"), F.col("max_x"), cell))}).withColumn("_cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), cell)))
     settled = []
     # without a crowded cell nothing is looked up
-    for level in range(LEVELS if crowded.limit(1).count() else 0):
+    for level in range(LEVELS if crowded is not None and crowded.limit(1).count() else 0):
         hit = lambda rows: (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")) & (rows == level)
         down = F.col("_split").isNotNull()
         own = own.join(split(level), hit(F.col("_l")), "left").withColumns({"_l": F.when(down, level + 1).otherwise(F.col("_l")), "_cx": F.when(down, at(F.col(x), level + 1)).otherwise(F.col("_cx")), "_cy": F.when(down, at(F.col(y), level + 1)).otherwise(F.col("_cy"))}).drop("cx", "cy", "_split")
