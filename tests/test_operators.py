@@ -324,3 +324,40 @@ def test_malformed_files_are_listed(spark, tmp_path):
     (tmp_path / "dap_1_plot_2_3_0000_params.json").write_text('{"seed": 3}')
     docs = {r.file_name: r.doc for r in readers.read_scene_params(spark, str(tmp_path)).select("file_name", F.to_json("doc").alias("doc")).collect()}
     assert docs["bad.json"] is None and docs["dap_1_plot_2_3_0000_params.json"] == '{"seed":3}'
+
+
+def test_scene_matrix_shuffles_genotypes_only(spark):
+    """The join that leaves out existing scenes comes before the matrix is opened, whatever existing rows hold."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        genotypes = frame(spark, [(1,), (2,), (2,), (None,)], "genotype_id long")
+        existing = frame(spark, [(1, 10, 0), (1, 10, 0), (1, 20, 2), (2, 30, 0), (2, None, 1), (2, 10, 9), (3, 10, 0), (None, 10, 0)], "genotype_id long, dap int, scene int")
+        out = scenario.scene_matrix(genotypes, [10, 20], 3, existing)
+        whole = [(d, s) for d in (10, 20) for s in range(3)]
+        want = [(1, d, s) for d, s in whole if (d, s) not in ((10, 0), (20, 2))] + 2 * [(2, d, s) for d, s in whole] + [(None, d, s) for d, s in whole]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Join")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_scene_extents_are_those_of_its_plants(spark):
+    """A scene's size is the extent of its plants and a margin, and comes without a join or a shuffle."""
+    ends = {f"{t}_{e}": v for t, e, v in (("plant_count", "min", 0.0), ("plant_count", "max", 6.0), ("plant_spacing_x", "min", 0.3), ("plant_spacing_x", "max", 0.9), ("plant_spacing_y", "min", 0.4), ("plant_spacing_y", "max", 1.2))}
+    ids = frame(spark, [(i,) for i in range(40)] + [(None,)], "genotype_id long").withColumns({n: F.lit(v) for n, v in ends.items()})
+    plants, plan = scenario.scene_plan(scenario.scene_matrix(ids, [10, 30], 3))
+    assert not {"Join", "Aggregate"} & set(plan._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").split())
+    key = lambda r: (r.genotype_id, r.dap, r.scene)
+    spots = {}
+    for r in plants.collect():
+        spots.setdefault(key(r), []).append((r.x, r.y))
+    margin = {key(r): r.m for r in scenario.scene_matrix(ids, [10, 30], 3).select("genotype_id", "dap", "scene", (0.5 + scenario.uniform(42, F.col("genotype_id"), F.col("dap"), F.col("scene"), "margin") * 1.5).alias("m")).collect()}
+    rows = plan.collect()
+    assert len(rows) == 246 and any(r.n_plants == 0 for r in rows) and any(r.n_plants > 3 for r in rows)
+    for r in rows:
+        at = spots.get(key(r), []) if r.genotype_id is not None else []
+        assert not at or len(at) == r.n_plants
+        size = [max(v) - min(v) + margin[key(r)] for v in zip(*at)] or [2.5, 5.0]
+        assert np.allclose([r.plot_size_x, r.plot_size_y], size, rtol=0, atol=1e-12)
