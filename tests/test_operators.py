@@ -337,6 +337,8 @@ def test_scene_matrix_shuffles_genotypes_only(spark):
         whole = [(d, s) for d in (10, 20) for s in range(3)]
         want = [(1, d, s) for d, s in whole if (d, s) not in ((10, 0), (20, 2))] + 2 * [(2, d, s) for d, s in whole] + [(None, d, s) for d, s in whole]
         assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        long = scenario.scene_matrix(genotypes.where("genotype_id = 1"), [10, 20], 100, existing.unionByName(frame(spark, [(1, 10, 62), (1, 10, 63), (1, 20, 99)], existing.schema)))
+        assert {(d, s) for d in (10, 20) for s in range(100)} - {(r.dap, r.scene) for r in long.collect()} == {(10, 0), (20, 2), (10, 62), (10, 63), (20, 99)} and long.count() == 195
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Generate") < plan.index("Join")
     finally:
