@@ -76,7 +76,7 @@ def _n4(boxes):
     cats = _placed(boxes).select("bed", "tier").distinct().select("bed", "tier", F.explode(F.sequence(F.lit(1), F.when((F.col("bed") == 1) & (F.col("tier") == 1), 2).otherwise(3))).alias("id"))
     field = N.stitch_field(anns, cats.withColumn("name", F.concat(F.lit("c"), "id")), _layout(boxes), 640, 480, order, "field.jpeg", 25600, 6720)
     path = f"{shared_dir(boxes.sparkSession)}/plotweave/field-coco-{uuid.uuid4().hex}"
-    K.write_field_coco({**field, "annotations": field["annotations"].select("id", "image_id", "bed", "tier", "bbox", "segmentation", F.struct("bed", "tier").alias("plot"))}, path)
+    K.write_field_coco({**field, "annotations": field["annotations"].select("id", "image_id", "bed", "tier", "bbox", "segmentation", F.struct("bed", "tier").alias("plot"))}, path, "gzip")
     # each line but the first and last is an annotation, after a comma or none
     lines = boxes.sparkSession.read.text(path)
     d = F.from_json(F.regexp_replace("value", "^,", ""), "id bigint, image_id int, bbox array<double>, segmentation array<array<double>>, plot struct<bed:bigint,tier:bigint>")

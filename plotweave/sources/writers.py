@@ -32,21 +32,23 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     docs.join(images.select("image_id", *[c for c in by if c != "image_id"]), "image_id").select(*by, "value").write.partitionBy(*by).text(path)
 
 
-def write_field_coco(field: dict[str, DataFrame], path: str) -> None:
+def write_field_coco(field: dict[str, DataFrame], path: str, compression: str = "none") -> None:
     """One document of a whole field: the text files of `path`, in the order of their names, are its parts.
 
-    Every annotation is a line, dealt and sorted by its id, so no task holds the document.
+    Every annotation is a line, dealt and sorted by its id, so no task holds the
+    document. `compression` is a codec of Spark's text writer; gzip parts joined
+    in order are one gzip file.
     """
     listed = lambda df: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("v"))
     head = listed(field["images"]).withColumnRenamed("v", "i").join(F.broadcast(listed(field["categories"]).withColumnRenamed("v", "c")))
     begin = head.select(F.lit(-1).cast("long").alias("id"), F.concat(F.lit('{"images":'), "i", F.lit(',"categories":'), "c", F.lit(',"annotations":[')).alias("fixed"))
     anns = field["annotations"]
-    whole = F.struct(*[c for c in anns.columns if c not in ("bed", "tier", "width", "height")])
+    whole = [c for c in anns.columns if c not in ("bed", "tier", "width", "height")]
     end = anns.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("id"), F.lit("]}").alias("fixed"))
-    rows = anns.select("id", whole.alias("a")).unionByName(begin, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
+    rows = anns.select(*whole).unionByName(begin, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
     # rows are dealt as they are and become text behind the shuffle, whose ranges come from a first look at them
-    line = F.coalesce("fixed", F.concat(F.when(F.col("id") > 0, ",").otherwise(""), F.to_json("a")))
-    rows.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.text(path)
+    line = F.coalesce("fixed", F.concat(F.when(F.col("id") > 0, ",").otherwise(""), F.to_json(F.struct(*whole))))
+    rows.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.text(path, compression=compression)
 
 
 def yolo_lines(boxes: DataFrame) -> DataFrame:

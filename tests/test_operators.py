@@ -363,3 +363,25 @@ def test_scene_extents_are_those_of_its_plants(spark):
         assert not at or len(at) == r.n_plants
         size = [max(v) - min(v) + margin[key(r)] for v in zip(*at)] or [2.5, 5.0]
         assert np.allclose([r.plot_size_x, r.plot_size_y], size, rtol=0, atol=1e-12)
+
+
+def test_field_document_in_packed_parts(spark, tmp_path):
+    """The parts of a packed field document, joined in the order of their names, are one gzip file of the whole document."""
+    import gzip
+    import json
+
+    from plotweave.sources import writers
+
+    anns = spark.range(5000).select("id", F.lit(0).alias("image_id"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("bbox"), F.when(F.col("id") % 2 == 0, F.lit("even")).alias("kind"), F.lit(1).alias("bed"), F.lit(2).alias("tier"))
+    field = {"images": frame(spark, [(0, "f.jpeg")], "id int, file_name string"), "annotations": anns.repartition(7), "categories": frame(spark, [(1, "c1")], "id int, name string")}
+    whole = {}
+    for codec in ("none", "gzip"):
+        writers.write_field_coco(field, f"file://{tmp_path}/{codec}", codec)
+        parts = b"".join(p.read_bytes() for p in sorted((tmp_path / codec).glob("part-*")))
+        whole[codec] = parts if codec == "none" else gzip.decompress(parts)
+    assert whole["gzip"] == whole["none"]
+    doc = json.loads(whole["gzip"])
+    assert doc["categories"] == [{"id": 1, "name": "c1"}] and doc["images"] == [{"id": 0, "file_name": "f.jpeg"}]
+    assert doc["annotations"] == [{"id": i, "image_id": 0, "bbox": [float(i), 2.0]} | ({"kind": "even"} if i % 2 == 0 else {}) for i in range(5000)]
+    used = sum(p.stat().st_size for p in (tmp_path / "gzip").glob("part-*"))
+    assert used * 4 < len(whole["none"])
