@@ -385,3 +385,15 @@ def test_field_document_in_packed_parts(spark, tmp_path):
     assert doc["annotations"] == [{"id": i, "image_id": 0, "bbox": [float(i), 2.0]} | ({"kind": "even"} if i % 2 == 0 else {}) for i in range(5000)]
     used = sum(p.stat().st_size for p in (tmp_path / "gzip").glob("part-*"))
     assert used * 4 < len(whole["none"])
+
+
+def test_assembly_compares_paths_once(spark):
+    """A leaf's path is compared with the one before once, and scenes with a null value have no document."""
+    import json
+
+    texts = ['{"a": [1, [2, {"b": "x"}], []], "q\\"\\\\": {"d": {}, "e": null}}', "[[[[1]]], [[2, {}]]]", '{"u": {"distribution": {"type": "uniform", "params": {"min": null}}}, "v": 1}']
+    docs = frame(spark, list(enumerate(texts)), "id int, t string").select("id", F.parse_json("t").alias("doc"))
+    out = scenario.assemble_params(scenario.sample_params(scenario.leaf_distributions(scenario.flatten_params(docs, "id", depth=8)), "id", 3), "id")
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("aggregate(") == 1
+    got = {(r.id, r.scene): r.document and json.loads(r.document) for r in out.collect()}
+    assert got == {(i, s): None if i == 2 else json.loads(t) for i, t in enumerate(texts) for s in range(3)}
