@@ -397,3 +397,65 @@ def test_assembly_compares_paths_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("aggregate(") == 1
     got = {(r.id, r.scene): r.document and json.loads(r.document) for r in out.collect()}
     assert got == {(i, s): None if i == 2 else json.loads(t) for i, t in enumerate(texts) for s in range(3)}
+
+
+def test_draws_hashed_at_once(spark):
+    """Draws in numpy are those of SQL, for texts of any length, in any slice."""
+    import pyarrow as pa
+
+    from plotweave.functions import draws
+
+    heads = ["", "42", "42|7|10|0", "42|ü|-3"] + ["x" * n for n in (44, 45, 52, 55, 56, 63, 64, 118, 119, 120, 130)]
+    tails = ["", "n", "12|x", "y" * 9, "z" * 70]
+    of, which = (a.ravel() for a in np.meshgrid(np.arange(len(heads)), np.arange(len(tails)), indexing="ij"))
+    rows = frame(spark, [(int(i), int(j), heads[i], tails[j]) for i, j in zip(of, which)], "i int, j int, head string, tail string")
+    want = [r.u for r in rows.orderBy("i", "j").select(scenario.uniform(F.col("head"), F.col("tail")).alias("u")).collect()]
+    held = pa.array(["gone", *heads]).slice(1)
+    got = draws.Heads(held).uniform(of, [f"|{t}" for t in tails], which)
+    assert got.tolist() == want
+    many = np.tile(np.arange(len(of)), 700)
+    assert (draws.Heads(held).uniform(of[many], [f"|{t}" for t in tails], which[many]) == got[many]).all()
+    assert len(draws.Heads(pa.array([], pa.string())).uniform(of[:0], [], which[:0])) == 0
+
+
+def test_scene_plan_draws_outer_plants_only(spark, monkeypatch):
+    """Extents are bit for bit those of all plants, though inner ones aren't drawn, whatever the ranges; no draw is left to a function of array elements."""
+    names = [f"{t}_{e}" for t in ("plant_count", "plant_spacing_x", "plant_spacing_y") for e in ("min", "max")]
+    nan, inf = float("nan"), float("inf")
+    ranges = [(3, 14, 0.3, 0.9, 0.4, 1.3), (0, 2, 0.3, 0.4, 0.4, 0.5), (200, 900, 0.3, 0.31, 0.4, 2.0), (70000, 70001, 0.3, 0.9, 0.4, 1.3), (5, 9, 0.9, 0.3, -0.4, -1.3), (5, 9, -0.5, 0.5, 0.0, 0.0), (5, 9, nan, 0.4, 0.1, nan), (5, 9, inf, 0.4, 0.1, inf), (5, 9, None, 0.4, 0.1, None), (None, 9, 0.3, 0.4, 0.1, 0.2), (-5, -2, 0.3, 0.4, 0.1, 0.2), (nan, 4, 0.3, 0.4, 0.1, 0.2)]
+    rows = [(f"g{i}", *[None if v is None else float(v) for v in r]) for i, r in enumerate(ranges)] + [(None, *map(float, ranges[0]))]
+    matrix = scenario.scene_matrix(frame(spark, rows, "genotype_id string, " + ", ".join(f"{n} double" for n in names)), [10, 30], 4).where("genotype_id is null or genotype_id != 'g3' or (dap = 10 and scene = 0)")
+    plants, plan = scenario.scene_plan(matrix)
+    assert "lambda" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    key = ["genotype_id", "dap", "scene"]
+    size = plants.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xy"])
+    margin = 0.5 + scenario.uniform(42, *[F.col(k) for k in key], "margin") * 1.5
+    want = matrix.join(size, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("x") + margin, F.lit(2.5)).alias("x"), F.coalesce(F.col("y") + margin, F.lit(5.0)).alias("y"))
+    got = plan.select(*key, F.greatest(F.coalesce("n_plants", F.lit(0)), F.lit(0)).cast("long").alias("n"), F.col("plot_size_x").alias("x"), F.col("plot_size_y").alias("y"))
+    rows = got.collect()
+    assert sorted(str(r) for r in rows if r.genotype_id is not None) == sorted(map(str, want.where("genotype_id is not null").collect()))
+    assert len(rows) == 97 and {(r.x, r.y) for r in rows if r.genotype_id is None} == {(2.5, 5.0)}
+    # hashed: three draws of a scene, and fewer than two for each of its plants
+    hashed, block = [], scenario.draws._block
+    monkeypatch.setattr(scenario.draws, "_block", lambda state, words: hashed.append(words.shape[1]) or block(state, words))
+    import pyarrow as pa
+
+    n = 2000
+    out = scenario._drawn_plan(pa.array([f"42|{i}|10|0" for i in range(n)]), *[pa.array(np.full(n, v)) for v in (3.0, 14.0, 0.35, 0.7, 0.45, 1.1)])
+    assert 3 * n < sum(hashed) < 3 * n + 1.5 * sum(out.field("n_plants").to_pylist())
+
+
+def test_matrix_is_dealt_once(spark):
+    """Genotypes and existing scenes are dealt alike, once, also where more partitions are the session's rule: the wide rows aren't shuffled again."""
+    from plotweave.plans import raster_queries
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        out = raster_queries._x5(frame(spark, [(i,) for i in range(100)], "scene_id long"))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert out.count() == 12 * 100 - 15
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
